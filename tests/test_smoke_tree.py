@@ -1,0 +1,28 @@
+from treeline.plans.project import Selection, show_tree, summarize
+
+DRAWN = """.
+├── folder_1/
+│   └── file_3.txt
+├── folder_2/
+│   └── file_4.txt
+├── file_1.txt
+├── file_2.txt
+└── README.md"""
+
+
+def drawn(lines):
+    return "\n".join(r.line for r in lines.orderBy("repo_id", "place").collect())
+
+
+def test_tree_of_the_five_files(project):
+    assert drawn(show_tree(project, show_stats=False)) == DRAWN
+
+
+def test_labels(project):
+    lines = drawn(show_tree(project, Selection(models=["chars-4", "chars-1"]))).split("\n")
+    assert lines[0] == ". (77.00 B; chars-4:21; chars-1:77)"
+    assert lines[1] == "├── folder_1/ (21.00 B; chars-4:6; chars-1:21)"
+
+
+def test_split_groups_draw_the_same_tree(project):
+    assert drawn(show_tree(project, show_stats=False, rows_per_key=1)) == DRAWN
