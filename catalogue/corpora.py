@@ -101,4 +101,5 @@ def notebooks(spark: SparkSession, folder: str) -> DataFrame:
     )
     book = F.to_json(F.struct(F.lit(4).alias("nbformat"), cells.alias("cells")))
     path = F.concat("lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".ipynb"))
-    return files_table(table(spark, folder, "documents"), F.col("source"), path, book)
+    written = table(spark, folder, "documents").select("source", path.alias("path"), book.alias("book"))
+    return files_table(written, F.col("source"), F.col("path"), F.col("book"))

@@ -12,6 +12,7 @@ from treeline.functions.labels import human_size, stats_label
 from treeline.functions.paths import fence_language, node_extension, split_extension, suffix
 from treeline.operators import binary, contents, dates, refresh, report, rollup, sections, tokens, tree, verdicts
 from treeline.plans import project
+from treeline.session import cut
 from treeline.sources import tables
 
 MODELS = tokens.token_models(["chars-1", "chars-4", "chars-3.5"])
@@ -82,7 +83,7 @@ def order_tree_structure(spark, folder):
 
 @query
 def siblings_by_size(spark, folder):
-    ranked = tree.rank_siblings(rollup.nodes(corpora.documents(spark, folder)), "size").rows
+    ranked = tree.rank_siblings(rollup.nodes(corpora.documents(spark, folder)), "size").rows.where(F.col("path") != "")
     return ranked.select("repo_id", "path", "rn", "size", human_size(F.col("size")).alias("label"))
 
 
@@ -106,7 +107,7 @@ def token_totals(spark, folder):
 @query
 def siblings_by_tokens(spark, folder):
     nodes = rollup.nodes(_counted(spark, folder), ["size", *[m.column for m in MODELS]])
-    ranked = tree.rank_siblings(nodes, "chars-4", MODELS).rows
+    ranked = tree.rank_siblings(nodes, "chars-4", MODELS).rows.where(F.col("path") != "")
     return ranked.select("repo_id", "path", "rn", F.col("`tokens:chars-4`").alias("n"))
 
 
@@ -127,13 +128,13 @@ def directory_dates(spark, folder):
 
 @query
 def siblings_by_modified(spark, folder):
-    ranked = tree.rank_siblings(rollup.nodes(_dated(spark, folder)), "modified").rows
+    ranked = tree.rank_siblings(rollup.nodes(_dated(spark, folder)), "modified").rows.where(F.col("path") != "")
     return ranked.select("repo_id", "path", "rn", "modified")
 
 
 @query
 def siblings_by_created(spark, folder):
-    ranked = tree.rank_siblings(rollup.nodes(_dated(spark, folder)), "created").rows
+    ranked = tree.rank_siblings(rollup.nodes(_dated(spark, folder)), "created").rows.where(F.col("path") != "")
     return ranked.select("repo_id", "path", "rn", "created", stats_label(F.col("size"), (), F.col("created"), F.col("modified")).alias("label"))
 
 
@@ -301,7 +302,7 @@ def refreshed_totals(spark, folder):
         F.when(emptied, "2030-01-01").otherwise(F.col("created")).alias("created"),
         F.when(emptied, "2030-01-01").otherwise(F.col("modified")).alias("modified"),
     )
-    old = old.drop("doc_id")
+    old, new = cut(old.drop("doc_id")), cut(new)
     gone, come = refresh.changes(old, new, ["size", "created", "modified"])
     return refresh.refresh(refresh.rebuild(old), new, gone, come).directories
 

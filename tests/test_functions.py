@@ -1,0 +1,113 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from treeline.functions import labels, paths, text
+
+#: name -> node extension, pathlib suffix, splitext extension, fence language
+NAMES = {
+    ".gitignore": ("gitignore", "", "", ""),
+    ".env.local": ("local", ".local", ".local", "local"),
+    "A.PY": ("py", ".PY", ".PY", "PY"),
+    "x.tar.gz": ("gz", ".gz", ".gz", "gz"),
+    "noext": ("", "", "", ""),
+    "a..b": ("b", ".b", ".b", "b"),
+    "..foo": ("", ".foo", "", "foo"),
+    "closing.": ("", "", ".", ""),
+    "d.x/plain": ("", "", "", ""),
+    "d.x/é.Ü": ("ü", ".Ü", ".Ü", "Ü"),
+}
+
+
+def test_extensions(spark):
+    p = F.col("p")
+    rows = spark.createDataFrame([(n,) for n in NAMES], "p string").select(
+        "p", paths.node_extension(p), paths.suffix(p), paths.split_extension(p), paths.fence_language(p)
+    )
+    assert {r[0]: tuple(r[1:]) for r in rows.collect()} == NAMES
+
+
+def test_path_parts(spark):
+    p = F.col("p")
+    rows = spark.createDataFrame([("",), ("a",), ("a/b/c.x",)], "p string").select(
+        paths.parent(p), paths.base_name(p), paths.node_depth(p), paths.file_level(p), paths.directories_of(paths.parent(p)), paths.prefixes(p)
+    )
+    assert [tuple(r) for r in rows.collect()] == [
+        ("", "", 0, 0, [""], []),
+        ("", "a", 1, 0, [""], ["a"]),
+        ("a/b", "c.x", 3, 2, ["", "a", "a/b"], ["a", "a/b", "a/b/c.x"]),
+    ]
+
+
+SIZES = [0, 1, 1023, 1024, 1152, 1536, 1664, 1025, 1048575, 1048576, 1048576 * 1024 - 1, 5 * 2**30, 2**40, 2**50, 3 * 2**50 + 7, 123456789, 2049, 7_168_123]
+
+
+def expected_size(n):
+    value = float(n)
+    for unit in ("B", "KB", "MB", "GB"):
+        if value < 1024:
+            return f"{value:.2f} {unit}"
+        value /= 1024
+    return f"{value:.2f} TB"
+
+
+def test_size_labels(spark):
+    more = [(i * 37) ** 2 + i for i in range(3000)]
+    rows = spark.createDataFrame([(s,) for s in SIZES + more], "s bigint").select("s", labels.human_size(F.col("s")))
+    wrong = [(r[0], r[1], expected_size(r[0])) for r in rows.collect() if r[1] != expected_size(r[0])]
+    assert not wrong
+
+
+def test_stats_label_leaves_absent_parts_out(spark):
+    df = spark.createDataFrame([(5, 2, None, ""), (5, None, "2024-01-01", "2024-06-01")], "s bigint, n bigint, c string, m string")
+    got = [r[0] for r in df.select(labels.stats_label(F.col("s"), [("m-1", F.col("n"))], F.col("c"), F.col("m"))).collect()]
+    assert got == [" (5.00 B; m-1:2)", " (5.00 B; created: 2024-01-01; modified: 2024-06-01)"]
+
+
+def test_decode(spark):
+    cases = {
+        b"a\r\nb\rc\n": "a\nb\nc\n",
+        b"": "",
+        b"\xef\xbb\xbfx": "﻿x",
+        b"caf\xe9": None,
+        b"\xed\xa0\x80": None,
+        b"\xf0\x9f\x98\x80": "😀",
+        b"a\r\r\nb": "a\n\nb",
+    }
+    rows = spark.createDataFrame([(bytes(c),) for c in cases], "c binary").select("c", text.decode_text(F.col("c")))
+    assert {bytes(r[0]): r[1] for r in rows.collect()} == cases
+
+
+def cell(kind, source, **more):
+    return {"cell_type": kind, "source": source, **more}
+
+
+BOOKS = {
+    "string": ({"nbformat": 4, "cells": [cell("code", "x = 1"), cell("markdown", "# T")]}, "# Code cell\nx = 1\n\n# Markdown cell\n# T\n\n"),
+    "lines": ({"nbformat": 4, "cells": [cell("code", ["a\n", "b"])]}, "# Code cell\na\nb\n\n"),
+    "looks like a list": ({"nbformat": 4, "cells": [cell("code", '["a", "b"]')]}, '# Code cell\n["a", "b"]\n\n'),
+    "raw and empty": ({"nbformat": 4, "cells": [cell("raw", "r"), cell("code", ""), cell("code", [])]}, ""),
+    "no cells": ({"nbformat": 4}, None),
+    "no source": ({"nbformat": 4, "cells": [cell("code", "x"), {"cell_type": "code"}]}, None),
+    "null source": ({"nbformat": 4, "cells": [cell("code", "x"), cell("code", None)]}, "# Code cell\nx\n\n"),
+    "no version": ({"cells": [cell("code", "x")]}, None),
+    "version 3": (
+        {"nbformat": 3, "worksheets": [{"cells": [
+            {"cell_type": "code", "input": ["p = 1\n", "q"]}, cell("heading", ["Two\n", "lines"], level=2), cell("markdown", "m"), cell("raw", "r"),
+        ]}]},
+        "# Code cell\np = 1\nq\n\n# Markdown cell\n## Two lines\n\n# Markdown cell\nm\n\n",
+    ),
+}
+
+
+def test_notebooks(spark):
+    data = [(k, json.dumps(v[0]).encode()) for k, v in BOOKS.items()] + [("broken", b"{"), ("latin", b"\xe9")]
+    rows = spark.createDataFrame(data, "k string, c binary").select("k", text.notebook_text(F.col("c")))
+    want = {k: v[1] for k, v in BOOKS.items()} | {"broken": None, "latin": None}
+    assert {r[0]: r[1] for r in rows.collect()} == want
+
+
+@pytest.mark.parametrize("value, shown", [(0, "0.00 B"), (1536, "1.50 KB")])
+def test_size_label_examples(spark, value, shown):
+    assert spark.range(1).select(labels.human_size(F.lit(value))).first()[0] == shown

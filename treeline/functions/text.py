@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ _NOTEBOOK = """
 """
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _joined(value: Column) -> Column:
     """A cell's source: a string, or a list of strings to be joined; NULL when the key is missing."""
     listed = F.startswith(F.schema_of_variant(value), F.lit("ARRAY"))
@@ -67,9 +74,14 @@ def notebook_text(content: Column) -> Column:
     A code or Markdown cell without a source makes the whole notebook unreadable, so ``concat`` over the
     cells may well be NULL.
     """
-    book = F.from_json(decode_text(content), _NOTEBOOK)
-    sheets = F.flatten(F.transform(book["worksheets"], lambda w: w["cells"]))
-    cells = F.when(book["nbformat"] >= 4, F.transform(book["cells"], _current_cell)).when(
-        book["nbformat"].isin(2, 3), F.transform(sheets, _older_cell)
-    )
-    return F.when(~F.exists(cells, lambda c: c.isNull()), F.array_join(cells, ""))
+
+    def cells(book: Column) -> Column:
+        sheets = F.flatten(F.transform(book["worksheets"], lambda w: w["cells"]))
+        return F.when(book["nbformat"] >= 4, F.transform(book["cells"], _current_cell)).when(
+            book["nbformat"].isin(2, 3), F.transform(sheets, _older_cell)
+        )
+
+    def joined(texts: Column) -> Column:
+        return F.when(~F.exists(texts, lambda c: c.isNull()), F.array_join(texts, ""))
+
+    return _let(_let(F.from_json(decode_text(content), _NOTEBOOK), cells), joined)

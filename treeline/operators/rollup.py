@@ -53,7 +53,10 @@ def directories(files: DataFrame, sums: Sequence[str] = ("size",)) -> DataFrame:
 
 
 def nodes(files: DataFrame, sums: Sequence[str] = ("size",), folders: DataFrame | None = None) -> DataFrame:
-    """Files and directories as one table: ``repo_id, path, parent, name, depth, is_dir, extension, ...``."""
+    """Files and directories as one table: ``repo_id, path, parent, name, depth, is_dir, extension, ...``.
+
+    The root of a repository is the path ``''``; its parent is NULL.
+    """
     folders = directories(files, sums) if folders is None else folders
     names = _measures(files, sums)[1]
     measures = [F.col(f"`{c}`") for c in names]
@@ -64,7 +67,7 @@ def nodes(files: DataFrame, sums: Sequence[str] = ("size",), folders: DataFrame
     return both.select(
         "repo_id",
         "path",
-        paths.parent(path).alias("parent"),
+        F.when(path != "", paths.parent(path)).alias("parent"),
         paths.base_name(path).alias("name"),
         paths.node_depth(path).alias("depth"),
         "is_dir",

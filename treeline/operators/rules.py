@@ -160,18 +160,18 @@ def compile_rules(lines: Iterable[str]) -> list[Rule]:
     return [rule for line in lines if (rule := compile_rule(line)) is not None]
 
 
-def holds(path: Column, kind: str, key: str) -> Column:
-    """The test of a rule known when the plan is built; constant keys stay inside generated code."""
+def _tests(path: Column, rules: Sequence[Rule]) -> list[Column]:
+    """Tests of rules known when the plan is built; constant keys stay inside generated code."""
     slash = F.lit("/")
-    if kind == "component":
-        return F.contains(F.concat(slash, path, slash), F.lit(key))
-    if kind == "inside":
-        return F.contains(F.concat(slash, path), F.lit(key))
-    if kind == "anchored":
-        return F.startswith(F.concat(path, slash), F.lit(key))
-    if kind == "under":
-        return F.startswith(path, F.lit(key))
-    return path.rlike(key)
+    within, before, after = F.concat(slash, path, slash), F.concat(slash, path), F.concat(path, slash)
+    kinds = {
+        "component": lambda key: F.contains(within, F.lit(key)),
+        "inside": lambda key: F.contains(before, F.lit(key)),
+        "anchored": lambda key: F.startswith(after, F.lit(key)),
+        "under": lambda key: F.startswith(path, F.lit(key)),
+        "regex": path.rlike,
+    }
+    return [kinds[rule.kind](rule.key) for rule in rules]
 
 
 def _holds_row(path: Column, rule: Column) -> Column:
@@ -199,14 +199,13 @@ def matches_of_list(path: Column, rules: Sequence[Rule], origin: str) -> Column:
     if not rules:
         return F.array().cast(f"array<{MATCH_TYPE}>")
 
-    def match(rule: Rule) -> Column:
-        return F.struct(F.lit(origin).alias("origin"), F.lit(rule.pattern).alias("pattern"), F.lit(rule.include).alias("include"))
-
     if len(rules) > INLINE_RULES:
         listed = F.from_json(F.lit(json.dumps([rule._asdict() for rule in rules])), RULES_TYPE)
         return matches_of_array(path, listed, origin)
-    tests = [F.when(holds(path, rule.kind, rule.key), match(rule)) for rule in rules]
-    return F.filter(F.array(*tests), lambda m: m.isNotNull())
+    constant = json.dumps([{"origin": origin, "pattern": rule.pattern, "include": rule.include} for rule in rules])
+    listed = F.from_json(F.lit(constant), f"array<{MATCH_TYPE}>")
+    places = F.array(*[F.when(test, F.lit(i)) for i, test in enumerate(_tests(path, rules), 1)])
+    return F.transform(F.array_compact(places), lambda i: F.element_at(listed, i))
 
 
 # --- rules found in the corpus ---------------------------------------------------------------------

@@ -11,6 +11,7 @@ from treeline.functions.labels import stats_label
 from treeline.functions.paths import node_depth, prefixes
 from treeline.operators import skew
 from treeline.operators.tokens import TokenModel
+from treeline.session import cut
 
 NO_DATE = "0000-00-00"
 
@@ -45,10 +46,9 @@ def rank_siblings(
     models: Sequence[TokenModel] = (),
     rows_per_key: int = skew.ROWS_PER_KEY,
 ) -> skew.Ranked:
-    """All nodes but the roots with ``rn`` and ``siblings``."""
+    """All nodes with ``rn`` and ``siblings``; a root is its own only sibling."""
     order = sibling_order(sort_by, models, "created" in nodes.columns)
-    below = nodes.where(F.col("path") != "")
-    return skew.rank_within(below, ["repo_id", "parent"], order, "rn", "siblings", rows_per_key)
+    return skew.rank_within(nodes, ["repo_id", "parent"], order, "rn", "siblings", rows_per_key)
 
 
 def _places(folders: DataFrame, crowded: DataFrame, rows_per_key: int) -> DataFrame:
@@ -87,11 +87,12 @@ def tree_lines(
     shorter one comes first, so a directory precedes what is below it. The root's place is empty.
     """
     ranked = rank_siblings(nodes, sort_by, models, rows_per_key)
-    rows = ranked.rows
-    crowded = nodes.where(F.col("is_dir") & (F.col("n_files") > rows_per_key)).select(
+    # Ranked once, then used as files, as directories and as directories above directories.
+    rows = cut(ranked.rows.drop("depth", "extension"))
+    crowded = rows.where(F.col("is_dir") & (F.col("n_files") > rows_per_key)).select(
         "repo_id", "path", F.ceil(F.col("n_files") / F.lit(rows_per_key)).cast("int").alias("_pieces")
     )
-    places = _places(rows.where("is_dir"), crowded, rows_per_key)
+    places = _places(rows.where(F.col("is_dir") & (F.col("path") != "")), crowded, rows_per_key)
     drawn = rows.where(F.col("parent") != "")
     if ranked.split:
         drawn = skew.salted_join(drawn, places, ["repo_id", "parent"], "inner", F.col("name"), rows_per_key=rows_per_key)
@@ -112,7 +113,7 @@ def tree_lines(
         F.concat("place", F.array("rn")).alias("place"),
         F.concat("indent", branch, name, label).alias("line"),
     )
-    root = nodes.where(F.col("path") == "").select(
+    root = rows.where(F.col("path") == "").select(
         "repo_id", "path", F.array().cast("array<bigint>").alias("place"), F.concat(F.lit("."), label).alias("line")
     )
     return root.unionByName(lines)
