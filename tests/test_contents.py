@@ -1,0 +1,125 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from treeline.operators import contents, tokens
+from treeline.operators.contents import MAX_BYTES, Reader
+
+
+def texts(files, **options):
+    return {r.path: r.text for r in contents.with_text(files, **options).collect()}
+
+
+BOOK = json.dumps({"nbformat": 4, "cells": [{"cell_type": "code", "source": ["a\n", "b"]}]})
+
+
+def test_readers(corpus):
+    files = corpus(
+        {
+            "a.txt": "x\r\ny",
+            "empty": "",
+            "latin": b"caf\xe9",
+            "n.ipynb": BOOK,
+            "N.IPYNB": BOOK,
+            "broken.ipynb": "{",
+            "raw.ipynb": '{"nbformat": 4, "cells": [{"cell_type": "raw", "source": "r"}]}',
+            "i.png": "12345",
+            "gone": None,
+            "nul.ipynb": b"\x00" + BOOK.encode(),
+        }
+    )
+    assert texts(files) == {
+        "a.txt": "x\ny",
+        "empty": "",
+        "latin": "",
+        "n.ipynb": "# Code cell\na\nb\n\n",
+        "N.IPYNB": BOOK,
+        "broken.ipynb": "{",
+        "raw.ipynb": '{"nbformat": 4, "cells": [{"cell_type": "raw", "source": "r"}]}',
+        "i.png": "binary content (5 bytes)",
+        "gone": "binary content (0 bytes)",
+        "nul.ipynb": f"binary content ({len(BOOK) + 1} bytes)",
+    }
+
+
+def test_size_cap(corpus):
+    files = corpus({"at": b"a" * MAX_BYTES, "above": b"a" * (MAX_BYTES + 1), "above.png": b"a" * (MAX_BYTES + 1)})
+    got = {r.path: r.n for r in contents.with_text(files).select("path", F.length("text").alias("n")).collect()}
+    assert got == {"at": MAX_BYTES, "above": 0, "above.png": 0}
+    assert texts(corpus({"a": "123", "b": "1234"}), max_bytes=3) == {"a": "123", "b": ""}
+
+
+def test_own_reader_goes_first_and_may_pass(corpus):
+    upper = Reader(lambda: F.endswith("path", F.lit(".up")), lambda: F.when(F.col("size") > 1, F.upper(F.col("content").cast("string"))))
+    got = texts(corpus({"a.up": "abc", "b.up": "x", "c": "abc"}), readers=(upper, *contents.READERS))
+    assert got == {"a.up": "ABC", "b.up": "x", "c": "abc"}
+
+
+def test_measure_is_narrow_and_complete(corpus):
+    models = tokens.token_models(["chars-4"])
+    rows = {r.path: r for r in contents.measure(corpus({".gitignore": "x\r\n", "a": "12345", "e": ""}), models).collect()}
+    assert "content" not in rows["a"].asDict()
+    assert rows[".gitignore"].ignore_text == "x\n" and rows["a"].ignore_text is None
+    assert [rows[p]["tokens:chars-4"] for p in ("a", "e")] == [2, None]
+    assert [rows[p].has_text for p in ("a", "e")] == [True, False]
+
+
+def test_processor_sees_every_file_with_text(corpus):
+    read = contents.with_text(corpus({"a": "xy", "b": "", "i.png": "1"}))
+    done = contents.process_contents(read, lambda path, text, meta: {"path": path, "n": len(text) + meta["size"]}, "path string, n bigint")
+    assert {r.path: r.n for r in done.collect()} == {"a": 4, "i.png": 25}
+
+
+# --- tokens ------------------------------------------------------------------------------------------
+
+
+def test_ratio_counts(corpus):
+    models = tokens.token_models(["chars-1", "chars-4", "chars-3.5", "chars-chars-2", "chars-inf"])
+    read = contents.with_text(corpus({"a": "12345678", "smile": "😀é", "empty": ""}))
+    got = {(r.path, r.model): r.n for r in tokens.token_counts(read, models).collect()}
+    assert got == {
+        ("a", "chars-1"): 8, ("a", "chars-4"): 2, ("a", "chars-3.5"): 3, ("a", "chars-chars-2"): 4, ("a", "chars-inf"): 0,
+        ("smile", "chars-1"): 2, ("smile", "chars-4"): 1, ("smile", "chars-3.5"): 1, ("smile", "chars-chars-2"): 1, ("smile", "chars-inf"): 0,
+    }
+
+
+@pytest.mark.parametrize("name", ["chars-0", "chars--1", "chars-x", "chars-nan", "foo-1", "gpt-4o", "gemini-1.5-pro-001", "claude-3"])
+def test_models_are_checked_up_front(name):
+    with pytest.raises(ValueError):
+        tokens.token_models(["chars-4", name])
+
+
+def test_totals_add_up_per_file_counts(project):
+    models = tokens.token_models(["chars-4", "chars-1"])
+    wide = contents.measure(project, models)
+    assert {r.model: r.n for r in tokens.totals(wide, models).collect()} == {"chars-4": 21, "chars-1": 77}
+    maps = {r.path: r.t for r in wide.select("path", tokens.token_map(models).alias("t")).collect()}
+    assert maps["README.md"] == {"chars-4": 3, "chars-1": 11}
+
+
+def test_vocabulary_models(spark, corpus):
+    public = pytest.importorskip("public_tokenizers")
+    tiktoken, sentencepiece = pytest.importorskip("tiktoken"), pytest.importorskip("sentencepiece")
+    import base64
+
+    bpe = tokens.byte_pair_model(spark, "gpt-2", public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    piece = tokens.piece_model(spark, "gemini-1.0-pro-001", public.path("piece_bpe_32k.model"))
+    models = tokens.token_models(["gpt-2", "chars-2", "gemini-1.0-pro-001"], [bpe, piece])
+    files = {"a": "Hello, world! Ünïcode 123\n" * 50, "b": "x", "e": ""}
+    got = {(r.path, r.model): r.n for r in tokens.token_counts(contents.with_text(corpus(files)), models).collect()}
+    pairs = (line.split() for line in open(public.path("byte_bpe_50k.tiktoken"), "rb"))
+    own = tiktoken.Encoding("x", pat_str=public.PATTERN, mergeable_ranks={base64.b64decode(t): int(r) for t, r in pairs}, special_tokens={})
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public.path("piece_bpe_32k.model"))
+    for path in ("a", "b"):
+        assert got[path, "gpt-2"] == len(own.encode(files[path]))
+        assert got[path, "gemini-1.0-pro-001"] == len(pieces.encode(files[path]))
+    assert not any(path == "e" for path, _ in got)
+
+
+def test_vocabulary_size_is_checked(spark, tmp_path, monkeypatch):
+    file = tmp_path / "v.tiktoken"
+    file.write_bytes(b"IQ== 0\n" * 10)
+    monkeypatch.setattr(tokens, "MAX_VOCABULARY_BYTES", 10)
+    with pytest.raises(ValueError):
+        tokens.byte_pair_model(spark, "gpt-x", str(file), ".")
