@@ -69,8 +69,8 @@ def tree_by_name(spark, folder):
 
 @query
 def tree_by_size_with_stats(spark, folder):
-    kept = verdicts.disposition(_judged(spark, folder))
-    lines = tree.tree_lines(rollup.nodes(kept), "size", show_stats=True)
+    select = project.Selection(USER_RULES, read_ignore_files=False)
+    lines = project.show_tree(corpora.documents(spark, folder), select, "size")
     return lines.select("repo_id", "path", _place(), "line")
 
 
@@ -152,7 +152,7 @@ def rule_verdicts(spark, folder):
 @query
 def ignore_file_verdicts(spark, folder):
     files = corpora.documents_with_ignore_files(spark, folder)
-    judged = verdicts.judge(files, verdicts.RuleSet.of(files, ["*.md", "!doc_2*.md"]))
+    judged = project.judged_files(files, project.Selection(["*.md", "!doc_2*.md"]))
     return judged.select("repo_id", "path", "is_ignored", "reason", F.array_join("credited", "|").alias("credited"))
 
 

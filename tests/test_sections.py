@@ -50,6 +50,7 @@ def test_structure_only(project):
 
 def rendered(spark, look, rows):
     df = spark.createDataFrame([("r", *r) for r in rows], "repo_id string, path string, text string, created string, modified string")
+    df = df.withColumn("has_text", F.col("text") != "")
     return {r.path: (r.idx, r.section) for r in sections.sections(df, look).collect()}
 
 

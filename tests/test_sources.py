@@ -102,6 +102,9 @@ def test_birth_time_gives_created(spark):
     assert tuple(with_dates(files).select("created", "modified").first()) == ("2023-02-01", "2024-02-01")
 
 
+EXPECTED = {"a": ("2020-02-02", "2022-04-04"), "b c": ("2020-02-02", "2020-02-02"), "e": ("2023-05-05", "2023-05-05")}
+
+
 def test_history_of_a_real_repository(spark, tmp_path):
     def git(*args, date="2024-01-01T00:00:00+00:00"):
         env = os.environ | {"GIT_AUTHOR_DATE": date, "GIT_COMMITTER_DATE": date, "HOME": str(tmp_path)}
@@ -113,11 +116,16 @@ def test_history_of_a_real_repository(spark, tmp_path):
             (tmp_path / name).write_text(day)
         git("add", *names)
         git("commit", "-qm", day, date=f"{day}T23:00:00+05:00")
+    git("mv", "d", "e")
+    git("commit", "-qm", "renamed", date="2023-05-05T01:00:00+05:00")
+    # Following renames in reverse order starts at the commit that made the present name.
+    for name in ("a", "b c", "e"):
+        assert git("log", "--follow", "--format=%aI", "--reverse", "--", name)[:10] == EXPECTED[name][0]
     log = git("log", "--reverse", "--name-only", "--format=%x01%aI")
     lines = spark.createDataFrame([("r", 0, log)], "repo_id string, log_ord bigint, log string")
-    files = spark.createDataFrame([("r", p) for p in ("a", "b c", "d")], "repo_id string, path string")
+    files = spark.createDataFrame([("r", p) for p in EXPECTED], "repo_id string, path string")
     got = {r.path: (r.created, r.modified) for r in with_dates(files, parse_log(lines)).collect()}
-    assert got == {"a": ("2020-02-02", "2022-04-04"), "b c": ("2020-02-02", "2020-02-02"), "d": ("2022-04-04", "2022-04-04")}
+    assert got == EXPECTED
 
 
 # --- tables ------------------------------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,17 +22,32 @@ MAX_BYTES = 5 * 1024 * 1024
 class Reader:
     """One way to get text: ``reads`` says for which rows, ``text`` gives it (NULL or ``''`` = not me).
 
-    Both take no argument and refer to the columns ``path, content, size, is_binary``; ``text`` may be a
-    pandas UDF.
+    All parts take no argument and refer to the columns ``path, content, size, is_binary``; ``text`` may
+    be a pandas UDF. ``fills`` tells without building the text whether there is one, where that is cheaper.
     """
 
     reads: Callable[[], Column]
     text: Callable[[], Column]
+    fills: Callable[[], Column] | None = None
 
+    def found(self) -> Column:
+        return F.nullif(self.text(), F.lit(""))
 
-NOTEBOOK = Reader(lambda: F.endswith("path", F.lit(".ipynb")), lambda: notebook_text(F.col("content")))
-BINARY = Reader(lambda: F.col("is_binary"), lambda: binary_placeholder(F.col("size")))
-PLAIN = Reader(lambda: ~F.col("is_binary"), lambda: decode_text(F.col("content")))
+    def has_text(self) -> Column:
+        filled = self.fills() if self.fills else self.found().isNotNull()
+        return self.reads() & F.coalesce(filled, F.lit(False))
+
+
+#: What a notebook shows comes from readable bytes, so one of the other readers has text as well.
+NOTEBOOK = Reader(
+    lambda: F.endswith("path", F.lit(".ipynb")), lambda: notebook_text(F.col("content")), lambda: F.lit(False)
+)
+BINARY = Reader(lambda: F.col("is_binary"), lambda: binary_placeholder(F.col("size")), lambda: F.lit(True))
+PLAIN = Reader(
+    lambda: ~F.col("is_binary"),
+    lambda: decode_text(F.col("content")),
+    lambda: (F.octet_length("content") > 0) & F.is_valid_utf8(F.col("content").cast("string")),
+)
 
 #: The first reader that returns something wins.
 READERS = (NOTEBOOK, BINARY, PLAIN)
@@ -39,15 +55,20 @@ READERS = (NOTEBOOK, BINARY, PLAIN)
 
 def text_column(readers: Sequence[Reader] = READERS, max_bytes: int = MAX_BYTES) -> Column:
     """Text of a file, ``''`` for none. Files above ``max_bytes`` have none, binaries included."""
-    found = [F.when(r.reads(), F.nullif(r.text(), F.lit(""))) for r in readers]
+    found = [F.when(r.reads(), r.found()) for r in readers]
     return F.when(F.col("size") <= max_bytes, F.coalesce(*found, F.lit(""))).otherwise(F.lit(""))
 
 
+def has_text_column(readers: Sequence[Reader] = READERS, max_bytes: int = MAX_BYTES) -> Column:
+    """Whether :func:`text_column` gives anything. Filters on it may run below the text itself."""
+    return (F.col("size") <= max_bytes) & reduce(Column.__or__, [r.has_text() for r in readers])
+
+
 def with_text(files: DataFrame, readers: Sequence[Reader] = READERS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Adds ``text``; needs ``path, content, size`` and adds ``is_binary`` if it is missing."""
+    """Adds ``has_text`` and ``text``; needs ``path, content, size`` and adds ``is_binary`` if missing."""
     if "is_binary" not in files.columns:
         files = files.withColumn("is_binary", binary.is_binary(F.col("path"), F.col("content")))
-    return files.withColumn("text", text_column(readers, max_bytes))
+    return files.withColumns({"has_text": has_text_column(readers, max_bytes), "text": text_column(readers, max_bytes)})
 
 
 def measure(
@@ -65,13 +86,13 @@ def measure(
     """
     path = F.col("path")
     judged = files if "is_binary" in files.columns else files.withColumn("is_binary", detector(path, F.col("content")))
-    read = judged.withColumn("text", text_column(readers, max_bytes))
+    read = with_text(judged, readers, max_bytes)
     keep = [c for c in judged.columns if c != "content"]
     return read.select(
         *keep,
         F.when(paths.base_name(path) == ".gitignore", decode_text(F.col("content"))).alias("ignore_text"),
-        (F.col("text") != "").alias("has_text"),
-        *[F.when(F.col("text") != "", m.count(F.col("text"))).alias(m.column) for m in models],
+        "has_text",
+        *[F.when(F.col("has_text"), m.count(F.col("text"))).alias(m.column) for m in models],
     )
 
 
@@ -83,11 +104,11 @@ def process_contents(
     ``metadata`` holds the other columns. The hook for work that has no expression in Spark; rows come in
     Arrow batches and nothing is kept between them.
     """
-    other = [c for c in contents.columns if c not in ("path", "text", "content")]
+    other = [c for c in contents.columns if c not in ("path", "text", "has_text", "content")]
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = [processor(row["path"], row["text"], {c: row[c] for c in other}) for row in frame.to_dict("records")]
             yield pd.DataFrame(rows)
 
-    return contents.where(F.col("text") != "").select("path", "text", *other).mapInPandas(batches, schema)
+    return contents.where("has_text").select("path", "text", *other).mapInPandas(batches, schema)

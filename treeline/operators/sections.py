@@ -109,21 +109,20 @@ def number_files(files: DataFrame, rows_per_key: int = skew.ROWS_PER_KEY) -> Dat
     return skew.rank_within(files, ["repo_id"], [F.col("path").asc()], "idx", None, rows_per_key).rows
 
 
-def sections(contents: DataFrame, look: Layout, numbers: DataFrame | None = None) -> DataFrame:
+def sections(contents: DataFrame, look: Layout) -> DataFrame:
     """``repo_id, idx, path, section`` for every file with text.
 
-    ``contents`` holds ``repo_id, path, text`` and perhaps dates. ``numbers`` (``repo_id, path, idx``) says
-    which files are written and in which order; without it all files with text are, in path order. Numbers
-    are given to narrow rows before the texts come back in, so texts move once.
+    ``contents`` comes from :func:`treeline.operators.contents.with_text`, perhaps with dates. Without an
+    ``idx`` of its own every file with text is numbered in path order; numbers are given to narrow rows
+    first, so texts are joined once and never ranked.
     """
-    written = contents.where(F.col("text") != "")
-    if numbers is None:
-        numbers = number_files(written.select("repo_id", "path"))
+    written = contents.where("has_text")
+    if "idx" not in written.columns:
+        written = written.join(number_files(written.select("repo_id", "path")), ["repo_id", "path"])
     for date in ("created", "modified"):
-        if date not in contents.columns and date not in numbers.columns:
-            numbers = numbers.withColumn(date, F.lit(None).cast("string"))
-    placed = written.join(numbers, ["repo_id", "path"])
-    return placed.select("repo_id", "idx", "path", look.section().alias("section"))
+        if date not in written.columns:
+            written = written.withColumn(date, F.lit(None).cast("string"))
+    return written.select("repo_id", "idx", "path", look.section().alias("section"))
 
 
 def bundle_rows(lines: DataFrame, parts: DataFrame | None, look: Layout) -> DataFrame:

@@ -119,7 +119,7 @@ def token_models(names: Sequence[str], extra: Sequence[TokenModel] = ()) -> list
 
 def with_counts(contents: DataFrame, models: Sequence[TokenModel]) -> DataFrame:
     """One count column per model; NULL where a file has no text."""
-    return contents.withColumns({m.column: F.when(F.col("text") != "", m.count(F.col("text"))) for m in models})
+    return contents.withColumns({m.column: F.when(F.col("has_text"), m.count(F.col("text"))) for m in models})
 
 
 def unpivot_counts(wide: DataFrame, keys: Sequence[str], models: Sequence[TokenModel]) -> DataFrame:

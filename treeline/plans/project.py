@@ -83,8 +83,9 @@ def summarize(
 ) -> DataFrame:
     """The rows of the bundle documents, to be written with ``sections.write_bundles``.
 
-    Verdict, tree and numbering run on narrow rows. Texts then come in by one join with the files that are
-    kept, and move once more when the documents are put in order.
+    Verdict, tree and numbering run on narrow rows. Contents then come in by one join with the files that
+    are written (no shuffle of theirs if the corpus table is bucketed by repository and path), and the
+    finished sections move once more when the documents are put in order.
     """
     look = sections.layout(form, delimiter, replacement)
     models = select.token_models()
@@ -95,8 +96,9 @@ def summarize(
         return sections.bundle_rows(lines, None, look)
     narrow = [c for c in (*KEYS, "created", "modified") if c in kept.columns]
     numbers = sections.number_files(kept.where("has_text").select(*narrow), rows_per_key)
-    texts = contents.with_text(files, max_bytes=select.max_bytes).select(*KEYS, "text")
-    return sections.bundle_rows(lines, sections.sections(texts, look, numbers), look)
+    shown = files.drop("created", "modified").join(numbers, KEYS)
+    parts = sections.sections(contents.with_text(shown, max_bytes=select.max_bytes), look)
+    return sections.bundle_rows(lines, parts, look)
 
 
 def token_totals(files: DataFrame, select: Selection, by: Sequence[str] = ()) -> DataFrame:

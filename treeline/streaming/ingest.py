@@ -33,7 +33,7 @@ def stream_contents(
         raise ValueError("ignore files need each_batch()")
     judged = verdicts.judge(verdicts.within_level(stream, level), rules, include_binary)
     texts = contents.with_text(verdicts.disposition(judged, keep))
-    return with_counts(texts.where(texts.text != ""), models)
+    return with_counts(texts.where("has_text"), models)
 
 
 def each_batch(stream: DataFrame, job: Callable[[DataFrame], DataFrame], folder: str) -> DataStreamWriter:
