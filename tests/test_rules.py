@@ -123,7 +123,7 @@ def test_ignore_files(corpus):
             "x.gitignore": "x\n",
         }
     )
-    got = {r.base: (r.scope, [(x.pattern, x.include) for x in r.rules]) for r in rules.ignore_file_rules(files).collect()}
+    got = {r.base: (r.scope, [(x.pattern, x.include) for x in r.rules]) for r in rules.ignore_file_rules(files).collect() if r.rules}
     assert got == {
         "": ("", [("*.log", True), ("!keep.log", False)]),
         "sub": ("sub", [("sub/x", True), ("sub//y", True), ("!sub/z/", False)]),

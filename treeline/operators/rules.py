@@ -249,5 +249,4 @@ def ignore_file_rules(files: DataFrame) -> DataFrame:
         files.where((path == ".gitignore") | F.endswith(path, F.lit("/.gitignore")))
         .select("repo_id", base.alias("base"), text.alias("text"))
         .select("repo_id", scope.alias("scope"), "base", _parse_ignore_files("base", "text").alias("rules"))
-        .where(F.size("rules") > 0)
     )

@@ -135,13 +135,16 @@ def bundle_rows(lines: DataFrame, parts: DataFrame | None, look: Layout) -> Data
     def at(*place: Column | int) -> Column:
         return F.array(*[F.lit(p) if isinstance(p, int) else p for p in place]).cast("array<bigint>")
 
-    drawn = F.concat(look.tree_line(F.col("line")), F.lit("\n"))
-    is_root = F.col("path") == ""
-    rows = lines.select("repo_id", F.concat(at(1), "place").alias("place"), drawn.alias("chunk"))
-    fixed = [F.struct(at(0).alias("place"), F.lit(look.head).alias("chunk")), F.struct(at(2).alias("place"), F.lit(look.after_tree).alias("chunk"))]
+    def piece(place: Column, chunk: Column | str) -> Column:
+        return F.struct(place.alias("place"), (F.lit(chunk) if isinstance(chunk, str) else chunk).alias("chunk"))
+
+    line = piece(F.concat(at(1), "place"), F.concat(look.tree_line(F.col("line")), F.lit("\n")))
+    fixed = [piece(at(0), look.head), piece(at(2), look.after_tree)]
     if look.foot:
-        fixed.append(F.struct(at(4).alias("place"), F.lit(look.foot).alias("chunk")))
-    rows = rows.unionByName(lines.where(is_root).select("repo_id", F.inline(F.array(*fixed))))
+        fixed.append(piece(at(4), look.foot))
+    # The root's line brings the fixed pieces of its document along.
+    pieces = F.when(F.col("path") == "", F.array(line, *fixed)).otherwise(F.array(line))
+    rows = lines.select("repo_id", F.inline(pieces))
     if parts is not None:
         rows = rows.unionByName(parts.select("repo_id", at(3, F.col("idx")).alias("place"), F.col("section").alias("chunk")))
     return rows

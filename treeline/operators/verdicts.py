@@ -64,19 +64,16 @@ def _ignore_file_matches(narrow: DataFrame, ignore_files: DataFrame, rows_per_ke
     """
     above = narrow.select("repo_id", "path", F.explode(paths.directories_of(paths.parent(F.col("path")))).alias("scope"))
     met = skew.salted_join(above, ignore_files, ["repo_id", "scope"], "inner", F.col("path"), rows_per_key=rows_per_key)
-    matched = met.select(
+    hits = met.select(
         "repo_id",
         "path",
-        F.struct(
-            paths.node_depth(F.col("base")).alias("depth"),
-            F.col("base"),
-            matches_of_array(F.col("path"), F.col("rules"), "gitignore").alias("matches"),
-        ).alias("hit"),
-    ).where(F.size("hit.matches") > 0)
-    # At most one hit per directory above the file.
-    return matched.groupBy("repo_id", "path").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list("hit")), lambda h: h["matches"])).alias("_found")
+        paths.node_depth(F.col("base")).alias("depth"),
+        "base",
+        F.posexplode(matches_of_array(F.col("path"), F.col("rules"), "gitignore")).alias("nth", "match"),
     )
+    # As many hits as rules that match this one file.
+    ordered = F.array_sort(F.collect_list(F.struct("depth", "base", "nth", "match")))
+    return hits.groupBy("repo_id", "path").agg(F.transform(ordered, lambda h: h["match"]).alias("_found"))
 
 
 def judge(

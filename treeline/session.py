@@ -52,14 +52,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return own
 
 
+_cuts: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the checkpoint folder and reads it back.
 
     What is built on the result starts from a written table: several consumers do not repeat the work
     before it, a lost executor costs no recomputation, columns are still pruned and the optimiser knows the
-    size. Tables stay in the folder until its owner clears it.
+    size. :func:`drop_cuts` removes the tables once their results are written.
     """
     spark = df.sparkSession
     place = f"{checkpoint_dir(spark).rstrip('/')}/treeline-{uuid.uuid4().hex}"
     df.write.parquet(place)
+    _cuts.append(place)
     return spark.read.schema(df.schema).parquet(place)
+
+
+def drop_cuts(spark: SparkSession) -> int:
+    """Deletes the tables that :func:`cut` wrote in this process; their DataFrames are void afterwards."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    dropped = 0
+    while _cuts:
+        place = jvm.org.apache.hadoop.fs.Path(_cuts.pop())
+        dropped += bool(place.getFileSystem(conf).delete(place, True))
+    return dropped
