@@ -284,6 +284,24 @@ ORACLE = {
         SELECT repo_id, path, count(*) AS n_files, sum(size)::BIGINT AS size FROM dirs GROUP BY ALL""",
 }
 
+ORACLE["processed_texts"] = f"""WITH {DOC} SELECT repo_id, path,
+    len(string_split(CASE WHEN is_binary THEN 'binary content (' || size || ' bytes)' ELSE replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) END, ' ')) AS words
+    FROM doc WHERE is_binary OR text <> ''"""
+
+ORACLE["arriving_texts"] = f"""WITH {JUDGED}, {COUNTS}
+    SELECT c.repo_id, c.path, model, n FROM counts c JOIN judged j USING (repo_id, path) WHERE NOT is_ignored"""
+
+# Whole documents in SQL; the written files are compared by their lines.
+ORACLE["written_bundles"] = """WITH c AS (
+      SELECT conv_id::VARCHAR AS repo_id, 'turn_' || lpad(turn::VARCHAR, 4, '0') || '_' || role || '.md' AS name,
+             replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM conversations),
+    docs AS (
+      SELECT repo_id, '# Project Structure' || chr(10) || chr(10) || '```' || chr(10) || '.' || chr(10) ||
+             string_agg(CASE WHEN last THEN '└── ' ELSE '├── ' END || name || chr(10), '' ORDER BY lower(name), name) || '```' || chr(10) || chr(10) ||
+             coalesce(string_agg('## ' || name || chr(10) || chr(10) || '```md' || chr(10) || text || chr(10) || '```' || chr(10) || chr(10), '' ORDER BY name) FILTER (text <> ''), '') AS doc
+      FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY lower(name) DESC, name DESC) = 1 AS last FROM c) GROUP BY repo_id)
+    SELECT repo_id, (length(doc) - length(replace(doc, chr(10), '')))::BIGINT AS lines, length(replace(doc, chr(10), ''))::BIGINT AS chars FROM docs"""
+
 # Rules of the ignore files, each in its folder, and the user's; the order is the one they apply in.
 _NESTED = """
 langs AS (SELECT DISTINCT repo_id, lang FROM doc),

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from importlib.util import find_spec
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from catalogue import corpora
 from treeline.functions.labels import human_size, stats_label
 from treeline.functions.paths import fence_language, node_extension, split_extension, suffix
 from treeline.operators import binary, contents, dates, refresh, report, rollup, sections, tokens, tree, verdicts
 from treeline.plans import project
-from treeline.session import cut
+from treeline.session import checkpoint_dir, cut
 from treeline.sources import tables
+from treeline.streaming import ingest
+from treeline.streaming.running import running_directories
 
 MODELS = tokens.token_models(["chars-1", "chars-4", "chars-3.5"])
 USER_RULES = ["b3/", "en/b1", "*.json", "!doc_*8.json", "/fr/b2/*", "doc_14.py", "*.log"]
@@ -322,28 +327,73 @@ def listing_with_stats(spark, folder):
     return lines.select("repo_id", "path", _place(), "line")
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own next to the intermediate tables."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 @query
-def running_totals(spark, folder):
-    """Directory totals of files that arrive as a stream, after the last arrival."""
-    return _drain(spark, folder)
+def written_bundles(spark, folder):
+    """The Markdown documents of all conversations, written to files and read back."""
+    place = _scratch(spark, "bundles")
+    files = corpora.conversations(spark, folder)
+    sections.write_bundles(project.summarize(files, project.Selection(read_ignore_files=False), "markdown"), place)
+    lines = spark.read.schema("value string, repo_id string").text(place)
+    return lines.groupBy("repo_id").agg(F.count("*").alias("lines"), F.sum(F.length("value")).alias("chars"))
+
 
+@query
+def processed_texts(spark, folder):
+    """A Python function called with every text."""
+    texts = contents.with_text(corpora.documents(spark, folder)).select("repo_id", "path", "size", "has_text", "text")
 
-def _drain(spark: SparkSession, folder: str) -> DataFrame:
-    import uuid
+    def words(path: str, text: str, metadata: dict) -> dict:
+        return {"repo_id": metadata["repo_id"], "path": path, "words": len(text.split(" "))}
 
-    from treeline.session import checkpoint_dir
-    from treeline.streaming.running import running_directories
+    return contents.process_contents(texts, words, "repo_id string, path string, words bigint")
 
+
+def _arriving(spark: SparkSession, folder: str) -> DataFrame:
     schema = corpora.table(spark, folder, "documents").schema
-    arriving = spark.readStream.schema(schema).parquet(f"{folder}/documents*.parquet")
-    place = f"{checkpoint_dir(spark).rstrip('/')}/running-{uuid.uuid4().hex}"
-    path = corpora._doc_path()
-    files = tables.files_table(arriving, F.col("source"), path, F.col("text")).drop("content")
+    raw = spark.readStream.schema(schema).parquet(f"{folder}/documents*.parquet")
+    return tables.files_table(raw, F.col("source"), corpora._doc_path(), F.col("text"))
+
+
+def _drain(writer: DataStreamWriter, state: str) -> None:
+    writer.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
+@query
+def arriving_texts(spark, folder):
+    """Kept files of a stream with their token counts, appended as they arrive."""
+    place = _scratch(spark, "arrived")
+    stream = ingest.stream_contents(_arriving(spark, folder), verdicts.RuleSet(USER_RULES), MODELS)
+    counts = tokens.unpivot_counts(stream, ["repo_id", "path"], MODELS)
+    _drain(counts.writeStream.format("parquet").option("path", f"{place}/counts"), f"{place}/state")
+    return spark.read.schema(counts.schema).parquet(f"{place}/counts")
+
+
+@query
+def running_totals(spark, folder):
+    """Directory totals of files that arrive as a stream, after the last arrival."""
+    place = _scratch(spark, "running")
+    running = running_directories(_arriving(spark, folder).drop("content"))
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/totals")
 
-    running = running_directories(files)
-    writer = running.writeStream.outputMode("complete").foreachBatch(save)
-    writer.option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    _drain(running.writeStream.outputMode("complete").foreachBatch(save), f"{place}/state")
     return spark.read.schema(running.schema).parquet(f"{place}/totals")
+
+
+if find_spec("public_tokenizers") and find_spec("tiktoken"):
+
+    @query
+    def vocabulary_counts(spark, folder):
+        """Tokens of a byte-pair vocabulary for the kept documents; there is no SQL for it."""
+        import public_tokenizers
+
+        model = tokens.byte_pair_model(spark, "gpt-2", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+        select = project.Selection(USER_RULES, models=["gpt-2"], vocabulary_models=[model], read_ignore_files=False)
+        kept = project.kept_files(corpora.documents(spark, folder), select)
+        return tokens.unpivot_counts(kept, ["repo_id", "path"], [model])
