@@ -52,6 +52,12 @@ def directories(files: DataFrame, sums: Sequence[str] = ("size",)) -> DataFrame:
     return roll_up(own_totals(files, sums), sums)
 
 
+def crowded_directories(folders: DataFrame, rows_per_key: int) -> DataFrame:
+    """Directories above more files than one task should hold, as keys for a salted join."""
+    pieces = F.ceil(F.col("n_files") / F.lit(rows_per_key)).cast("int").alias("_pieces")
+    return folders.where(F.col("n_files") > rows_per_key).select("repo_id", "path", pieces)
+
+
 def nodes(files: DataFrame, sums: Sequence[str] = ("size",), folders: DataFrame | None = None) -> DataFrame:
     """Files and directories as one table: ``repo_id, path, parent, name, depth, is_dir, extension, ...``.
 

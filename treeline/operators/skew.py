@@ -75,26 +75,27 @@ def rank_within(
 ) -> Ranked:
     """``row_number`` per group, and the group's size as ``total``.
 
-    The group sizes are looked at first (one narrow, map-side combined count). As long as every group fits
-    a task this is the ordinary window. Otherwise the crowded groups are range partitioned on group *and*
-    order, so that a group runs over several sorted partitions, and ranks are position in the partition
-    plus the rows of the group in earlier partitions.
+    The group sizes are looked at first: one narrow, map-side combined count that gives the driver the
+    crowded keys, at most ``rows / rows_per_key`` of them. As long as there are none this is the ordinary
+    window. Otherwise the crowded groups are range partitioned on group *and* order, so that a group runs
+    over several sorted partitions, and ranks are position in the partition plus the rows of the group in
+    earlier partitions.
     """
     window = W.partitionBy(*group)
-    crowded = crowded_keys(df, group, rows_per_key)
-    biggest = crowded.agg(F.sum("_pieces").alias("n")).first()["n"]
+    counted = crowded_keys(df, group, rows_per_key)
+    crowded = counted.collect()
 
     def plain(part: DataFrame) -> DataFrame:
         out = part.withColumn(rank, F.row_number().over(window.orderBy(*order)).cast("bigint"))
         return out.withColumn(total, F.count(F.lit(1)).over(window)) if total else out
 
-    if biggest is None:
+    if not crowded:
         return Ranked(plain(df), False)
 
-    keys = F.broadcast(crowded.select(*group))
+    keys = F.broadcast(df.sparkSession.createDataFrame(crowded, counted.schema).select(*group))
     columns = df.columns
     usual = plain(df.join(keys, list(group), "left_anti"))
-    partitions = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * int(biggest))
+    partitions = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * sum(r["_pieces"] for r in crowded))
     # The positions are only meaningful for one fixed layout of the partitions, so they are written down.
     laid_out = cut(
         df.join(keys, list(group), "left_semi")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from treeline.functions.labels import stats_label
 from treeline.functions.paths import node_depth, prefixes
-from treeline.operators import skew
+from treeline.operators import rollup, skew
 from treeline.operators.tokens import TokenModel
 from treeline.session import cut
 
@@ -89,9 +89,7 @@ def tree_lines(
     ranked = rank_siblings(nodes, sort_by, models, rows_per_key)
     # Ranked once, then used as files, as directories and as directories above directories.
     rows = cut(ranked.rows.drop("depth", "extension"))
-    crowded = rows.where(F.col("is_dir") & (F.col("n_files") > rows_per_key)).select(
-        "repo_id", "path", F.ceil(F.col("n_files") / F.lit(rows_per_key)).cast("int").alias("_pieces")
-    )
+    crowded = rollup.crowded_directories(rows.where("is_dir"), rows_per_key)
     places = _places(rows.where(F.col("is_dir") & (F.col("path") != "")), crowded, rows_per_key)
     drawn = rows.where(F.col("parent") != "")
     if ranked.split:

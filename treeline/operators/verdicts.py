@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeline.functions import paths
-from treeline.operators import binary, skew
+from treeline.operators import binary, rollup, skew
 from treeline.operators.rules import (
     DEFAULT_RULES,
     MATCH_TYPE,
@@ -63,7 +63,8 @@ def _ignore_file_matches(narrow: DataFrame, ignore_files: DataFrame, rows_per_ke
     A directory above a large share of all files (the root of one huge repository) is salted.
     """
     above = narrow.select("repo_id", "path", F.explode(paths.directories_of(paths.parent(F.col("path")))).alias("scope"))
-    met = skew.salted_join(above, ignore_files, ["repo_id", "scope"], "inner", F.col("path"), rows_per_key=rows_per_key)
+    crowded = rollup.crowded_directories(rollup.directories(narrow, ()), rows_per_key).withColumnRenamed("path", "scope")
+    met = skew.salted_join(above, ignore_files, ["repo_id", "scope"], "inner", F.col("path"), crowded)
     hits = met.select(
         "repo_id",
         "path",
