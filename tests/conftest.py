@@ -10,7 +10,7 @@ from treeline.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "treeline-tests")
+    session = local_session(8, "treeline-tests", spark__sql__shuffle__partitions="3")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
