@@ -291,17 +291,43 @@ ORACLE["processed_texts"] = f"""WITH {DOC} SELECT repo_id, path,
 ORACLE["arriving_texts"] = f"""WITH {JUDGED}, {COUNTS}
     SELECT c.repo_id, c.path, model, n FROM counts c JOIN judged j USING (repo_id, path) WHERE NOT is_ignored"""
 
-# Whole documents in SQL; the written files are compared by their lines.
-ORACLE["written_bundles"] = """WITH c AS (
+ORACLE["log_dates"] = f"""WITH {DOC} SELECT repo_id, path, strftime(arg_min(ts, event_id), '%Y-%m-%d') AS h_created, strftime(arg_max(ts, event_id), '%Y-%m-%d') AS h_modified
+    FROM events JOIN doc ON user_id = doc_id GROUP BY ALL"""
+
+ORACLE["token_maps"] = f"""WITH {DOC}, {COUNTS}, listed AS (
+      SELECT repo_id, path, string_agg('"' || model || '":' || n, ',' ORDER BY CASE model WHEN 'chars-1' THEN 1 WHEN 'chars-4' THEN 2 ELSE 3 END) AS pairs FROM counts GROUP BY ALL)
+    SELECT repo_id, path, '{{' || coalesce(pairs, '') || '}}' AS counts FROM doc LEFT JOIN listed USING (repo_id, path)"""
+
+ORACLE["own_detector_and_reader"] = f"""WITH {DOC}, t AS (SELECT *, doc_id % 11 = 1 AS marked, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS plain FROM doc)
+    SELECT repo_id, path, marked AS is_binary,
+      md5(CASE WHEN marked THEN 'binary content (' || size || ' bytes)' WHEN doc_id % 11 = 10 THEN '# ' || path || chr(10) || text ELSE plain END) AS digest FROM t"""
+
+ORACLE["own_layout"] = """WITH c AS (SELECT conv_id::VARCHAR AS repo_id, 'turn_' || lpad(turn::VARCHAR, 4, '0') || '_' || role || '.md' AS path,
+      replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM conversations WHERE text <> ''),
+    n AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS idx FROM c)
+    SELECT repo_id, idx, path, idx || ' ' || path || ' ' || length(text) || chr(10) AS section FROM n"""
+
+ORACLE["structure_only"] = f"""WITH {JUDGED}, f AS ({PLAIN} FROM judged WHERE is_ignored), {tree(["lang", "batch", "name"], "f", BY_NAME)}
+    SELECT repo_id, '000001' || CASE WHEN place = '' THEN '' ELSE '.' || place END AS place, line || chr(10) AS chunk FROM drawn
+    UNION ALL SELECT DISTINCT repo_id, unnest(['000000', '000002', '000004']),
+      unnest(['<documents>' || chr(10) || '<structure>' || chr(10) || '<![CDATA[' || chr(10), ']]>' || chr(10) || '</structure>' || chr(10), '</documents>' || chr(10)]) FROM f"""
+
+# Whole documents in SQL; the written files are compared by their lines and bytes.
+_DOCUMENTS = """WITH c AS (
       SELECT conv_id::VARCHAR AS repo_id, 'turn_' || lpad(turn::VARCHAR, 4, '0') || '_' || role || '.md' AS name,
              replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM conversations),
     docs AS (
       SELECT repo_id, '# Project Structure' || chr(10) || chr(10) || '```' || chr(10) || '.' || chr(10) ||
              string_agg(CASE WHEN last THEN '└── ' ELSE '├── ' END || name || chr(10), '' ORDER BY lower(name), name) || '```' || chr(10) || chr(10) ||
              coalesce(string_agg('## ' || name || chr(10) || chr(10) || '```md' || chr(10) || text || chr(10) || '```' || chr(10) || chr(10), '' ORDER BY name) FILTER (text <> ''), '') AS doc
-      FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY lower(name) DESC, name DESC) = 1 AS last FROM c) GROUP BY repo_id)
+      FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY lower(name) DESC, name DESC) = 1 AS last FROM c) GROUP BY repo_id)"""
+
+ORACLE["written_bundles"] = f"""{_DOCUMENTS}
     SELECT repo_id, (length(doc) - length(replace(doc, chr(10), '')))::BIGINT AS lines, length(replace(doc, chr(10), ''))::BIGINT AS chars FROM docs"""
 
+ORACLE["scanned_directory"] = f"""{_DOCUMENTS}
+    SELECT repo_id, octet_length(encode(doc))::BIGINT AS bytes, octet_length(encode(doc))::BIGINT AS read FROM docs"""
+
 # Rules of the ignore files, each in its folder, and the user's; the order is the one they apply in.
 _NESTED = """
 langs AS (SELECT DISTINCT repo_id, lang FROM doc),

@@ -16,7 +16,8 @@ from treeline.functions.paths import fence_language, node_extension, split_exten
 from treeline.operators import binary, contents, dates, refresh, report, rollup, sections, tokens, tree, verdicts
 from treeline.plans import project
 from treeline.session import checkpoint_dir, cut
-from treeline.sources import tables
+from treeline.sources import history, tables
+from treeline.sources.directory import read_tree
 from treeline.streaming import ingest
 from treeline.streaming.running import running_directories
 
@@ -312,6 +313,51 @@ def refreshed_totals(spark, folder):
     return refresh.refresh(refresh.rebuild(old), new, gone, come).directories
 
 
+@query
+def log_dates(spark, folder):
+    """Dates from commit logs, here one commit per event."""
+    commits = corpora.commits(spark, folder)
+    entry = F.concat(F.lit("\x01"), "author_date", F.lit("\n\n"), "path", F.lit("\n"))
+    logs = commits.select("repo_id", F.col("commit_ord").alias("log_ord"), entry.alias("log"))
+    return dates.history_dates(history.parse_log(logs))
+
+
+@query
+def token_maps(spark, folder):
+    return _counted(spark, folder).select("repo_id", "path", F.to_json(tokens.token_map(MODELS)).alias("counts"))
+
+
+@query
+def own_detector_and_reader(spark, folder):
+    """The hooks: logs count as binary, texts of one kind get a title."""
+    titled = contents.Reader(
+        lambda: F.endswith("path", F.lit(".txt")), lambda: F.concat(F.lit("# "), "path", F.lit("\n"), F.col("content").cast("string"))
+    )
+    docs = corpora.documents(spark, folder)
+    marked = docs.withColumn("is_binary", F.endswith("path", F.lit(".log")))
+    texts = contents.with_text(marked, (titled, *contents.READERS))
+    return texts.select("repo_id", "path", "is_binary", F.md5("text").alias("digest"))
+
+
+@query
+def own_layout(spark, folder):
+    """The hook for formats: one line per turn."""
+
+    def line() -> Column:
+        return F.concat(F.col("idx").cast("string"), F.lit(" "), "path", F.lit(" "), F.length("text").cast("string"), F.lit("\n"))
+
+    look = sections.Layout("", lambda drawn: drawn, "", line)
+    return sections.sections(contents.with_text(corpora.conversations(spark, folder)), look)
+
+
+@query
+def structure_only(spark, folder):
+    """XML documents of the removed files without their contents."""
+    select = project.Selection(USER_RULES, keep="removed", read_ignore_files=False)
+    rows = project.summarize(corpora.documents(spark, folder), select, "xml", only_structure=True)
+    return rows.select("repo_id", _place(), "chunk")
+
+
 @query
 def bundle_text(spark, folder):
     """The pieces of the text documents of all conversations, in their order."""
@@ -342,6 +388,17 @@ def written_bundles(spark, folder):
     return lines.groupBy("repo_id").agg(F.count("*").alias("lines"), F.sum(F.length("value")).alias("chars"))
 
 
+@query
+def scanned_directory(spark, folder):
+    """Bundles written as files, found again by walking their directory."""
+    place = _scratch(spark, "scanned").removeprefix("file:")
+    files = corpora.conversations(spark, folder)
+    sections.write_bundles(project.summarize(files, project.Selection(read_ignore_files=False), "markdown"), place)
+    found = read_tree(spark, place, "bundles").where(F.endswith("path", F.lit(".txt")))
+    size, read = F.sum("size").alias("bytes"), F.sum(F.octet_length("content")).alias("read")
+    return found.groupBy(F.regexp_extract("path", "^repo_id=([^/]+)/", 1).alias("repo_id")).agg(size, read)
+
+
 @query
 def processed_texts(spark, folder):
     """A Python function called with every text."""

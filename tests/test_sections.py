@@ -142,3 +142,10 @@ def test_level_and_all(corpus):
     assert "c.log" in document(summarize(files, Selection(keep="all")))
     near = document(summarize(files, Selection(keep="all", level=1)))
     assert "## d/b" in near and "d/e" not in near
+
+
+def test_ignore_files_below_the_level_still_count(corpus):
+    files = corpus({"a": "1", "d/b": "2", "d/.gitignore": "x\n!c\n", "d/e/.gitignore": "y\n", "d/x": "3"})
+    text = document(summarize(files, Selection(level=1)))
+    assert "## d/b" in text and "d/e" not in text and "## d/x" not in text
+    assert "## a" in document(summarize(files, Selection(level=0)))

@@ -10,9 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeline.functions import paths
 from treeline.functions.text import binary_placeholder, decode_text, notebook_text
 from treeline.operators import binary
+from treeline.operators.rules import is_ignore_file
 
 #: Largest file whose content is read, in bytes; a file of exactly this size still is.
 MAX_BYTES = 5 * 1024 * 1024
@@ -90,7 +90,7 @@ def measure(
     keep = [c for c in judged.columns if c != "content"]
     return read.select(
         *keep,
-        F.when(paths.base_name(path) == ".gitignore", decode_text(F.col("content"))).alias("ignore_text"),
+        F.when(is_ignore_file(path), decode_text(F.col("content"))).alias("ignore_text"),
         "has_text",
         *[F.when(F.col("has_text"), m.count(F.col("text"))).alias(m.column) for m in models],
     )

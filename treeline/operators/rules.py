@@ -233,6 +233,11 @@ def _parse_ignore_files(base: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([_file_rules(b, t) for b, t in zip(base, text)])
 
 
+def is_ignore_file(path: Column) -> Column:
+    """Written as comparisons a Parquet scan can be given."""
+    return (path == ".gitignore") | F.endswith(path, F.lit("/.gitignore"))
+
+
 def ignore_file_rules(files: DataFrame) -> DataFrame:
     """One row per ignore file of the corpus: ``repo_id, scope, base, rules``.
 
@@ -246,7 +251,7 @@ def ignore_file_rules(files: DataFrame) -> DataFrame:
     marked = F.regexp_extract(F.col("base"), r"^(?:([^*?\[\\/]+(?:/[^*?\[\\/]+)*)(?:/|$))?", 1)
     scope = F.when(F.col("base").rlike(r"^[!#\s]|\s$"), F.lit("")).otherwise(marked)
     return (
-        files.where((path == ".gitignore") | F.endswith(path, F.lit("/.gitignore")))
+        files.where(is_ignore_file(path))
         .select("repo_id", base.alias("base"), text.alias("text"))
         .select("repo_id", scope.alias("scope"), "base", _parse_ignore_files("base", "text").alias("rules"))
     )

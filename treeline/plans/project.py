@@ -8,7 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeline.functions import paths
 from treeline.operators import contents, dates, report, rollup, sections, skew, tree, verdicts
+from treeline.operators.rules import is_ignore_file
 from treeline.operators.tokens import TokenModel, token_models, totals, with_counts
 from treeline.session import cut
 
@@ -44,6 +46,10 @@ class Selection:
 def judged_files(files: DataFrame, select: Selection) -> DataFrame:
     """One narrow row per file with its verdict; content is read once and left behind."""
     models = [m for m in select.token_models() if m.native]
+    if select.level is not None:
+        # Deeper files are not even measured, but ignore files count from everywhere.
+        near = paths.file_level(F.col("path")) <= select.level
+        files = files.where(near | is_ignore_file(F.col("path")) if select.read_ignore_files else near)
     measured = contents.measure(files, models, max_bytes=select.max_bytes)
     if select.read_ignore_files:
         measured = select.settle(measured)
