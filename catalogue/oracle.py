@@ -237,7 +237,7 @@ ORACLE = {
     "extension_statistics": f"""WITH {DOC} SELECT repo_id, ['md', 'log', 'py', 'py', 'png', '', 'gz', 'ipynb', 'json', 'pyc', 'txt'][(doc_id % 11 + 1)::INT] AS extension,
         count(*) AS files, sum(size)::BIGINT AS bytes FROM doc GROUP BY ALL""",
     "text_sections": """WITH c AS (SELECT conv_id::VARCHAR AS repo_id, 'turn_' || lpad(turn::VARCHAR, 4, '0') || '_' || role || '.md' AS path, text FROM conversations WHERE text <> '')
-        SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS idx, path,
+        SELECT repo_id, path,
           '## ' || path || chr(10) || chr(10) || '```' || chr(10) || replace(text, '```', '''''''') || chr(10) || '```' || chr(10) || chr(10) AS section FROM c""",
     "xml_sections": f"""WITH {PAGE}, n AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS idx,
             replace(replace(html, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM page WHERE html <> '')
@@ -249,7 +249,7 @@ ORACLE = {
             ELSE replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) END AS shown,
             strftime(DATE '1970-01-01' + n_chars::INT, '%Y-%m-%d') AS day,
             ['md', 'log', 'py', 'PY', 'png', '', 'gz', 'ipynb', 'json', 'pyc', 'txt'][(doc_id % 11 + 1)::INT] AS fence FROM doc)
-        SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS idx, path,
+        SELECT repo_id, path,
           md5('## ' || path || chr(10) || chr(10) || '---' || chr(10) || 'created: ' || day || chr(10) || 'modified: ' || day || chr(10) || '---' || chr(10) || chr(10) ||
               '```' || fence || chr(10) || shown || chr(10) || '```' || chr(10) || chr(10)) AS digest
         FROM t WHERE shown <> ''""",
@@ -274,11 +274,11 @@ ORACLE = {
     "bundle_text": f"""WITH f AS (SELECT conv_id::VARCHAR AS repo_id, 'turn_' || lpad(turn::VARCHAR, 4, '0') || '_' || role || '.md' AS name, text,
             0 AS size, NULL::VARCHAR AS created, NULL::VARCHAR AS modified, NULL::BIGINT AS n4 FROM conversations WHERE role <> 'system'),
         {tree(["name"], "f", BY_NAME)},
-        s AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY name) AS idx FROM f WHERE text <> '')
-        SELECT repo_id, '000001' || CASE WHEN place = '' THEN '' ELSE '.' || place END AS place, line || chr(10) AS chunk FROM drawn
-        UNION ALL SELECT DISTINCT repo_id, '000000', {HEADER} FROM f
-        UNION ALL SELECT DISTINCT repo_id, '000002', '```' || chr(10) || chr(10) FROM f
-        UNION ALL SELECT repo_id, '000003.' || lpad(idx::VARCHAR, 6, '0'), '## ' || name || chr(10) || chr(10) || '```' || chr(10) ||
+        s AS (SELECT * FROM f WHERE text <> '')
+        SELECT repo_id, '000001' || CASE WHEN place = '' THEN '' ELSE '.' || place END AS place, '' AS path, line || chr(10) AS chunk FROM drawn
+        UNION ALL SELECT DISTINCT repo_id, '000000', '', {HEADER} FROM f
+        UNION ALL SELECT DISTINCT repo_id, '000002', '', '```' || chr(10) || chr(10) FROM f
+        UNION ALL SELECT repo_id, '000003', name, '## ' || name || chr(10) || chr(10) || '```' || chr(10) ||
           replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '```', '''''''') || chr(10) || '```' || chr(10) || chr(10) FROM s""",
     "running_totals": f"""WITH {DOC}, files AS (SELECT repo_id, lang, dir, path, size FROM doc), {DIRS}
         SELECT repo_id, path, count(*) AS n_files, sum(size)::BIGINT AS size FROM dirs GROUP BY ALL""",

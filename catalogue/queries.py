@@ -246,7 +246,7 @@ def xml_sections(spark, folder):
 def markdown_sections(spark, folder):
     texts = contents.with_text(_dated_texts(spark, folder))
     parts = sections.sections(texts, sections.markdown_layout())
-    return parts.select("repo_id", "idx", "path", F.md5("section").alias("digest"))
+    return parts.select("repo_id", "path", F.md5("section").alias("digest"))
 
 
 def _dated_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -346,7 +346,7 @@ def own_layout(spark, folder):
     def line() -> Column:
         return F.concat(F.col("idx").cast("string"), F.lit(" "), "path", F.lit(" "), F.length("text").cast("string"), F.lit("\n"))
 
-    look = sections.Layout("", lambda drawn: drawn, "", line)
+    look = sections.Layout("", lambda drawn: drawn, "", line, numbered=True)
     return sections.sections(contents.with_text(corpora.conversations(spark, folder)), look)
 
 
@@ -362,7 +362,7 @@ def structure_only(spark, folder):
 def bundle_text(spark, folder):
     """The pieces of the text documents of all conversations, in their order."""
     rows = project.summarize(corpora.conversations(spark, folder), project.Selection(["*_system.md"]))
-    return rows.select("repo_id", _place(), "chunk")
+    return rows.select("repo_id", _place(), "path", "chunk")
 
 
 @query

@@ -22,7 +22,7 @@ ORDER = sorted(PROJECT)
 
 
 def document(rows, repo="r"):
-    return "".join(r.chunk for r in rows.where(F.col("repo_id") == repo).orderBy("place").collect())
+    return "".join(r.chunk for r in rows.where(F.col("repo_id") == repo).orderBy("place", "path").collect())
 
 
 def test_text_document(project):
@@ -51,7 +51,7 @@ def test_structure_only(project):
 def rendered(spark, look, rows):
     df = spark.createDataFrame([("r", *r) for r in rows], "repo_id string, path string, text string, created string, modified string")
     df = df.withColumn("has_text", F.col("text") != "")
-    return {r.path: (r.idx, r.section) for r in sections.sections(df, look).collect()}
+    return {r.path: (r.idx if look.numbered else 0, r.section) for r in sections.sections(df, look).collect()}
 
 
 ROWS = [
@@ -67,11 +67,11 @@ ROWS = [
 def test_text_sections(spark):
     got = rendered(spark, sections.text_layout(), ROWS)
     assert got == {
-        "a.py": (1, "## a.py\n\n```\nx = 1\n```\n\n"),
-        "b.py": (2, "## b.py\n\n---\ncreated: 2024-01-01\nmodified: 2024-06-01\n---\n```\ny = 2\n```\n\n"),
-        "d/style.css": (3, "## d/style.css\n\n---\ncreated: 2024-01-01\n---\n```\ncode ''' with\n```\n\n"),
-        "e<&>.xml": (4, "## e<&>.xml\n\n---\nmodified: 2024-06-01\n---\n```\nsome ]]> content ]]>\n```\n\n"),
-        "noext": (5, "## noext\n\n```\nn\n```\n\n"),
+        "a.py": (0, "## a.py\n\n```\nx = 1\n```\n\n"),
+        "b.py": (0, "## b.py\n\n---\ncreated: 2024-01-01\nmodified: 2024-06-01\n---\n```\ny = 2\n```\n\n"),
+        "d/style.css": (0, "## d/style.css\n\n---\ncreated: 2024-01-01\n---\n```\ncode ''' with\n```\n\n"),
+        "e<&>.xml": (0, "## e<&>.xml\n\n---\nmodified: 2024-06-01\n---\n```\nsome ]]> content ]]>\n```\n\n"),
+        "noext": (0, "## noext\n\n```\nn\n```\n\n"),
     }
 
 

@@ -67,7 +67,7 @@ def test_jobs_on_a_directory(spark, folder):
     assert lines[:2] == [".", "├── _priv/"]
     drawn = "\n".join(lines)
     assert "x.log" not in drawn and "HEAD" not in drawn and ".gitignore" in drawn and "deep.txt" in drawn
-    text = "".join(r.chunk for r in summarize(files, Selection(include_dates=True)).orderBy("place").collect())
+    text = "".join(r.chunk for r in summarize(files, Selection(include_dates=True)).orderBy("place", "path").collect())
     assert "## a/b/c/deep.txt\n\n---\ncreated: " in text and "## empty" not in text
 
 

@@ -16,13 +16,15 @@ FENCE = "```"
 
 @dataclass(frozen=True)
 class Layout:
-    """How a bundle looks. ``section`` refers to ``path, text, created, modified, idx``."""
+    """How a bundle looks. ``section`` refers to ``path, text, created, modified`` and, if ``numbered``, to
+    ``idx``, the file's number in its document."""
 
     head: str
     tree_line: Callable[[Column], Column]
     after_tree: str
     section: Callable[[], Column]
     foot: str | None = None
+    numbered: bool = False
 
 
 def _dates(opening: str, closing: str, created: str, modified: str) -> Column:
@@ -74,7 +76,7 @@ def xml_layout() -> Layout:
         )
 
     return Layout(
-        "<documents>\n<structure>\n<![CDATA[\n", _split_cdata, "]]>\n</structure>\n", section, "</documents>\n"
+        "<documents>\n<structure>\n<![CDATA[\n", _split_cdata, "]]>\n</structure>\n", section, "</documents>\n", True
     )
 
 
@@ -110,30 +112,31 @@ def number_files(files: DataFrame, rows_per_key: int = skew.ROWS_PER_KEY) -> Dat
 
 
 def sections(contents: DataFrame, look: Layout) -> DataFrame:
-    """``repo_id, idx, path, section`` for every file with text.
+    """``repo_id, path, section`` for every file with text, and ``idx`` if the layout has numbers.
 
-    ``contents`` comes from :func:`treeline.operators.contents.with_text`, perhaps with dates. Without an
-    ``idx`` of its own every file with text is numbered in path order; numbers are given to narrow rows
-    first, so texts are joined once and never ranked.
+    ``contents`` comes from :func:`treeline.operators.contents.with_text`, perhaps with dates. Files get
+    their numbers, unless they have some, in path order; that is done on narrow rows, so texts are joined
+    once and never ranked.
     """
     written = contents.where("has_text")
-    if "idx" not in written.columns:
+    if look.numbered and "idx" not in written.columns:
         written = written.join(number_files(written.select("repo_id", "path")), ["repo_id", "path"])
     for date in ("created", "modified"):
         if date not in written.columns:
             written = written.withColumn(date, F.lit(None).cast("string"))
-    return written.select("repo_id", "idx", "path", look.section().alias("section"))
+    number = ["idx"] if look.numbered else []
+    return written.select("repo_id", "path", *number, look.section().alias("section"))
 
 
 def bundle_rows(lines: DataFrame, parts: DataFrame | None, look: Layout) -> DataFrame:
-    """``repo_id, place, chunk``: all pieces of the documents; ``place`` orders them in a repository.
+    """``repo_id, place, path, chunk``: all pieces of the documents, ordered by ``place`` and ``path``.
 
     ``lines`` comes from :func:`treeline.operators.tree.tree_lines`, ``parts`` from :func:`sections` (None
-    for the structure alone). Each piece ends with a newline.
+    for the structure alone). Each piece ends with a newline. Sections share one place and go by path.
     """
 
-    def at(*place: Column | int) -> Column:
-        return F.array(*[F.lit(p) if isinstance(p, int) else p for p in place]).cast("array<bigint>")
+    def at(part: int) -> Column:
+        return F.array(F.lit(part)).cast("array<bigint>")
 
     def piece(place: Column, chunk: Column | str) -> Column:
         return F.struct(place.alias("place"), (F.lit(chunk) if isinstance(chunk, str) else chunk).alias("chunk"))
@@ -144,19 +147,19 @@ def bundle_rows(lines: DataFrame, parts: DataFrame | None, look: Layout) -> Data
         fixed.append(piece(at(4), look.foot))
     # The root's line brings the fixed pieces of its document along.
     pieces = F.when(F.col("path") == "", F.array(line, *fixed)).otherwise(F.array(line))
-    rows = lines.select("repo_id", F.inline(pieces))
+    rows = lines.select("repo_id", F.lit("").alias("path"), F.inline(pieces))
     if parts is not None:
-        rows = rows.unionByName(parts.select("repo_id", at(3, F.col("idx")).alias("place"), F.col("section").alias("chunk")))
-    return rows
+        rows = rows.unionByName(parts.select("repo_id", "path", at(3).alias("place"), F.col("section").alias("chunk")))
+    return rows.select("repo_id", "place", "path", "chunk")
 
 
 def write_bundles(rows: DataFrame, folder: str, partitions: int | None = None) -> None:
     """One text document per repository below ``folder/repo_id=.../``.
 
-    Rows are range partitioned on ``(repo_id, place)``, so a document is the concatenation of its part
+    Rows are range partitioned on ``(repo_id, place, path)``, so a document is the concatenation of its part
     files in name order and a huge repository simply has several of them.
     """
-    keys = ["repo_id", "place"]
+    keys = ["repo_id", "place", "path"]
     ranged = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
     # The writer adds a newline to each row; the pieces bring their own.
     (

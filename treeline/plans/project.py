@@ -87,7 +87,7 @@ def summarize(
     only_structure: bool = False, delimiter: str = sections.FENCE, replacement: str = "'''",
     rows_per_key: int = skew.ROWS_PER_KEY,
 ) -> DataFrame:
-    """The rows of the bundle documents, to be written with ``sections.write_bundles``.
+    """The pieces of the bundle documents (``repo_id, place, path, chunk``), for ``sections.write_bundles``.
 
     Verdict, tree and numbering run on narrow rows. Contents then come in by one join with the files that
     are written (no shuffle of theirs if the corpus table is bucketed by repository and path), and the
@@ -101,8 +101,10 @@ def summarize(
     if only_structure:
         return sections.bundle_rows(lines, None, look)
     narrow = [c for c in (*KEYS, "created", "modified") if c in kept.columns]
-    numbers = sections.number_files(kept.where("has_text").select(*narrow), rows_per_key)
-    shown = files.drop("created", "modified").join(numbers, KEYS)
+    written = kept.where("has_text").select(*narrow)
+    if look.numbered:
+        written = sections.number_files(written, rows_per_key)
+    shown = files.drop("created", "modified").join(written, KEYS)
     parts = sections.sections(contents.with_text(shown, max_bytes=select.max_bytes), look)
     return sections.bundle_rows(lines, parts, look)
 
