@@ -26,8 +26,8 @@ _NOTEBOOK = """
 """
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then(value)`` with ``value`` computed once."""
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once, however often ``then`` uses it."""
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
@@ -84,4 +84,4 @@ def notebook_text(content: Column) -> Column:
     def joined(texts: Column) -> Column:
         return F.when(~F.exists(texts, lambda c: c.isNull()), F.array_join(texts, ""))
 
-    return _let(_let(F.from_json(decode_text(content), _NOTEBOOK), cells), joined)
+    return let(let(F.from_json(decode_text(content), _NOTEBOOK), cells), joined)

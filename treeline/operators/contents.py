@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeline.functions.text import binary_placeholder, decode_text, notebook_text
+from treeline.functions.text import binary_placeholder, decode_text, let, notebook_text
 from treeline.operators import binary
 from treeline.operators.rules import is_ignore_file
 
@@ -31,7 +31,7 @@ class Reader:
     fills: Callable[[], Column] | None = None
 
     def found(self) -> Column:
-        return F.nullif(self.text(), F.lit(""))
+        return let(self.text(), lambda text: F.nullif(text, F.lit("")))
 
     def has_text(self) -> Column:
         filled = self.fills() if self.fills else self.found().isNotNull()
@@ -55,7 +55,9 @@ READERS = (NOTEBOOK, BINARY, PLAIN)
 
 def text_column(readers: Sequence[Reader] = READERS, max_bytes: int = MAX_BYTES) -> Column:
     """Text of a file, ``''`` for none. Files above ``max_bytes`` have none, binaries included."""
-    found = [F.when(r.reads(), r.found()) for r in readers]
+    *first, last = readers
+    # What the last reader gives is final, empty or not, and needs no second look.
+    found = [F.when(r.reads(), r.found()) for r in first] + [F.when(last.reads(), last.text())]
     return F.when(F.col("size") <= max_bytes, F.coalesce(*found, F.lit(""))).otherwise(F.lit(""))
 
 
@@ -87,6 +89,8 @@ def measure(
     path = F.col("path")
     judged = files if "is_binary" in files.columns else files.withColumn("is_binary", detector(path, F.col("content")))
     read = with_text(judged, readers, max_bytes)
+    if models:  # the text is needed anyway
+        read = read.withColumn("has_text", F.col("text") != "")
     keep = [c for c in judged.columns if c != "content"]
     return read.select(
         *keep,

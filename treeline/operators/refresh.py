@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from treeline.functions import paths
 from treeline.operators.rollup import own_totals, roll_up
+from treeline.session import cut
 
 KEYS = ["repo_id", "path"]
 
@@ -112,7 +113,10 @@ def refresh_directories(
 
 
 def refresh(before: Totals, files: DataFrame, gone: DataFrame, come: DataFrame, sums: Sequence[str] = ("size",)) -> Totals:
-    """Both tables after ``gone`` rows left and ``come`` rows arrived; ``files`` is the table after it."""
-    touched = touched_directories(gone, come)
-    own = refresh_own(before.own, files, touched, sums)
+    """Both tables after ``gone`` rows left and ``come`` rows arrived; ``files`` is the table after it.
+
+    The touched directories and the new own totals are written down, as each is used several times.
+    """
+    touched = cut(touched_directories(gone, come))
+    own = cut(refresh_own(before.own, files, touched, sums))
     return Totals(own, refresh_directories(before.directories, before.own, own, touched, sums))

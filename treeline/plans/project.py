@@ -51,9 +51,13 @@ def judged_files(files: DataFrame, select: Selection) -> DataFrame:
         near = paths.file_level(F.col("path")) <= select.level
         files = files.where(near | is_ignore_file(F.col("path")) if select.read_ignore_files else near)
     measured = contents.measure(files, models, max_bytes=select.max_bytes)
-    if select.read_ignore_files:
+    reads = select.read_ignore_files
+    if reads:
         measured = select.settle(measured)
-    rules = verdicts.RuleSet.of(measured, select.ignore, select.use_defaults, select.read_ignore_files)
+        if select.materialise:
+            # Column statistics answer this; a corpus without ignore files is spared their join.
+            reads = not measured.where(F.col("ignore_text").isNotNull()).isEmpty()
+    rules = verdicts.RuleSet.of(measured, select.ignore, select.use_defaults, reads)
     return verdicts.judge(verdicts.within_level(measured, select.level), rules, select.include_binary)
 
 
