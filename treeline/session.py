@@ -60,20 +60,53 @@ def cut(df: DataFrame) -> DataFrame:
 
     What is built on the result starts from a written table: several consumers do not repeat the work
     before it, a lost executor costs no recomputation, columns are still pruned and the optimiser knows the
-    size. :func:`drop_cuts` removes the tables once their results are written.
+    size. :func:`release` removes one such table, :class:`job_tables` all that a job wrote.
     """
     spark = df.sparkSession
     place = f"{checkpoint_dir(spark).rstrip('/')}/treeline-{uuid.uuid4().hex}"
     df.write.parquet(place)
     _cuts.append(place)
-    return spark.read.schema(df.schema).parquet(place)
+    written = spark.read.schema(df.schema).parquet(place)
+    written._cut_place = place
+    return written
+
+
+def _delete(spark: SparkSession, place: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the given tables of :func:`cut`, as soon as nothing reads them any more."""
+    for table in tables:
+        place = table._cut_place
+        if place in _cuts:
+            _cuts.remove(place)
+            _delete(table.sparkSession, place)
+
+
+class job_tables:
+    """Deletes, at the end of the block, the tables that :func:`cut` wrote inside it and no others.
+
+    The result has to be written before the block ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> job_tables:
+        self.before = set(_cuts)
+        return self
+
+    def __exit__(self, *_) -> None:
+        for place in [x for x in _cuts if x not in self.before]:
+            _cuts.remove(place)
+            _delete(self.spark, place)
 
 
 def drop_cuts(spark: SparkSession) -> int:
     """Deletes the tables that :func:`cut` wrote in this process; their DataFrames are void afterwards."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     dropped = 0
     while _cuts:
-        place = jvm.org.apache.hadoop.fs.Path(_cuts.pop())
-        dropped += bool(place.getFileSystem(conf).delete(place, True))
+        dropped += _delete(spark, _cuts.pop())
     return dropped
