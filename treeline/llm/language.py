@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 
@@ -11,13 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The sample that is learned from: so many rows per language, and so many characters of each.
-SAMPLE_ROWS = 256
+SAMPLE_ROWS = 512
 SAMPLE_CHARS = 512
 #: Texts are compressed in blocks of so many characters, since far into a text a compressor knows it better than any dictionary.
 BLOCK_CHARS = 2048
 LEVEL = 3
 #: The best language has to be smaller than the next by this share of the next one's size.
-LEAST_MARGIN = 0.001
+LEAST_MARGIN = 0.0005
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -31,7 +32,8 @@ def learn(docs: DataFrame, training: Column) -> dict[str, bytes]:
     """One raw-content dictionary per non-null ``lang`` of the rows for which ``training`` holds.
 
     A bounded sample: the ``SAMPLE_ROWS`` rows of a language that come first by a hash of ``doc_id``, and of each
-    ``SAMPLE_CHARS`` characters from a place that the hash chooses. Rows are chosen before texts are read.
+    ``SAMPLE_CHARS`` characters from a place that the hash chooses. Rows are chosen before texts are read. Their words are
+    shuffled, or a passage that occurs in several languages would speak for the one whose sample happens to hold it.
     """
     rows = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     first = Window.partitionBy("_lang").orderBy("_h", "_id")
@@ -42,8 +44,10 @@ def learn(docs: DataFrame, training: Column) -> dict[str, bytes]:
     sample = rows.join(chosen, (F.col("lang") == F.col("_lang")) & (F.col("doc_id") == F.col("_id"))).groupBy("_lang", "_h", "_id").agg(F.min(passage).alias("_p"))
     found: dict[str, list[str]] = {}
     for lang, _, _, text in sorted(map(tuple, sample.collect())):
-        found.setdefault(lang, []).append(plain(text))
-    return {lang: " ".join(parts).encode() for lang, parts in found.items() if any(parts)}
+        found.setdefault(lang, []).extend(plain(text).split())
+    for words in found.values():
+        random.Random(0).shuffle(words)
+    return {lang: f" {' '.join(words)} ".encode() for lang, words in found.items() if words}
 
 
 def compressors(dictionaries: dict[str, bytes]) -> dict[str, zstandard.ZstdCompressor]:
@@ -60,7 +64,7 @@ def judge(text: str | None, by_language: dict[str, zstandard.ZstdCompressor]) ->
     letters = plain(text) if text else ""
     if not letters or not by_language:
         return "und", 0.0
-    blocks = [letters[i : i + BLOCK_CHARS].encode() for i in range(0, len(letters), BLOCK_CHARS)]
+    blocks = [f" {letters[i : i + BLOCK_CHARS]} ".encode() for i in range(0, len(letters), BLOCK_CHARS)]
     sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in by_language.items())
     if len(sizes) == 1:
         return sizes[0][1], 1.0

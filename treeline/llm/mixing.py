@@ -56,12 +56,14 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
     Slot ``t`` is the golden-ratio point ``frac((t + 0.5) * g)`` mapped through the cumulative targets, so every
     stretch of the mix holds each source in proportion. ``rank`` numbers a source's slots from 0. A source needs
-    ``ceil(target / block)`` slots; the sequence is a little longer than all needs, what a source does not need is
+    a slot per block of each round through it that its target begins; the sequence is a little longer than all needs, what a source does not need is
     left out, and the few slots that the sequence owes a source follow at its end. Slots are ranked in chunks, so
     no task holds a source's whole schedule.
     """
     by_name = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    need = F.ceil(F.col("target") / block_words).cast("long")
+    rounds = F.floor(F.col("target") / F.col("source_size"))
+    rest = F.ceil((F.col("target") - rounds * F.col("source_size")) / block_words)
+    need = (rounds * F.ceil(F.col("source_size") / block_words) + rest).cast("long")
     listed = targets.where("target > 0").select("source", need.alias("_need"), "target")
     upto = listed.select("source", "_need", F.sum("target").over(by_name).alias("_to"), F.sum("target").over(Window.partitionBy()).alias("_all"))
     shares = upto.select("source", "_need", (F.col("_to") / F.col("_all")).alias("_to"))

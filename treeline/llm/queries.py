@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.llm.language import held_out, identified, learn
+from treeline.llm.line_dedup import deduplicated_lines
 from treeline.llm.mixing import mixed
 from treeline.llm.packing import packed, pieces
 from treeline.llm.quotient import exact_duplicates
+from treeline.llm.set_join import near_copies
 from treeline.llm.slots import sharded
 from treeline.llm.url_rules import filtered
 
@@ -52,14 +54,22 @@ def op4_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
     return sharded(table(spark, folder, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_copies(table(spark, folder, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(table(spark, folder, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return deduplicated_lines(table(spark, folder, "documents"))
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed(table(spark, folder, "documents"))[0].drop("_row")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op3_language_id, op4_virtual_slots, op7_exact_dedup, op10_mixing)
+    f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op3_language_id, op4_virtual_slots, op5_ngram_join, op7_exact_dedup, op9_line_dedup, op10_mixing)
 }
