@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 
 #: The sample that is learned from: so many rows per language, and so many characters of each.
 SAMPLE_ROWS = 512
-SAMPLE_CHARS = 512
+SAMPLE_CHARS = 1024
+#: Bytes of a dictionary at most.
+DICTIONARY_BYTES = 120_000
 #: Texts are compressed in blocks of so many characters, since far into a text a compressor knows it better than any dictionary.
 BLOCK_CHARS = 2048
-LEVEL = 3
+#: Tables large enough for every place in a dictionary, and matches from four bytes on.
+SETTINGS = {"window_log": 20, "hash_log": 18, "chain_log": 18, "search_log": 5, "min_match": 4}
+LEVEL = 5
 #: The best language has to be smaller than the next by this share of the next one's size.
 LEAST_MARGIN = 0.0005
 
@@ -47,15 +51,16 @@ def learn(docs: DataFrame, training: Column) -> dict[str, bytes]:
         found.setdefault(lang, []).extend(plain(text).split())
     for words in found.values():
         random.Random(0).shuffle(words)
-    return {lang: f" {' '.join(words)} ".encode() for lang, words in found.items() if words}
+    return {lang: f" {' '.join(words)} ".encode()[-DICTIONARY_BYTES:] for lang, words in found.items() if words}
 
 
 def compressors(dictionaries: dict[str, bytes]) -> dict[str, zstandard.ZstdCompressor]:
     found = {}
+    settings = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, **SETTINGS)
     for lang, data in sorted(dictionaries.items()):
         raw = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        raw.precompute_compress(level=LEVEL)
-        found[lang] = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
+        raw.precompute_compress(compression_params=settings)
+        found[lang] = zstandard.ZstdCompressor(dict_data=raw, compression_params=settings)
     return found
 
 

@@ -16,17 +16,18 @@ HASH_BITS = 42
 MOST = (1 << 20) - 1
 
 
-def line_tokens(line: Column) -> Column:
-    """A line's distinct tokens as hashes: shingles of five words in lower case, or all words of a line with fewer."""
-    words = F.filter(F.split(F.lower(line), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    shingles = F.transform(F.sequence(F.lit(1), F.size(words) - (WORDS - 1)), lambda i: F.xxhash64(F.slice(words, i, WORDS)))
-    return F.when(F.size(words) >= WORDS, F.array_distinct(shingles)).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
+def with_tokens(lines: DataFrame) -> DataFrame:
+    """Adds ``tokens``: a line's distinct tokens as hashes, shingles of five words in lower case, or all words of a line with fewer."""
+    split = lines.withColumn("_words", F.array_remove(F.split(F.lower("line"), "[\\x20\\x09-\\x0D]+"), ""))
+    n = F.size("_words")  # the words stay a column of their own: inside the lambda they would be split again for each shingle
+    shingles = F.transform(F.sequence(F.lit(1), F.greatest(n - (WORDS - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("_words", i, WORDS)))
+    return split.withColumn("tokens", F.when(n > 0, F.array_distinct(shingles)).otherwise(F.array().cast("array<bigint>"))).drop("_words")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no, mark, tokens)`` of every line; ``mark`` tells lines of rows that share a ``doc_id`` apart."""
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", F.xxhash64("line").alias("mark"), line_tokens(F.col("line")).alias("tokens"))
+    return with_tokens(lines).select("doc_id", "line_no", F.xxhash64("line").alias("mark"), "tokens")
 
 
 def bucket(token: Column) -> Column:
@@ -101,7 +102,7 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame
     split = F.split(F.coalesce("text", F.lit("")), "\n")
     found = texts.select("doc_id", F.explode("_lines").alias("l"), split.alias("s")).select("doc_id", "l.*", F.get("s", F.col("l.line_no")).alias("line"))
     found = found.where(F.xxhash64("line") == F.col("mark")).dropDuplicates(["id"])
-    sets = cut(found.select("id", F.struct("doc_id", "line_no", "mark").alias("at"), line_tokens(F.col("line")).alias("tokens")))
+    sets = cut(with_tokens(found).select("id", F.struct("doc_id", "line_no", "mark").alias("at"), "tokens"))
     one = sets.select(F.col("id").alias("a"), F.col("at").alias("at_a"), F.col("tokens").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("at").alias("at_b"), F.col("tokens").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
@@ -121,9 +122,8 @@ def without_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """
     code = lambda i, mark: F.shiftleft(i.cast("long"), 32).bitwiseOR(mark.bitwiseAND(F.lit((1 << 32) - 1)))
     out = lines.where("not kept").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(code(F.col("line_no"), F.col("mark"))).alias("_out"))
-    split = F.split("text", "\n")
-    every = F.transform(split, lambda line, i: code(i, F.xxhash64(line)))
-    left = F.array_except(every, F.col("_out"))
-    text = F.array_join(F.transform(left, lambda k: F.get(F.split(F.col("text"), "\n"), F.shiftright(k, 32).cast("int"))), "\n")
-    joined = docs.join(out, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    return joined.withColumn("text", F.when(F.col("_out").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
+    joined = docs.join(out, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").withColumn("_split", F.split("text", "\n"))
+    every = F.transform("_split", lambda line, i: code(i, F.xxhash64(line)))
+    left = F.transform(F.array_except(every, F.col("_out")), lambda k: F.get(F.col("_split"), F.shiftright(k, 32).cast("int")))
+    text = F.when(F.col("_out").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return joined.withColumn("text", text).select(*docs.columns)

@@ -17,11 +17,13 @@ PARTS = 1024
 SLOTS_PER_CHUNK = 1 << 16
 
 GOLDEN = 0.6180339887498949
+#: White space between words, besides the space.
+SPACES = "\t\n\x0b\x0c\r"
 
 
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+``; null has none."""
-    spaced = F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "))
+    spaced = F.trim(F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES)))
     return F.when(spaced == "", F.lit(0)).otherwise(F.size(F.split(spaced, " +"))).cast("long")
 
 
@@ -121,7 +123,7 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float =
     """The mix of ``docs(doc_id, text, source)``: ``(rows, pieces)``.
 
     ``rows`` has ``doc_id, size, source_size, target, taken`` (and ``keep``) for every row of ``docs``. ``pieces`` has one
-    row per part of a document in the mix: ``_row`` (as in ``rows``), ``slot``, ``from_word`` and ``n_words``; the mix
+    row per part of a document in the mix: ``_row`` (as in ``rows``), ``slot``, ``round`` through the source, ``from_word`` and ``n_words``; the mix
     is the pieces in the order of their slots, and in a block by ``block_word``.
 
     A source's shuffled rows form a stream of words that is cut into blocks of ``block_words``. The schedule's slot of
@@ -142,16 +144,36 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float =
     blocks = F.ceil(F.col("source_size") / block_words)
     epoch, block = F.floor(F.col("rank") / blocks), F.col("rank") % blocks
     left = F.floor("target") - epoch * F.col("source_size")
-    plan = plan.select(F.col("source").alias("_s"), "slot", block.alias("_block"), F.least(left, (block + 1) * block_words, "source_size").alias("_until")).where(F.col("_until") > F.col("_block") * block_words)
+    plan = plan.select(F.col("source").alias("_s"), "slot", epoch.alias("round"), block.alias("_block"), F.least(left, (block + 1) * block_words, "source_size").alias("_until")).where(F.col("_until") > F.col("_block") * block_words)
     spans = placed.where("size > 0").select("_row", "source", "size", "_start")
     last = F.floor((F.col("_start") + F.col("size") - 1) / block_words)
     spans = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_start") / block_words), last)))
     met = spans.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_block")))
     begin = F.greatest("_start", F.col("_b") * block_words)
     words = F.least(F.col("_start") + F.col("size"), "_until") - begin
-    pieces = met.select("_row", "slot", (begin - F.col("_start")).alias("from_word"), words.cast("long").alias("n_words"), (begin - F.col("_b") * block_words).alias("block_word")).where("n_words > 0")
+    pieces = met.select("_row", "slot", "round", (begin - F.col("_start")).alias("from_word"), words.cast("long").alias("n_words"), (begin - F.col("_b") * block_words).alias("block_word")).where("n_words > 0")
     pieces = cut(pieces)
     taken = pieces.groupBy("_row").agg(F.sum("n_words").alias("taken"))
     rows = placed.join(named, F.col("source").eqNullSafe(F.col("_s"))).join(taken, "_row", "left")
     rows = rows.select("_row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *keep)
     return rows, pieces
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` as the mix takes them: a row per document and round through its source, with the words taken.
+
+    A text taken whole is unchanged; one at a source's target is cut there, its words separated by single spaces. Documents
+    that the mix does not take, those without words among them, are left out. ``n_chars``, if there is one, follows the text. Rows that repeat ``doc_id`` and
+    text count in the sizes, and each returns as one of them.
+    """
+    rows, pieces = mixed(docs.withColumn("_mark", F.xxhash64("text")), keep=("_mark",), **options)
+    spans = pieces.groupBy("_row", "round").agg(F.min("from_word").alias("_from"), F.sum("n_words").alias("_words"))
+    spans = spans.join(rows.select("_row", F.col("doc_id").alias("_doc"), F.col("_mark").alias("_m"), F.col("size").alias("_size")), "_row")
+    texts = docs.withColumn("_mark", F.xxhash64("text")).dropDuplicates(["doc_id", "_mark"])
+    joined = texts.join(spans, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_mark") == F.col("_m")))
+    joined = joined.withColumn("_split", F.when(F.col("_words") < F.col("_size"), F.split(F.trim(F.translate("text", SPACES, " " * len(SPACES))), " +")))
+    part = F.array_join(F.slice("_split", (F.col("_from") + 1).cast("int"), F.col("_words").cast("int")), " ")
+    joined = joined.withColumn("text", F.when(F.col("_split").isNull(), F.col("text")).otherwise(part))
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return joined.select(*docs.columns)

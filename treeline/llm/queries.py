@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeline.llm.graph_index import nearest_neighbours
 from treeline.llm.language import held_out, identified, learn
 from treeline.llm.line_dedup import deduplicated_lines
 from treeline.llm.mixing import mixed
@@ -15,6 +16,7 @@ from treeline.llm.quotient import exact_duplicates
 from treeline.llm.set_join import near_copies
 from treeline.llm.slots import sharded
 from treeline.llm.url_rules import filtered
+from treeline.llm.wrapper import extracted
 
 RULES = (
     ("allow", "org", "/"),
@@ -58,10 +60,18 @@ def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(table(spark, folder, "documents"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest_neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(table(spark, folder, "documents"))
 
 
+def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extracted(table(spark, folder, "pages"))
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return deduplicated_lines(table(spark, folder, "documents"))
 
@@ -71,5 +81,5 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op3_language_id, op4_virtual_slots, op5_ngram_join, op7_exact_dedup, op9_line_dedup, op10_mixing)
+    f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op3_language_id, op4_virtual_slots, op5_ngram_join, op6_nearest_neighbours, op7_exact_dedup, op8_main_text, op9_line_dedup, op10_mixing)
 }

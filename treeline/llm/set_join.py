@@ -110,7 +110,7 @@ def fingerprint(found: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)), int(two.view(np.int64))
 
 
-PROFILE = "doc_id string, n int, one bigint, two bigint, lists array<bigint>"
+PROFILE = "doc_id string, mark bigint, n int, one bigint, two bigint, lists array<bigint>"
 
 
 def profiles(docs: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -120,11 +120,12 @@ def profiles(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     def profile(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for doc_id, found in zip(frame["doc_id"], shingle_sets(frame["text"].tolist()), strict=True):
-                rows.append((doc_id, len(found), *fingerprint(found), short_lists(found, shared.value).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "one", "two", "lists"])
+            for doc_id, mark, found in zip(frame["doc_id"], frame["mark"], shingle_sets(frame["text"].tolist()), strict=True):
+                rows.append((doc_id, mark, len(found), *fingerprint(found), short_lists(found, shared.value).view(np.int64)))
+            yield pd.DataFrame(rows, columns=["doc_id", "mark", "n", "one", "two", "lists"])
 
-    return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(profile, PROFILE).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = docs.select(F.col("doc_id").cast("string"), F.xxhash64("text").alias("mark"), "text")
+    return rows.mapInPandas(profile, PROFILE).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -159,22 +160,8 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return with_x.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y").mapInPandas(probe, "a bigint, b bigint")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` of every row of ``docs(doc_id, text)``.
-
-    Two texts link when the Jaccard similarity of their shingle sets is 0.8 or more; ``component_id`` is the smallest
-    ``doc_id`` that links reach. Texts with equal sets are one class from the start. A class searches the others by T-occurrence:
-    its shingles are divided into the rarest, whose short inverted lists are merged and counted, and the
-    frequent rest, whose long lists would only be probed. Candidates that reach the count are verified on
-    their whole sets by binary probing.
-
-    Lists are merged in three rounds. Two pair each class with the first and the last of its lists, which is linear
-    and connects groups of copies of any size. The third takes all pairs that are still in different components, within
-    lists that span several: a list of one large group of near copies has none left. No link between components is lost, and none within one is needed.
-
-    Null and blank texts have no shingles and link with nothing. Rows that repeat a ``doc_id`` are rows of their own, linked by their
-    texts only; a null ``doc_id`` never names a component that has another. An empty table gives no rows. Other columns are ignored.
-    """
+def joined_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows ``(row, doc_id, mark, n, one, two)`` and the classes ``(n, one, two, component, component_id)`` of :func:`near_copies`."""
     profile = cut(profiles(docs, shingle_counts(docs, "text")).withColumn("row", F.monotonically_increasing_id()))
     set_key = ["n", "one", "two"]
     classes = profile.where("n > 0").groupBy(*set_key).agg(F.min("row").alias("id"), F.min("doc_id").alias("least"))
@@ -210,8 +197,38 @@ def near_copies(docs: DataFrame) -> DataFrame:
         components = cut(connected_components(every))
     joined = classes.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    told = joined.join(named, "component").select(*[F.col(c).alias(f"_{c}") for c in set_key], "component_id")
+    return profile, joined.join(named, "component").select(*set_key, "component", "component_id")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` of every row of ``docs(doc_id, text)``.
+
+    Two texts link when the Jaccard similarity of their shingle sets is 0.8 or more; ``component_id`` is the smallest
+    ``doc_id`` that links reach. Texts with equal sets are one class from the start. A class searches the others by T-occurrence:
+    its shingles are divided into the rarest, whose short inverted lists are merged and counted, and the
+    frequent rest, whose long lists would only be probed. Candidates that reach the count are verified on
+    their whole sets by binary probing.
+
+    Lists are merged in three rounds. Two pair each class with the first and the last of its lists, which is linear
+    and connects groups of copies of any size. The third takes all pairs that are still in different components, within
+    lists that span several: a list of one large group of near copies has none left. No link between components is lost, and none within one is needed.
+
+    Null and blank texts have no shingles and link with nothing. Rows that repeat a ``doc_id`` are rows of their own, linked by their
+    texts only; a null ``doc_id`` never names a component that has another. An empty table gives no rows. Other columns are ignored.
+    """
+    rows = _with_class(*joined_classes(docs))
+    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _with_class(profile: DataFrame, classes: DataFrame) -> DataFrame:
+    told = classes.withColumnsRenamed({"n": "_n", "one": "_one", "two": "_two"})
     match = (F.col("n") == F.col("_n")) & (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two"))
-    return profile.join(told, match, "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    return profile.join(told, match, "left")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest ``doc_id``. Rows without shingles all stay."""
+    rows = _with_class(*joined_classes(docs))
+    first = F.min(F.struct("doc_id", "mark", "row"))
+    stay = rows.groupBy(F.coalesce("component", -1 - F.col("row"))).agg(first.alias("at")).select(F.col("at.doc_id").alias("_doc"), F.col("at.mark").alias("_mark"))
+    return docs.join(stay.distinct(), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_mark")), "left_semi")
