@@ -107,16 +107,16 @@ def shuffled_blocks(sized: DataFrame, key: Sequence[str]) -> DataFrame:
     a third of all rows is numbered by many tasks.
     """
     mark = F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]))
-    parts = sized.withColumn("_mark", mark).withColumn("_part", F.conv(F.substring("_mark", 1, 4), 16, 10).cast("int") % PARTS)
+    parts = sized.withColumn("_order", mark).withColumn("_part", F.conv(F.substring("_order", 1, 4), 16, 10).cast("int") % PARTS)
     parts = cut(parts)
     name = [F.col("source").isNull(), F.coalesce("source", F.lit(""))]
     sums = parts.groupBy("source", "_part").agg(F.sum("size").alias("_n"))
     ahead = F.sum("_n").over(Window.partitionBy(*name).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select(F.col("source").alias("_s"), F.col("_part").alias("_p"), F.coalesce(ahead, F.lit(0)).alias("_ahead"))
-    inside = Window.partitionBy(*name, "_part").orderBy("_mark", *key).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*name, "_part").orderBy("_order", *key).rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     parts = parts.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
-    return parts.withColumn("_start", F.col("_ahead") + F.col("_in")).drop("_s", "_p", "_ahead", "_in", "_part", "_mark")
+    return parts.withColumn("_start", F.col("_ahead") + F.col("_in")).drop("_s", "_p", "_ahead", "_in", "_part", "_order")
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, ceiling: float = 2.0, block_words: int = BLOCK_WORDS, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:

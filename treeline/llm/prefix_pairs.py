@@ -38,10 +38,10 @@ def contested(postings: DataFrame) -> DataFrame:
 def star_pairs(postings: DataFrame, leader: str, enough: Callable[[Column], Column]) -> DataFrame:
     """``(a, b)``: each set with the one that ``leader`` names in its lists; as many rows as postings at most.
 
-    A pair needs ``enough`` common lists, counted for the smallest set that the length filter lets through.
+    A pair needs ``enough`` common lists for what the smallest set that the length filter lets through has to share.
     """
     met = postings.where(f"id <> {leader}").groupBy(F.col("id").alias("a"), F.col(leader).alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    return met.where(F.col("c") >= enough(least_overlap(F.col("n")))).select("a", "b")
+    return met.where(F.col("c") >= enough(least_overlap(least_overlap(F.col("n"))))).select("a", "b")
 
 
 def cross_pairs(postings: DataFrame, apart: Callable[[str, str], Column], enough: Callable[[Column], Column]) -> DataFrame:
@@ -55,4 +55,4 @@ def cross_pairs(postings: DataFrame, apart: Callable[[str, str], Column], enough
     place = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) >= pair_overlap(n, m)
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & apart("x", "y") & length & place)
     counted = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("c"), F.first(F.least(n, m)).alias("n"))
-    return counted.where(F.col("c") >= enough(F.col("n"))).select("a", "b")
+    return counted.where(F.col("c") >= enough(least_overlap(F.col("n")))).select("a", "b")
