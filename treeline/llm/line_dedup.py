@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.prefix_pairs import LINK, contested, cross_pairs, least_overlap, star_pairs
+from treeline.llm.prefix_pairs import LINK, contested, cross_pairs, least_overlap, likely, of_like_size, star_pairs
 from treeline.session import cut, release
 
 WORDS = 5
@@ -14,14 +14,17 @@ BUCKETS = 1 << 16
 #: A token's place in the order is its bucket's count in front of so many bits of its hash.
 HASH_BITS = 42
 MOST = (1 << 20) - 1
+SPARE = 16
 
 
 def with_tokens(lines: DataFrame) -> DataFrame:
     """Adds ``tokens``: a line's distinct tokens as hashes, shingles of five words in lower case, or all words of a line with fewer."""
-    split = lines.withColumn("_words", F.array_remove(F.split(F.lower("line"), "[\\x20\\x09-\\x0D]+"), ""))
-    n = F.size("_words")  # the words stay a column of their own: inside the lambda they would be split again for each shingle
-    shingles = F.transform(F.sequence(F.lit(1), F.greatest(n - (WORDS - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("_words", i, WORDS)))
-    return split.withColumn("tokens", F.when(n > 0, F.array_distinct(shingles)).otherwise(F.array().cast("array<bigint>"))).drop("_words")
+    words = F.array_remove(F.split(F.lower("line"), "[\\x20\\x09-\\x0D]+"), "")
+    hashed = lines.withColumn("_words", F.transform(words, lambda w: F.xxhash64(w)))
+    n = F.size("_words")  # the words stay a column of their own: inside the lambda they would be hashed again for each shingle
+    starts = F.sequence(F.lit(0), F.greatest(n - WORDS, F.lit(0)))
+    shingles = F.transform(starts, lambda i: F.xxhash64(*[F.get("_words", i + k) for k in range(WORDS)]))  # past the end there is null
+    return hashed.withColumn("tokens", F.when(n > 0, F.array_distinct(shingles)).otherwise(F.array().cast("array<bigint>"))).drop("_words")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -31,7 +34,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def bucket(token: Column) -> Column:
-    return F.pmod(token, F.lit(BUCKETS))
+    return token.bitwiseAND(F.lit(BUCKETS - 1))
 
 
 def rarity(lines: DataFrame) -> Column:
@@ -44,8 +47,13 @@ def rarity(lines: DataFrame) -> Column:
 
 
 def prefix_length(n: Column) -> Column:
-    """Two sets that link share one of the first ``n - T + 1`` tokens, ``T`` being what ``n`` has to share at least."""
-    return (n - least_overlap(n) + 1).cast("int")
+    """Two sets that link share ``spare(T)`` of the first ``n - T + spare(T)`` tokens, ``T`` being what ``n`` has to share at least."""
+    return (n - least_overlap(n) + spare(least_overlap(n))).cast("int")
+
+
+def spare(overlap: Column) -> Column:
+    """Common prefix tokens asked for: one, and one more per ``SPARE`` that have to be shared."""
+    return F.floor(overlap / SPARE) + 1
 
 
 def deduplicated_lines(docs: DataFrame) -> DataFrame:
@@ -62,28 +70,30 @@ def deduplicated_lines(docs: DataFrame) -> DataFrame:
     """
     lines = cut(lines_of(docs))
     counts = rarity(lines)
-    rank = lambda t: F.shiftleft(F.element_at(counts, (bucket(t) + 1).cast("int")), HASH_BITS).bitwiseOR(t.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    rank = lambda t: F.shiftleft(F.get(counts, bucket(t).cast("int")), HASH_BITS).bitwiseOR(t.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
     size = F.size("tokens")
     ordered = F.sort_array(F.transform("tokens", rank))
-    same = F.sort_array("tokens")
-    table = lines.select(
-        "doc_id", "line_no", "mark", size.alias("n"), F.xxhash64(same).alias("one"), F.xxhash64(F.lit("second"), same).alias("two"),
-        F.slice(ordered, 1, prefix_length(size)).alias("prefix"),
+    table = lines.select("doc_id", "line_no", "mark", size.alias("n"), ordered.alias("_all")).select(
+        "doc_id", "line_no", "mark", "n", F.xxhash64("_all").alias("one"), F.xxhash64(F.lit("second"), "_all").alias("two"),
+        F.slice("_all", 1, prefix_length(F.col("n"))).alias("prefix"),
     )
-    table = cut(table.withColumn("id", F.monotonically_increasing_id()))
+    ranked = cut(table.withColumn("id", F.monotonically_increasing_id()))
     release(lines)
+    table = cut(ranked.drop("prefix", "id"))
     key = ["n", "one", "two"]
     place = F.struct("doc_id", "line_no", "mark", "id")
-    classes = cut(table.where("n > 0").groupBy(*key).agg(F.min(place).alias("at")).select(*key, "at.*"))
-    firsts = table.join(classes.select("id"), "id", "left_semi")
-    lists = contested(firsts.select("id", "n", F.posexplode("prefix").alias("pos", "token")))
-    once = lambda _: F.lit(1)
-    near = later_of(verified(docs, cut(star_pairs(lists, "first", once)), classes))
+    # the prefix is the same for all of a class; combined map-side, it moves once
+    classes = ranked.where("n > 0").groupBy(*key).agg(F.min(place).alias("at"), F.first("prefix").alias("prefix")).select(*key, "at.*", "prefix")
+    classes = cut(classes)
+    release(ranked)
+    lists = contested(classes.select("id", "n", F.posexplode("prefix").alias("pos", "token")))
+    classes = classes.drop("prefix")
+    near = later_of(verified(docs, of_like_size(star_pairs(lists, "first", spare), classes), classes))
     gone = cut(near.distinct())
     rest = lists.join(gone.withColumn("gone", F.lit(True)), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     open_lists = rest.groupBy("token").agg(F.count(F.when(~F.col("gone"), 1)).alias("_open")).where("_open > 0").select("token")
     open_rows = cut(rest.join(open_lists, "token", "left_semi"))
-    pairs = cut(cross_pairs(open_rows, lambda x, y: ~(F.col(f"{x}.gone") & F.col(f"{y}.gone")), once))
+    pairs = cross_pairs(open_rows, lambda x, y: ~(F.col(f"{x}.gone") & F.col(f"{y}.gone")), spare)
     gone = cut(gone.union(later_of(verified(docs, pairs, classes))).distinct())
     firsts = classes.select(*[F.col(c).alias(f"_{c}") for c in key], *[F.col(c).alias(f"_{c}") for c in ("doc_id", "line_no", "mark")], F.col("id").alias("_id"))
     firsts = firsts.join(gone.select(F.col("id").alias("_id"), F.lit(True).alias("_gone")), "_id", "left")
@@ -95,10 +105,13 @@ def deduplicated_lines(docs: DataFrame) -> DataFrame:
 
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The linked pairs ``(a, b)`` with their places, on the tokens of the lines themselves."""
+    pairs = cut(pairs)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = classes.join(needed, "id", "left_semi").select("id", F.col("doc_id").alias("_doc"), "line_no", "mark")
+    wanted = cut(wanted)
     by_doc = wanted.groupBy("_doc").agg(F.collect_set(F.struct("line_no", "mark", "id")).alias("_lines"))
-    texts = docs.select("doc_id", "text").join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    hits = docs.where(likely("doc_id", wanted.select(F.col("_doc").alias("doc_id"))))
+    texts = hits.select("doc_id", "text").join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc")))
     split = F.split(F.coalesce("text", F.lit("")), "\n")
     found = texts.select("doc_id", F.explode("_lines").alias("l"), split.alias("s")).select("doc_id", "l.*", F.get("s", F.col("l.line_no")).alias("line"))
     found = found.where(F.xxhash64("line") == F.col("mark")).dropDuplicates(["id"])

@@ -44,15 +44,57 @@ def star_pairs(postings: DataFrame, leader: str, enough: Callable[[Column], Colu
     return met.where(F.col("c") >= enough(least_overlap(least_overlap(F.col("n"))))).select("a", "b")
 
 
+def drawn_pairs(postings: DataFrame, group: str, draw: int) -> DataFrame:
+    """``(a, b)``: each set with one that ``draw`` picks from each of its lists, if that is of another ``group``.
+
+    As many rows as postings at most, after the length and positional filters.
+    """
+    picked = postings.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", "token", F.lit(draw)).alias("_h"), F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("pos").alias("_pos"), F.col(group).alias("_group"))).alias("_p"))
+    met = postings.join(picked.select("token", "_p.*"), "token").where(F.col(group) != F.col("_group"))
+    n, m, i, j = F.col("n"), F.col("_n"), F.col("pos"), F.col("_pos")
+    length = (n * 100 >= m * LINK) & (m * 100 >= n * LINK)
+    place = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) >= pair_overlap(n, m)
+    return met.where(length & place).select(F.col("id").alias("a"), F.col("_id").alias("b")).distinct()
+
+
 def cross_pairs(postings: DataFrame, apart: Callable[[str, str], Column], enough: Callable[[Column], Column]) -> DataFrame:
     """``(a, b)`` of all pairs that meet in a list, are ``apart``, and pass the length, positional and count filters.
 
-    At a common token, sets share at most what both hold before it, the token, and what both hold after it.
+    At a common token, sets share at most what both hold before it, the token, and what both hold after it. All that they share up to
+    the end of the prefix that ends first is among their common lists; what follows is no more than the rest of that set.
     """
+    rest = lambda size: least_overlap(size) - enough(least_overlap(size))
     x, y = postings.alias("x"), postings.alias("y")
     n, m, i, j = (F.col(c) for c in ("x.n", "y.n", "x.pos", "y.pos"))
     length = (n * 100 >= m * LINK) & (m * 100 >= n * LINK)
     place = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) >= pair_overlap(n, m)
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & apart("x", "y") & length & place)
-    counted = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("c"), F.first(F.least(n, m)).alias("n"))
-    return counted.where(F.col("c") >= enough(least_overlap(F.col("n")))).select("a", "b")
+    counted = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("c"), F.first(n).alias("n"), F.first(m).alias("m"))
+    bound = pair_overlap(F.col("n"), F.col("m")) - F.greatest(rest(F.col("n")), rest(F.col("m")))
+    return counted.where((F.col("c") >= enough(least_overlap(F.least("n", "m")))) & (F.col("c") >= bound)).select("a", "b")
+
+
+#: Bits of the filter that spares a join the rows without a partner; a constant of 256 KB, whatever the data.
+FILTER_BITS = 1 << 21
+
+
+def likely(column: str, wanted: DataFrame) -> Column:
+    """True for all values of ``column`` that are among those of ``wanted(column)``, and false for most others.
+
+    A bitmap of a fixed size over hashes: it never hides a partner, and where it fills up it merely lets more rows through to the join.
+    """
+    place = F.xxhash64(column).bitwiseAND(F.lit(FILTER_BITS - 1))
+    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    words = [0] * (FILTER_BITS // 64)
+    for at, word in wanted.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(bit)).collect():  # a row a word
+        words[at] = word
+    bits = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+    return F.getbit(F.get(bits, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def of_like_size(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` that pass the length filter by ``sizes(id, n)``."""
+    n = sizes.select(F.col("id").alias("a"), F.col("n").alias("_n"))
+    m = sizes.select(F.col("id").alias("b"), F.col("n").alias("_m"))
+    met = pairs.join(n, "a").join(m, "b")
+    return met.where((F.col("_n") * 100 >= F.col("_m") * LINK) & (F.col("_m") * 100 >= F.col("_n") * LINK)).select("a", "b")

@@ -82,7 +82,7 @@ def repeated_prints(merged: DataFrame, block_bits: int, name: str = "print") ->
     return merged.mapInPandas(read, f"{name} bigint, n bigint")
 
 
-def exact_duplicates(docs: DataFrame, block_bits: int = 10, bits: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:
+def exact_duplicates(docs: DataFrame, block_bits: int = 10, bits: int = 64, whole: bool = False) -> DataFrame:
     """``(doc_id, keep_id, group_size, kept, text_sha256)`` of every row of ``docs(doc_id, text)``.
 
     Every partition counts the 64-bit fingerprints of its texts in a quotient filter, the filters merge by
@@ -93,11 +93,11 @@ def exact_duplicates(docs: DataFrame, block_bits: int = 10, bits: int = 64, carr
     Null text counts as empty, null ``doc_id`` sorts first and stays only where its group has no other; rows that
     repeat text and ``doc_id`` are returned as often as they occur, and one of them is ``kept`` per occurrence
     of the largest id. An empty table gives no rows; columns besides ``doc_id`` and ``text`` are not looked at.
-    ``bits`` shortens the fingerprint, for tests of collisions; columns named in ``carry`` are returned too.
+    ``bits`` shortens the fingerprint, for tests of collisions; ``whole`` adds each row itself as ``document``.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     mark = F.xxhash64(text) if bits == 64 else F.shiftleft(F.xxhash64(text), 64 - bits)
-    rows = docs.select("doc_id", text.alias("_text"), mark.alias("_print"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
+    rows = docs.select("doc_id", text.alias("_text"), mark.alias("_print"), *([F.struct("*").alias("_document")] if whole else []))
     merged = merge_filters(quotient_filters(rows, "_print", block_bits), block_bits)
     repeated = repeated_prints(merged, block_bits, "_print").select("_print")
     texts = (
@@ -106,7 +106,7 @@ def exact_duplicates(docs: DataFrame, block_bits: int = 10, bits: int = 64, carr
         .agg(F.max("doc_id").alias("_keep"), F.count("*").alias("_size"))
         .select("_print", F.sha2("_text", 256).alias("_sha"), "_keep", "_size")
     )
-    narrow = rows.select("doc_id", "_print", F.sha2("_text", 256).alias("_sha"), *[f"_carry_{c}" for c in carry])
+    narrow = rows.select("doc_id", "_print", F.sha2("_text", 256).alias("_sha"), *(["_document"] if whole else []))
     joined = narrow.join(texts.withColumnsRenamed({"_print": "_p", "_sha": "_s"}), (F.col("_print") == F.col("_p")) & (F.col("_sha") == F.col("_s")), "left")
     keep = F.when(F.col("_size").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))
     return joined.select(
@@ -115,13 +115,12 @@ def exact_duplicates(docs: DataFrame, block_bits: int = 10, bits: int = 64, carr
         F.coalesce("_size", F.lit(1)).alias("group_size"),
         F.coalesce(F.col("doc_id").eqNullSafe(keep), F.lit(False)).alias("kept"),
         F.col("_sha").alias("text_sha256"),
-        *[F.col(f"_carry_{c}").alias(c) for c in carry],
+        *([F.col("_document").alias("document")] if whole else []),
     )
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each text, that of the largest ``doc_id``; of rows that repeat both, any one."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    kept = exact_duplicates(docs, carry=others).where("kept or keep_id is null")
+    kept = exact_duplicates(docs, whole=True).where("kept or keep_id is null")
     groups = kept.where("group_size > 1").dropDuplicates(["text_sha256"])
-    return kept.where("group_size = 1").unionByName(groups).select(*docs.columns)
+    return kept.where("group_size = 1").unionByName(groups).select("document.*")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.components import connected_components
-from treeline.llm.prefix_pairs import LINK, contested, cross_pairs, star_pairs
+from treeline.llm.prefix_pairs import LINK, contested, cross_pairs, drawn_pairs, likely, of_like_size, star_pairs
 from treeline.session import cut, release
 
 WORDS = 5
@@ -20,7 +20,9 @@ CHUNK = 1 << 12
 #: Words that a task hashes at a time.
 WORDS_AT_ONCE = 1 << 21
 #: One common short list more is asked for per so many shingles that have to be shared.
-SPARE = 64
+SPARE = 16
+#: Rounds that draw a partner from each list, before all pairs between components are taken.
+DRAWS = 2
 
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -139,7 +141,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     rows.append((key, found.tobytes()))
             yield pd.DataFrame(rows, columns=["id", "items"])
 
-    texts = docs.select(F.col("doc_id").alias("_doc"), "text").join(wanted, F.col("_doc").eqNullSafe(F.col("doc_id"))).select("id", "n", "one", "two", "text")
+    texts = docs.where(likely("doc_id", wanted)).select(F.col("doc_id").alias("_doc"), "text").join(wanted, F.col("_doc").eqNullSafe(F.col("doc_id"))).select("id", "n", "one", "two", "text")
     return texts.mapInPandas(read, "id bigint, items binary").dropDuplicates(["id"])
 
 
@@ -160,6 +162,17 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return with_x.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y").mapInPandas(probe, "a bigint, b bigint")
 
 
+def verified(docs: DataFrame, pairs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The pairs that link, on the whole sets of the classes that occur in them."""
+    pairs = cut(pairs)
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    chosen = cut(wanted.join(needed, "id", "left_semi"))
+    sets = cut(whole_sets(docs, chosen))
+    links = cut(linked(pairs, sets))
+    release(sets, chosen, pairs)
+    return links
+
+
 def joined_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows ``(row, doc_id, mark, n, one, two)`` and the classes ``(n, one, two, component, component_id)`` of :func:`near_copies`."""
     profile = cut(profiles(docs, shingle_counts(docs, "text")).withColumn("row", F.monotonically_increasing_id()))
@@ -170,31 +183,21 @@ def joined_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     postings = firsts.select("id", "n", F.posexplode("lists").alias("pos", "token"))
     lists = contested(postings)
     wanted = firsts.drop("lists")
-    link_tables, sets = [], None
-    components = None
-    for step in ("first", "last", "all"):
-        if components is None:
-            here = lists
+    stars = star_pairs(lists, "first", spare).unionByName(star_pairs(lists, "last", spare)).distinct()
+    links = verified(docs, of_like_size(stars, classes), wanted)
+    for draw in range(DRAWS + 1):
+        components = cut(connected_components(links))
+        here = lists.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        spans = here.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("token")
+        here = cut(here.join(spans, "token", "left_semi"))
+        if draw < DRAWS:
+            pairs = drawn_pairs(here, "component", draw)
         else:
-            known = components.withColumnRenamed("node", "id")
-            here = lists.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            spans = here.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("token")
-            here = cut(here.join(spans, "token", "left_semi"))
-        if step == "all":
             pairs = cross_pairs(here, lambda x, y: F.col(f"{x}.component") != F.col(f"{y}.component"), spare)
-        else:
-            pairs = star_pairs(here, step, spare)
-        pairs = cut(pairs)
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = cut(whole_sets(docs, wanted.join(needed, "id", "left_semi")))
-        link_tables.append(cut(linked(pairs, sets)))
-        release(sets, pairs)
-        if components is not None:
-            release(here, components)
-        every = link_tables[0]
-        for more in link_tables[1:]:
-            every = every.unionByName(more)
-        components = cut(connected_components(every))
+        links = links.unionByName(verified(docs, pairs, wanted))
+        release(here, components)
+    components = cut(connected_components(links))
+    release(lists)
     joined = classes.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     return profile, joined.join(named, "component").select(*set_key, "component", "component_id")
@@ -209,8 +212,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     frequent rest, whose long lists would only be probed. Candidates that reach the count are verified on
     their whole sets by binary probing.
 
-    Lists are merged in three rounds. Two pair each class with the first and the last of its lists, which is linear
-    and connects groups of copies of any size. The third takes all pairs that are still in different components, within
+    Lists are merged in rounds. The first pairs each class with the first and the last of its lists, the next draw a partner of another component from each list;
+    these are linear and connect groups of near copies of any size. The last takes all pairs that are still in different components, within
     lists that span several: a list of one large group of near copies has none left. No link between components is lost, and none within one is needed.
 
     Null and blank texts have no shingles and link with nothing. Rows that repeat a ``doc_id`` are rows of their own, linked by their
