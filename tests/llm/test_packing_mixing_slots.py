@@ -182,7 +182,8 @@ def test_map_versions(spark):
     before = {r.doc_id: r.shard for r in sharded(docs, shards=4, slots=256, place=place).collect()}
     after = {r.doc_id: r.shard for r in sharded(docs, shards=5, slots=256, place=place).collect()}
     moved = [i for i in before if before[i] != after[i]]
-    assert moved and all(after[i] == 4 for i in moved) and len(moved) < 120
+    # most moves fill the new shard, the others even the old ones out
+    assert 0.8 * len(moved) <= sum(after[i] == 4 for i in moved) and 40 < len(moved) < 120
     assert load_map(spark, place).select("version").distinct().first()[0] == 2
     assert load_map(spark, place, 0).count() == 256
 

@@ -244,8 +244,9 @@ def wrappers(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
     """
     named = pages.select("page_id", "url", url_host(F.col("url")).alias("host"))
     order = Window.partitionBy("host").orderBy(F.xxhash64("page_id", "url"), "page_id", "url")
-    chosen = named.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample).select(F.col("page_id").alias("_p"), F.col("url").alias("_u"), "host")
-    html = pages.join(chosen, F.col("page_id").eqNullSafe(F.col("_p")) & F.col("url").eqNullSafe(F.col("_u")), "inner").select("host", "html").distinct()
+    chosen = named.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample).select(F.col("page_id").alias("_p"), F.col("url").alias("_u"), F.col("host").alias("_host"))
+    same = F.col("page_id").eqNullSafe(F.col("_p")) & F.col("url").eqNullSafe(F.col("_u"))
+    html = pages.join(chosen, same).select(F.col("_host").alias("host"), "html").distinct()
 
     def induce(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         template, slots = induced(sorted(x or "" for x in frame["html"])[:sample])
