@@ -207,7 +207,7 @@ ORACLE = {
         SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id, parent ORDER BY is_dir DESC, created DESC, lower(name) DESC, name DESC) AS rn, created,
                ' (' || {SIZE_LABEL.format("size")} || '; created: ' || created || '; modified: ' || modified || ')' AS label FROM nodes""",
     "binary_files": f"""WITH {DOC} SELECT repo_id, path,
-        lower(regexp_extract(name, '[^.](\\.[^.]*)$', 1)) IN ('.png', '.gz', '.pyc') OR contains(left(text, 65536), chr(0)) AS is_binary FROM doc""",
+        lower(regexp_extract(name, '[^.](\\.[^.]*)$', 1)) IN ('.png', '.gz', '.pyc') OR contains(text, chr(0)) AS is_binary FROM doc""",
     "rule_verdicts": f"WITH {JUDGED} SELECT repo_id, path, is_ignored, is_binary FROM judged",
     "removed_files": f"WITH {JUDGED} SELECT repo_id, path, reason, binary_extension FROM judged WHERE is_ignored",
     "files_within_level": f"""WITH {PAGE}

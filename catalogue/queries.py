@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from importlib.util import find_spec
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -441,16 +440,3 @@ def running_totals(spark, folder):
 
     _drain(running.writeStream.outputMode("complete").foreachBatch(save), f"{place}/state")
     return spark.read.schema(running.schema).parquet(f"{place}/totals")
-
-
-if find_spec("public_tokenizers") and find_spec("tiktoken"):
-
-    @query
-    def vocabulary_counts(spark, folder):
-        """Tokens of a byte-pair vocabulary for the kept documents; there is no SQL for it."""
-        import public_tokenizers
-
-        model = tokens.byte_pair_model(spark, "gpt-2", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-        select = project.Selection(USER_RULES, models=["gpt-2"], vocabulary_models=[model], read_ignore_files=False)
-        kept = project.kept_files(corpora.documents(spark, folder), select)
-        return tokens.unpivot_counts(kept, ["repo_id", "path"], [model])

@@ -45,7 +45,9 @@ def test_readers(corpus):
 
 def test_size_cap(corpus):
     files = corpus({"at": b"a" * MAX_BYTES, "above": b"a" * (MAX_BYTES + 1), "above.png": b"a" * (MAX_BYTES + 1)})
-    got = {r.path: r.n for r in contents.with_text(files).select("path", F.length("text").alias("n")).collect()}
+    whole = {r.path: r.n for r in contents.with_text(files).select("path", F.length("text").alias("n")).collect()}
+    assert whole["above"] == MAX_BYTES + 1 and whole["above.png"] > 0
+    got = {r.path: r.n for r in contents.with_text(files, max_bytes=MAX_BYTES).select("path", F.length("text").alias("n")).collect()}
     assert got == {"at": MAX_BYTES, "above": 0, "above.png": 0}
     assert texts(corpus({"a": "123", "b": "1234"}), max_bytes=3) == {"a": "123", "b": ""}
 
@@ -96,30 +98,3 @@ def test_totals_add_up_per_file_counts(project):
     assert {r.model: r.n for r in tokens.totals(wide, models).collect()} == {"chars-4": 21, "chars-1": 77}
     maps = {r.path: r.t for r in wide.select("path", tokens.token_map(models).alias("t")).collect()}
     assert maps["README.md"] == {"chars-4": 3, "chars-1": 11}
-
-
-def test_vocabulary_models(spark, corpus):
-    public = pytest.importorskip("public_tokenizers")
-    tiktoken, sentencepiece = pytest.importorskip("tiktoken"), pytest.importorskip("sentencepiece")
-    import base64
-
-    bpe = tokens.byte_pair_model(spark, "gpt-2", public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
-    piece = tokens.piece_model(spark, "gemini-1.0-pro-001", public.path("piece_bpe_32k.model"))
-    models = tokens.token_models(["gpt-2", "chars-2", "gemini-1.0-pro-001"], [bpe, piece])
-    files = {"a": "Hello, world! Ünïcode 123\n" * 50, "b": "x", "e": ""}
-    got = {(r.path, r.model): r.n for r in tokens.token_counts(contents.with_text(corpus(files)), models).collect()}
-    pairs = (line.split() for line in open(public.path("byte_bpe_50k.tiktoken"), "rb"))
-    own = tiktoken.Encoding("x", pat_str=public.PATTERN, mergeable_ranks={base64.b64decode(t): int(r) for t, r in pairs}, special_tokens={})
-    pieces = sentencepiece.SentencePieceProcessor(model_file=public.path("piece_bpe_32k.model"))
-    for path in ("a", "b"):
-        assert got[path, "gpt-2"] == len(own.encode(files[path]))
-        assert got[path, "gemini-1.0-pro-001"] == len(pieces.encode(files[path]))
-    assert not any(path == "e" for path, _ in got)
-
-
-def test_vocabulary_size_is_checked(spark, tmp_path, monkeypatch):
-    file = tmp_path / "v.tiktoken"
-    file.write_bytes(b"IQ== 0\n" * 10)
-    monkeypatch.setattr(tokens, "MAX_VOCABULARY_BYTES", 10)
-    with pytest.raises(ValueError):
-        tokens.byte_pair_model(spark, "gpt-x", str(file), ".")

@@ -45,7 +45,7 @@ def test_xml_document(project):
 
 
 def test_structure_only(project):
-    assert document(summarize(project, only_structure=True)) == f"Project Structure:\n```\n{DRAWN}```\n\n"
+    assert document(summarize(project, only_structure=True)) == f"Project Structure:\n```\n{DRAWN}```\n"
 
 
 def rendered(spark, look, rows):
@@ -118,7 +118,8 @@ def test_written_bundles(spark, corpus, tmp_path):
         parts = sorted(Path(tmp_path / "out" / f"repo_id={repo}").glob("part-*"))
         assert "".join(p.read_text() for p in parts) == document(rows, repo)
     assert document(rows, "r2").endswith("## only.md\n\n```\na\n\nb\n```\n\n")
-    assert not (tmp_path / "out" / "repo_id=r3").exists()
+    # a repository of which nothing is kept has its root and no sections
+    assert document(rows, "r3") == "Project Structure:\n```\n.\n```\n"
 
 
 def test_a_split_repository_gives_the_same_document(corpus):

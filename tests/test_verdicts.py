@@ -87,7 +87,7 @@ def test_binary_sample(corpus):
         }
     )
     rows = verdict(files)
-    assert {p for p, r in rows.items() if r.is_binary} == {"last", "unreadable", "UP.PNG", "x.tar.gz"}
+    assert {p for p, r in rows.items() if r.is_binary} == {"last", "beyond", "unreadable", "UP.PNG", "x.tar.gz"}
 
 
 def test_own_detector(corpus):

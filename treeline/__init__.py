@@ -2,7 +2,7 @@
 
 from treeline.operators.rules import DEFAULT_RULES, compile_rule, ignore_file_rules
 from treeline.operators.sections import write_bundles
-from treeline.operators.tokens import byte_pair_model, piece_model, token_models
+from treeline.operators.tokens import TokenModel, token_models
 from treeline.operators.verdicts import RuleSet, disposition, judge
 from treeline.plans.project import Selection, ignore_report, kept_files, show_tree, summarize, token_totals
 from treeline.sources.directory import read_tree
@@ -12,7 +12,7 @@ __all__ = [
     "DEFAULT_RULES",
     "RuleSet",
     "Selection",
-    "byte_pair_model",
+    "TokenModel",
     "compile_rule",
     "conflicts",
     "disposition",
@@ -22,7 +22,6 @@ __all__ = [
     "judge",
     "kept_files",
     "one_per_path",
-    "piece_model",
     "read_tree",
     "show_tree",
     "summarize",

@@ -1,4 +1,4 @@
-"""Binary or text, decided from the name and the first 64 KiB."""
+"""Binary or text, decided from the name and the bytes."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from treeline.functions import paths
 
-#: Bytes looked at for a NUL.
+#: A usual length of a sample, 64 KiB.
 SAMPLE_BYTES = 65536
 
 # Extensions that mean binary whatever the content is.
@@ -37,11 +37,11 @@ BINARY_EXTENSIONS = (
 )
 
 
-def is_binary(path: Column, content: Column) -> Column:
-    """Unreadable (NULL content), a listed extension, or a NUL byte in the sample.
+def is_binary(path: Column, content: Column, sample_bytes: int | None = None) -> Column:
+    """Unreadable (NULL content), a listed extension, or a NUL byte: anywhere, or in the first ``sample_bytes`` if given.
 
     An empty file is text, and so is anything else: no other property of the bytes changes the answer.
     """
     listed = F.lower(paths.split_extension(path)).isin(*BINARY_EXTENSIONS)
-    head = F.substring(content, 1, SAMPLE_BYTES)
+    head = content if sample_bytes is None else F.substring(content, 1, sample_bytes)
     return listed | content.isNull() | F.coalesce(F.contains(head, F.lit(b"\x00")), F.lit(False))

@@ -14,7 +14,7 @@ from treeline.functions.text import binary_placeholder, decode_text, let, notebo
 from treeline.operators import binary
 from treeline.operators.rules import is_ignore_file
 
-#: Largest file whose content is read, in bytes; a file of exactly this size still is.
+#: A usual limit for ``max_bytes``, 5 MiB; a file of exactly this size still is read. None is set unless the caller names one.
 MAX_BYTES = 5 * 1024 * 1024
 
 
@@ -53,20 +53,22 @@ PLAIN = Reader(
 READERS = (NOTEBOOK, BINARY, PLAIN)
 
 
-def text_column(readers: Sequence[Reader] = READERS, max_bytes: int = MAX_BYTES) -> Column:
-    """Text of a file, ``''`` for none. Files above ``max_bytes`` have none, binaries included."""
+def text_column(readers: Sequence[Reader] = READERS, max_bytes: int | None = None) -> Column:
+    """Text of a file, ``''`` for none. With ``max_bytes``, larger files have none, binaries included."""
     *first, last = readers
     # What the last reader gives is final, empty or not, and needs no second look.
     found = [F.when(r.reads(), r.found()) for r in first] + [F.when(last.reads(), last.text())]
-    return F.when(F.col("size") <= max_bytes, F.coalesce(*found, F.lit(""))).otherwise(F.lit(""))
+    text = F.coalesce(*found, F.lit(""))
+    return text if max_bytes is None else F.when(F.col("size") <= max_bytes, text).otherwise(F.lit(""))
 
 
-def has_text_column(readers: Sequence[Reader] = READERS, max_bytes: int = MAX_BYTES) -> Column:
+def has_text_column(readers: Sequence[Reader] = READERS, max_bytes: int | None = None) -> Column:
     """Whether :func:`text_column` gives anything. Filters on it may run below the text itself."""
-    return (F.col("size") <= max_bytes) & reduce(Column.__or__, [r.has_text() for r in readers])
+    filled = reduce(Column.__or__, [r.has_text() for r in readers])
+    return filled if max_bytes is None else (F.col("size") <= max_bytes) & filled
 
 
-def with_text(files: DataFrame, readers: Sequence[Reader] = READERS, max_bytes: int = MAX_BYTES) -> DataFrame:
+def with_text(files: DataFrame, readers: Sequence[Reader] = READERS, max_bytes: int | None = None) -> DataFrame:
     """Adds ``has_text`` and ``text``; needs ``path, content, size`` and adds ``is_binary`` if missing."""
     if "is_binary" not in files.columns:
         files = files.withColumn("is_binary", binary.is_binary(F.col("path"), F.col("content")))
@@ -77,7 +79,7 @@ def measure(
     files: DataFrame,
     models: Sequence = (),
     readers: Sequence[Reader] = READERS,
-    max_bytes: int = MAX_BYTES,
+    max_bytes: int | None = None,
     detector: Callable[[Column, Column], Column] = binary.is_binary,
 ) -> DataFrame:
     """Everything the other jobs want to know about content, from one pass over it.

@@ -58,13 +58,19 @@ def crowded_directories(folders: DataFrame, rows_per_key: int) -> DataFrame:
     return folders.where(F.col("n_files") > rows_per_key).select("repo_id", "path", pieces)
 
 
-def nodes(files: DataFrame, sums: Sequence[str] = ("size",), folders: DataFrame | None = None) -> DataFrame:
+def nodes(files: DataFrame, sums: Sequence[str] = ("size",), folders: DataFrame | None = None, repositories: DataFrame | None = None) -> DataFrame:
     """Files and directories as one table: ``repo_id, path, parent, name, depth, is_dir, extension, ...``.
 
-    The root of a repository is the path ``''``; its parent is NULL.
+    The root of a repository is the path ``''``; its parent is NULL. ``repositories(repo_id)`` adds an empty root of size 0 for those without files.
     """
     folders = directories(files, sums) if folders is None else folders
     names = _measures(files, sums)[1]
+    if repositories is not None:
+        bare = repositories.join(folders.where("path = ''").select("repo_id"), "repo_id", "left_anti")
+        size = [F.lit(0 if c == "size" else None).cast(folders.schema[c].dataType).alias(c) for c in names]
+        folders = folders.select("repo_id", "path", "n_files", *[f"`{c}`" for c in names]).unionByName(
+            bare.select("repo_id", F.lit("").alias("path"), F.lit(0).cast("bigint").alias("n_files"), *size)
+        )
     measures = [F.col(f"`{c}`") for c in names]
     path = F.col("path")
     both = folders.select("repo_id", "path", F.lit(True).alias("is_dir"), "n_files", *measures).unionByName(

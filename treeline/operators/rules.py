@@ -221,8 +221,8 @@ def _file_rules(base: str, text: str | None) -> list[dict]:
         mark, body = ("!", line[1:]) if line.startswith("!") else ("", line)
         try:
             rule = compile_rule(f"{mark}{base}/{body}" if base else mark + body)
-        except ValueError:
-            continue
+        except ValueError as error:
+            raise ValueError(f"rule {line!r} in the ignore file of {base or '.'!r}: {error}") from error
         if rule is not None:
             found.append(rule._asdict())
     return found

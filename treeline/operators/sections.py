@@ -25,6 +25,8 @@ class Layout:
     section: Callable[[], Column]
     foot: str | None = None
     numbered: bool = False
+    #: In place of ``after_tree`` in a document without sections.
+    after_lone_tree: str | None = None
 
 
 def _dates(opening: str, closing: str, created: str, modified: str) -> Column:
@@ -59,7 +61,9 @@ def text_layout(delimiter: str = FENCE, replacement: str = "'''") -> Layout:
             F.lit(f"\n{delimiter}\n\n"),
         )
 
-    return Layout(f"Project Structure:\n{delimiter}\n", lambda line: line, f"{delimiter}\n\n", section)
+    return Layout(
+        f"Project Structure:\n{delimiter}\n", lambda line: line, f"{delimiter}\n\n", section, after_lone_tree=f"{delimiter}\n"
+    )
 
 
 def xml_layout() -> Layout:
@@ -142,7 +146,14 @@ def bundle_rows(lines: DataFrame, parts: DataFrame | None, look: Layout) -> Data
         return F.struct(place.alias("place"), (F.lit(chunk) if isinstance(chunk, str) else chunk).alias("chunk"))
 
     line = piece(F.concat(at(1), "place"), F.concat(look.tree_line(F.col("line")), F.lit("\n")))
-    fixed = [piece(at(0), look.head), piece(at(2), look.after_tree)]
+    after_tree = F.lit(look.after_tree)
+    if look.after_lone_tree is not None:
+        if parts is None:
+            after_tree = F.lit(look.after_lone_tree)
+        else:
+            lines = lines.join(parts.select("repo_id", F.lit(True).alias("_sections")).distinct(), "repo_id", "left")
+            after_tree = F.when(F.col("_sections"), look.after_tree).otherwise(look.after_lone_tree)
+    fixed = [piece(at(0), look.head), piece(at(2), after_tree)]
     if look.foot:
         fixed.append(piece(at(4), look.foot))
     # The root's line brings the fixed pieces of its document along.

@@ -4,17 +4,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from pathlib import Path
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Largest vocabulary file that is broadcast to the executors, in bytes.
-MAX_VOCABULARY_BYTES = 64 * 1024 * 1024
-
 # Name prefixes and what serves them.
 BYTE_PAIR_PREFIXES = ("gpt-", "o1-")
 PIECE_PREFIXES = ("gemini-", "palm-")
@@ -51,54 +46,8 @@ def ratio_model(name: str) -> TokenModel:
     return TokenModel(name, lambda text: F.ceil(F.length(text) / F.lit(ratio)).cast("bigint"), True)
 
 
-def _vocabulary(spark: SparkSession, file: str):
-    size = Path(file).stat().st_size
-    if size > MAX_VOCABULARY_BYTES:
-        raise ValueError(f"vocabulary {file} has {size} bytes, more than {MAX_VOCABULARY_BYTES}")
-    return spark.sparkContext.broadcast(Path(file).read_bytes())
-
-
-def byte_pair_model(spark: SparkSession, name: str, ranks_file: str, pattern: str, special: Mapping[str, int] | None = None) -> TokenModel:
-    """Byte-pair counts from a rank file (``base64-token rank`` lines) and a split pattern.
-
-    A text that holds one of the ``special`` token strings fails the job, as counting it is ambiguous.
-    """
-    ranks = _vocabulary(spark, ranks_file)
-    special = dict(special or {})
-
-    @F.pandas_udf("bigint")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import base64
-
-        import tiktoken
-
-        pairs = (line.split() for line in ranks.value.splitlines() if line)
-        encoding = tiktoken.Encoding(
-            name, pat_str=pattern, mergeable_ranks={base64.b64decode(t): int(r) for t, r in pairs}, special_tokens=special
-        )
-        for texts in batches:
-            yield texts.map(lambda t: None if t is None else len(encoding.encode(t))).astype("Int64")
-
-    return TokenModel(name, count)
-
-
-def piece_model(spark: SparkSession, name: str, model_file: str) -> TokenModel:
-    """Counts from a sentencepiece model file."""
-    model = _vocabulary(spark, model_file)
-
-    @F.pandas_udf("bigint")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import sentencepiece
-
-        processor = sentencepiece.SentencePieceProcessor(model_proto=model.value)
-        for texts in batches:
-            yield texts.map(lambda t: None if t is None else len(processor.encode(t))).astype("Int64")
-
-    return TokenModel(name, count)
-
-
 def token_models(names: Sequence[str], extra: Sequence[TokenModel] = ()) -> list[TokenModel]:
-    """Models by name, checked before any job starts. Names that need a vocabulary come through ``extra``."""
+    """Models by name, checked before any job starts. Others than ``chars-R`` come through ``extra``: a name and an expression."""
     known = {m.name: m for m in extra}
     models = []
     for name in names:
@@ -107,9 +56,9 @@ def token_models(names: Sequence[str], extra: Sequence[TokenModel] = ()) -> list
         elif name.startswith(RATIO_PREFIX):
             models.append(ratio_model(name))
         elif name.startswith(BYTE_PAIR_PREFIXES):
-            raise ValueError(f"{name!r} needs byte_pair_model() with its vocabulary")
+            raise ValueError(f"{name!r} needs a TokenModel of yours, given as extra")
         elif name.startswith(PIECE_PREFIXES):
-            raise ValueError(f"{name!r} needs piece_model() with its vocabulary")
+            raise ValueError(f"{name!r} needs a TokenModel of yours, given as extra")
         elif name.startswith(REMOTE_PREFIXES):
             raise ValueError(f"{name!r} is counted by a remote service only, which jobs do not call")
         else:

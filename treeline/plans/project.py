@@ -28,10 +28,10 @@ class Selection:
     keep: str = "included"
     level: int | None = None
     models: Sequence[str] = ()
-    vocabulary_models: Sequence[TokenModel] = ()
+    own_models: Sequence[TokenModel] = ()
     include_dates: bool = False
     commits: DataFrame | None = None
-    max_bytes: int = contents.MAX_BYTES
+    max_bytes: int | None = None
     #: Write narrow rows to the checkpoint folder where a job uses them several times, so that contents
     #: are read once. Off, everything stays one lazy plan that reads them again for each use.
     materialise: bool = True
@@ -40,7 +40,7 @@ class Selection:
         return cut(df) if self.materialise else df
 
     def token_models(self) -> list[TokenModel]:
-        return token_models(self.models, self.vocabulary_models)
+        return token_models(self.models, self.own_models)
 
 
 def judged_files(files: DataFrame, select: Selection) -> DataFrame:
@@ -72,8 +72,9 @@ def kept_files(files: DataFrame, select: Selection) -> DataFrame:
     return dates.with_dates(kept, select.commits) if select.include_dates else kept
 
 
-def _nodes(kept: DataFrame, models: Sequence[TokenModel]) -> DataFrame:
-    return rollup.nodes(kept, ["size", *[m.column for m in models]])
+def _nodes(kept: DataFrame, models: Sequence[TokenModel], files: DataFrame) -> DataFrame:
+    """Nodes of the kept files; a repository of which none is kept has its root all the same."""
+    return rollup.nodes(kept, ["size", *[m.column for m in models]], repositories=files.select("repo_id").distinct())
 
 
 def show_tree(
@@ -83,7 +84,7 @@ def show_tree(
     """The drawn tree with sizes, token counts and dates: ``repo_id, path, place, line``."""
     models = select.token_models()
     tree.sibling_order(sort_by, models, select.include_dates)  # fails before any job starts
-    return tree.tree_lines(_nodes(select.settle(kept_files(files, select)), models), sort_by, show_stats, models, rows_per_key)
+    return tree.tree_lines(_nodes(select.settle(kept_files(files, select)), models, files), sort_by, show_stats, models, rows_per_key)
 
 
 def summarize(
@@ -101,7 +102,7 @@ def summarize(
     models = select.token_models()
     tree.sibling_order(sort_by, models, select.include_dates)
     kept = select.settle(kept_files(files, select))
-    lines = tree.tree_lines(_nodes(kept, models), sort_by, False, models, rows_per_key)
+    lines = tree.tree_lines(_nodes(kept, models, files), sort_by, False, models, rows_per_key)
     if only_structure:
         return sections.bundle_rows(lines, None, look)
     narrow = [c for c in (*KEYS, "created", "modified") if c in kept.columns]

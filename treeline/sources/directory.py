@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.operators.binary import SAMPLE_BYTES
-from treeline.operators.contents import MAX_BYTES
 from treeline.session import cut
 
 #: Names per batch that a listing task hands on.
@@ -43,8 +42,8 @@ def _list_level(root: str):
                         yield path, False
                     elif not entry.is_symlink():
                         yield path, True
-        except OSError:
-            return
+        except OSError as error:
+            raise OSError(f"directory {directory or root!r} cannot be listed on this executor: {error}") from error
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         batch: list[tuple[str, bool]] = []
@@ -60,39 +59,40 @@ def _list_level(root: str):
     return run
 
 
-def _reader(root: str, content: str, max_bytes: int):
+def _reader(root: str, content: str, max_bytes: int | None):
     def moment(seconds: float | None):
         return None if seconds is None else datetime.fromtimestamp(seconds, timezone.utc)
 
     def read(path: str) -> dict:
         full = os.path.join(root, path)
-        row = {"path": path, "size": 0, "mtime": None, "birthtime": None, "content": None}
+        row = {"path": path, "size": 0, "mtime": None, "birthtime": None, "content": None, "head": None}
         try:
             stat = os.stat(full)
             row.update(size=stat.st_size, mtime=moment(stat.st_mtime), birthtime=moment(getattr(stat, "st_birthtime", None)))
         except OSError:
             return row
-        if content != "none":
-            # Above the limit only the sample that decides about binary is wanted.
-            wanted = SAMPLE_BYTES if content == "head" or stat.st_size > max_bytes else max(stat.st_size, 1)
+        whole = content == "full" and (max_bytes is None or stat.st_size <= max_bytes)
+        if whole or content == "head":
             try:
                 with open(full, "rb") as file:
-                    row["content"] = file.read(wanted)
+                    row["content" if whole else "head"] = file.read() if whole else file.read(SAMPLE_BYTES)
             except OSError:
                 pass
         return row
 
+    columns = list(_columns(content))
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[dict] = []
         held = 0
         for frame in frames:
             for path in frame["path"]:
                 rows.append(read(path))
-                held += len(rows[-1]["content"] or b"")
+                held += len(rows[-1]["content"] or rows[-1]["head"] or b"")
                 if len(rows) == BATCH or held > BATCH_BYTES:
-                    yield pd.DataFrame(rows, columns=list(_COLUMNS))
+                    yield pd.DataFrame(rows, columns=columns)
                     rows, held = [], 0
-        yield pd.DataFrame(rows, columns=list(_COLUMNS))
+        yield pd.DataFrame(rows, columns=columns)
 
     return run
 
@@ -100,6 +100,10 @@ def _reader(root: str, content: str, max_bytes: int):
 _COLUMNS = {"path": "string", "size": "bigint", "mtime": "timestamp", "birthtime": "timestamp", "content": "binary"}
 
 
+def _columns(content: str) -> dict[str, str]:
+    return _COLUMNS | ({"head": "binary"} if content == "head" else {})
+
+
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
     """``path`` of every file below ``root``, relative, hidden and ignored ones included.
 
@@ -118,16 +122,16 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_tree(
-    spark: SparkSession, root: str, repo_id: str, content: str = "full", max_bytes: int = MAX_BYTES, tasks: int | None = None
+    spark: SparkSession, root: str, repo_id: str, content: str = "full", max_bytes: int | None = None, tasks: int | None = None
 ) -> DataFrame:
     """The corpus table of one directory tree: ``repo_id, path, size, mtime, birthtime, content``.
 
-    ``content`` is ``none`` (sizes and times), ``head`` (the first 64 KiB, enough for the binary test) or
-    ``full``. Unreadable files have size 0 or NULL content.
+    ``content`` is ``none`` (sizes and times), ``head`` (the first 64 KiB, in a column ``head`` of its own) or ``full``: the whole
+    content, or NULL for unreadable files and those above ``max_bytes``, never a part. A root or directory that an executor cannot list fails the run.
     """
     if content not in ("none", "head", "full"):
         raise ValueError(f"content must be none, head or full, not {content!r}")
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = ", ".join(f"{name} {kind}" for name, kind in _COLUMNS.items())
+    schema = ", ".join(f"{name} {kind}" for name, kind in _columns(content).items())
     dealt = list_tree(spark, root).repartition(tasks, F.xxhash64("path"))
     return dealt.mapInPandas(_reader(root, content, max_bytes), schema).select(F.lit(repo_id).alias("repo_id"), "*")

@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
-    """Commits from the text of ``git log --reverse --name-only --format=%x01%aI``.
+    """Commits from the text of ``git log -z --reverse --name-only --format=%x01%aI``.
+
+    ``-z`` separates paths by NUL and leaves them as they are; without it they are one per line, and git puts names with special
+    characters in quotes, which fails here rather than losing them.
 
     ``lines`` holds ``repo_id, log``: any number of rows per repository, each a whole number of commits,
     with ``log_ord`` numbering them. A commit starts with the mark and its author date; the paths it
-    touches follow, one per line.
+    touches follow.
     """
-    commit = lines.select("repo_id", "log_ord", F.posexplode(F.split("log", "\x01")).alias("nth", "commit")).where(F.trim("commit") != "")
+    commit = lines.select("repo_id", "log_ord", F.posexplode(F.split(F.translate("log", "\0", "\n"), "\x01")).alias("nth", "commit")).where(F.trim("commit") != "")
     rows = commit.select(
         "repo_id",
         F.struct("log_ord", "nth").alias("commit_ord"),
         F.trim(F.substring_index("commit", "\n", 1)).alias("author_date"),
         F.explode(F.filter(F.slice(F.split("commit", "\n"), 2, 1 << 30), lambda p: p != "")).alias("path"),
     )
-    return rows.select("repo_id", "path", "commit_ord", "author_date")
+    quoted = F.col("path").startswith('"') & F.col("path").endswith('"')
+    fails = F.raise_error(F.concat(F.lit("quoted path in a log that was written without -z: "), "path")).cast("string")
+    return rows.withColumn("path", F.when(quoted, fails).otherwise(F.col("path"))).select("repo_id", "path", "commit_ord", "author_date")

@@ -22,7 +22,7 @@ def arrivals(spark: SparkSession, folder: str, schema: StructType | str, files_p
 
 def stream_contents(
     stream: DataFrame, rules: verdicts.RuleSet, models: Sequence[TokenModel] = (), include_binary: bool = False,
-    keep: str = "included", level: int | None = None,
+    keep: str = "included", level: int | None = None, max_bytes: int | None = None,
 ) -> DataFrame:
     """Kept files with text and token counts, one pass and no state.
 
@@ -32,7 +32,7 @@ def stream_contents(
     if rules.ignore_files is not None:
         raise ValueError("ignore files need each_batch()")
     judged = verdicts.judge(verdicts.within_level(stream, level), rules, include_binary)
-    texts = contents.with_text(verdicts.disposition(judged, keep))
+    texts = contents.with_text(verdicts.disposition(judged, keep), max_bytes=max_bytes)
     return with_counts(texts.where("has_text"), models)
 
 
