@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: The sample that is learned from: so many rows per language, and so many characters of each.
 SAMPLE_ROWS = 512
 SAMPLE_CHARS = 1024
+#: A language's rows are ranked in so many parts before the sample is chosen among the parts' first.
+PARTS = 64
 #: Bytes of a dictionary at most.
 DICTIONARY_BYTES = 120_000
 #: Texts are compressed in blocks of so many characters, since far into a text a compressor knows it better than any dictionary.
@@ -42,7 +44,10 @@ def learn(docs: DataFrame, training: Column) -> dict[str, bytes]:
     rows = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     first = Window.partitionBy("_lang").orderBy("_h", "_id")
     mark = F.xxhash64(F.col("doc_id"), F.lit("sample"))
-    chosen = rows.select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id"), mark.alias("_h")).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= SAMPLE_ROWS)
+    marked = rows.select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id"), mark.alias("_h")).withColumn("_part", F.pmod("_id", F.lit(PARTS)))
+    in_part = Window.partitionBy("_lang", "_part").orderBy("_h", "_id")  # first among a part of a language's rows, then among those
+    few = marked.withColumn("_r", F.row_number().over(in_part)).where(F.col("_r") <= SAMPLE_ROWS)
+    chosen = few.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= SAMPLE_ROWS)
     start = F.pmod(F.col("_h"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
     passage = F.substring(F.col("text"), start.cast("int"), F.lit(SAMPLE_CHARS))
     sample = rows.join(chosen, (F.col("lang") == F.col("_lang")) & (F.col("doc_id") == F.col("_id"))).groupBy("_lang", "_h", "_id").agg(F.min(passage).alias("_p"))
