@@ -24,6 +24,19 @@ def documents(spark: SparkSession, folder: str, *keep: str) -> DataFrame:
     return files_table(table(spark, folder, "documents"), F.col("source"), _doc_path(), F.col("text"), keep)
 
 
+def rare_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents by turns emptied, with other line ends, fenced, with an end of CDATA, and with a NUL byte at the end."""
+    turn, text = F.col("doc_id") % 5, F.col("text")
+    edited = (
+        F.when(turn == 0, F.lit(""))
+        .when(turn == 1, F.concat(text, F.lit("\r\nx\ry")))
+        .when(turn == 2, F.concat(F.lit("```"), text, F.lit("\n```")))
+        .when(turn == 3, F.concat(text, F.lit("]]>")))
+        .otherwise(F.concat(text, F.lit("\0")))
+    )
+    return files_table(table(spark, folder, "documents"), F.col("source"), _doc_path(), edited)
+
+
 def documents_with_ignore_files(spark: SparkSession, folder: str) -> DataFrame:
     """The documents, and in every language folder and root an ignore file."""
     docs = documents(spark, folder)

@@ -231,9 +231,11 @@ ORACLE = {
         SELECT repo_id, line::INT AS line, file, reason, is_binary, patterns FROM r WHERE line <= 20
         UNION ALL SELECT DISTINCT repo_id, 21, '... and ' || (n - 20) || ' more', '', NULL, '' FROM r WHERE n > 20""",
     "pattern_strings": f"""WITH {JUDGED}, h AS (SELECT repo_id, arg_min(origin, origin_rank) AS origin, pattern FROM credits GROUP BY repo_id, pattern)
-        SELECT repo_id, origin, 0 AS chunk, string_agg(pattern, ',' ORDER BY pattern) AS patterns FROM h GROUP BY ALL""",
+        SELECT repo_id, origin, row_number() OVER g AS ordinal, CASE WHEN row_number() OVER g > 1 THEN ',' ELSE '' END || pattern AS patterns
+        FROM h WINDOW g AS (PARTITION BY repo_id, origin ORDER BY pattern)""",
     "extension_strings": f"""WITH {JUDGED}, x AS (SELECT DISTINCT repo_id, binary_extension AS e FROM judged WHERE is_binary)
-        SELECT repo_id, 0 AS chunk, string_agg('*' || e, ',' ORDER BY e) AS extensions FROM x GROUP BY repo_id""",
+        SELECT repo_id, row_number() OVER g AS ordinal, CASE WHEN row_number() OVER g > 1 THEN ',' ELSE '' END || '*' || e AS extensions
+        FROM x WINDOW g AS (PARTITION BY repo_id ORDER BY e)""",
     "extension_statistics": f"""WITH {DOC} SELECT repo_id, ['md', 'log', 'py', 'py', 'png', '', 'gz', 'ipynb', 'json', 'pyc', 'txt'][(doc_id % 11 + 1)::INT] AS extension,
         count(*) AS files, sum(size)::BIGINT AS bytes FROM doc GROUP BY ALL""",
     "text_sections": """WITH c AS (SELECT conv_id::VARCHAR AS repo_id, 'turn_' || lpad(turn::VARCHAR, 4, '0') || '_' || role || '.md' AS path, text FROM conversations WHERE text <> '')
@@ -368,3 +370,46 @@ f AS (SELECT repo_id, lang, split_part(dir, '/', 2) AS batch, name, path, size,
              ceil(length(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) / 4.0::DOUBLE)::BIGINT AS n4 FROM dated),
 {tree(["lang", "batch", "name"], "f", BY_MODIFIED, _LISTING_LABEL)}
 SELECT repo_id, path, place, line FROM drawn"""
+
+ORACLE["all_files"] = f"""WITH {JUDGED}
+    SELECT repo_id, path, is_ignored, reason, CASE WHEN is_ignored THEN 'removed' ELSE 'included' END AS part FROM judged"""
+
+# Each part of the whole report: its columns by name, between bars.
+_PARTS = {
+    "summary": ("ignore_summary", "category, count"),
+    "patterns": ("pattern_hits", "hits, origin, pattern"),
+    "binary_extensions": ("binary_extensions", "binary_extension, blocked, files"),
+    "ignored_files": ("first_ignored_files", "file, is_binary, line, patterns, reason"),
+    "pattern_strings": ("pattern_strings", "ordinal, origin, patterns"),
+    "extension_strings": ("extension_strings", "extensions, ordinal"),
+}
+
+
+def _whole_report() -> str:
+    rows = [f"SELECT repo_id, '{name}' AS part, concat_ws('|', {columns}) AS told FROM ({ORACLE[query]})" for name, (query, columns) in _PARTS.items()]
+    rows.append(f"""SELECT repo_id, 'extensions', concat_ws('|', sum(size)::BIGINT, extension, count(*)) FROM (WITH {JUDGED}
+        SELECT *, ['md', 'log', 'py', 'py', 'png', '', 'gz', 'ipynb', 'json', 'pyc', 'txt'][(doc_id % 11 + 1)::INT] AS extension FROM judged WHERE NOT is_ignored)
+        GROUP BY repo_id, extension""")
+    return "\nUNION ALL ".join(rows)
+
+
+ORACLE["ignore_report"] = _whole_report()
+ORACLE["ignore_report_of_all"] = f"SELECT part, told FROM ({ORACLE['ignore_report'].replace('source AS repo_id', "'' AS repo_id")})"
+
+# Documents with texts that the tables do not hold: empty, other line ends, fences, an end of CDATA, NUL.
+_RARE = f"""edited AS (
+  SELECT * REPLACE (CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN text || chr(13) || chr(10) || 'x' || chr(13) || 'y' WHEN 2 THEN '```' || text || chr(10) || '```'
+    WHEN 3 THEN text || ']]>' ELSE text || chr(0) END AS text) FROM documents),
+{DOC.replace("FROM documents", "FROM edited").replace("doc_id % 11 IN (4, 6, 9)", "(doc_id % 11 IN (4, 6, 9) OR doc_id % 5 = 4)")},
+shown AS (SELECT *, CASE WHEN is_binary THEN 'binary content (' || size || ' bytes)'
+  ELSE replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) END AS plain FROM doc)"""
+
+ORACLE["rare_texts"] = f"WITH {_RARE} SELECT repo_id, path, is_binary, plain <> '' AS has_text, md5(nullif(plain, '')) AS digest FROM shown"
+
+ORACLE["rare_text_sections"] = f"""WITH {_RARE} SELECT repo_id, path, md5('## ' || path || chr(10) || chr(10) || '```' || chr(10) ||
+    replace(plain, '```', '''''''') || chr(10) || '```' || chr(10) || chr(10)) AS digest FROM shown WHERE plain <> ''"""
+
+ORACLE["rare_xml_sections"] = f"""WITH {_RARE}, n AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS idx FROM shown WHERE plain <> '')
+    SELECT repo_id, idx, path, md5('<document index="' || idx || '">' || chr(10) || '<source>' || path || '</source>' || chr(10) ||
+      '<document_content>' || chr(10) || '<![CDATA[' || chr(10) || replace(plain, ']]>', ']]]]><![CDATA[>') || chr(10) || ']]>' || chr(10) ||
+      '</document_content>' || chr(10) || '</document>' || chr(10)) AS digest FROM n"""

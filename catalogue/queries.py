@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -88,7 +89,7 @@ def order_tree_structure(spark, folder):
 
 @query
 def siblings_by_size(spark, folder):
-    ranked = tree.rank_siblings(rollup.nodes(corpora.documents(spark, folder)), "size").rows.where(F.col("path") != "")
+    ranked = tree.rank_siblings(rollup.nodes(corpora.documents(spark, folder)), "size").where(F.col("path") != "")
     return ranked.select("repo_id", "path", "rn", "size", human_size(F.col("size")).alias("label"))
 
 
@@ -112,7 +113,7 @@ def token_totals(spark, folder):
 @query
 def siblings_by_tokens(spark, folder):
     nodes = rollup.nodes(_counted(spark, folder), ["size", *[m.column for m in MODELS]])
-    ranked = tree.rank_siblings(nodes, "chars-4", MODELS).rows.where(F.col("path") != "")
+    ranked = tree.rank_siblings(nodes, "chars-4", MODELS).where(F.col("path") != "")
     return ranked.select("repo_id", "path", "rn", F.col("`tokens:chars-4`").alias("n"))
 
 
@@ -133,13 +134,13 @@ def directory_dates(spark, folder):
 
 @query
 def siblings_by_modified(spark, folder):
-    ranked = tree.rank_siblings(rollup.nodes(_dated(spark, folder)), "modified").rows.where(F.col("path") != "")
+    ranked = tree.rank_siblings(rollup.nodes(_dated(spark, folder)), "modified").where(F.col("path") != "")
     return ranked.select("repo_id", "path", "rn", "modified")
 
 
 @query
 def siblings_by_created(spark, folder):
-    ranked = tree.rank_siblings(rollup.nodes(_dated(spark, folder)), "created").rows.where(F.col("path") != "")
+    ranked = tree.rank_siblings(rollup.nodes(_dated(spark, folder)), "created").where(F.col("path") != "")
     return ranked.select("repo_id", "path", "rn", "created", stats_label(F.col("size"), (), F.col("created"), F.col("modified")).alias("label"))
 
 
@@ -223,6 +224,57 @@ def extension_strings(spark, folder):
     return report.extension_strings(report.binary_extensions(_judged(spark, folder)))
 
 
+def _whole_report(spark: SparkSession, folder: str, by: tuple[str, ...]) -> DataFrame:
+    """All parts of the ignore report as rows of one table."""
+    select = project.Selection(USER_RULES, read_ignore_files=False)
+    parts = project.ignore_report(corpora.documents(spark, folder), select, by)
+    rows = []
+    for name, part in parts.items():
+        told = [F.col(c).cast("string") for c in sorted(part.columns) if c not in by]
+        rows.append(part.select(*by, F.lit(name).alias("part"), F.concat_ws("|", *told).alias("told")))
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
+@query
+def ignore_report(spark, folder):
+    return _whole_report(spark, folder, ("repo_id",))
+
+
+@query
+def ignore_report_of_all(spark, folder):
+    return _whole_report(spark, folder, ())
+
+
+@query
+def all_files(spark, folder):
+    """The disposition ``all``: what is included and what is removed, each file once."""
+    judged = _judged(spark, folder)
+    parts = [verdicts.disposition(judged, kind).select("repo_id", "path", F.lit(kind).alias("part")) for kind in ("included", "removed")]
+    every = verdicts.disposition(judged, "all").select("repo_id", "path", "is_ignored", "reason")
+    return every.join(parts[0].unionByName(parts[1]), ["repo_id", "path"], "full")
+
+
+@query
+def rare_texts(spark, folder):
+    """Empty texts, line ends of other systems and NUL bytes."""
+    texts = contents.with_text(corpora.rare_documents(spark, folder))
+    return texts.select("repo_id", "path", "is_binary", "has_text", F.md5(F.when(F.col("has_text"), F.col("text"))).alias("digest"))
+
+
+@query
+def rare_text_sections(spark, folder):
+    """Fences inside of fenced sections."""
+    parts = sections.sections(contents.with_text(corpora.rare_documents(spark, folder)), sections.text_layout())
+    return parts.select("repo_id", "path", F.md5("section").alias("digest"))
+
+
+@query
+def rare_xml_sections(spark, folder):
+    """The end of CDATA inside of CDATA."""
+    parts = sections.sections(contents.with_text(corpora.rare_documents(spark, folder)), sections.xml_layout())
+    return parts.select("repo_id", "idx", "path", F.md5("section").alias("digest"))
+
+
 @query
 def extension_statistics(spark, folder):
     return report.extension_statistics(corpora.documents(spark, folder))

@@ -42,7 +42,7 @@ def test_patterns_with_the_first_origin_that_holds_them(tables):
 
 def test_extensions(tables):
     assert {r.binary_extension: (r.files, r.blocked) for r in tables["binary_extensions"]} == {".pyc": (1, 1), ".png": (1, 1)}
-    assert [r.extensions for r in tables["extension_strings"]] == ["*.png,*.pyc"]
+    assert "".join(r.extensions for r in sorted(tables["extension_strings"], key=lambda r: r.ordinal)) == "*.png,*.pyc"
     assert {r.extension: (r.files, r.bytes) for r in tables["extensions"]} == {"gitignore": (1, 22), "txt": (1, 2)}
 
 
@@ -80,8 +80,15 @@ def test_kept_by_negation_is_credited_to_it(corpus):
     assert {(r.origin, r.pattern, r.hits) for r in report.pattern_hits(judged, ()).collect()} == {("user", "!a.*", 1), ("default", "*.log", 1)}
 
 
-def test_long_strings_go_on_in_chunks(corpus, monkeypatch):
-    monkeypatch.setattr(report, "ITEMS_PER_STRING", 2)
+@pytest.mark.parametrize("by", [("repo_id",), ()])
+def test_strings_come_item_by_item(corpus, by):
     judged = judge(corpus({f"x.e{i}": b"\x00" for i in range(5)}), RuleSet())
-    rows = report.extension_strings(report.binary_extensions(judged)).collect()
-    assert {r.chunk: r.extensions for r in rows} == {0: "*.e0,*.e1", 1: "*.e2,*.e3", 2: "*.e4"}
+    rows = report.extension_strings(report.binary_extensions(judged, by), by).collect()
+    assert "".join(r.extensions for r in sorted(rows, key=lambda r: r.ordinal)) == "*.e0,*.e1,*.e2,*.e3,*.e4"
+
+
+@pytest.mark.parametrize("by", [("repo_id",), ()])
+def test_all_ignored_files(corpus, by):
+    judged = judge(corpus({f"f{i:03d}.log": "x" for i in range(50)}), RuleSet())
+    rows = report.ignored_files(judged, None, by).collect()
+    assert sorted((r.line, r.file) for r in rows) == [(i + 1, f"f{i:03d}.log") for i in range(50)]

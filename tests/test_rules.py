@@ -1,3 +1,4 @@
+import json
 import random
 import re
 
@@ -98,14 +99,14 @@ def test_unreadable_rules(line):
         compile_rule(line)
 
 
-def test_long_lists_give_the_same_matches(spark, monkeypatch):
+def test_rules_as_data_give_the_same_matches(spark):
     patterns = [p for p in CLASSES if compile_rule(p).kind != "none"]
     compiled = [compile_rule(p) for p in patterns]
     paths = sorted({p for _, yes, no in CLASSES.values() for p in yes + no})
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     inline = df.select("p", rules.matches_of_list(F.col("p"), compiled, "user")).collect()
-    monkeypatch.setattr(rules, "INLINE_RULES", 3)
-    listed = df.select("p", rules.matches_of_list(F.col("p"), compiled, "user")).collect()
+    as_data = F.from_json(F.lit(json.dumps([rule._asdict() for rule in compiled])), rules.RULES_TYPE)
+    listed = df.select("p", rules.matches_of_array(F.col("p"), as_data, "user")).collect()
     assert inline == listed
     assert any(len(r[1]) > 3 for r in inline)
 

@@ -106,7 +106,7 @@ def test_unknown_format(project):
 
 def test_numbers_of_a_crowded_repository(spark):
     df = spark.range(300).select(F.lit("r").alias("repo_id"), F.format_string("f%03d", "id").alias("path"))
-    got = sections.number_files(df, rows_per_key=20).collect()
+    got = sections.number_files(df).collect()
     assert sorted((r.idx, r.path) for r in got) == [(i + 1, f"f{i:03d}") for i in range(300)]
 
 

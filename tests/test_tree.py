@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from treeline.operators import refresh, rollup, skew, tree
@@ -144,11 +145,12 @@ def test_sort_keys_are_checked(project):
 def test_rank_of_crowded_groups_is_the_plain_rank(spark):
     df = spark.range(5000).select((F.col("id") % 3).alias("g"), F.xxhash64("id").alias("k"))
     df = df.unionByName(spark.range(20000).select(F.lit(7).cast("bigint").alias("g"), F.xxhash64("id").alias("k")))
-    plain = skew.rank_within(df, ["g"], [F.col("k").desc()], total="n")
-    split = skew.rank_within(df, ["g"], [F.col("k").desc()], total="n", rows_per_key=1700)
-    assert (plain.split, split.split) == (False, True)
-    assert plain.rows.exceptAll(split.rows).isEmpty() and split.rows.exceptAll(plain.rows).isEmpty()
-    assert split.rows.count() == 25000
+    df = df.unionByName(spark.range(1).select(F.lit(None).cast("bigint").alias("g"), F.col("id").alias("k")))
+    for group in (["g"], []):
+        window = W.partitionBy(*group)
+        plain = df.withColumn("rn", F.row_number().over(window.orderBy(F.col("k").desc())).cast("bigint")).withColumn("n", F.count(F.lit(1)).over(window))
+        got = skew.rank_within(df, group, [F.col("k").desc()], total="n")
+        assert plain.exceptAll(got).isEmpty() and got.count() == 25001
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])

@@ -20,9 +20,6 @@ SUMMARY = (
     "Files included",
 )
 
-#: Most patterns or extensions in one copy-paste string; longer lists go on in the next chunk.
-ITEMS_PER_STRING = 10_000
-
 
 def pattern_hits(judged: DataFrame, by: Sequence[str] = ("repo_id",)) -> DataFrame:
     """``by..., origin, pattern, hits``: files credited to each pattern.
@@ -60,25 +57,19 @@ def ignore_summary(judged: DataFrame, by: Sequence[str] = ("repo_id",)) -> DataF
     return counted.select(*by, F.inline(F.array(*lines)))
 
 
-def ignored_files(judged: DataFrame, most: int = 20, by: Sequence[str] = ("repo_id",)) -> DataFrame:
+def ignored_files(judged: DataFrame, most: int | None = 20, by: Sequence[str] = ("repo_id",)) -> DataFrame:
     """The first ``most`` ignored files of each group by path, and a line counting the others.
 
     ``by..., line, file, reason, is_binary, patterns``. The rank limit reaches the map tasks, which
-    forward at most ``most`` rows per group.
+    forward at most ``most`` rows per group. Without a limit (``most=None``) all ignored files are listed.
     """
-    ignored = judged.where("is_ignored")
-    first = W.partitionBy(*by).orderBy("path")
-    top = (
-        ignored.select(
-            *by,
-            F.row_number().over(first).alias("line"),
-            F.col("path").alias("file"),
-            "reason",
-            "is_binary",
-            F.when(F.size("credited") > 0, F.array_join("credited", ", ")).otherwise("-").alias("patterns"),
-        )
-        .where(F.col("line") <= most)
-    )
+    patterns = F.when(F.size("credited") > 0, F.array_join("credited", ", ")).otherwise("-").alias("patterns")
+    ignored = judged.where("is_ignored").select(*by, F.col("path").alias("file"), "reason", "is_binary", patterns)
+    columns = [*by, "line", "file", "reason", "is_binary", "patterns"]
+    if most is None:
+        return skew.rank_within(ignored, by, [F.col("file").asc()], "line").select(*columns)
+    first = W.partitionBy(*by).orderBy("file")
+    top = ignored.withColumn("line", F.row_number().over(first)).where(F.col("line") <= most).select(*columns)
     others = ignored.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > most)
     nothing = F.lit("")
     return top.unionByName(
@@ -94,19 +85,21 @@ def ignored_files(judged: DataFrame, most: int = 20, by: Sequence[str] = ("repo_
 
 
 def _strings(items: DataFrame, group: Sequence[str], order: str, item, name: str) -> DataFrame:
-    ranked = skew.rank_within(items, group, [F.col(order).asc()], "_rn").rows
-    chunk = F.floor((F.col("_rn") - 1) / F.lit(ITEMS_PER_STRING)).cast("int").alias("chunk")
-    parts = F.array_sort(F.collect_list(F.struct("_rn", item.alias("item"))))
-    return ranked.groupBy(*group, chunk).agg(F.array_join(F.transform(parts, lambda p: p["item"]), ",").alias(name))
+    ranked = skew.rank_within(items, group, [F.col(order).asc()], "ordinal")
+    comma = F.when(F.col("ordinal") > 1, ",").otherwise("")
+    return ranked.select(*group, "ordinal", F.concat(comma, item).alias(name))
 
 
 def pattern_strings(hits: DataFrame, by: Sequence[str] = ("repo_id",)) -> DataFrame:
-    """Active patterns of each origin, ready to paste: ``by..., origin, chunk, patterns``."""
+    """Active patterns of each origin: ``by..., origin, ordinal, patterns``.
+
+    One row per pattern; the rows of an origin, put together in their order, are the text to paste.
+    """
     return _strings(hits, [*by, "origin"], "pattern", F.col("pattern"), "patterns")
 
 
 def extension_strings(extensions: DataFrame, by: Sequence[str] = ("repo_id",)) -> DataFrame:
-    """Binary extensions ready to paste: ``by..., chunk, extensions`` (``*.pyc,*.zip``)."""
+    """Binary extensions: ``by..., ordinal, extensions``, one row each; together the text to paste (``*.pyc,*.zip``)."""
     return _strings(extensions, list(by), "binary_extension", F.concat(F.lit("*"), "binary_extension"), "extensions")
 
 

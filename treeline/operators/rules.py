@@ -51,9 +51,6 @@ DEFAULT_RULES = (
     "*~",
 )
 
-#: Up to this many rules are written into the plan as constant tests; longer lists become one array.
-INLINE_RULES = 200
-
 RULES_TYPE = T.ArrayType(
     T.StructType().add("pattern", "string").add("include", "boolean").add("kind", "string").add("key", "string")
 )
@@ -198,10 +195,6 @@ def matches_of_list(path: Column, rules: Sequence[Rule], origin: str) -> Column:
     """Matching rules of a list known on the driver, in its order, as ``ARRAY<match>``."""
     if not rules:
         return F.array().cast(f"array<{MATCH_TYPE}>")
-
-    if len(rules) > INLINE_RULES:
-        listed = F.from_json(F.lit(json.dumps([rule._asdict() for rule in rules])), RULES_TYPE)
-        return matches_of_array(path, listed, origin)
     constant = json.dumps([{"origin": origin, "pattern": rule.pattern, "include": rule.include} for rule in rules])
     listed = F.from_json(F.lit(constant), f"array<{MATCH_TYPE}>")
     places = F.array(*[F.when(test, F.lit(i)) for i, test in enumerate(_tests(path, rules), 1)])

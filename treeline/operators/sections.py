@@ -110,9 +110,9 @@ def layout(name: str, delimiter: str = FENCE, replacement: str = "'''") -> Layou
     raise ValueError(f"unknown format {name!r}")
 
 
-def number_files(files: DataFrame, rows_per_key: int = skew.ROWS_PER_KEY) -> DataFrame:
+def number_files(files: DataFrame) -> DataFrame:
     """``idx`` from 1 in path order within each repository; runs on narrow rows."""
-    return skew.rank_within(files, ["repo_id"], [F.col("path").asc()], "idx", None, rows_per_key).rows
+    return skew.rank_within(files, ["repo_id"], [F.col("path").asc()], "idx")
 
 
 def sections(contents: DataFrame, look: Layout) -> DataFrame:

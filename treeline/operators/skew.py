@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -57,67 +56,33 @@ def salted_join(
     return dealt.join(repeated, [*on, "_piece"], how).drop("_piece")
 
 
-@dataclass(frozen=True)
-class Ranked:
-    """Rows with their rank; ``split`` tells that some group exceeds one task's share."""
+def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[Column], rank: str = "rn", total: str | None = None) -> DataFrame:
+    """``df`` with ``row_number`` per group as ``rank``, and the group's size as ``total``; ``group`` may be empty.
 
-    rows: DataFrame
-    split: bool
-
-
-def rank_within(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[Column],
-    rank: str = "rn",
-    total: str | None = None,
-    rows_per_key: int = ROWS_PER_KEY,
-) -> Ranked:
-    """``row_number`` per group, and the group's size as ``total``.
-
-    The group sizes are looked at first: one narrow, map-side combined count that gives the driver the
-    crowded keys, at most ``rows / rows_per_key`` of them. As long as there are none this is the ordinary
-    window. Otherwise the crowded groups are range partitioned on group *and* order, so that a group runs
-    over several sorted partitions, and ranks are position in the partition plus the rows of the group in
-    earlier partitions.
+    Rows are range partitioned on group *and* order, so that a group of any size runs over as many sorted
+    partitions as it needs; a rank is the place in the partition plus the rows of the group in earlier ones.
     """
-    window = W.partitionBy(*group)
-    counted = crowded_keys(df, group, rows_per_key)
-    crowded = counted.collect()
-
-    def plain(part: DataFrame) -> DataFrame:
-        out = part.withColumn(rank, F.row_number().over(window.orderBy(*order)).cast("bigint"))
-        return out.withColumn(total, F.count(F.lit(1)).over(window)) if total else out
-
-    if not crowded:
-        return Ranked(plain(df), False)
-
-    keys = F.broadcast(df.sparkSession.createDataFrame(crowded, counted.schema).select(*group))
     columns = df.columns
-    usual = plain(df.join(keys, list(group), "left_anti"))
-    partitions = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * sum(r["_pieces"] for r in crowded))
     # The positions are only meaningful for one fixed layout of the partitions, so they are written down.
     laid_out = cut(
-        df.join(keys, list(group), "left_semi")
-        .repartitionByRange(partitions, *group, *order)
+        df.repartitionByRange(*group, *order)
         .sortWithinPartitions(*group, *order)
         .withColumn("_at", F.monotonically_increasing_id())
         .withColumn("_slice", F.spark_partition_id())
     )
-    # One row per group and partition: at most `partitions` rows per group.
-    before = W.partitionBy(*group).orderBy("_slice")
+    # One row per group and partition it lies in.
+    window = W.partitionBy(*group)
+    before = window.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     slices = (
         laid_out.groupBy(*group, "_slice")
         .agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .withColumn("_total", F.sum("_n").over(window))
         .drop("_n")
+        .withColumnsRenamed({name: f"_of_{name}" for name in [*group, "_slice"]})
     )
-    split = laid_out.join(slices, [*group, "_slice"]).withColumn(
-        rank, F.col("_before") + F.col("_at") - F.col("_first") + F.lit(1)
-    )
-    wanted = [*columns, rank]
-    if total:
-        split = split.withColumn(total, F.col("_total"))
-        wanted.append(total)
-    return Ranked(usual.select(*wanted).unionByName(split.select(*wanted)), True)
+    same = F.col("_slice") == F.col("_of__slice")
+    for name in group:
+        same &= F.col(name).eqNullSafe(F.col(f"_of_{name}"))
+    ranked = laid_out.join(slices, same).withColumn(rank, F.col("_before") + F.col("_at") - F.col("_first") + F.lit(1))
+    return ranked.select(*[f"`{name}`" for name in columns], rank, *([F.col("_total").alias(total)] if total else []))

@@ -44,11 +44,10 @@ def rank_siblings(
     nodes: DataFrame,
     sort_by: str = "name",
     models: Sequence[TokenModel] = (),
-    rows_per_key: int = skew.ROWS_PER_KEY,
-) -> skew.Ranked:
+) -> DataFrame:
     """All nodes with ``rn`` and ``siblings``; a root is its own only sibling."""
     order = sibling_order(sort_by, models, "created" in nodes.columns)
-    return skew.rank_within(nodes, ["repo_id", "parent"], order, "rn", "siblings", rows_per_key)
+    return skew.rank_within(nodes, ["repo_id", "parent"], order, "rn", "siblings")
 
 
 def _places(folders: DataFrame, crowded: DataFrame, rows_per_key: int) -> DataFrame:
@@ -86,16 +85,13 @@ def tree_lines(
     Sorting by ``place`` within a repository gives the drawing: arrays compare element by element and a
     shorter one comes first, so a directory precedes what is below it. The root's place is empty.
     """
-    ranked = rank_siblings(nodes, sort_by, models, rows_per_key)
+    ranked = rank_siblings(nodes, sort_by, models)
     # Ranked once, then used as files, as directories and as directories above directories.
-    rows = cut(ranked.rows.drop("depth", "extension"))
+    rows = cut(ranked.drop("depth", "extension"))
     crowded = rollup.crowded_directories(rows.where("is_dir"), rows_per_key)
     places = _places(rows.where(F.col("is_dir") & (F.col("path") != "")), crowded, rows_per_key)
-    drawn = rows.where(F.col("parent") != "")
-    if ranked.split:
-        drawn = skew.salted_join(drawn, places, ["repo_id", "parent"], "inner", F.col("name"), rows_per_key=rows_per_key)
-    else:
-        drawn = drawn.join(places, ["repo_id", "parent"])
+    below = crowded.withColumnRenamed("path", "parent")
+    drawn = skew.salted_join(rows.where(F.col("parent") != ""), places, ["repo_id", "parent"], "inner", F.col("name"), below)
     top = rows.where(F.col("parent") == "").withColumns(
         {"place": F.array().cast("array<bigint>"), "indent": F.lit("")}
     )

@@ -108,7 +108,7 @@ def summarize(
     narrow = [c for c in (*KEYS, "created", "modified") if c in kept.columns]
     written = kept.where("has_text").select(*narrow)
     if look.numbered:
-        written = sections.number_files(written, rows_per_key)
+        written = sections.number_files(written)
     shown = files.drop("created", "modified").join(written, KEYS)
     parts = sections.sections(contents.with_text(shown, max_bytes=select.max_bytes), look)
     return sections.bundle_rows(lines, parts, look)
@@ -119,7 +119,7 @@ def token_totals(files: DataFrame, select: Selection, by: Sequence[str] = ()) ->
     return totals(kept_files(files, select), select.token_models(), by)
 
 
-def ignore_report(files: DataFrame, select: Selection = Selection(), by: Sequence[str] = ("repo_id",), most: int = 20) -> dict[str, DataFrame]:
+def ignore_report(files: DataFrame, select: Selection = Selection(), by: Sequence[str] = ("repo_id",), most: int | None = 20) -> dict[str, DataFrame]:
     """The ignore statistics as tables; all of them are aggregations over the same verdicts."""
     judged = select.settle(judged_files(files, select))
     hits = report.pattern_hits(judged, by)
