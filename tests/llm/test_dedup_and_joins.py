@@ -9,7 +9,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
-from treeline.llm.components import connected_components
+from treeline.llm.components import connected_components, with_links
 from treeline.llm.line_dedup import deduplicated_lines, without_lines
 from treeline.llm.quotient import decode_block, encode_block, exact_duplicates, merge_sorted, without_copies
 from treeline.llm.set_join import near_copies, one_of_each, shingle_sets
@@ -158,3 +158,13 @@ def test_a_group_of_near_copies_and_a_common_passage(spark):
     got = {r.doc_id: r.component_id for r in near_copies(docs).collect()}
     assert all(got[i] == 0 for i, _ in near)
     assert all(got[i] == i for i, _ in apart)
+
+
+def test_further_links_join_components(spark):
+    """Components after further links are those of all links at once, singles and repeated links included."""
+    first, more = [(1, 2), (2, 3), (10, 11), (20, 21)], [(3, 11), (30, 31), (31, 40), (21, 20), (11, 3)]
+    schema = "a bigint, b bigint"
+    rows = lambda df: sorted(map(tuple, df.select("node", "component").collect()))
+    start = connected_components(spark.createDataFrame(first, schema))
+    assert rows(with_links(start, spark.createDataFrame(more, schema))) == rows(connected_components(spark.createDataFrame(first + more, schema)))
+    assert rows(with_links(start, spark.createDataFrame([], schema))) == rows(start)

@@ -45,6 +45,22 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
 
 
+def with_links(components: DataFrame, links: DataFrame) -> DataFrame:
+    """The ``(node, component)`` of :func:`connected_components` after further ``links(a, b)``.
+
+    Only the components that the links touch are contracted, as nodes of a graph of their own; what is already joined is renamed by
+    one equi-join. A node that ``components`` does not hold is its own component. The result is a written table.
+    """
+    side = lambda end: components.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+    met = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    over = cut(connected_components(met.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))))
+    names = over.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    renamed = components.join(names, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    after = cut(renamed.union(over).distinct())
+    release(over)
+    return after
+
+
 def _state(stars: DataFrame) -> tuple:
     """Count and an order-free sum of hashes: equal before and after a round when no star changed."""
     row = stars.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.components import connected_components
+from treeline.llm.components import connected_components, with_links
 from treeline.llm.prefix_pairs import LINK, contested, cross_pairs, drawn_pairs, likely, of_like_size, star_pairs
 from treeline.session import cut, release
 
@@ -165,6 +165,8 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def verified(docs: DataFrame, pairs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The pairs that link, on the whole sets of the classes that occur in them."""
     pairs = cut(pairs)
+    if pairs.isEmpty():
+        return pairs
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     chosen = cut(wanted.join(needed, "id", "left_semi"))
     sets = cut(whole_sets(docs, chosen))
@@ -185,8 +187,8 @@ def joined_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = firsts.drop("lists")
     stars = star_pairs(lists, "first", spare).unionByName(star_pairs(lists, "last", spare)).distinct()
     links = verified(docs, of_like_size(stars, classes), wanted)
+    components = cut(connected_components(links))
     for draw in range(DRAWS + 1):
-        components = cut(connected_components(links))
         here = lists.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         spans = here.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("token")
         here = cut(here.join(spans, "token", "left_semi"))
@@ -194,9 +196,11 @@ def joined_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             pairs = drawn_pairs(here, "component", draw)
         else:
             pairs = cross_pairs(here, lambda x, y: F.col(f"{x}.component") != F.col(f"{y}.component"), spare)
-        links = links.unionByName(verified(docs, pairs, wanted))
-        release(here, components)
-    components = cut(connected_components(links))
+        links = verified(docs, pairs, wanted)
+        release(here)
+        if not links.isEmpty():
+            before, components = components, with_links(components, links)
+            release(before, links)
     release(lists)
     joined = classes.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = joined.groupBy("component").agg(F.min("least").alias("component_id"))
