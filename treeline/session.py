@@ -53,6 +53,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 _cuts: list[str] = []
+#: Spark's own setting that removes a query's shuffle files when it ends, not when the driver next collects its garbage.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -60,11 +62,17 @@ def cut(df: DataFrame) -> DataFrame:
 
     What is built on the result starts from a written table: several consumers do not repeat the work
     before it, a lost executor costs no recomputation, columns are still pruned and the optimiser knows the
-    size. :func:`release` removes one such table, :class:`job_tables` all that a job wrote.
+    size. :func:`release` removes one such table, :class:`job_tables` all that a job wrote. Shuffle files of the
+    write go with its end: what follows reads the table.
     """
     spark = df.sparkSession
     place = f"{checkpoint_dir(spark).rstrip('/')}/treeline-{uuid.uuid4().hex}"
-    df.write.parquet(place)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(place)
+    finally:
+        spark.conf.set(CLEAN, before) if before is not None else spark.conf.unset(CLEAN)
     _cuts.append(place)
     written = spark.read.schema(df.schema).parquet(place)
     written._cut_place = place
