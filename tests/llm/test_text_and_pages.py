@@ -162,3 +162,16 @@ def test_vectors_that_take_no_part_and_ties(spark):
 def test_one_point_is_a_graph():
     graph, entry = build_graph(np.ones((1, 3), np.float32))
     assert beam_search(np.ones((1, 3), np.float32), graph, entry, np.zeros((2, 3), np.float32), 4)[0][:, 0].tolist() == [0, 0]
+
+
+def texts_of(spark, pages):
+    frame = spark.createDataFrame([(i, f"http://host.net/{i}", html) for i, html in enumerate(pages)], "page_id bigint, url string, html string")
+    return {r.page_id: r.text for r in extracted(frame).collect()}
+
+
+def test_every_layout_of_a_host_is_learned(spark):
+    """Forty pages of five layouts, of which one shares its paths with another one's stories."""
+    layouts = [f"<div class=l{k}><p>Standing words of layout {k}</p></div><div class=b{k}><p>Story {{n}} goes on for quite a while, until it ends at {{n}}</p></div>" for k in range(4)]
+    layouts.append("<div class=b0><p>Welcome to all</p></div><div class=c><p>Story {n} goes on for quite a while, until it ends at {n}</p></div>")
+    got = texts_of(spark, [layouts[i % 5].format(n=i) for i in range(40)])
+    assert got == {i: f"Story {i} goes on for quite a while, until it ends at {i}" for i in range(40)}

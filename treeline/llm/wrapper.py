@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.url_rules import url_host
 from treeline.session import cut
 
-#: A host's wrapper is induced from so many of its pages, chosen by a hash of their ids and URLs.
-SAMPLE_PAGES = 12
-#: A slot is template when so large a share of its aligned texts are the same, over so many pages.
-SAME_SHARE, LEAST_PAGES = 0.9, 3
+#: A text stands at a path when it is on so large a share of the pages that have the path; a path is template when so large a share of its blocks stand.
+SAME_SHARE = 0.9
+#: What stands is on so many different pages at least, and on so large a share of all pages of the host.
+LEAST_PAGES, LEAST_SHARE = 3, 0.05
+#: Where more than this share of a layout's text stands, its pages are near copies of one another and teach nothing.
+COPY_SHARE = 0.5
 #: Text of which more than this share stands in links is a menu.
 LINK_SHARE = 0.6
 
@@ -139,135 +143,167 @@ def blocks(root: Node) -> list[Block]:
     return out
 
 
-def matched(a: list[Node], b: list[Node], deep: dict | None = None) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching of two lists of siblings: the largest number of node pairs that keep order and depth."""
-    rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    found: dict[tuple[int, int], tuple[int, list]] = {}
-    for i, x in enumerate(a, 1):
-        for j, y in enumerate(b, 1):
-            best = max(rows[i - 1][j], rows[i][j - 1])
-            if x.label == y.label:
-                n, pairs = matched(_elements(x), _elements(y))
-                found[i, j] = n + 1, [(x, y), *pairs]
-                best = max(best, rows[i - 1][j - 1] + n + 1)
-            rows[i][j] = best
-    pairs, i, j = [], len(a), len(b)
-    while i and j:
-        if (i, j) in found and rows[i][j] == rows[i - 1][j - 1] + found[i, j][0]:
-            pairs += found[i, j][1]
-            i, j = i - 1, j - 1
-        elif rows[i][j] == rows[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return rows[-1][-1], pairs
+INSIDE = re.compile(r"/(article|main)(\.|/|$)")
 
 
-#: Trees are aligned down to this depth of block elements, and so many children of a node at most take part in the induction.
-ALIGN_DEPTH, ALIGN_CHILDREN = 24, 40
+def number(*parts: str) -> int:
+    """64 bits of a hash, as a signed number."""
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _elements(node: Node) -> list[Node]:
-    return [c for c in node.children if not isinstance(c, str) and (c.tag in BLOCKS or c.other)][:ALIGN_CHILDREN]
+def candidates(html: str | None) -> list[Block]:
+    """A page's blocks but those named as something else than the article."""
+    return [b for b in blocks(parsed(html)) if not b.other]
 
 
-def _trimmed(root: Node) -> Node:
-    """The tree of block elements for alignment, no deeper than ``ALIGN_DEPTH``; texts stay."""
-    top = Node(root.tag, root.label, root.other)
-    queue = [(root, top, 0)]
-    for node, copy, depth in queue:
-        for child in node.children:
-            if isinstance(child, str):
-                copy.children.append(child)
-            elif depth < ALIGN_DEPTH:
-                below = Node(child.tag, child.label, child.other)
-                copy.children.append(below)
-                queue.append((child, below, depth + 1))
-    return top
-
-
-def _own_text(node: Node) -> str:
-    """What stands in a node outside of its block children."""
-    parts, todo = [], list(reversed(node.children))
-    while todo:
-        child = todo.pop()
-        if isinstance(child, str):
-            parts.append(child)
-        elif child.tag not in BLOCKS and not child.other:
-            todo.extend(reversed(child.children))
-    return " ".join("".join(parts).split())
-
-
-def induced(pages: list[str | None]) -> tuple[list[str], list[str]]:
-    """A host's wrapper from some of its pages: the paths of template nodes, and those of content slots.
-
-    Each page's tree is aligned with the first page's. A node whose text is the same on nearly all pages is template; one whose text
-    varies is a slot. What a path's nodes mostly are, the path is. Equal pages count once; with fewer than ``LEAST_PAGES`` different ones, or if nothing
-    varies, nothing is template.
+def standing(counts: dict[tuple[str, str], tuple[int, int]], on_path: dict[str, int], pages: int) -> tuple[dict[str, set[str]], set[str]]:
+    """The template paths with their standing texts, and all other paths; ``counts`` are pages and blocks by path and text."""
+    every: Counter[str] = Counter()
+    found: dict[str, set[str]] = {}
+    held: Counter[str] = Counter()
+    for (path, text), (n, occurs) in counts.items():
+        every[path] += occurs
+        if n >= LEAST_PAGES and n >= LEAST_SHARE * pages and n >= SAME_SHARE * on_path[path]:
+            found.setdefault(path, set()).add(text)
+            held[path] += occurs
+    template = {p: texts for p, texts in found.items() if held[p] >= SAME_SHARE * every[p]}
+    return template, set(every) - set(template)
+
+
+def induced(pages: Sequence[str | None]) -> tuple[list[str], list[str]]:
+    """The wrapper of these pages as one host of one layout: the paths of template blocks, and those of content slots.
+
+    What :func:`wrappers` counts for whole tables, for a few pages. Equal pages count once; where nothing varies, nothing is template.
     """
-    trees = [_trimmed(parsed(p)) for p in sorted({p or "" for p in pages})]
-    if len(trees) < LEAST_PAGES:
-        return [], []
-    first = trees[0]
-    paths: dict[int, str] = {}
-    queue = [(first, "")]
-    for node, path in queue:
-        paths[id(node)] = path
-        queue += [(c, f"{path}/{c.label}") for c in _elements(node)]
-    same: dict[str, list[int]] = {}
-    for tree in trees[1:]:
-        for x, y in matched(_elements(first), _elements(tree))[1]:
-            one, two = _own_text(x), _own_text(y)
-            if one or two:
-                tally = same.setdefault(paths[id(x)], [0, 0])
-                tally[0] += one == two
-                tally[1] += 1
-    constant = {p for p, (k, n) in same.items() if n >= LEAST_PAGES - 1 and k >= SAME_SHARE * n}
-    varying = set(same) - constant
-    return (sorted(constant), sorted(varying)) if varying else ([], [])
-
-
-def main_text(html: str | None, template: set[str]) -> str:
+    counts: dict[tuple[str, str], tuple[int, int]] = {}
+    on_path: Counter[str] = Counter()
+    different = sorted({p or "" for p in pages})
+    for page in different:
+        found = Counter((b.path, b.text) for b in candidates(page))
+        on_path.update({path for path, _ in found})
+        for key, occurs in found.items():
+            n, before = counts.get(key, (0, 0))
+            counts[key] = n + 1, before + occurs
+    template, slots = standing(counts, on_path, len(different))
+    return (sorted(template), sorted(slots)) if template and slots else ([], [])
+
+
+def main_text(html: str | None, template: set) -> str:
     """The page's content slots, a line each: all blocks but template, menus, and what is named as something else than the article.
 
+    ``template`` holds pairs of path and text, or paths of which every text is template.
     Where a page has ``article`` or ``main`` elements with text, only what stands in them counts.
     """
-    found = [b for b in blocks(parsed(html)) if not b.other and b.path not in template]
-    inside = [b for b in found if re.search(r"/(article|main)(\.|/|$)", b.path)]
+    found = [b for b in candidates(html) if b.path not in template and (b.path, b.text) not in template]
+    inside = [b for b in found if INSIDE.search(b.path)]
     return "\n".join(b.text for b in inside or [b for b in found if b.links <= LINK_SHARE])
 
 
-def wrappers(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
-    """``(host, template, slots)``: one wrapper per host, from a bounded sample of its pages.
+TOLD = (
+    "layout bigint, texts array<string>, keys array<bigint>, inside array<boolean>, menu array<boolean>, t_path array<bigint>, t_key array<bigint>, "
+    "t_n array<bigint>, t_first array<bigint>, t_chars array<bigint>, t_inside array<boolean>"
+)
+TYPES = {"texts": pa.string(), "inside": pa.bool_(), "menu": pa.bool_(), "t_inside": pa.bool_()}
 
-    Pages are chosen on narrow rows, limited per host before the shuffle; only chosen pages send their html to their host's task.
-    """
-    named = pages.select("page_id", "url", url_host(F.col("url")).alias("host"))
-    order = Window.partitionBy("host").orderBy(F.xxhash64("page_id", "url"), "page_id", "url")
-    chosen = named.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample).select(F.col("page_id").alias("_p"), F.col("url").alias("_u"), F.col("host").alias("_host"))
-    same = F.col("page_id").eqNullSafe(F.col("_p")) & F.col("url").eqNullSafe(F.col("_u"))
-    html = pages.join(chosen, same).select(F.col("_host").alias("host"), "html").distinct()
 
-    def induce(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        template, slots = induced(sorted(x or "" for x in frame["html"])[:sample])
-        return pd.DataFrame({"host": [key[0]], "template": [template], "slots": [slots]})
+def told(html: str | None) -> dict[str, object]:
+    """A page as columns: its candidates, each with the hash of its path and text, and their counts by that hash.
+
+    ``layout`` hashes the set of the candidates' paths outside of ``article`` and ``main``. ``t_first`` is 1 for one text of each path.
+    """
+    found = candidates(html)
+    inside_of = {p: bool(INSIDE.search(p)) for p in {b.path for b in found}}
+    keys = [number(b.path, b.text) for b in found]
+    paths = {p: number(p) for p in inside_of}
+    tally = Counter(keys)
+    row: dict[str, list] = {c: [] for c in ("t_path", "t_key", "t_n", "t_first", "t_chars", "t_inside")}
+    seen_keys, seen_paths = set(), set()
+    for b, key in zip(found, keys, strict=True):
+        if key not in seen_keys:
+            for c, value in zip(row, (paths[b.path], key, tally[key], int(b.path not in seen_paths), tally[key] * len(b.text), inside_of[b.path]), strict=True):
+                row[c].append(value)
+        seen_keys.add(key)
+        seen_paths.add(b.path)
+    layout = number(*sorted(p for p, inside in inside_of.items() if not inside))
+    return {"layout": layout, "texts": [b.text for b in found], "keys": keys, "inside": [inside_of[b.path] for b in found], "menu": [b.links > LINK_SHARE for b in found], **row}
+
+
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """``(page_id, url, host, _page, ...)`` with the columns of :func:`told`: every page parsed once, in its own task."""
+    named = pages.select("page_id", "url", url_host(F.col("url")).alias("host"), F.xxhash64(F.coalesce("html", F.lit(""))).alias("_page"), "html")
+    carried = ("page_id", "url", "host", "_page")
+    schema = ", ".join(f"{c} {named.schema[c].dataType.simpleString()}" for c in carried) + ", " + TOLD
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [told(html) for html in batch.column("html").to_pylist()]
+            columns = {c: batch.column(c) for c in carried} | {"layout": pa.array([r["layout"] for r in rows], pa.int64())}
+            for c in [x.split()[0] for x in TOLD.split(", ")[1:]]:
+                columns[c] = pa.array([r[c] for r in rows], pa.list_(TYPES.get(c, pa.int64())))
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return named.mapInArrow(tell, schema)
+
+
+def _template(counts: DataFrame, group: list[str], sizes: DataFrame) -> DataFrame:
+    """``(*group, template, n_paths, chars)`` by the rule of :func:`standing`; ``sizes(*group, pages, least)`` are each group's pages and what it asks for.
+
+    Only texts on several pages meet their path's sums, at most a page's blocks of them a path.
+    """
+    path = [*group, "path"]
+    sums = counts.groupBy(*path).agg(F.sum("first").alias("on_path"), F.sum("n").alias("every"))
+    often = counts.groupBy(*path, "key").agg(F.sum("pages").alias("n_pages"), F.sum("n").alias("occurs"), F.sum("chars").alias("chars")).where(F.col("n_pages") >= LEAST_PAGES)
+    met = often.join(sums, path).join(sizes, group).where((F.col("n_pages") >= F.col("least")) & (F.col("n_pages") >= F.col("on_path") * SAME_SHARE))
+    held = met.groupBy(*path).agg(F.collect_list("key").alias("keys"), F.sum("occurs").alias("held"), F.first("every").alias("every"), F.sum("chars").alias("chars")).where(F.col("held") >= F.col("every") * SAME_SHARE)
+    found = held.groupBy(*group).agg(F.flatten(F.collect_list("keys")).alias("template"), F.count("*").alias("n_paths"), F.sum("chars").alias("chars"))
+    whole = sums.groupBy(*group).agg(F.count("*").alias("_paths"))
+    return found.join(whole, group).where("n_paths < _paths").drop("_paths")
 
-    return html.groupBy("host").applyInPandas(induce, "host string, template array<string>, slots array<string>")
 
+def wrappers(parsed: DataFrame) -> DataFrame:
+    """``(host, layout, template)``: hashes of the template's paths and texts, from all pages of ``parsed`` (of :func:`parsed_pages`, written).
 
-def extracted(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
+    Counts by host, layout, path and text are combined map-side. A text is template by its host's counts, or by those of its layout if
+    it stands outside of ``article`` and ``main`` and the layout's pages are not near copies. Equal pages of a host count once.
+    """
+    rows = parsed.select("_row", "host", "_page")
+    groups = rows.groupBy("host", "_page").agg(F.min("_row").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    copies = rows.join(groups, ["host", "_page"]).where("_row <> _first").select("_row")
+    different = parsed.join(copies, "_row", "left_anti")
+    zipped = F.arrays_zip("t_path", "t_key", "t_n", "t_first", "t_chars", "t_inside")
+    each = different.select("host", "layout", F.explode(zipped).alias("t")).select("host", "layout", F.col("t.t_path").alias("path"), F.col("t.t_key").alias("key"), "t.t_n", "t.t_first", "t.t_chars", "t.t_inside")
+    counts = each.groupBy("host", "layout", "path", "key").agg(
+        F.count("*").alias("pages"), F.sum("t_n").alias("n"), F.sum("t_first").alias("first"), F.sum("t_chars").alias("chars"), F.first("t_inside").alias("inside")
+    )
+    counts = cut(counts)
+    layouts = cut(different.groupBy("host", "layout").agg(F.count("*").alias("pages")))
+    hosts = layouts.groupBy("host").agg(F.sum("pages").alias("pages"))
+    least = F.col("pages") * LEAST_SHARE
+    of_host = _template(counts, ["host"], hosts.select("host", least.alias("least")))
+    text = counts.groupBy("host", "layout").agg(F.sum("chars").alias("_chars"))
+    sizes = layouts.select("host", "layout").join(hosts.select("host", least.alias("least")), "host")
+    of_layout = _template(counts.where("not inside"), ["host", "layout"], sizes).join(text, ["host", "layout"]).where(F.col("chars") <= F.col("_chars") * COPY_SHARE)
+    none = F.array().cast("array<bigint>")
+    both = layouts.select("host", "layout").join(of_host.select("host", F.col("template").alias("_one")), "host", "left").join(of_layout.select("host", "layout", F.col("template").alias("_two")), ["host", "layout"], "left")
+    template = F.array_union(F.coalesce("_one", none), F.coalesce("_two", none))
+    return both.select("host", "layout", template.alias("template")).where(F.size("template") > 0)
+
+
+def extracted(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every row of ``pages(page_id, url, html)``.
 
-    Every page is read whole and meets its host's wrapper by an equi-join; pages without a host share the wrapper of the
+    Every page is read whole and parsed once; its blocks meet the template of its host and layout by an equi-join, and a block is dropped as
+    template only where its own text is one of its path's standing texts. Pages without a host share the wrapper of the
     empty host. Null and empty html give an empty text; repeated rows stay rows of their own; an empty table gives no
     rows. Other columns are ignored.
     """
-    found = cut(wrappers(pages, sample)).select(F.col("host").alias("_host"), "template")
-
-    @F.pandas_udf("string")
-    def extract(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for html, template in frames:
-            yield pd.Series([main_text(h, set() if t is None else set(t)) for h, t in zip(html, template, strict=True)], dtype=object)
-
-    joined = pages.select("page_id", "url", "html").join(found, url_host(F.col("url")) == F.col("_host"), "left")
-    return joined.select("page_id", "url", extract("html", "template").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    parsed = cut(parsed_pages(pages).withColumn("_row", F.monotonically_increasing_id()))
+    found = cut(wrappers(parsed)).select(F.col("host").alias("_host"), F.col("layout").alias("_layout"), "template")
+    joined = parsed.select("page_id", "url", "host", "layout", F.arrays_zip("texts", "keys", "inside", "menu").alias("blocks"))
+    joined = joined.join(found, (F.col("host") == F.col("_host")) & (F.col("layout") == F.col("_layout")), "left")
+    kept = F.when(F.col("template").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains("template", b["keys"])))
+    joined = joined.select("page_id", "url", kept.alias("kept"))
+    inside = F.filter("kept", lambda b: b["inside"])
+    chosen = F.when(F.exists("kept", lambda b: b["inside"]), inside).otherwise(F.filter("kept", lambda b: ~b["menu"]))
+    text = F.array_join(F.transform(chosen, lambda b: b["texts"]), "\n")
+    return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
