@@ -175,3 +175,11 @@ def test_every_layout_of_a_host_is_learned(spark):
     layouts.append("<div class=b0><p>Welcome to all</p></div><div class=c><p>Story {n} goes on for quite a while, until it ends at {n}</p></div>")
     got = texts_of(spark, [layouts[i % 5].format(n=i) for i in range(40)])
     assert got == {i: f"Story {i} goes on for quite a while, until it ends at {i}" for i in range(40)}
+
+
+def test_only_the_standing_text_itself_is_template(spark):
+    """A heading that most pages share, and one that a few share: blocks that differ stay."""
+    page = "<div class=a><h2>{h}</h2></div><div class=b><h3>{g}</h3><p>Story {n} goes on for a while</p></div>"
+    got = texts_of(spark, [page.format(n=i, h="Overview" if i else "Findings", g="Summary" if i < 3 else f"Part {i}") for i in range(20)])
+    assert got[0] == "Findings\nSummary\nStory 0 goes on for a while"
+    assert got[1] == "Summary\nStory 1 goes on for a while" and got[9] == "Part 9\nStory 9 goes on for a while"
