@@ -183,3 +183,11 @@ def test_only_the_standing_text_itself_is_template(spark):
     got = texts_of(spark, [page.format(n=i, h="Overview" if i else "Findings", g="Summary" if i < 3 else f"Part {i}") for i in range(20)])
     assert got[0] == "Findings\nSummary\nStory 0 goes on for a while"
     assert got[1] == "Summary\nStory 1 goes on for a while" and got[9] == "Part 9\nStory 9 goes on for a while"
+
+
+def test_wide_and_deep_pages_are_learned_to_their_end(spark):
+    wide = [f"<div class=x>{''.join(f'<p>Line {k} of {i}</p>' for k in range(60))}<div class=end>Thank you all</div></div>" for i in range(4)]
+    deep = [f"{'<div>' * 40}<div class=end>Thank you all</div><p>Story {i}</p>" for i in range(4)]
+    got = texts_of(spark, wide)
+    assert got == {i: "\n".join(f"Line {k} of {i}" for k in range(60)) for i in range(4)}
+    assert texts_of(spark, deep) == {i: f"Story {i}" for i in range(4)}
