@@ -40,6 +40,19 @@ def test_language(spark):
     assert judge("x y z", same) == ("a", 0.0)
 
 
+def test_short_texts_that_come_out_equal_in_bytes(spark):
+    """Single words and pairs are told by finer code lengths, and none is rejected for being short."""
+    words = {"de": GERMAN.split() * 3, "en": ENGLISH.split() * 3}
+    dictionaries = {lang: f" {' '.join(w)} ".encode() for lang, w in words.items()}
+    by_language = compressors(dictionaries)
+    one, two = set(words["en"]) - set(words["de"]), set(words["de"]) - set(words["en"])
+    texts = [(w, "en") for w in sorted(one)] + [(w, "de") for w in sorted(two)] + [("the th", "en"), ("gut wett", "de")]
+    assert any(len({len(c.compress(f" {t} ".encode())) for c in by_language.values()}) == 1 for t, lang in texts if lang == "en")
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(texts)], "doc_id bigint, text string, lang string")
+    got = identified(docs, dictionaries).collect()
+    assert [(r.text, r.lang_pred, r.rejected) for r in got if r.lang_pred != r.lang or r.rejected] == [] and len(got) == len(texts)
+
+
 def test_learning_never_sees_what_is_held_out(spark):
     rows = [(i, "kept" if i % 2 else "secret", "en") for i in range(50)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")

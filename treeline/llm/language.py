@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import zstandard
@@ -26,6 +29,9 @@ LEVEL = 5
 #: The best language has to be smaller than the next by this share of the next one's size.
 LEAST_MARGIN = 0.0005
 
+#: Ties in bytes go by code lengths from the frequencies of runs of so many bytes at most.
+ORDER = 5
+
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -59,48 +65,93 @@ def learn(docs: DataFrame, training: Column) -> dict[str, bytes]:
     return {lang: f" {' '.join(words)} ".encode()[-DICTIONARY_BYTES:] for lang, words in found.items() if words}
 
 
-def compressors(dictionaries: dict[str, bytes]) -> dict[str, zstandard.ZstdCompressor]:
-    found = {}
-    settings = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, **SETTINGS)
-    for lang, data in sorted(dictionaries.items()):
+@lru_cache(maxsize=256)
+def frequencies(data: bytes) -> list[tuple[Counter, Counter, Counter]]:
+    """Of runs of 1 to ``ORDER`` bytes of a dictionary: their counts, and by all but the last byte how often and by how many bytes that goes on."""
+    found = []
+    for n in range(1, ORDER + 1):
+        runs = Counter(data[i : i + n] for i in range(len(data) - n + 1))
+        often: Counter[bytes] = Counter()
+        for run, count in runs.items():
+            often[run[:-1]] += count
+        found.append((runs, often, Counter(run[:-1] for run in runs)))
+    return found
+
+
+class Compressor:
+    """A language's compressor: whole bytes, and for texts too short for those the bits of an ideal code by the dictionary's frequencies."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        settings = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, **SETTINGS)
         raw = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         raw.precompute_compress(compression_params=settings)
-        found[lang] = zstandard.ZstdCompressor(dict_data=raw, compression_params=settings)
-    return found
+        self.compress = zstandard.ZstdCompressor(dict_data=raw, compression_params=settings).compress
 
+    def bits(self, text: bytes) -> float:
+        """Each byte is coded by what follows the bytes before it in the dictionary, shorter contexts mixed in by Witten and Bell's rule."""
+        total, tables = 0.0, frequencies(self.data)
+        for i in range(len(text)):
+            share = 1 / 256
+            for n, (runs, often, kinds) in enumerate(tables):
+                if n > i:
+                    break
+                before = text[i - n : i]
+                if before not in often:
+                    break
+                share = (runs[text[i - n : i + 1]] + kinds[before] * share) / (often[before] + kinds[before])
+            total -= math.log2(share)
+        return total
 
-def judge(text: str | None, by_language: dict[str, zstandard.ZstdCompressor]) -> tuple[str, float]:
-    """The language whose dictionary makes the whole text smallest, and its margin over the next (0 to 1)."""
+
+def compressors(dictionaries: dict[str, bytes]) -> dict[str, Compressor]:
+    return {lang: Compressor(data) for lang, data in sorted(dictionaries.items())}
+
+
+def judged(text: str | None, by_language: dict[str, Compressor], least_margin: float = LEAST_MARGIN) -> tuple[str, float, bool]:
+    """The language whose dictionary makes the whole text smallest, its margin over the next (0 to 1), and whether that is too narrow.
+
+    Where a byte is more than ``least_margin`` of the size, texts that come out equal go by bits, and no margin is too narrow: such a text is too short to tell.
+    """
     letters = plain(text) if text else ""
     if not letters or not by_language:
-        return "und", 0.0
+        return "und", 0.0, True
     blocks = [f" {letters[i : i + BLOCK_CHARS]} ".encode() for i in range(0, len(letters), BLOCK_CHARS)]
     sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in by_language.items())
     if len(sizes) == 1:
-        return sizes[0][1], 1.0
-    return sizes[0][1], (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+        return sizes[0][1], 1.0, False
+    coarse = sizes[1][0] * least_margin < 1
+    if coarse and sizes[0][0] == sizes[1][0]:
+        sizes = sorted((sum(by_language[lang].bits(b) for b in blocks), lang) for size, lang in sizes if size == sizes[0][0])
+    score = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+    return sizes[0][1], score, not coarse and score < least_margin
+
+
+def judge(text: str | None, by_language: dict[str, Compressor]) -> tuple[str, float]:
+    """The language whose dictionary makes the whole text smallest, and its margin over the next (0 to 1)."""
+    return judged(text, by_language)[:2]
 
 
 def identified(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float = LEAST_MARGIN) -> DataFrame:
     """Adds ``lang_pred``, ``score`` and ``rejected`` to ``docs(text, ...)``; reads no other column to decide.
 
     ``lang_pred`` is the language whose dictionary compresses the whole text best, ``und`` for null texts and texts
-    without a letter. ``score`` is the share by which the best is smaller than the next. ``rejected`` marks ``und`` and margins under ``least_margin``;
-    ties go to the language that comes first by name. Columns of ``docs`` called as the three new ones are replaced. Only the text
+    without a letter. ``score`` is the share by which the best is smaller than the next, in bytes, or in bits where short texts come out
+    equal. ``rejected`` marks ``und``, and margins under ``least_margin`` of texts long enough for a byte to be less than that;
+    ties in bits as well go to the language that comes first by name. Columns of ``docs`` called as the three new ones are replaced. Only the text
     travels to Python, with the other columns as they are; an empty table gives no rows, no learned language only ``und``.
     """
     new = ("lang_pred", "score", "rejected")
     base = docs.drop(*new)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def decide(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         by_language = compressors(dictionaries)
         for texts in frames:
-            yield pd.DataFrame([judge(t, by_language) for t in texts], columns=["lang_pred", "score"])
+            yield pd.DataFrame([judged(t, by_language, least_margin) for t in texts], columns=[*new])
 
     told = base.withColumn("_told", decide(F.col("text")))
-    told = told.withColumns({"lang_pred": F.col("_told.lang_pred"), "score": F.col("_told.score")}).drop("_told")
-    return told.withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("score") < least_margin))
+    return told.withColumns({c: F.col(f"_told.{c}") for c in new}).drop("_told")
 
 
 def held_out(doc_id: Column) -> Column:
