@@ -168,3 +168,11 @@ def test_further_links_join_components(spark):
     start = connected_components(spark.createDataFrame(first, schema))
     assert rows(with_links(start, spark.createDataFrame(more, schema))) == rows(connected_components(spark.createDataFrame(first + more, schema)))
     assert rows(with_links(start, spark.createDataFrame([], schema))) == rows(start)
+
+
+def test_short_lines_whose_hashes_agree_in_their_low_bits(spark):
+    """Of each pair, the words' token hashes have the same low 42 bits; they are different lines all the same."""
+    pairs = [("w81498", "w415582"), ("w57040", "w8869762"), ("w1789493", "w3684965")]
+    docs = spark.createDataFrame([(k, f"{a}\n{b}\n{a}") for k, (a, b) in enumerate(pairs)], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.line_no, r.kept) for r in deduplicated_lines(docs).collect())
+    assert got == [(k, i, i < 2) for k in range(3) for i in range(3)]

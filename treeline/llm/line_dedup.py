@@ -60,7 +60,7 @@ def deduplicated_lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no, mark, n_tokens, kept)`` of every line of ``docs(doc_id, text)``.
 
     A line goes when an earlier one, by ``doc_id`` and place, has token sets of Jaccard similarity 0.8 or more with it, whether that
-    one stays or not. Lines with equal sets are one class, whose first line stands for it. Tokens are ordered by rarity
+    one stays or not. Lines with equal sets, by two hashes of their whole tokens, are one class, whose first line stands for it. Tokens are ordered by rarity
     (the count of their bucket in all lines, then their hash); classes meet in the lists of their prefix tokens under the length and
     positional filters; candidates are verified on the tokens of their texts. First each class is held against the first of its
     lists, which is linear; then all earlier members of a list are compared with those that still stay.
@@ -73,8 +73,9 @@ def deduplicated_lines(docs: DataFrame) -> DataFrame:
     rank = lambda t: F.shiftleft(F.get(counts, bucket(t).cast("int")), HASH_BITS).bitwiseOR(t.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
     size = F.size("tokens")
     ordered = F.sort_array(F.transform("tokens", rank))
-    table = lines.select("doc_id", "line_no", "mark", size.alias("n"), ordered.alias("_all")).select(
-        "doc_id", "line_no", "mark", "n", F.xxhash64("_all").alias("one"), F.xxhash64(F.lit("second"), "_all").alias("two"),
+    sets = F.sort_array("tokens")  # whole tokens: ranks keep some of their bits
+    table = lines.select("doc_id", "line_no", "mark", size.alias("n"), F.xxhash64(sets).alias("one"), F.xxhash64(F.lit("second"), sets).alias("two"), ordered.alias("_all")).select(
+        "doc_id", "line_no", "mark", "n", "one", "two",
         F.slice("_all", 1, prefix_length(F.col("n"))).alias("prefix"),
     )
     ranked = cut(table.withColumn("id", F.monotonically_increasing_id()))
