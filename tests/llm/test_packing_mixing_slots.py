@@ -74,6 +74,14 @@ def test_exchange_saves_sequences(spark):
     assert more["sequences"] <= alone["sequences"] and more["sequences"] >= more["lower_bound"] == 200
 
 
+def test_exchange_goes_on_while_it_saves(spark):
+    """However many partitions there are: a fifth round comes where the fourth has saved sequences."""
+    lengths = spark.range(2000).selectExpr("id", "cast(500 + pmod(xxhash64(id), 400) as bigint) as length")
+    _, four = packed(lengths, per_partition=8, most_rounds=4)
+    _, told = packed(lengths, per_partition=8)
+    assert told["rounds"] > four["rounds"] and told["sequences"] < four["sequences"]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 12), min_size=1, max_size=8))
 def test_bound_and_best_fit(lengths):

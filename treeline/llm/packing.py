@@ -15,7 +15,6 @@ from treeline.session import cut, release
 CAPACITY = 2048
 #: Pieces that one task packs; a full partition takes about 100 bytes a piece.
 PIECES_PER_PARTITION = 100_000
-MOST_ROUNDS = 4
 
 PIECES = "doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -121,13 +120,13 @@ def pack_once(dealt: DataFrame, capacity: int) -> DataFrame:
     return dealt.groupBy("_part").applyInPandas(one, PACKED)
 
 
-def packed(cut_pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES_PER_PARTITION, most_rounds: int = MOST_ROUNDS) -> tuple[DataFrame, dict]:
+def packed(cut_pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES_PER_PARTITION, most_rounds: int | None = None) -> tuple[DataFrame, dict]:
     """``cut_pieces(length, ...)`` with ``sequence_id`` and ``offset``; and the certificate ``{sequences, lower_bound, rounds}``.
 
     Partitions of at most about ``per_partition`` pieces are packed by best-fit decreasing. One whose number of bins meets the lower bound is
     final. The others keep their full bins and exchange the contents of the rest: these are dealt out anew,
     to half as many partitions or fewer, and packed again, until all are certified, the total meets the bound of all lengths,
-    a single partition is left, or a round saves nothing (then its predecessor stands). The bound of all comes from counts per length.
+    a single partition is left, or a round saves nothing (then its predecessor stands); ``most_rounds`` ends it earlier, if given. The bound of all comes from counts per length.
 
     Rows may repeat; an empty table gives no rows and needs no sequence. Other columns are carried along and may not be
     called ``sequence_id`` or ``offset`` (these are replaced).
@@ -139,7 +138,7 @@ def packed(cut_pieces: DataFrame, capacity: int = CAPACITY, per_partition: int =
     parts = max(1, -(-n // per_partition))
     placed = cut(pack_once(deal(rows, parts, 0), capacity).withColumn("_round", F.lit(0)))
     rounds = 1
-    while parts > 1 and rounds < most_rounds:
+    while parts > 1 and (most_rounds is None or rounds < most_rounds):
         bins = _bins(placed)
         open_rows = placed.where("_gap and _room > 0")
         pool = open_rows.count()
