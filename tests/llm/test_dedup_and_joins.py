@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 from treeline.llm.components import connected_components, with_links
 from treeline.llm.line_dedup import deduplicated_lines, without_lines
-from treeline.llm.quotient import decode_block, encode_block, exact_duplicates, merge_sorted, without_copies
+from treeline.llm.quotient import block_bits_of, decode_block, encode_block, exact_duplicates, merge_sorted, without_copies
 from treeline.llm.set_join import near_copies, one_of_each, shingle_sets
 
 SCHEMA = "doc_id bigint, text string, source string, n string, id string, token string, keep_id string, _text string"
@@ -176,3 +176,16 @@ def test_short_lines_whose_hashes_agree_in_their_low_bits(spark):
     docs = spark.createDataFrame([(k, f"{a}\n{b}\n{a}") for k, (a, b) in enumerate(pairs)], "doc_id bigint, text string")
     got = sorted((r.doc_id, r.line_no, r.kept) for r in deduplicated_lines(docs).collect())
     assert got == [(k, i, i < 2) for k in range(3) for i in range(3)]
+
+
+def test_blocks_follow_the_number_of_rows(docs):
+    """A block has a bounded number of fingerprints, a filter a bounded number of run ends, and nothing is lost."""
+    assert [block_bits_of(n) for n in (0, 15_000_000, 1 << 24)] == [10, 10, 10]
+    assert all(1 << 13 <= n >> block_bits_of(n) <= 1 << 14 for n in (10**8, 10**9, 10**12))
+    prints = np.unique(np.random.default_rng(4).integers(0, 2**64, 2000, dtype=np.uint64))
+    for bits in (10, 16, 26):
+        for r in ((prints >> np.uint64(bits)) | (np.uint64(5) << np.uint64(64 - bits)),):
+            run_ends, remainders = encode_block(r, r, bits)
+            assert len(run_ends) << bits <= max(1 << 22, 1 << bits) and (decode_block(5, run_ends, remainders, bits) == r).all()
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(exact_duplicates(docs, block_bits=20)) == rows(exact_duplicates(docs))

@@ -9,25 +9,39 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A filter's block holds the remainders of 2^QUOTIENT_BITS quotients.
-QUOTIENT_BITS = 12
+#: A filter's block holds the remainders of 2^QUOTIENT_BITS quotients at most, a filter of 2^ALL_BITS in all.
+QUOTIENT_BITS, ALL_BITS = 12, 22
+#: One task merges a block at a time, of about so many different fingerprints at most; there are 2^LEAST_BLOCK_BITS blocks or more.
+PRINTS_PER_BLOCK, LEAST_BLOCK_BITS = 1 << 14, 10
 
 FILTER = "block int, run_ends array<int>, remainders array<bigint>, counts array<bigint>"
 
 
+def block_bits_of(rows: int) -> int:
+    """The logarithm of the number of blocks for so many rows."""
+    return max(LEAST_BLOCK_BITS, (max(0, rows - 1) // PRINTS_PER_BLOCK).bit_length())
+
+
+def quotient_bits(block_bits: int) -> int:
+    """More blocks have fewer quotients each, so that a filter's run ends do not grow with their number."""
+    return max(0, min(QUOTIENT_BITS, ALL_BITS - block_bits))
+
+
 def encode_block(prints: np.ndarray, counts: np.ndarray, block_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Run ends per quotient and sorted remainders of one block's sorted, distinct fingerprints (uint64)."""
-    rest = 64 - block_bits - QUOTIENT_BITS
-    quotients = (prints >> np.uint64(rest)) & np.uint64(2**QUOTIENT_BITS - 1)
-    run_ends = np.searchsorted(quotients, np.arange(2**QUOTIENT_BITS, dtype=np.uint64), side="right")
+    q = quotient_bits(block_bits)
+    rest = 64 - block_bits - q
+    quotients = (prints >> np.uint64(rest)) & np.uint64(2**q - 1)
+    run_ends = np.searchsorted(quotients, np.arange(2**q, dtype=np.uint64), side="right")
     return run_ends.astype(np.int32), (prints & np.uint64(2**rest - 1)).astype(np.int64)
 
 
 def decode_block(block: int, run_ends: np.ndarray, remainders: np.ndarray, block_bits: int) -> np.ndarray:
     """The sorted fingerprints of a block: nothing is lost on the way in."""
-    rest = 64 - block_bits - QUOTIENT_BITS
-    quotients = np.repeat(np.arange(2**QUOTIENT_BITS, dtype=np.uint64), np.diff(run_ends, prepend=0))
-    top = np.uint64(int(block) << QUOTIENT_BITS) | quotients
+    q = quotient_bits(block_bits)
+    rest = 64 - block_bits - q
+    quotients = np.repeat(np.arange(2**q, dtype=np.uint64), np.diff(run_ends, prepend=0))
+    top = np.uint64(int(block) << q) | quotients
     return (top << np.uint64(rest)) | remainders.astype(np.int64).view(np.uint64)
 
 
@@ -82,7 +96,7 @@ def repeated_prints(merged: DataFrame, block_bits: int, name: str = "print") ->
     return merged.mapInPandas(read, f"{name} bigint, n bigint")
 
 
-def exact_duplicates(docs: DataFrame, block_bits: int = 10, bits: int = 64, whole: bool = False) -> DataFrame:
+def exact_duplicates(docs: DataFrame, block_bits: int | None = None, bits: int = 64, whole: bool = False) -> DataFrame:
     """``(doc_id, keep_id, group_size, kept, text_sha256)`` of every row of ``docs(doc_id, text)``.
 
     Every partition counts the 64-bit fingerprints of its texts in a quotient filter, the filters merge by
@@ -93,8 +107,10 @@ def exact_duplicates(docs: DataFrame, block_bits: int = 10, bits: int = 64, whol
     Null text counts as empty, null ``doc_id`` sorts first and stays only where its group has no other; rows that
     repeat text and ``doc_id`` are returned as often as they occur, and one of them is ``kept`` per occurrence
     of the largest id. An empty table gives no rows; columns besides ``doc_id`` and ``text`` are not looked at.
-    ``bits`` shortens the fingerprint, for tests of collisions; ``whole`` adds each row itself as ``document``.
+    ``block_bits`` follows from the number of rows; ``bits`` shortens the fingerprint, for tests of collisions; ``whole`` adds each row itself as ``document``.
     """
+    if block_bits is None:
+        block_bits = block_bits_of(docs.count())
     text = F.coalesce(F.col("text"), F.lit(""))
     mark = F.xxhash64(text) if bits == 64 else F.shiftleft(F.xxhash64(text), 64 - bits)
     rows = docs.select("doc_id", text.alias("_text"), mark.alias("_print"), *([F.struct("*").alias("_document")] if whole else []))
