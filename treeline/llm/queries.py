@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeline.llm.fill_middle import fill_in_middle, restored
 from treeline.llm.graph_index import nearest_neighbours
 from treeline.llm.language import held_out, identified, learn
+from treeline.llm.lexical import best_documents
 from treeline.llm.line_dedup import deduplicated_lines
 from treeline.llm.mixing import mixed
 from treeline.llm.packing import packed, pieces
 from treeline.llm.quotient import exact_duplicates
 from treeline.llm.set_join import near_copies
 from treeline.llm.slots import sharded
+from treeline.llm.token_counts import counted
 from treeline.llm.url_rules import filtered
 from treeline.llm.wrapper import extracted
 
@@ -31,10 +34,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def tokenizer() -> str:
+def tokenizer(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,6 +83,20 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed(table(spark, folder, "documents"))[0].drop("_row")
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    cut_up = fill_in_middle(table(spark, folder, "documents"))
+    again = F.sha2(restored(F.col("form"), F.col("output")), 256)
+    return cut_up.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), again.alias("restored_sha256"))
+
+
+def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return counted(table(spark, folder, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return best_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op3_language_id, op4_virtual_slots, op5_ngram_join, op6_nearest_neighbours, op7_exact_dedup, op8_main_text, op9_line_dedup, op10_mixing)
+    f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op3_language_id, op4_virtual_slots, op5_ngram_join, op6_nearest_neighbours, op7_exact_dedup, op8_main_text, op9_line_dedup, op10_mixing, op11_fill_in_middle, op12_token_counts, op13_lexical_search)
 }
