@@ -53,6 +53,23 @@ def documents_with_ignore_files(spark: SparkSession, folder: str) -> DataFrame:
     return docs.unionByName(extra)
 
 
+def documents_with_many_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents, and in the root of every repository an ignore file with five rules for each part."""
+    docs, key = documents(spark, folder), F.col("p_partkey").cast("string")
+    rules = [
+        F.concat(F.lit("doc_"), key, F.lit(".md")),
+        F.concat(F.lit("*"), key, F.lit(".py")),
+        F.concat(F.lit("/en/b"), (F.col("p_partkey") % 7).cast("string"), F.lit("/doc_"), key, F.lit(".log")),
+        F.concat(F.lit("doc_"), key, F.lit("*")),
+        F.concat(F.lit("!/de/*/doc_"), key, F.lit(".txt")),
+    ]
+    lines = table(spark, folder, "part").select("p_partkey", F.posexplode(F.array(*rules)).alias("nth", "line"))
+    text = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "nth", "line"))), lambda r: r["line"])
+    file = lines.agg(F.array_join(text, "\n").alias("text"))  # the one file's own text
+    extra = files_table(docs.select("repo_id").distinct().crossJoin(file), F.col("repo_id"), F.lit(".gitignore"), F.col("text"))
+    return docs.unionByName(extra)
+
+
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     """Every page a file of its host; of several pages at one address the latest stays."""
     raw = table(spark, folder, "pages")

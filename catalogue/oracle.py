@@ -360,6 +360,35 @@ judged AS (SELECT f.*, is_binary OR coalesce(last, false) AS is_ignored, CASE WH
 credit AS (SELECT h.repo_id, h.path, string_agg(pattern, '|' ORDER BY pos) AS credited FROM hits h JOIN judged j USING (repo_id, path) WHERE include = is_ignored GROUP BY ALL)
 SELECT repo_id, path, is_ignored, reason, coalesce(credited, '') AS credited FROM judged LEFT JOIN credit USING (repo_id, path)"""
 
+_MANY = f"""{DOC}, {rules(DEFAULTS, [("!doc_3*.md", r"(^|/)doc_3[^/]*[.]md(/|$)")])},
+files AS (
+  SELECT repo_id, lang, doc_id, path, name, is_binary FROM doc
+  UNION ALL SELECT DISTINCT repo_id, NULL, NULL, '.gitignore', '.gitignore', false FROM doc),
+filed AS (
+  SELECT 2000000 + p_partkey * 5 AS pos, p_partkey AS k, 0 AS nth, 'doc_' || p_partkey || '.md' AS pattern FROM part
+  UNION ALL SELECT 2000000 + p_partkey * 5 + 1, p_partkey, 1, '*' || p_partkey || '.py' FROM part
+  UNION ALL SELECT 2000000 + p_partkey * 5 + 2, p_partkey, 2, '/en/b' || (p_partkey % 7) || '/doc_' || p_partkey || '.log' FROM part
+  UNION ALL SELECT 2000000 + p_partkey * 5 + 3, p_partkey, 3, 'doc_' || p_partkey || '*' FROM part
+  UNION ALL SELECT 2000000 + p_partkey * 5 + 4, p_partkey, 4, '!/de/*/doc_' || p_partkey || '.txt' FROM part),
+hits AS (
+  SELECT f.repo_id, f.path, origin, origin_rank * 1000000 + CASE WHEN origin = 'user' THEN 1000000000 ELSE ord END AS pos, pattern, include
+  FROM files f JOIN rules r ON NOT is_binary AND regexp_matches(path, regex)
+  UNION ALL
+  SELECT f.repo_id, f.path, 'gitignore', pos, pattern, nth <> 4 FROM files f JOIN filed r ON NOT is_binary AND CASE nth
+    WHEN 0 THEN f.name = r.pattern
+    WHEN 1 THEN ends_with(f.name, substr(r.pattern, 2))
+    WHEN 2 THEN '/' || f.path = r.pattern
+    WHEN 3 THEN starts_with(f.name, 'doc_' || k)
+    ELSE f.lang = 'de' AND f.name = 'doc_' || k || '.txt' END),
+decided AS (SELECT repo_id, path, arg_max(include, pos) AS last FROM hits GROUP BY ALL),
+judged AS (SELECT f.*, is_binary OR coalesce(last, false) AS is_ignored, CASE WHEN is_binary THEN 'binary' WHEN last THEN 'pattern' END AS reason
+  FROM files f LEFT JOIN decided USING (repo_id, path))"""
+
+ORACLE["many_rules_verdicts"] = f"WITH {_MANY} SELECT repo_id, path, is_ignored, reason FROM judged"
+
+ORACLE["many_rules_hits"] = f"""WITH {_MANY}
+SELECT h.repo_id, min(origin) AS origin, pattern, count(*) AS hits FROM hits h JOIN judged j USING (repo_id, path) WHERE include = is_ignored GROUP BY h.repo_id, pattern"""
+
 _LISTING_LABEL = (
     "' (' || " + SIZE_LABEL.format("<size>")
     + " || '; chars-4:' || <n4> || '; created: ' || <created> || '; modified: ' || <modified> || ')'"

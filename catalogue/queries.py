@@ -162,6 +162,22 @@ def ignore_file_verdicts(spark, folder):
     return judged.select("repo_id", "path", "is_ignored", "reason", F.array_join("credited", "|").alias("credited"))
 
 
+@query
+def many_rules_verdicts(spark, folder):
+    """Ignore files of thousands of rules: verdicts without a list of patterns."""
+    files = corpora.documents_with_many_rules(spark, folder)
+    judged, _ = project.judged_with_hits(files, project.Selection(["!doc_3*.md"]), patterns=False, once=True)
+    return judged.select("repo_id", "path", "is_ignored", "reason")
+
+
+@query
+def many_rules_hits(spark, folder):
+    """How many files each rule of those ignore files is credited for, and the first ignored files."""
+    files = corpora.documents_with_many_rules(spark, folder)
+    told = project.ignore_report(files, project.Selection(["!doc_3*.md"]))
+    return told["patterns"].select("repo_id", "origin", "pattern", "hits")
+
+
 @query
 def removed_files(spark, folder):
     return verdicts.disposition(_judged(spark, folder), "removed").select("repo_id", "path", "reason", "binary_extension")

@@ -104,9 +104,9 @@ def test_rules_as_data_give_the_same_matches(spark):
     compiled = [compile_rule(p) for p in patterns]
     paths = sorted({p for _, yes, no in CLASSES.values() for p in yes + no})
     df = spark.createDataFrame([(p,) for p in paths], "p string")
-    inline = df.select("p", rules.matches_of_list(F.col("p"), compiled, "user")).collect()
-    as_data = F.from_json(F.lit(json.dumps([rule._asdict() for rule in compiled])), rules.RULES_TYPE)
-    listed = df.select("p", rules.matches_of_array(F.col("p"), as_data, "user")).collect()
+    inline = df.select("p", F.transform(rules.matches_of_list(F.col("p"), compiled, "user"), lambda m: m["pattern"])).collect()
+    as_data = F.from_json(F.lit(json.dumps([rule._asdict() | rules.index_entry(rule.pattern) for rule in compiled])), rules.RULES_TYPE)
+    listed = df.select("p", F.transform(F.filter(as_data, lambda r: rules.holds_row(F.col("p"), r)), lambda r: r["pattern"])).collect()
     assert inline == listed
     assert any(len(r[1]) > 3 for r in inline)
 
@@ -124,10 +124,10 @@ def test_ignore_files(corpus):
             "x.gitignore": "x\n",
         }
     )
-    got = {r.base: (r.scope, [(x.pattern, x.include) for x in r.rules]) for r in rules.ignore_file_rules(files).collect() if r.rules}
+    got = {r.base: [(x.pattern, x.include) for x in r.rules] for r in rules.ignore_file_rules(files).collect() if r.rules}
     assert got == {
-        "": ("", [("*.log", True), ("!keep.log", False)]),
-        "sub": ("sub", [("sub/x", True), ("sub//y", True), ("!sub/z/", False)]),
-        "we[i]rd/d": ("", [("we[i]rd/d/x", True)]),
-        "!bang": ("", [("!bang/x", False)]),
+        "": [("*.log", True), ("!keep.log", False)],
+        "sub": [("sub/x", True), ("sub//y", True), ("!sub/z/", False)],
+        "we[i]rd/d": [("we[i]rd/d/x", True)],
+        "!bang": [("!bang/x", False)],
     }

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from treeline.functions import paths
 from treeline.operators import skew
+from treeline.operators.rule_index import Hits
 
+# Names and order of the rules' origins and of the summary's lines.
 ORIGINS = ("default", "gitignore", "user")
 SUMMARY = (
     "Total files checked",
@@ -21,19 +23,18 @@ SUMMARY = (
 )
 
 
-def pattern_hits(judged: DataFrame, by: Sequence[str] = ("repo_id",)) -> DataFrame:
+def pattern_hits(judged: DataFrame, by: Sequence[str] = ("repo_id",), hits: Hits | None = None) -> DataFrame:
     """``by..., origin, pattern, hits``: files credited to each pattern.
 
     A pattern listed twice counts twice. ``origin`` is the first one that holds the pattern, so a user's
-    copy of a default rule counts as a default.
+    copy of a default rule counts as a default. With ``hits`` (and a verdict without ``patterns``), rules of ignore files come as counted rows.
     """
-    rank = F.array_position(F.array(*[F.lit(o) for o in ORIGINS]), F.col("m.origin"))
     used = judged.select(*by, "is_ignored", F.explode("matched").alias("m")).where(F.col("m.include") == F.col("is_ignored"))
-    return (
-        used.groupBy(*by, F.col("m.pattern").alias("pattern"))
-        .agg(F.min_by(F.col("m.origin"), rank).alias("origin"), F.count("*").alias("hits"))
-        .select(*by, "origin", "pattern", "hits")
-    )
+    counted = used.groupBy(*by, F.col("m.origin").alias("origin"), F.col("m.pattern").alias("pattern")).agg(F.count("*").alias("hits"))
+    if hits is not None:
+        counted = counted.unionByName(hits.credits(judged).select(*by, F.lit("gitignore").alias("origin"), "pattern", "hits"))
+    rank = F.array_position(F.array(*[F.lit(o) for o in ORIGINS]), F.col("origin"))
+    return counted.groupBy(*by, "pattern").agg(F.min_by("origin", rank).alias("origin"), F.sum("hits").alias("hits")).select(*by, "origin", "pattern", "hits")
 
 
 def binary_extensions(judged: DataFrame, by: Sequence[str] = ("repo_id",)) -> DataFrame:
@@ -57,19 +58,31 @@ def ignore_summary(judged: DataFrame, by: Sequence[str] = ("repo_id",)) -> DataF
     return counted.select(*by, F.inline(F.array(*lines)))
 
 
-def ignored_files(judged: DataFrame, most: int | None = 20, by: Sequence[str] = ("repo_id",)) -> DataFrame:
+def ignored_files(judged: DataFrame, most: int | None = 20, by: Sequence[str] = ("repo_id",), hits: Hits | None = None) -> DataFrame:
     """The first ``most`` ignored files of each group by path, and a line counting the others.
 
     ``by..., line, file, reason, is_binary, patterns``. The rank limit reaches the map tasks, which
     forward at most ``most`` rows per group. Without a limit (``most=None``) all ignored files are listed.
+    With ``hits`` (and a verdict without ``patterns``), rules of ignore files are listed for the files shown only.
     """
-    patterns = F.when(F.size("credited") > 0, F.array_join("credited", ", ")).otherwise("-").alias("patterns")
-    ignored = judged.where("is_ignored").select(*by, F.col("path").alias("file"), "reason", "is_binary", patterns)
+    ignored = judged.where("is_ignored").select(*dict.fromkeys([*by, "repo_id"]), F.col("path").alias("file"), "reason", "is_binary", "matched")
     columns = [*by, "line", "file", "reason", "is_binary", "patterns"]
+
+    def shown(ranked: DataFrame) -> DataFrame:
+        found = F.col("matched")
+        if hits is not None:
+            lists = hits.lists(ranked.where(~F.col("is_binary")).select("repo_id", F.col("file").alias("path"))).withColumnRenamed("path", "file")
+            ranked = ranked.join(lists, ["repo_id", "file"], "left")
+            of = lambda origin: F.filter("matched", lambda m: m["origin"] == origin)
+            found = F.when(F.col("_found").isNull(), found).otherwise(F.concat(of("default"), F.col("_found"), of("user")))
+        credited = F.transform(F.filter(found, lambda m: m["include"]), lambda m: m["pattern"])
+        patterns = F.when(F.size(credited) > 0, F.array_join(credited, ", ")).otherwise("-")
+        return ranked.withColumn("patterns", patterns).select(*columns)
+
     if most is None:
-        return skew.rank_within(ignored, by, [F.col("file").asc()], "line").select(*columns)
+        return shown(skew.rank_within(ignored, by, [F.col("file").asc()], "line"))
     first = W.partitionBy(*by).orderBy("file")
-    top = ignored.withColumn("line", F.row_number().over(first)).where(F.col("line") <= most).select(*columns)
+    top = shown(ignored.withColumn("line", F.row_number().over(first)).where(F.col("line") <= most))
     others = ignored.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > most)
     nothing = F.lit("")
     return top.unionByName(

@@ -51,9 +51,11 @@ DEFAULT_RULES = (
     "*~",
 )
 
+#: ``meets`` to ``below`` are a rule's place in an index (:mod:`treeline.operators.rule_index`).
 RULES_TYPE = T.ArrayType(
     T.StructType().add("pattern", "string").add("include", "boolean").add("kind", "string").add("key", "string")
-)
+    .add("meets", "string").add("dir", "string").add("text", "string").add("inside", "boolean").add("below", "string")
+)
 MATCH_TYPE = "struct<origin: string, pattern: string, include: boolean>"
 
 
@@ -64,7 +66,7 @@ class Rule(NamedTuple):
     key: str
 
 
-_WILD = re.compile(r"[*?\[\\]")
+WILD = re.compile(r"[*?\[\\]")
 
 
 def _component_regex(glob: str) -> str:
@@ -116,14 +118,13 @@ def _path_regex(parts: Sequence[str], floating: bool, only_inside: bool) -> str:
     return f"(?d)^{out}{closing}$"
 
 
-def compile_rule(line: str) -> Rule | None:
-    """The test for one rule line, None for a line without a rule; ValueError if it cannot be read."""
+def rule_parts(line: str) -> tuple[bool, list[str], bool, bool] | None:
+    """``include, parts, only_inside, floating`` of a rule line, None for a line without a rule; ValueError if it cannot be read."""
     text = line.lstrip() if line.endswith("\\ ") else line.strip()
     if not text or text.startswith("#") or text == "/":
         return None
     include = not text.startswith("!")
-    body = text if include else text[1:]
-    parts = body.split("/")
+    parts = (text if include else text[1:]).split("/")
     only_inside = len(parts) > 1 and parts[-1] == ""
     if only_inside:
         parts = parts[:-1]
@@ -132,19 +133,28 @@ def compile_rule(line: str) -> Rule | None:
         parts = parts[1:]
     if parts == [""]:
         raise ValueError(f"not a rule: {line!r}")
+    return include, parts, only_inside, floating
+
+
+def compile_rule(line: str) -> Rule | None:
+    """The test for one rule line, None for a line without a rule; ValueError if it cannot be read."""
+    read = rule_parts(line)
+    if read is None:
+        return None
+    include, parts, only_inside, floating = read
 
     def rule(kind: str, key: str) -> Rule:
         return Rule(line, include, kind, key)
 
-    plain = [not _WILD.search(part) for part in parts]
+    plain = [not WILD.search(part) for part in parts]
     if floating:
         glob = parts[0]
         kind = "inside" if only_inside else "component"
         if plain[0]:
             return rule(kind, f"/{glob}/")
-        if glob.startswith("*") and not _WILD.search(glob[1:]) and not (only_inside and glob == "*"):
+        if glob.startswith("*") and not WILD.search(glob[1:]) and not (only_inside and glob == "*"):
             return rule(kind, f"{glob[1:]}/")
-        if glob.endswith("*") and not only_inside and not _WILD.search(glob[:-1]):
+        if glob.endswith("*") and not only_inside and not WILD.search(glob[:-1]):
             return rule(kind, f"/{glob[:-1]}")
     elif all(plain):
         return rule("under" if only_inside else "anchored", "/".join(parts) + "/")
@@ -171,7 +181,7 @@ def _tests(path: Column, rules: Sequence[Rule]) -> list[Column]:
     return [kinds[rule.kind](rule.key) for rule in rules]
 
 
-def _holds_row(path: Column, rule: Column) -> Column:
+def holds_row(path: Column, rule: Column) -> Column:
     """The same test for a rule that is data."""
     kind, key, slash = rule["kind"], rule["key"], F.lit("/")
     return (
@@ -183,14 +193,6 @@ def _holds_row(path: Column, rule: Column) -> Column:
     )
 
 
-def matches_of_array(path: Column, rules: Column, origin: str) -> Column:
-    """Matching rules of an array column, in its order."""
-    return F.transform(
-        F.filter(rules, lambda r: _holds_row(path, r)),
-        lambda r: F.struct(F.lit(origin).alias("origin"), r["pattern"].alias("pattern"), r["include"].alias("include")),
-    )
-
-
 def matches_of_list(path: Column, rules: Sequence[Rule], origin: str) -> Column:
     """Matching rules of a list known on the driver, in its order, as ``ARRAY<match>``."""
     if not rules:
@@ -204,6 +206,48 @@ def matches_of_list(path: Column, rules: Sequence[Rule], origin: str) -> Column:
 # --- rules found in the corpus ---------------------------------------------------------------------
 
 
+def _simple(glob: str) -> tuple[str, str] | None:
+    """How a name meets a glob, if a key can tell."""
+    if glob and not WILD.search(glob):
+        return "name", glob
+    if len(glob) > 1 and glob.startswith("*") and not WILD.search(glob[1:]):
+        return "tail", glob[1:]
+    if len(glob) > 1 and glob.endswith("*") and not WILD.search(glob[:-1]):
+        return "head", glob[:-1]
+    return None
+
+
+def index_entry(line: str) -> dict:
+    """``meets, dir, text, inside, below`` of a rule line.
+
+    ``inside`` asks for a directory, ``below`` for a node anywhere under that path. ``rest`` rules name in ``dir`` the directory all
+    their files lie under.
+    """
+    _, parts, only_inside, floating = rule_parts(line)
+
+    def entry(meets: str, folder: str = "", text: str = "", inside: bool = only_inside, below: str = "") -> dict:
+        return {"meets": meets, "dir": folder, "text": text, "inside": inside, "below": below}
+
+    plain = [bool(part) and not WILD.search(part) for part in parts]
+    last = parts[-1]
+    if floating or (len(parts) > 1 and parts[-2] == "**" and all(plain[:-2])):
+        under = "/".join(parts[:-2])
+        if last in ("*", "**") and not only_inside:
+            return entry("path", text=under, inside=True)
+        if found := _simple(last):
+            return entry(found[0], text=found[1], below=under)
+    elif all(plain):
+        return entry("path", text="/".join(parts))
+    elif all(plain[:-1]):
+        folder = "/".join(parts[:-1])
+        if last in ("*", "**") and not only_inside:
+            return entry("path", text=folder, inside=True)
+        if (found := _simple(last)) and found[0] != "name":
+            return entry(f"{found[0]} in", folder, found[1])
+    fixed = next((i for i, p in enumerate(plain[:-1]) if not p), len(parts) - 1)
+    return entry("rest", "/".join(parts[:fixed]))
+
+
 def _file_rules(base: str, text: str | None) -> list[dict]:
     """Rules of one ignore file; each is prefixed with the directory the file lies in."""
     found = []
@@ -217,7 +261,7 @@ def _file_rules(base: str, text: str | None) -> list[dict]:
         except ValueError as error:
             raise ValueError(f"rule {line!r} in the ignore file of {base or '.'!r}: {error}") from error
         if rule is not None:
-            found.append(rule._asdict())
+            found.append(rule._asdict() | index_entry(rule.pattern))
     return found
 
 
@@ -232,19 +276,11 @@ def is_ignore_file(path: Column) -> Column:
 
 
 def ignore_file_rules(files: DataFrame) -> DataFrame:
-    """One row per ignore file of the corpus: ``repo_id, scope, base, rules``.
+    """One row per ignore file of the corpus: ``repo_id, base, rules``; ``base`` is its directory.
 
-    ``files`` holds ``content``, or ``ignore_text`` when it comes from
-    :func:`treeline.operators.contents.measure`. ``scope`` is the directory whose files the rules can reach. It is ``base`` unless a name on the way
-    holds a character that a pattern reads as a wildcard or a mark; then it is the last directory before.
+    ``files`` holds ``content``, or ``ignore_text`` when it comes from :func:`treeline.operators.contents.measure`.
     """
     path = F.col("path")
-    base = paths.parent(path)
     text = F.col("ignore_text") if "ignore_text" in files.columns else decode_text(F.col("content"))
-    marked = F.regexp_extract(F.col("base"), r"^(?:([^*?\[\\/]+(?:/[^*?\[\\/]+)*)(?:/|$))?", 1)
-    scope = F.when(F.col("base").rlike(r"^[!#\s]|\s$"), F.lit("")).otherwise(marked)
-    return (
-        files.where(is_ignore_file(path))
-        .select("repo_id", base.alias("base"), text.alias("text"))
-        .select("repo_id", scope.alias("scope"), "base", _parse_ignore_files("base", "text").alias("rules"))
-    )
+    found = files.where(is_ignore_file(path)).select("repo_id", paths.parent(path).alias("base"), text.alias("text"))
+    return found.select("repo_id", "base", _parse_ignore_files("base", "text").alias("rules"))

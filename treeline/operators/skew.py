@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from treeline.session import cut
 
-#: Most rows of one key that a single task is asked to hold. A key above it is split. The list of split
-#: keys is broadcast; it has at most ``rows / ROWS_PER_KEY`` entries, 100,000 for 10^11 rows.
+#: Most rows of one key that a single task is asked to hold. A key above it is split.
 ROWS_PER_KEY = 1_000_000
+#: Most keys in the list of split ones, which is held by the driver and broadcast: some 10 MB. Of more, those with the most rows are split.
+MOST_CROWDED = 100_000
 
 
 def crowded_keys(df: DataFrame, on: Sequence[str], rows_per_key: int = ROWS_PER_KEY) -> DataFrame:
@@ -25,6 +26,17 @@ def crowded_keys(df: DataFrame, on: Sequence[str], rows_per_key: int = ROWS_PER_
     )
 
 
+def bounded(crowded: DataFrame, most: int = MOST_CROWDED) -> DataFrame | None:
+    """``crowded`` as a table of known size, ``most`` rows at most; None if no key is crowded.
+
+    Where more keys are, the limit above which a key is split doubles until the list is short enough; results do not depend on it.
+    """
+    pieces = 1
+    while len(rows := crowded.where(F.col("_pieces") > pieces).limit(most + 1).collect()) > most:
+        pieces *= 2
+    return crowded.sparkSession.createDataFrame(rows, crowded.schema) if rows else None
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -40,8 +52,11 @@ def salted_join(
     is repeated once per piece. All other keys keep a single piece. ``crowded`` can be handed in when the
     counts are known already; otherwise they are taken from ``left`` by a map-side combined count.
     """
+    if rows_per_key < 1:
+        raise ValueError(f"rows_per_key must be at least 1, not {rows_per_key}")
+    crowded = bounded(crowded_keys(left, on, rows_per_key) if crowded is None else crowded)
     if crowded is None:
-        crowded = crowded_keys(left, on, rows_per_key)
+        return left.join(right, list(on), how)
     pieces = F.coalesce(F.col("_pieces"), F.lit(1))
     dealt = (
         left.join(F.broadcast(crowded), list(on), "left")

@@ -9,16 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeline.functions import paths
-from treeline.operators import binary, rollup, skew
-from treeline.operators.rules import (
-    DEFAULT_RULES,
-    MATCH_TYPE,
-    Rule,
-    compile_rules,
-    ignore_file_rules,
-    matches_of_array,
-    matches_of_list,
-)
+from treeline.operators import binary, skew
+from treeline.operators.rule_index import Hits, match_rules
+from treeline.operators.rules import DEFAULT_RULES, MATCH_TYPE, Rule, compile_rules, ignore_file_rules, matches_of_list
 
 Detector = Callable[[Column, Column], Column]
 
@@ -55,26 +48,11 @@ def within_level(files: DataFrame, level: int | None) -> DataFrame:
     return files if level is None else files.where(paths.file_level(F.col("path")) <= level)
 
 
-def _ignore_file_matches(narrow: DataFrame, ignore_files: DataFrame, rows_per_key: int) -> DataFrame:
-    """``repo_id, path, _found``: matches from ignore files, outermost directory first.
-
-    A rule of an ignore file reaches only files below its scope, so files meet rules by an equi-join on
-    ``(repo_id, directory above the file)``: one row per file and ancestor, never file x rule pairs.
-    A directory above a large share of all files (the root of one huge repository) is salted.
-    """
-    above = narrow.select("repo_id", "path", F.explode(paths.directories_of(paths.parent(F.col("path")))).alias("scope"))
-    crowded = rollup.crowded_directories(rollup.directories(narrow, ()), rows_per_key).withColumnRenamed("path", "scope")
-    met = skew.salted_join(above, ignore_files, ["repo_id", "scope"], "inner", F.col("path"), crowded)
-    hits = met.select(
-        "repo_id",
-        "path",
-        paths.node_depth(F.col("base")).alias("depth"),
-        "base",
-        F.posexplode(matches_of_array(F.col("path"), F.col("rules"), "gitignore")).alias("nth", "match"),
-    )
-    # As many hits as rules that match this one file.
-    ordered = F.array_sort(F.collect_list(F.struct("depth", "base", "nth", "match")))
-    return hits.groupBy("repo_id", "path").agg(F.transform(ordered, lambda h: h["match"]).alias("_found"))
+def rule_hits(seen: DataFrame, rules: RuleSet, rows_per_key: int = skew.ROWS_PER_KEY, once: bool = False) -> Hits | None:
+    """What the rules of ignore files hold for the text files of ``seen(repo_id, path, is_binary)``; None without ignore files."""
+    if rules.ignore_files is None:
+        return None
+    return match_rules(seen.where(~F.col("is_binary")).select("repo_id", "path"), rules.ignore_files, rows_per_key, once)
 
 
 def judge(
@@ -83,6 +61,8 @@ def judge(
     include_binary: bool = False,
     detector: Detector = binary.is_binary,
     rows_per_key: int = skew.ROWS_PER_KEY,
+    patterns: bool = True,
+    hits: Hits | None = None,
 ) -> DataFrame:
     """Adds the verdict to ``files`` (``repo_id, path, content, ...``, unique paths).
 
@@ -90,31 +70,35 @@ def judge(
     ``is_ignored`` (the last matching rule decides), ``credited`` (the patterns that count for the
     verdict) and ``reason`` (``binary``, ``pattern`` or NULL). Binary files never meet a rule. With no
     ignore files this is a projection: no shuffle, content columns may stay on board.
+
+    Rules of ignore files decide by a maximum over :func:`rule_hits` (taken here unless given as ``hits``). Only with ``patterns`` are they
+    listed per file; without, ``matched`` and ``credited`` hold defaults and the user's rules alone, and
+    :meth:`treeline.operators.rule_index.Hits.credits` counts the others.
     """
     path = F.col("path")
     empty = F.array().cast(f"array<{MATCH_TYPE}>")
     seen = files if "is_binary" in files.columns else files.withColumn("is_binary", detector(path, F.col("content")))
-    if rules.ignore_files is not None:
-        text_paths = seen.where(~F.col("is_binary")).select("repo_id", "path")
-        found = _ignore_file_matches(text_paths, rules.ignore_files, rows_per_key)
-        seen = seen.join(found, ["repo_id", "path"], "left")
-        from_files = F.coalesce(F.col("_found"), empty)
-    else:
-        from_files = empty
-    matched = F.concat(
-        matches_of_list(path, rules.compiled_defaults, "default"),
-        from_files,
-        matches_of_list(path, rules.compiled_user, "user"),
+    hits = hits or rule_hits(seen, rules, rows_per_key, not patterns)
+    from_files, by_files = empty, F.lit(None).cast("boolean")
+    if hits is not None:
+        if patterns:
+            seen = seen.join(hits.lists(seen.where(~F.col("is_binary"))), ["repo_id", "path"], "left")
+            from_files = F.coalesce(F.col("_found"), empty)
+        seen = hits.decide(seen)
+        by_files = F.col("_by_files")
+    defaults, user = matches_of_list(path, rules.compiled_defaults, "default"), matches_of_list(path, rules.compiled_user, "user")
+    held = seen.withColumns({"_defaults": F.when(F.col("is_binary"), empty).otherwise(defaults), "_user": F.when(F.col("is_binary"), empty).otherwise(user)})
+    last = F.coalesce(
+        F.try_element_at("_user", F.lit(-1))["include"], F.when(~F.col("is_binary"), by_files), F.try_element_at("_defaults", F.lit(-1))["include"], F.lit(False)
     )
-    judged = seen.withColumn("matched", F.when(F.col("is_binary"), empty).otherwise(matched)).drop("_found")
-    last = F.try_element_at("matched", F.lit(-1))
-    by_pattern = F.coalesce(last["include"], F.lit(False))
     blocked = F.col("is_binary") & F.lit(not include_binary)
     credited = F.transform(
         F.filter("matched", lambda m: m["include"] == F.col("is_ignored")), lambda m: m["pattern"]
     )
     return (
-        judged.withColumn("is_ignored", blocked | by_pattern)
+        held.withColumn("matched", F.concat("_defaults", from_files, "_user"))
+        .withColumn("is_ignored", blocked | last)
+        .drop("_defaults", "_user", "_found", "_by_files")
         .withColumn("credited", credited)
         .withColumn("reason", F.when(blocked, F.lit("binary")).when(F.col("is_ignored"), F.lit("pattern")))
         .withColumn("binary_extension", F.when(F.col("is_binary"), F.lower(paths.suffix(path))))

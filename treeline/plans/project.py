@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from treeline.functions import paths
 from treeline.operators import contents, dates, report, rollup, sections, skew, tree, verdicts
+from treeline.operators.rule_index import Hits
 from treeline.operators.rules import is_ignore_file
 from treeline.operators.tokens import TokenModel, token_models, totals, with_counts
 from treeline.session import cut
@@ -43,8 +44,11 @@ class Selection:
         return token_models(self.models, self.own_models)
 
 
-def judged_files(files: DataFrame, select: Selection) -> DataFrame:
-    """One narrow row per file with its verdict; content is read once and left behind."""
+def judged_with_hits(files: DataFrame, select: Selection, patterns: bool = True, once: bool = False) -> tuple[DataFrame, Hits | None]:
+    """One narrow row per file with its verdict, and the hits of ignore files; content is read once and left behind.
+
+    ``once`` says that the verdict is all that is wanted of the hits.
+    """
     models = [m for m in select.token_models() if m.native]
     if select.level is not None:
         # Deeper files are not even measured, but ignore files count from everywhere.
@@ -58,12 +62,20 @@ def judged_files(files: DataFrame, select: Selection) -> DataFrame:
             # Column statistics answer this; a corpus without ignore files is spared their join.
             reads = not measured.where(F.col("ignore_text").isNotNull()).isEmpty()
     rules = verdicts.RuleSet.of(measured, select.ignore, select.use_defaults, reads)
-    return verdicts.judge(verdicts.within_level(measured, select.level), rules, select.include_binary)
+    near = verdicts.within_level(measured, select.level)
+    hits = verdicts.rule_hits(near, rules, once=once)
+    return verdicts.judge(near, rules, select.include_binary, patterns=patterns, hits=hits), hits
+
+
+def judged_files(files: DataFrame, select: Selection) -> DataFrame:
+    """One narrow row per file with its verdict and the patterns it is credited to."""
+    return judged_with_hits(files, select)[0]
 
 
 def kept_files(files: DataFrame, select: Selection) -> DataFrame:
     """Narrow rows of the files the job keeps, with token counts and dates."""
-    kept = verdicts.disposition(judged_files(files, select), select.keep)
+    judged, _ = judged_with_hits(files, select, patterns=False, once=True)
+    kept = verdicts.disposition(judged.drop("matched", "credited"), select.keep)
     costly = [m for m in select.token_models() if not m.native]
     if costly:
         texts = contents.with_text(files.join(kept.select(*KEYS), KEYS, "left_semi"), max_bytes=select.max_bytes)
@@ -121,14 +133,15 @@ def token_totals(files: DataFrame, select: Selection, by: Sequence[str] = ()) ->
 
 def ignore_report(files: DataFrame, select: Selection = Selection(), by: Sequence[str] = ("repo_id",), most: int | None = 20) -> dict[str, DataFrame]:
     """The ignore statistics as tables; all of them are aggregations over the same verdicts."""
-    judged = select.settle(judged_files(files, select))
-    hits = report.pattern_hits(judged, by)
+    judged, found = judged_with_hits(files, select, patterns=False)
+    judged = select.settle(judged)
+    hits = report.pattern_hits(judged, by, found)
     extensions = report.binary_extensions(judged, by)
     return {
         "summary": report.ignore_summary(judged, by),
         "patterns": hits,
         "binary_extensions": extensions,
-        "ignored_files": report.ignored_files(judged, most, by),
+        "ignored_files": report.ignored_files(judged, most, by, found),
         "pattern_strings": report.pattern_strings(hits, by),
         "extension_strings": report.extension_strings(extensions, by),
         "extensions": report.extension_statistics(verdicts.disposition(judged, select.keep), by),
