@@ -314,6 +314,36 @@ ORACLE["structure_only"] = f"""WITH {JUDGED}, f AS ({PLAIN} FROM judged WHERE is
     UNION ALL SELECT DISTINCT repo_id, unnest(['000000', '000002', '000004']),
       unnest(['<documents>' || chr(10) || '<structure>' || chr(10) || '<![CDATA[' || chr(10), ']]>' || chr(10) || '</structure>' || chr(10), '</documents>' || chr(10)]) FROM f"""
 
+ORACLE["bundle_positions"] = f"""WITH b AS (SELECT *, octet_length(encode(chunk)) AS n FROM ({ORACLE["bundle_text"]}))
+    SELECT repo_id, place, path, (sum(n) OVER (PARTITION BY repo_id ORDER BY place, path ROWS UNBOUNDED PRECEDING) - n)::BIGINT AS "offset", n::BIGINT AS bytes FROM b"""
+
+ORACLE["bundle_spans"] = f"""SELECT repo_id, place, path, md5(chunk) AS digest FROM ({ORACLE["bundle_text"]})"""
+
+
+def _structure_forms() -> str:
+    edges = {
+        "text": {"000000": HEADER, "000002": "'```' || chr(10)"},
+        "markdown": {"000000": "'# Project Structure' || chr(10) || chr(10) || '```' || chr(10)", "000002": "'```' || chr(10) || chr(10)"},
+        "xml": {
+            "000000": "'<documents>' || chr(10) || '<structure>' || chr(10) || '<![CDATA[' || chr(10)",
+            "000002": "']]>' || chr(10) || '</structure>' || chr(10)",
+            "000004": "'</documents>' || chr(10)",
+        },
+    }
+    fixed = [f"SELECT '{form}' AS form, repo_id, '{place}' AS place, {chunk} AS chunk FROM every" for form, pieces in edges.items() for place, chunk in pieces.items()]
+    return f"""WITH every AS (SELECT DISTINCT conv_id::VARCHAR AS repo_id FROM conversations),
+    f AS (SELECT conv_id::VARCHAR AS repo_id, 'turn_' || lpad(turn::VARCHAR, 4, '0') || '_' || role || '.md' AS name,
+        0 AS size, NULL::VARCHAR AS created, NULL::VARCHAR AS modified, NULL::BIGINT AS n4 FROM conversations WHERE turn BETWEEN 3 AND 9),
+    {tree(["name"], "f", BY_NAME)},
+    shown AS (
+        SELECT repo_id, '000001' || CASE WHEN place = '' THEN '' ELSE '.' || place END AS place, line || chr(10) AS chunk FROM drawn
+        UNION ALL SELECT repo_id, '000001', '.' || chr(10) FROM every WHERE repo_id NOT IN (SELECT repo_id FROM f))
+    SELECT form, repo_id, place, chunk FROM shown, (VALUES ('text'), ('xml'), ('markdown')) AS forms(form)
+    UNION ALL """ + " UNION ALL ".join(fixed)
+
+
+ORACLE["structure_forms"] = _structure_forms()
+
 # Whole documents in SQL; the written files are compared by their lines and bytes.
 _DOCUMENTS = """WITH c AS (
       SELECT conv_id::VARCHAR AS repo_id, 'turn_' || lpad(turn::VARCHAR, 4, '0') || '_' || role || '.md' AS name,

@@ -425,6 +425,15 @@ def structure_only(spark, folder):
     return rows.select("repo_id", _place(), "chunk")
 
 
+@query
+def structure_forms(spark, folder):
+    """The structure alone in all three layouts, here of late turns; conversations without any keep their empty root."""
+    select = project.Selection(["*", "!turn_000[3-9]_*"], read_ignore_files=False)
+    files = corpora.conversations(spark, folder)
+    forms = [project.summarize(files, select, form, only_structure=True).select(F.lit(form).alias("form"), "repo_id", _place(), "chunk") for form in ("text", "xml", "markdown")]
+    return functools.reduce(DataFrame.unionByName, forms)
+
+
 @query
 def bundle_text(spark, folder):
     """The pieces of the text documents of all conversations, in their order."""
@@ -455,6 +464,33 @@ def written_bundles(spark, folder):
     return lines.groupBy("repo_id").agg(F.count("*").alias("lines"), F.sum(F.length("value")).alias("chars"))
 
 
+@query
+def bundle_positions(spark, folder):
+    """Where each piece of the text documents begins and how long it is, in bytes."""
+    rows = project.summarize(corpora.conversations(spark, folder), project.Selection(["*_system.md"]))
+    return sections.positions(rows).select("repo_id", _place(), "path", "offset", "bytes")
+
+
+@query
+def bundle_spans(spark, folder):
+    """The pieces again, each read from its span of the file that holds it."""
+    place = _scratch(spark, "spans")
+    rows = project.summarize(corpora.conversations(spark, folder), project.Selection(["*_system.md"]))
+    sections.write_bundles(rows, place)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(place)
+    spans = sections.located(sections.positions(rows), sections.written_parts(files.select("path", F.col("length").alias("size"))))
+    # as many spans as pieces of one file
+    per_file = spans.groupBy("part", "repo_id").agg(F.collect_list(F.struct(_place(), "path", "offset_in_part", "bytes")).alias("spans"))
+    at = [F.element_at(F.split("path", "/"), -1).alias("part"), F.regexp_extract("path", "repo_id=([^/]*)/[^/]*$", 1).alias("repo_id"), "content"]
+    read = files.select(*at).join(per_file, ["part", "repo_id"])
+
+    def piece(span: Column) -> Column:
+        bytes_ = F.substring(F.col("content"), (span["offset_in_part"] + 1).cast("int"), span["bytes"].cast("int"))
+        return F.struct(span["place"].alias("place"), span["path"].alias("path"), F.md5(bytes_).alias("digest"))
+
+    return read.select("repo_id", F.inline(F.transform("spans", piece)))
+
+
 @query
 def scanned_directory(spark, folder):
     """Bundles written as files, found again by walking their directory."""

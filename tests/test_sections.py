@@ -1,13 +1,16 @@
 import xml.etree.ElementTree as ET
+from dataclasses import replace
 from pathlib import Path
+from urllib.parse import unquote
 
 import pytest
 from conftest import PROJECT
 from pyspark.sql import functions as F
 
 from treeline.operators import sections
+from treeline.plans import project
 from treeline.plans.project import Selection, summarize
-from treeline.sources.tables import files_table
+from treeline.sources.tables import bucketed, files_table
 
 DRAWN = """.
 ├── folder_1/
@@ -150,3 +153,60 @@ def test_ignore_files_below_the_level_still_count(corpus):
     text = document(summarize(files, Selection(level=1)))
     assert "## d/b" in text and "d/e" not in text and "## d/x" not in text
     assert "## a" in document(summarize(files, Selection(level=0)))
+
+
+def nested_corpus(corpus):
+    files = {f"{r}/d{i % 4}/f{i}.md": "x" * (i % 9) + f"\nnumber {i} äöü" for i in range(60) for r in ("a", "b")}
+    rows = [(r, p, c) for p, c in files.items() for r in ("one", "two words+%", "007")]
+    return corpus([*rows, ("one", "a/.gitignore", "f1*.md\n"), ("one", ".gitignore", "/b/d2/\n"), ("empty", "x", "")])
+
+
+@pytest.mark.parametrize("span", [sections.SPAN, 50])
+def test_positions_are_those_of_the_written_files(spark, corpus, tmp_path, monkeypatch, span):
+    monkeypatch.setattr(sections, "SPAN", span)
+    rows = summarize(nested_corpus(corpus))
+    folder = str(tmp_path / "out")
+    sections.write_bundles(rows, folder, partitions=7)
+    found = sorted(Path(folder).rglob("part-*"))
+    listing = spark.createDataFrame([(f"file:{f}", f.stat().st_size) for f in found], "path string, size bigint")
+    manifest = sections.positions(rows)
+    spans = sections.located(manifest, sections.written_parts(listing)).collect()
+    files = {(unquote(f.parent.name.removeprefix("repo_id=")), f.name): f.read_bytes() for f in found}
+    chunks = {(r.repo_id, tuple(r.place), r.path): r.chunk.encode() for r in rows.collect()}
+    assert len(files) > 4
+    got = {(r.repo_id, tuple(r.place), r.path): files[r.repo_id, r.part][r.offset_in_part : r.offset_in_part + r.bytes] for r in spans}
+    assert got == chunks
+    for repo in {k[0] for k in chunks}:
+        whole = b"".join(files[k] for k in sorted(files) if k[0] == repo)
+        assert whole == b"".join(c for k, c in sorted(chunks.items()) if k[0] == repo)
+        for r in manifest.where(F.col("repo_id") == repo).collect():
+            assert whole[r.offset : r.offset + r.bytes] == chunks[r.repo_id, tuple(r.place), r.path]
+
+
+def test_one_pass_gives_the_documents_of_two(corpus):
+    files = nested_corpus(corpus)
+    for select in (Selection(["*5.md"]), Selection(keep="removed"), Selection(keep="all", level=1, models=["chars-4"])):
+        once = summarize(files, select)
+        twice = summarize(files, replace(select, materialise=False))
+        for repo in ("one", "two words+%", "007", "empty"):
+            assert document(once, repo) == document(twice, repo)
+
+
+def test_contents_are_scanned_once_and_stay_where_they_are(spark, corpus, tmp_path):
+    look = sections.text_layout()
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    nested_corpus(corpus).write.parquet(str(tmp_path / "plain"))
+    plain = spark.read.parquet(str(tmp_path / "plain")).where("path not like '%gitignore'")
+    once = plan(project.kept_with_sections(plain, Selection(["*5.md"]), look))
+    assert once.count("FileScan") == 1 and "Exchange" not in once
+    table = bucketed(nested_corpus(corpus), "nested_corpus", 3, str(tmp_path / "bucketed"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        kept = project.kept_with_sections(table, Selection(), look)
+        told = plan(kept)
+        assert "SortMergeJoin" in told and "Bucketed: true" in told and told.count("Exchange") == 1  # the decisions, not the contents
+        assert kept.where("repo_id = 'one' and path like 'b/d2/%'").isEmpty() and kept.count() > 300
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("drop table nested_corpus")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -81,12 +81,14 @@ def measure(
     readers: Sequence[Reader] = READERS,
     max_bytes: int | None = None,
     detector: Callable[[Column, Column], Column] = binary.is_binary,
+    more: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Everything the other jobs want to know about content, from one pass over it.
 
     Narrow rows: all columns but ``content``, plus ``is_binary``, ``ignore_text`` (the text of ignore
     files, NULL elsewhere), ``has_text`` and one count column per token model. Verdicts, rollups and
-    reports run on this table, so that content is scanned once and never shuffled.
+    reports run on this table, so that content is scanned once and never shuffled. ``more`` adds columns made of ``text``,
+    NULL for files without.
     """
     path = F.col("path")
     judged = files if "is_binary" in files.columns else files.withColumn("is_binary", detector(path, F.col("content")))
@@ -99,6 +101,7 @@ def measure(
         F.when(is_ignore_file(path), decode_text(F.col("content"))).alias("ignore_text"),
         "has_text",
         *[F.when(F.col("has_text"), m.count(F.col("text"))).alias(m.column) for m in models],
+        *[F.when(F.col("has_text"), column).alias(name) for name, column in (more or {}).items()],
     )
 
 

@@ -115,6 +115,11 @@ def number_files(files: DataFrame) -> DataFrame:
     return skew.rank_within(files, ["repo_id"], [F.col("path").asc()], "idx")
 
 
+def section_columns(look: Layout) -> dict[str, Column]:
+    """``section`` and ``section_bytes`` of a file, for :func:`treeline.operators.contents.measure`."""
+    return {"section": look.section(), "section_bytes": F.octet_length(look.section()).cast("bigint")}
+
+
 def sections(contents: DataFrame, look: Layout) -> DataFrame:
     """``repo_id, path, section`` for every file with text, and ``idx`` if the layout has numbers.
 
@@ -132,11 +137,12 @@ def sections(contents: DataFrame, look: Layout) -> DataFrame:
     return written.select("repo_id", "path", *number, look.section().alias("section"))
 
 
-def bundle_rows(lines: DataFrame, parts: DataFrame | None, look: Layout) -> DataFrame:
-    """``repo_id, place, path, chunk``: all pieces of the documents, ordered by ``place`` and ``path``.
+def bundle_rows(lines: DataFrame, parts: DataFrame | None, look: Layout, filled: DataFrame | None = None) -> DataFrame:
+    """``repo_id, place, path, chunk, bytes``: all pieces of the documents, ordered by ``place`` and ``path``.
 
     ``lines`` comes from :func:`treeline.operators.tree.tree_lines`, ``parts`` from :func:`sections` (None
-    for the structure alone). Each piece ends with a newline. Sections share one place and go by path.
+    for the structure alone), perhaps with ``section_bytes``. Each piece ends with a newline. Sections share one place and go by path.
+    ``filled(repo_id)`` names the repositories with sections where a narrower table than ``parts`` can tell.
     """
 
     def at(part: int) -> Column:
@@ -151,17 +157,19 @@ def bundle_rows(lines: DataFrame, parts: DataFrame | None, look: Layout) -> Data
         if parts is None:
             after_tree = F.lit(look.after_lone_tree)
         else:
-            lines = lines.join(parts.select("repo_id", F.lit(True).alias("_sections")).distinct(), "repo_id", "left")
+            told = parts if filled is None else filled
+            lines = lines.join(told.select("repo_id", F.lit(True).alias("_sections")).distinct(), "repo_id", "left")
             after_tree = F.when(F.col("_sections"), look.after_tree).otherwise(look.after_lone_tree)
     fixed = [piece(at(0), look.head), piece(at(2), after_tree)]
     if look.foot:
         fixed.append(piece(at(4), look.foot))
     # The root's line brings the fixed pieces of its document along.
     pieces = F.when(F.col("path") == "", F.array(line, *fixed)).otherwise(F.array(line))
-    rows = lines.select("repo_id", F.lit("").alias("path"), F.inline(pieces))
+    rows = lines.select("repo_id", F.lit("").alias("path"), F.inline(pieces)).withColumn("bytes", F.octet_length("chunk").cast("bigint"))
     if parts is not None:
-        rows = rows.unionByName(parts.select("repo_id", "path", at(3).alias("place"), F.col("section").alias("chunk")))
-    return rows.select("repo_id", "place", "path", "chunk")
+        length = F.col("section_bytes") if "section_bytes" in parts.columns else F.octet_length("section").cast("bigint")
+        rows = rows.unionByName(parts.select("repo_id", "path", at(3).alias("place"), F.col("section").alias("chunk"), length.alias("bytes")))
+    return rows.select("repo_id", "place", "path", "chunk", "bytes")
 
 
 def write_bundles(rows: DataFrame, folder: str, partitions: int | None = None) -> None:
@@ -180,3 +188,42 @@ def write_bundles(rows: DataFrame, folder: str, partitions: int | None = None) -
         .partitionBy("repo_id")
         .text(folder)
     )
+
+
+#: Bytes of a document that share a key when pieces meet the files that hold them.
+SPAN = 1 << 26
+
+
+def positions(rows: DataFrame) -> DataFrame:
+    """The manifest of the documents: ``repo_id, place, path, offset, bytes`` of every piece of :func:`bundle_rows`.
+
+    Offsets are prefix sums of bytes in document order, on rows without their chunks.
+    """
+    narrow = rows.select("repo_id", "place", "path", "bytes")
+    return skew.sum_before(narrow, ["repo_id"], [F.col("place"), F.col("path")], "bytes", "offset")
+
+
+def written_parts(rows: DataFrame) -> DataFrame:
+    """``repo_id, part, part_offset, part_bytes`` of the files that :func:`write_bundles` wrote, from a listing ``(path, size)`` below its folder.
+
+    The files of a document follow each other by name, so their offsets are prefix sums as well.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    repo = F.url_decode(F.replace(F.regexp_extract("path", "repo_id=([^/]*)/[^/]*$", 1), F.lit("+"), F.lit("%2B")))
+    repo = F.when(repo != "__HIVE_DEFAULT_PARTITION__", repo)
+    listed = rows.where(F.startswith(name, F.lit("part-"))).select(repo.alias("repo_id"), name.alias("part"), F.col("size").alias("part_bytes"))
+    return skew.sum_before(listed, ["repo_id"], [F.col("part")], "part_bytes", "part_offset")
+
+
+def located(manifest: DataFrame, parts: DataFrame) -> DataFrame:
+    """The manifest with ``part`` and ``offset_in_part``: which file holds each piece, and where.
+
+    A piece lies in one file. Files and pieces meet by repository and stretch of ``SPAN`` bytes, so a document of any length is no single key.
+    """
+    stretches = F.sequence(F.floor(F.col("part_offset") / SPAN), F.floor((F.col("part_offset") + F.greatest("part_bytes", F.lit(1)) - 1) / SPAN))
+    held = parts.where("part_bytes > 0").select(F.col("repo_id").alias("_repo"), "part", "part_offset", "part_bytes", F.explode(stretches).alias("_stretch"))
+    here = manifest.where("bytes > 0")
+    same = F.col("repo_id").eqNullSafe(F.col("_repo")) & (F.floor(F.col("offset") / SPAN) == F.col("_stretch"))
+    inside = (F.col("offset") >= F.col("part_offset")) & (F.col("offset") < F.col("part_offset") + F.col("part_bytes"))
+    met = here.join(held, same & inside)
+    return met.select("repo_id", "place", "path", "part", (F.col("offset") - F.col("part_offset")).alias("offset_in_part"), "offset", "bytes")

@@ -71,26 +71,27 @@ def salted_join(
     return dealt.join(repeated, [*on, "_piece"], how).drop("_piece")
 
 
-def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[Column], rank: str = "rn", total: str | None = None) -> DataFrame:
-    """``df`` with ``row_number`` per group as ``rank``, and the group's size as ``total``; ``group`` may be empty.
+def _laid_out(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """``df`` range partitioned on group *and* order, with the partition as ``_slice`` and a row's place as ``_at``.
 
-    Rows are range partitioned on group *and* order, so that a group of any size runs over as many sorted
-    partitions as it needs; a rank is the place in the partition plus the rows of the group in earlier ones.
+    The positions are only meaningful for one fixed layout of the partitions, so they are written down.
     """
-    columns = df.columns
-    # The positions are only meaningful for one fixed layout of the partitions, so they are written down.
-    laid_out = cut(
+    return cut(
         df.repartitionByRange(*group, *order)
         .sortWithinPartitions(*group, *order)
         .withColumn("_at", F.monotonically_increasing_id())
         .withColumn("_slice", F.spark_partition_id())
     )
+
+
+def _with_slices(laid_out: DataFrame, group: Sequence[str], value: Column) -> DataFrame:
+    """Adds to each row what its group has of ``value`` in earlier partitions (``_before``) and in all (``_total``), and its first ``_at`` here."""
     # One row per group and partition it lies in.
     window = W.partitionBy(*group)
     before = window.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     slices = (
         laid_out.groupBy(*group, "_slice")
-        .agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+        .agg(F.min("_at").alias("_first"), F.sum(value).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .withColumn("_total", F.sum("_n").over(window))
         .drop("_n")
@@ -99,5 +100,29 @@ def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[Column], ra
     same = F.col("_slice") == F.col("_of__slice")
     for name in group:
         same &= F.col(name).eqNullSafe(F.col(f"_of_{name}"))
-    ranked = laid_out.join(slices, same).withColumn(rank, F.col("_before") + F.col("_at") - F.col("_first") + F.lit(1))
+    return laid_out.join(slices, same)
+
+
+def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[Column], rank: str = "rn", total: str | None = None) -> DataFrame:
+    """``df`` with ``row_number`` per group as ``rank``, and the group's size as ``total``; ``group`` may be empty.
+
+    Rows are range partitioned on group *and* order, so that a group of any size runs over as many sorted
+    partitions as it needs; a rank is the place in the partition plus the rows of the group in earlier ones.
+    """
+    columns = df.columns
+    placed = _with_slices(_laid_out(df, group, order), group, F.lit(1))
+    ranked = placed.withColumn(rank, F.col("_before") + F.col("_at") - F.col("_first") + F.lit(1))
     return ranked.select(*[f"`{name}`" for name in columns], rank, *([F.col("_total").alias(total)] if total else []))
+
+
+def sum_before(df: DataFrame, group: Sequence[str], order: Sequence[Column], value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the earlier rows of each group as ``name``, 0 for the first.
+
+    Two levels, as in :func:`rank_within`: sums of the group's earlier partitions, and sums along one partition, which are all that a task
+    ever holds of a group.
+    """
+    laid_out = _laid_out(df, group, order)
+    inside = W.partitionBy("_slice", *group).orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    along = laid_out.withColumn("_along", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    placed = _with_slices(along, group, F.col(value))
+    return placed.select(*[f"`{c}`" for c in df.columns], (F.col("_before") + F.col("_along")).alias(name))

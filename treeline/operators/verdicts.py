@@ -73,14 +73,16 @@ def judge(
 
     Rules of ignore files decide by a maximum over :func:`rule_hits` (taken here unless given as ``hits``). Only with ``patterns`` are they
     listed per file; without, ``matched`` and ``credited`` hold defaults and the user's rules alone, and
-    :meth:`treeline.operators.rule_index.Hits.credits` counts the others.
+    :meth:`treeline.operators.rule_index.Hits.credits` counts the others. A column ``_by_files`` of
+    :meth:`treeline.operators.rule_index.Hits.decide` is taken as their decision.
     """
     path = F.col("path")
     empty = F.array().cast(f"array<{MATCH_TYPE}>")
     seen = files if "is_binary" in files.columns else files.withColumn("is_binary", detector(path, F.col("content")))
-    hits = hits or rule_hits(seen, rules, rows_per_key, not patterns)
     from_files, by_files = empty, F.lit(None).cast("boolean")
-    if hits is not None:
+    if "_by_files" in seen.columns:
+        by_files = F.col("_by_files")
+    elif (hits := hits or rule_hits(seen, rules, rows_per_key, not patterns)) is not None:
         if patterns:
             seen = seen.join(hits.lists(seen.where(~F.col("is_binary"))), ["repo_id", "path"], "left")
             from_files = F.coalesce(F.col("_found"), empty)

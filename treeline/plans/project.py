@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from treeline.functions import paths
 from treeline.operators import contents, dates, report, rollup, sections, skew, tree, verdicts
-from treeline.operators.rule_index import Hits
-from treeline.operators.rules import is_ignore_file
+from treeline.operators.rule_index import Hits, match_rules
+from treeline.operators.rules import ignore_file_rules, is_ignore_file
 from treeline.operators.tokens import TokenModel, token_models, totals, with_counts
 from treeline.session import cut
 
@@ -106,13 +106,19 @@ def summarize(
 ) -> DataFrame:
     """The pieces of the bundle documents (``repo_id, place, path, chunk``), for ``sections.write_bundles``.
 
-    Verdict, tree and numbering run on narrow rows. Contents then come in by one join with the files that
-    are written (no shuffle of theirs if the corpus table is bucketed by repository and path), and the
-    finished sections move once more when the documents are put in order.
+    Contents are read once: verdicts, counts and finished sections leave the same pass, are written down, and move once when the
+    documents are put in order. Numbers, dates of a history and costly counts are known only after the verdict; with them, contents come in a second
+    time by one join with the files that are written (no shuffle of theirs if the corpus table is bucketed by repository and path).
     """
     look = sections.layout(form, delimiter, replacement)
     models = select.token_models()
     tree.sibling_order(sort_by, models, select.include_dates)
+    plain = select.materialise and not (look.numbered or select.include_dates or any(not m.native for m in models))
+    if plain and not only_structure:
+        kept = select.settle(kept_with_sections(files, select, look))
+        parts = kept.where("has_text").select(*KEYS, "section", "section_bytes")
+        lines = tree.tree_lines(_nodes(kept.drop("section", "section_bytes"), models, files), sort_by, False, models, rows_per_key)
+        return sections.bundle_rows(lines, parts, look)
     kept = select.settle(kept_files(files, select))
     lines = tree.tree_lines(_nodes(kept, models, files), sort_by, False, models, rows_per_key)
     if only_structure:
@@ -123,7 +129,35 @@ def summarize(
         written = sections.number_files(written)
     shown = files.drop("created", "modified").join(written, KEYS)
     parts = sections.sections(contents.with_text(shown, max_bytes=select.max_bytes), look)
-    return sections.bundle_rows(lines, parts, look)
+    return sections.bundle_rows(lines, parts, look, kept.where("has_text"))
+
+
+def _decided_by_files(files: DataFrame, select: Selection) -> DataFrame | None:
+    """``repo_id, path, _by_files``: what ignore files decide, from paths and from the contents of ignore files alone; None without any."""
+    near = verdicts.within_level(files.select(*KEYS), select.level)
+    found = files.where(is_ignore_file(F.col("path"))).select(*KEYS, "content")
+    if not select.read_ignore_files or found.select("path").isEmpty():
+        return None
+    # binary files never ask for the decision
+    hits = match_rules(near, ignore_file_rules(found), once=True)
+    return select.settle(hits.decide(near).where(F.col("_by_files").isNotNull()))
+
+
+def kept_with_sections(files: DataFrame, select: Selection, look: sections.Layout) -> DataFrame:
+    """:func:`kept_files` with ``section`` and ``section_bytes``, from one pass over the contents.
+
+    Ignore files have decided before, on paths. Their decisions are the one thing that joins the pass: contents do not move for it if
+    the corpus table is bucketed by repository and path, or if the decisions are few.
+    """
+    decided = _decided_by_files(files, select)
+    near = verdicts.within_level(files.drop("created", "modified"), select.level)
+    near = near.withColumns({c: F.lit(None).cast("string") for c in ("created", "modified")})
+    if decided is not None:
+        near = near.join(decided, KEYS, "left")
+    models = select.token_models()
+    read = contents.measure(near, models, max_bytes=select.max_bytes, more=sections.section_columns(look))
+    judged = verdicts.judge(read, verdicts.RuleSet(select.ignore, select.use_defaults), select.include_binary, patterns=False)
+    return verdicts.disposition(judged.drop("matched", "credited"), select.keep).drop("created", "modified", "ignore_text")
 
 
 def token_totals(files: DataFrame, select: Selection, by: Sequence[str] = ()) -> DataFrame:
