@@ -419,6 +419,13 @@ ORACLE["many_rules_verdicts"] = f"WITH {_MANY} SELECT repo_id, path, is_ignored,
 ORACLE["many_rules_hits"] = f"""WITH {_MANY}
 SELECT h.repo_id, min(origin) AS origin, pattern, count(*) AS hits FROM hits h JOIN judged j USING (repo_id, path) WHERE include = is_ignored GROUP BY h.repo_id, pattern"""
 
+ORACLE["late_ignore_files"] = f"""SELECT repo_id, path, is_ignored, reason FROM ({ORACLE["ignore_file_verdicts"]})"""
+
+ORACLE["judged_batches"] = f"""WITH {JUDGED.replace("doc_id % 11 IN (4, 6, 9) AS is_binary", "doc_id % 11 = 1 AS is_binary")}
+    SELECT repo_id, path, is_ignored, is_binary, reason FROM judged"""
+
+ORACLE["tree_line_numbers"] = f"""SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY place) AS line_no FROM ({ORACLE["tree_by_name"]})"""
+
 _LISTING_LABEL = (
     "' (' || " + SIZE_LABEL.format("<size>")
     + " || '; chars-4:' || <n4> || '; created: ' || <created> || '; modified: ' || <modified> || ')'"

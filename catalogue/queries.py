@@ -14,12 +14,14 @@ from catalogue import corpora
 from treeline.functions.labels import human_size, stats_label
 from treeline.functions.paths import fence_language, node_extension, split_extension, suffix
 from treeline.operators import binary, contents, dates, refresh, report, rollup, sections, tokens, tree, verdicts
+from treeline.operators.rules import is_ignore_file
 from treeline.plans import project
 from treeline.session import checkpoint_dir, cut
 from treeline.sources import history, tables
 from treeline.sources.directory import read_tree
 from treeline.streaming import ingest
-from treeline.streaming.running import running_directories
+from treeline.streaming.judging import RunningVerdicts
+from treeline.streaming.running import RunningTotals, first_arrivals
 
 MODELS = tokens.token_models(["chars-1", "chars-4", "chars-3.5"])
 USER_RULES = ["b3/", "en/b1", "*.json", "!doc_*8.json", "/fr/b2/*", "doc_14.py", "*.log"]
@@ -377,14 +379,14 @@ def refreshed_totals(spark, folder):
     )
     old, new = cut(old.drop("doc_id")), cut(new)
     gone, come = refresh.changes(old, new, ["size", "created", "modified"])
-    return refresh.refresh(refresh.rebuild(old), new, gone, come).directories
+    return refresh.refresh(refresh.rebuild(old), gone, come).directories
 
 
 @query
 def log_dates(spark, folder):
     """Dates from commit logs, here one commit per event."""
     commits = corpora.commits(spark, folder)
-    entry = F.concat(F.lit("\x01"), "author_date", F.lit("\n\n"), "path", F.lit("\n"))
+    entry = F.concat(F.lit("\x01"), "author_date", F.lit("\0\n"), "path", F.lit("\0"))
     logs = commits.select("repo_id", F.col("commit_ord").alias("log_ord"), entry.alias("log"))
     return dates.history_dates(history.parse_log(logs))
 
@@ -535,12 +537,48 @@ def arriving_texts(spark, folder):
 
 @query
 def running_totals(spark, folder):
-    """Directory totals of files that arrive as a stream, after the last arrival."""
+    """Directory totals of files that arrive as a stream, from a table that each batch adds to; here each twice, as after a failure."""
     place = _scratch(spark, "running")
-    running = running_directories(_arriving(spark, folder).drop("content"))
+    arriving = _arriving(spark, folder).drop("content")
+    schema = "repo_id string, path string, n_files bigint, size bigint"
+    table = RunningTotals(spark, f"{place}/totals", schema)
 
-    def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{place}/totals")
+    def add_twice(batch: DataFrame, number: int) -> None:
+        table.add(batch, number)
+        table.add(batch, number)
+        table.compact(number)
 
-    _drain(running.writeStream.outputMode("complete").foreachBatch(save), f"{place}/state")
-    return spark.read.schema(running.schema).parquet(f"{place}/totals")
+    _drain(first_arrivals(arriving).writeStream.foreachBatch(add_twice), f"{place}/state")
+    return table.totals()
+
+
+@query
+def late_ignore_files(spark, folder):
+    """Ignore files that arrive after the files they remove."""
+    place = _scratch(spark, "late")
+    files = corpora.documents_with_ignore_files(spark, folder)
+    table = RunningVerdicts(spark, f"{place}/verdicts", project.Selection(["*.md", "!doc_2*.md"], keep="all"))
+    rules = is_ignore_file(F.col("path"))
+    for delivery in (files.where(~rules), files.where(rules)):
+        delivery.write.mode("append").parquet(f"{place}/arriving")
+        _drain(table.follow(ingest.arrivals(spark, f"{place}/arriving", files.schema)), f"{place}/state")
+    return table.verdicts().select("repo_id", "path", "is_ignored", "reason")
+
+
+@query
+def judged_batches(spark, folder):
+    """A batch job on every micro-batch of a stream, with a detector of its own: logs are binary."""
+    place = _scratch(spark, "batches")
+
+    def job(batch: DataFrame) -> DataFrame:
+        judged = verdicts.judge(batch, verdicts.RuleSet(USER_RULES), detector=lambda path, content: F.endswith(path, F.lit(".log")))
+        return judged.select("repo_id", "path", "is_ignored", "is_binary", "reason")
+
+    _drain(ingest.each_batch(_arriving(spark, folder), job, f"{place}/judged"), f"{place}/state")
+    return spark.read.parquet(f"{place}/judged").drop("batch")
+
+
+@query
+def tree_line_numbers(spark, folder):
+    """The line of each file and directory in the drawn tree."""
+    return tree.line_numbers(rollup.nodes(corpora.documents(spark, folder)))

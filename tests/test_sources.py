@@ -128,6 +128,27 @@ def test_history_of_a_real_repository(spark, tmp_path):
     assert got == EXPECTED
 
 
+def test_any_name_comes_through_a_log(spark, tmp_path):
+    def git(*args):
+        env = os.environ | {"GIT_AUTHOR_DATE": "2024-01-01T00:00:00+00:00", "GIT_COMMITTER_DATE": "2024-01-01T00:00:00+00:00", "HOME": str(tmp_path)}
+        return subprocess.run(["git", "-c", "user.name=n", "-c", "user.email=e@x", *args], cwd=tmp_path, env=env, capture_output=True, text=True, check=True).stdout
+
+    names = ["two\nlines", '"quoted"', 'in"side', "tab\there", "plain", " blank ", "äö"]
+    git("init", "-q")
+    for name in names:
+        (tmp_path / name).write_text("x")
+    git("add", *names)
+    git("commit", "-qm", "all")
+    git("commit", "-qm", "nothing", "--allow-empty")
+    (tmp_path / "plain").write_text("y")
+    git("commit", "-qam", "again")
+    read = lambda *how: parse_log(spark.createDataFrame([("r", 0, git("log", *how, "--reverse", "--name-only", "--format=%x01%aI"))], "repo_id string, log_ord bigint, log string"))
+    got = sorted((r.path, r.commit_ord.nth, r.author_date[:10]) for r in read("-z").collect())
+    assert got == sorted([(n, 1, "2024-01-01") for n in names] + [("plain", 3, "2024-01-01")])
+    with pytest.raises(Exception, match="quoted path"):
+        read().collect()
+
+
 # --- tables ------------------------------------------------------------------------------------------
 
 

@@ -197,6 +197,20 @@ def test_root_is_the_sum_of_files(spark, repos):
     assert tuple(root) == (sum(v[0] for fs in repos.values() for v in fs.values()), sum(map(len, repos.values())))
 
 
+def as_set_of(df):
+    return {tuple(sorted(r.asDict().items())) for r in df.collect()}
+
+
+def test_refresh_multiplies_touched_directories_only(spark, repos):
+    old = frame(spark, repos)
+    before = refresh.rebuild(old)
+    gone = old.where("path = 'no such'")
+    plan = refresh.refresh(before, gone, gone).directories._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode") == 1  # the totals of before, here not written down; the changes are
+    with pytest.raises(ValueError):
+        refresh.refresh(before, gone.drop("created"), gone)
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_refresh_equals_rebuild(spark, repos, seed):
     rng = random.Random(seed)
@@ -212,13 +226,35 @@ def test_refresh_equals_rebuild(spark, repos, seed):
         after["r3"] = {}
     old, new = frame(spark, repos), frame(spark, after)
     gone, come = refresh.changes(old, new, ["size", "created", "modified"])
-    done = refresh.refresh(refresh.rebuild(old), new, gone, come)
+    done = refresh.refresh(refresh.rebuild(old), gone, come)
     assert as_set(done.directories) == as_set(rollup.directories(new))
-    assert as_set(done.own) == as_set(rollup.own_totals(new))
+    days = as_set_of(done.days)
+    assert days == as_set_of(refresh.rebuild(new).days) and len(days) > 5
+    # and on from there, back to where it began
+    back = refresh.refresh(done, come, gone)
+    assert as_set(back.directories) == expected(repos) and as_set_of(back.days) == as_set_of(refresh.rebuild(old).days)
 
 
 def test_refresh_without_change(spark, repos):
     old = frame(spark, repos)
-    gone, come = refresh.changes(old, old, ["size"])
+    gone, come = refresh.changes(old, old, ["size", "created", "modified"])
     assert gone.isEmpty() and come.isEmpty()
-    assert as_set(refresh.refresh(refresh.rebuild(old), old, gone, come).directories) == expected(repos)
+    assert as_set(refresh.refresh(refresh.rebuild(old), gone, come).directories) == expected(repos)
+
+
+@pytest.mark.parametrize("order", ["name", "size", "modified"])
+def test_line_numbers_are_those_of_the_drawing(spark, repos, order):
+    nodes = rollup.nodes(frame(spark, repos))
+    drawn = tree.tree_lines(nodes, order).orderBy("repo_id", "place").collect()
+    want, at = {}, {}
+    for r in drawn:
+        at[r.repo_id] = at.get(r.repo_id, 0) + 1
+        want[r.repo_id, r.path] = at[r.repo_id]
+    assert {(r.repo_id, r.path): r.line_no for r in tree.line_numbers(nodes, order).collect()} == want
+
+
+def test_lines_of_a_deep_tree(spark):
+    rows = [("r", "/".join(f"d{i}" for i in range(n)) + "/f") for n in (1, 5, 60, 120)]
+    nodes = rollup.nodes(spark.createDataFrame([(r, p, 1) for r, p in rows], "repo_id string, path string, size bigint"))
+    got = {r.path: r.line_no for r in tree.line_numbers(nodes).collect()}
+    assert got["d0"] == 2 and got["/".join(f"d{i}" for i in range(120)) + "/f"] == 122 and got["d0/f"] == max(got.values()) == 125

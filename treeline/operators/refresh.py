@@ -1,7 +1,8 @@
 """Directory totals kept up to date for changed files only.
 
-The state is two tables: own totals (files directly in a directory) and directory totals (everything
-below). Sum columns must not be NULL here; fill absent counts with 0.
+The state is two tables: directory totals, and how many files below each directory have each date. A date that goes is
+subtracted there, and the next one is known; no file and no directory without a change is looked at again. Sum columns must not be NULL
+here; fill absent counts with 0.
 """
 
 from __future__ import annotations
@@ -21,14 +22,42 @@ KEYS = ["repo_id", "path"]
 
 @dataclass(frozen=True)
 class Totals:
-    own: DataFrame
+    """``directories`` as :func:`treeline.operators.rollup.directories` gives them, and ``days``: ``repo_id, path, kind, day, n``, with one
+    row for every date that some file below a directory has as ``kind``, ``created`` or ``modified``."""
+
     directories: DataFrame
+    days: DataFrame
+
+
+def _kinds(df: DataFrame) -> list[str]:
+    return [c for c in ("created", "modified") if c in df.columns]
+
+
+def _days(files: DataFrame, kinds: Sequence[str], sign: Column) -> DataFrame:
+    """Signed counts of the dates of ``files``, at their own directories."""
+    each = F.inline(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("day")) for c in kinds]))
+    rows = files.select("repo_id", paths.parent(F.col("path")).alias("path"), sign.alias("_sign"), each).where(F.nullif("day", F.lit("")).isNotNull())
+    return rows.groupBy(*KEYS, "kind", "day").agg(F.sum("_sign").alias("n"))
+
+
+def _above(own: DataFrame, *columns: str) -> DataFrame:
+    above = F.explode(paths.directories_of(F.col("path"))).alias("above")
+    return own.select("repo_id", above, *[f"`{c}`" for c in columns]).withColumnRenamed("above", "path")
+
+
+def _day_counts(own: DataFrame) -> DataFrame:
+    return _above(own, "kind", "day", "n").groupBy(*KEYS, "kind", "day").agg(F.sum("n").alias("n"))
+
+
+def _no_days(spark) -> DataFrame:
+    return spark.createDataFrame([], "repo_id string, path string, kind string, day string, n bigint")
 
 
 def rebuild(files: DataFrame, sums: Sequence[str] = ("size",)) -> Totals:
     """Both tables from scratch."""
-    own = own_totals(files, sums)
-    return Totals(own, roll_up(own, sums))
+    kinds = _kinds(files)
+    days = _day_counts(_days(files, kinds, F.lit(1).cast("bigint"))) if kinds else _no_days(files.sparkSession)
+    return Totals(roll_up(own_totals(files, sums), sums), days)
 
 
 def changes(old: DataFrame, new: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -43,80 +72,29 @@ def changes(old: DataFrame, new: DataFrame, columns: Sequence[str]) -> tuple[Dat
     return gone, come
 
 
-def touched_directories(gone: DataFrame, come: DataFrame) -> DataFrame:
-    """Directories that directly hold a changed file."""
-    parent = paths.parent(F.col("path")).alias("path")
-    return gone.select("repo_id", parent).union(come.select("repo_id", parent)).distinct()
-
-
-def refresh_own(own: DataFrame, files: DataFrame, touched: DataFrame, sums: Sequence[str] = ("size",)) -> DataFrame:
-    """Own totals after a change; ``files`` is the table after it.
-
-    Only touched directories are counted again, as earliest and latest dates cannot be subtracted.
-    Directories left without files drop out.
-    """
-    here = paths.parent(F.col("path"))
-    again = files.withColumn("_dir", here).join(touched.withColumnRenamed("path", "_dir"), ["repo_id", "_dir"], "left_semi")
-    return own.join(touched, KEYS, "left_anti").unionByName(own_totals(again.drop("_dir"), sums))
-
-
-def _above(own: DataFrame, columns: Sequence[str | Column]) -> DataFrame:
-    return own.select("repo_id", F.explode(paths.directories_of(F.col("path"))).alias("above"), *columns).withColumnRenamed(
-        "above", "path"
-    )
-
+def refresh(before: Totals, gone: DataFrame, come: DataFrame, sums: Sequence[str] = ("size",)) -> Totals:
+    """Both tables after ``gone`` rows left and ``come`` rows arrived.
 
-def refresh_directories(
-    directories: DataFrame, own_before: DataFrame, own_after: DataFrame, touched: DataFrame, sums: Sequence[str] = ("size",)
-) -> DataFrame:
-    """Directory totals after a change.
-
-    Counts and sums move by the difference of the touched directories, so the root costs no rescan. New
-    dates are merged in. Only where a date that went away was the directory's earliest or latest is that
-    directory's date taken again from the own totals below it.
+    Only the directories above a changed file are multiplied by their depth. Counts and sums move by the difference; a touched directory's
+    dates are the first and the last of its counted ones, all others stay as they are. Directories left without files drop out.
     """
+    kinds = _kinds(before.directories)
+    if missing := [c for c in kinds if c not in gone.columns or c not in come.columns]:
+        raise ValueError(f"changes have to tell {missing} of their files")
+    signed = gone.withColumn("_sign", F.lit(-1).cast("bigint")).unionByName(come.withColumn("_sign", F.lit(1).cast("bigint")))
+    moved = [F.sum("_sign").alias("n_files"), *[F.sum(F.col("_sign") * F.col(f"`{c}`")).alias(c) for c in sums]]
     adding = ["n_files", *sums]
-    dates = [(c, F.min, F.least) for c in ("created",) if c in directories.columns]
-    dates += [(c, F.max, F.greatest) for c in ("modified",) if c in directories.columns]
-
-    def signed(own: DataFrame, sign: int) -> DataFrame:
-        moved = own.join(touched, KEYS, "left_semi")
-        columns = [(F.lit(sign) * F.col(f"`{c}`")).alias(c) for c in adding]
-        for c, _, _ in dates:
-            columns.append(F.when(F.lit(sign > 0), F.col(c)).alias(f"_come_{c}"))
-            columns.append(F.when(F.lit(sign < 0), F.col(c)).alias(f"_gone_{c}"))
-        return _above(moved, columns)
-
-    totals = [F.sum(f"`{c}`").alias(f"_d_{c}") for c in adding]
-    for c, pick, _ in dates:
-        totals += [pick(f"_{kind}_{c}").alias(f"_{kind}_{c}") for kind in ("come", "gone")]
-    moves = signed(own_after, 1).unionByName(signed(own_before, -1)).groupBy(*KEYS).agg(*totals)
-
-    merged = directories.join(moves, KEYS, "full_outer")
-    zero = F.lit(0)
-    columns = [(F.coalesce(F.col(f"`{c}`"), zero) + F.coalesce(F.col(f"`_d_{c}`"), zero)).alias(c) for c in adding]
-    lost = F.lit(False)
-    for c, _, outer in dates:
-        columns.append(outer(F.col(c), F.col(f"_come_{c}")).alias(c))
-        gone = F.coalesce(F.col(f"_gone_{c}") == F.col(c), F.lit(False))
-        still = F.coalesce(outer(F.col(f"_come_{c}"), F.col(c)) == F.col(f"_come_{c}"), F.lit(False))
-        lost = lost | (gone & ~still)
-    merged = merged.select(*KEYS, *columns, lost.alias("_lost")).where(F.col("n_files") > 0)
-    if not dates:
-        return merged.select(*directories.columns)
-    doubtful = merged.where("_lost").select(*KEYS)
-    again = _above(own_after, [c for c, _, _ in dates]).join(doubtful, KEYS, "left_semi")
-    fresh = again.groupBy(*KEYS).agg(*[pick(c).alias(f"_new_{c}") for c, pick, _ in dates])
-    fixed = merged.join(fresh, KEYS, "left")
-    chosen = {c: F.when(F.col("_lost"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c, _, _ in dates}
-    return fixed.withColumns(chosen).select(*directories.columns)
-
-
-def refresh(before: Totals, files: DataFrame, gone: DataFrame, come: DataFrame, sums: Sequence[str] = ("size",)) -> Totals:
-    """Both tables after ``gone`` rows left and ``come`` rows arrived; ``files`` is the table after it.
-
-    The touched directories and the new own totals are written down, as each is used several times.
-    """
-    touched = cut(touched_directories(gone, come))
-    own = cut(refresh_own(before.own, files, touched, sums))
-    return Totals(own, refresh_directories(before.directories, before.own, own, touched, sums))
+    own = signed.groupBy("repo_id", paths.parent(F.col("path")).alias("path")).agg(*moved)
+    moves = cut(_above(own, *adding).groupBy(*KEYS).agg(*[F.sum(f"`{c}`").alias(f"_d_{c}") for c in adding]))
+    merged = before.directories.join(moves.withColumn("_touched", F.lit(True)), KEYS, "full_outer")
+    totals = [(F.coalesce(F.col(f"`{c}`"), F.lit(0)) + F.coalesce(F.col(f"`_d_{c}`"), F.lit(0))).alias(c) for c in adding]
+    merged = merged.select(*KEYS, *totals, "_touched", *kinds).where(F.col("n_files") > 0)
+    if not kinds:
+        return Totals(merged.select(*before.directories.columns), before.days)
+    delta = _day_counts(_days(signed, kinds, F.col("_sign")))
+    days = cut(before.days.unionByName(delta).groupBy(*KEYS, "kind", "day").agg(F.sum("n").alias("n")).where("n > 0"))
+    first_and_last = {"created": F.min(F.when(F.col("kind") == "created", F.col("day"))), "modified": F.max(F.when(F.col("kind") == "modified", F.col("day")))}
+    known = days.join(moves.select(*KEYS), KEYS, "left_semi").groupBy(*KEYS).agg(*[first_and_last[c].alias(f"_new_{c}") for c in kinds])
+    fixed = merged.join(known, KEYS, "left")
+    chosen = {c: F.when(F.col("_touched"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in kinds}
+    return Totals(fixed.withColumns(chosen).select(*before.directories.columns), days)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeline.functions.labels import stats_label
-from treeline.functions.paths import node_depth, prefixes
+from treeline.functions.paths import directories_of, node_depth, prefixes
 from treeline.operators import rollup, skew
 from treeline.operators.tokens import TokenModel
 from treeline.session import cut
@@ -111,3 +111,28 @@ def tree_lines(
         "repo_id", "path", F.array().cast("array<bigint>").alias("place"), F.concat(F.lit("."), label).alias("line")
     )
     return root.unionByName(lines)
+
+
+def line_numbers(nodes: DataFrame, sort_by: str = "name", models: Sequence[TokenModel] = ()) -> DataFrame:
+    """``repo_id, path, line_no``: the line of each node in the drawing, from 1, as one number however deep the tree is.
+
+    A node comes one line after its parent and the whole subtrees of the siblings before it. Subtree sizes are counted once, prefix sums among
+    siblings run in partitions, and a directory's line adds up along its path, combined map-side.
+    """
+    path = F.col("path")
+    folders = nodes.where("is_dir").select("repo_id", "path")
+    # nodes directly in a directory, added up over all directories above
+    held = nodes.where(path != "").groupBy("repo_id", F.col("parent").alias("path")).agg(F.count("*").alias("n"))
+    below = held.select("repo_id", F.explode(directories_of(path)).alias("above"), "n").groupBy("repo_id", F.col("above").alias("path")).agg(F.sum("n").alias("_below"))
+    sized = nodes.join(below, ["repo_id", "path"], "left").withColumn("_lines", F.lit(1) + F.coalesce("_below", F.lit(0)))
+    order = sibling_order(sort_by, models, "created" in nodes.columns)
+    stepped = skew.sum_before(sized.where(path != ""), ["repo_id", "parent"], order, "_lines", "_earlier")
+    steps = cut(stepped.select("repo_id", "path", "parent", "is_dir", (F.col("_earlier") + 1).alias("_step")))
+    down = folders.select("repo_id", path.alias("parent"), F.explode(prefixes(path)).alias("path"))
+    met = skew.salted_join(down, steps.where("is_dir").select("repo_id", "path", "_step"), ["repo_id", "path"], "inner", F.col("parent"))
+    starts = met.groupBy("repo_id", "parent").agg(F.sum("_step").alias("_start"))
+    top = steps.where(F.col("parent") == "").select("repo_id", "path", (F.col("_step") + 1).alias("line_no"))
+    deeper = skew.salted_join(steps.where(F.col("parent") != ""), starts, ["repo_id", "parent"], "inner", path)
+    lines = deeper.select("repo_id", "path", (F.col("_start") + F.col("_step") + 1).alias("line_no"))
+    root = nodes.where(path == "").select("repo_id", "path", F.lit(1).cast("bigint").alias("line_no"))
+    return root.unionByName(top).unionByName(lines)
