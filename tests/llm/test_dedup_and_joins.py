@@ -126,6 +126,35 @@ def test_shingles_are_the_words_of_the_contract():
     assert (a == b).all() and (upper != lower).all()
 
 
+def words(line):
+    return frozenset(w for w in re.split("[\\x20\\x09-\\x0D]+", line.lower()) if w)
+
+
+def test_lines_of_the_given_documents_against_brute_force(spark):
+    """Every pair of lines, in order; lines, not documents, are what is many here."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    order = sorted((r.doc_id, k, words(x)) for r in docs.collect() for k, x in enumerate((r.text or "").split("\n")))
+    want, seen = {}, []
+    for i, k, s in order:
+        want[i, k] = not s or not any(5 * len(s & t) >= 4 * len(s | t) for t in seen)
+        if s:
+            seen.append(s)
+    got = {(r.doc_id, r.line_no): r.kept for r in deduplicated_lines(docs).collect()}
+    assert got == want and 300 < sum(not kept for kept in got.values()) < len(got)
+
+
+@pytest.mark.parametrize("n", [4, 5, 9, 12, 20, 40, 300])
+def test_changed_words_in_long_and_short_lines(spark, n):
+    """Lines of n words with ever more of them replaced: all that reach four fifths go, and no others."""
+    base = [f"w{i}" for i in range(n)]
+    lines = [" ".join([*base[k:], *(f"x{k}y{i}" for i in range(k))]) for k in range(0, max(2, n // 3))]
+    lines += [" ".join(base + [f"more{i}" for i in range(k)]) for k in range(1, max(2, n // 2))]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id bigint, text string")
+    sets = [words(x) for x in lines]
+    want = {i: not any(5 * len(s & t) >= 4 * len(s | t) for t in sets[:i]) for i, s in enumerate(sets)}
+    assert {r.doc_id: r.kept for r in deduplicated_lines(docs).collect()} == want
+
+
 def test_lines(spark):
     line = BASE
     near = BASE.replace("river", "pond") + " again"
@@ -135,7 +164,7 @@ def test_lines(spark):
     ]
     docs = spark.createDataFrame([(i, t, "s") for i, t in texts], "doc_id bigint, text string, mark string")
     order = sorted(((-1 if i is None else i, k, x) for i, t in texts for k, x in enumerate((t or "").split("\n"))))
-    sets = [shingles(x, str.lower) for _, _, x in order]
+    sets = [words(x) for _, _, x in order]
     kept = [not s or not any(s == sets[j] or like(s, sets[j]) for j in range(k)) for k, s in enumerate(sets)]
     lines = deduplicated_lines(docs)
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.line_no, r.kept) for r in lines.collect())

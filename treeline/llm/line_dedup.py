@@ -2,29 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeline.llm.prefix_pairs import LINK, contested, cross_pairs, least_overlap, likely, of_like_size, star_pairs
+from treeline.llm.prefix_pairs import LINK, least_overlap, likely, pair_overlap
 from treeline.session import cut, release
 
-WORDS = 5
 #: Tokens are counted in so many buckets; the counts order tokens from rare to frequent.
 BUCKETS = 1 << 16
 #: A token's place in the order is its bucket's count in front of so many bits of its hash.
 HASH_BITS = 42
 MOST = (1 << 20) - 1
-SPARE = 16
+#: What separates words, each as a space.
+SPACES = "\t\n\x0b\x0c\r"
 
 
 def with_tokens(lines: DataFrame) -> DataFrame:
-    """Adds ``tokens``: a line's distinct tokens as hashes, shingles of five words in lower case, or all words of a line with fewer."""
-    words = F.array_remove(F.split(F.lower("line"), "[\\x20\\x09-\\x0D]+"), "")
-    hashed = lines.withColumn("_words", F.transform(words, lambda w: F.xxhash64(w)))
-    n = F.size("_words")  # the words stay a column of their own: inside the lambda they would be hashed again for each shingle
-    starts = F.sequence(F.lit(0), F.greatest(n - WORDS, F.lit(0)))
-    shingles = F.transform(starts, lambda i: F.xxhash64(*[F.get("_words", i + k) for k in range(WORDS)]))  # past the end there is null
-    return hashed.withColumn("tokens", F.when(n > 0, F.array_distinct(shingles)).otherwise(F.array().cast("array<bigint>"))).drop("_words")
+    """Adds ``tokens``: the hashes of a line's distinct words in lower case."""
+    words = F.array_remove(F.split(F.translate(F.lower("line"), SPACES, " " * len(SPACES)), " "), "")
+    return lines.withColumn("tokens", F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -47,23 +43,57 @@ def rarity(lines: DataFrame) -> Column:
 
 
 def prefix_length(n: Column) -> Column:
-    """Two sets that link share ``spare(T)`` of the first ``n - T + spare(T)`` tokens, ``T`` being what ``n`` has to share at least."""
-    return (n - least_overlap(n) + spare(least_overlap(n))).cast("int")
+    """Of two sets that link, the first common token is among the first so many of each."""
+    return (n - least_overlap(n) + 1).cast("int")
 
 
-def spare(overlap: Column) -> Column:
-    """Common prefix tokens asked for: one, and one more per ``SPARE`` that have to be shared."""
-    return F.floor(overlap / SPARE) + 1
+def parity(tokens: str, half: int) -> Column:
+    """64 of 128 bits that each token turns over: sets differ by at least as many tokens as their parities by bits."""
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))
+    mine = lambda t: t.bitwiseAND(F.lit(64)) == 64 * half
+    return F.aggregate(tokens, F.lit(0).cast("bigint"), lambda held, t: F.when(mine(t), held.bitwiseXOR(bit(t))).otherwise(held))
+
+
+def may_link(x: dict[str, Column], y: dict[str, Column]) -> Column:
+    """The length, positional and parity filters on two postings of one token.
+
+    At a common token, sets share at most what both hold before it, the token, and what both hold after it. What they do not share is seen in
+    their parities. None of them turns a link away.
+    """
+    n, m, need = x["n"], y["n"], pair_overlap(x["n"], y["n"])
+    length = (n * 100 >= m * LINK) & (m * 100 >= n * LINK)
+    place = F.least(x["pos"], y["pos"]) + 1 + F.least(n - x["pos"] - 1, m - y["pos"] - 1) >= need
+    apart = F.bit_count(x["odd0"].bitwiseXOR(y["odd0"])) + F.bit_count(x["odd1"].bitwiseXOR(y["odd1"]))
+    return length & place & (apart <= n + m - 2 * need)
+
+
+POSTING = ("id", "n", "pos", "odd0", "odd1")
+
+
+def first_pairs(postings: DataFrame) -> DataFrame:
+    """``(a, b)``: each class with the first of its lists; at most as many rows as postings."""
+    along = Window.partitionBy("token").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = postings.withColumn("_first", F.first(F.struct(*POSTING)).over(along)).where(F.col("id") != F.col("_first.id"))
+    here, there = {c: F.col(c) for c in POSTING}, {c: F.col(f"_first.{c}") for c in POSTING}
+    return met.where(may_link(here, there)).select(F.col("_first.id").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def open_pairs(postings: DataFrame) -> DataFrame:
+    """``(a, b)`` of all classes that meet in a list, one of which at least is not ``gone`` yet."""
+    x, y = postings.alias("x"), postings.alias("y")
+    near = may_link({c: F.col(f"x.{c}") for c in POSTING}, {c: F.col(f"y.{c}") for c in POSTING})
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & ~(F.col("x.gone") & F.col("y.gone")) & near)
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def deduplicated_lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no, mark, n_tokens, kept)`` of every line of ``docs(doc_id, text)``.
 
-    A line goes when an earlier one, by ``doc_id`` and place, has token sets of Jaccard similarity 0.8 or more with it, whether that
-    one stays or not. Lines with equal sets, by two hashes of their whole tokens, are one class, whose first line stands for it. Tokens are ordered by rarity
-    (the count of their bucket in all lines, then their hash); classes meet in the lists of their prefix tokens under the length and
-    positional filters; candidates are verified on the tokens of their texts. First each class is held against the first of its
-    lists, which is linear; then all earlier members of a list are compared with those that still stay.
+    A line's tokens are its distinct words, in lower case, as white space of ASCII separates them. A line goes when an earlier one, by ``doc_id`` and
+    place, has token sets of Jaccard similarity 0.8 or more with it, whether that one stays or not. Lines with equal sets, by two hashes of their
+    whole tokens, are one class, whose first line stands for it. Tokens are ordered by rarity (the count of their bucket in all lines, then their hash);
+    classes meet in the lists of their prefix tokens under the length, positional and parity filters; candidates are verified on the tokens of
+    their texts. First each class is held against the first of its lists, which is linear; then all members of a list with those that still stay.
 
     Blank lines have no tokens and stay. Null text is one blank line. A null ``doc_id`` comes first. Rows that repeat a ``doc_id`` count as
     one document where they agree in a line and its place, and as different lines elsewhere. An empty table gives no rows. Other columns are ignored.
@@ -72,30 +102,25 @@ def deduplicated_lines(docs: DataFrame) -> DataFrame:
     counts = rarity(lines)
     rank = lambda t: F.shiftleft(F.get(counts, bucket(t).cast("int")), HASH_BITS).bitwiseOR(t.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
     size = F.size("tokens")
-    ordered = F.sort_array(F.transform("tokens", rank))
     sets = F.sort_array("tokens")  # whole tokens: ranks keep some of their bits
-    table = lines.select("doc_id", "line_no", "mark", size.alias("n"), F.xxhash64(sets).alias("one"), F.xxhash64(F.lit("second"), sets).alias("two"), ordered.alias("_all")).select(
-        "doc_id", "line_no", "mark", "n", "one", "two",
-        F.slice("_all", 1, prefix_length(F.col("n"))).alias("prefix"),
+    prefix = F.when(size >= 4, F.slice(F.sort_array(F.transform("tokens", rank)), 1, prefix_length(size)))  # smaller sets link with equal ones only
+    table = lines.select(
+        "doc_id", "line_no", "mark", size.alias("n"), F.xxhash64(sets).alias("one"), F.xxhash64(F.lit("second"), sets).alias("two"),
+        prefix.alias("prefix"), parity("tokens", 0).alias("odd0"), parity("tokens", 1).alias("odd1"),
     )
     ranked = cut(table.withColumn("id", F.monotonically_increasing_id()))
     release(lines)
-    table = cut(ranked.drop("prefix", "id"))
     key = ["n", "one", "two"]
     place = F.struct("doc_id", "line_no", "mark", "id")
-    # the prefix is the same for all of a class; combined map-side, it moves once
-    classes = ranked.where("n > 0").groupBy(*key).agg(F.min(place).alias("at"), F.first("prefix").alias("prefix")).select(*key, "at.*", "prefix")
-    classes = cut(classes)
-    release(ranked)
-    lists = contested(classes.select("id", "n", F.posexplode("prefix").alias("pos", "token")))
-    classes = classes.drop("prefix")
-    near = later_of(verified(docs, of_like_size(star_pairs(lists, "first", spare), classes), classes))
-    gone = cut(near.distinct())
-    rest = lists.join(gone.withColumn("gone", F.lit(True)), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
-    open_lists = rest.groupBy("token").agg(F.count(F.when(~F.col("gone"), 1)).alias("_open")).where("_open > 0").select("token")
-    open_rows = cut(rest.join(open_lists, "token", "left_semi"))
-    pairs = cross_pairs(open_rows, lambda x, y: ~(F.col(f"{x}.gone") & F.col(f"{y}.gone")), spare)
-    gone = cut(gone.union(later_of(verified(docs, pairs, classes))).distinct())
+    # what follows from the set is the same for all of a class; combined map-side, it moves once
+    alike = [F.first(c).alias(c) for c in ("prefix", "odd0", "odd1")]
+    classes = cut(ranked.where("n > 0").groupBy(*key).agg(F.min(place).alias("at"), *alike).select(*key, "at.*", "prefix", "odd0", "odd1"))
+    table = ranked.select("doc_id", "line_no", "mark", *key)  # reads no prefix
+    told = classes.select("id", "doc_id", "line_no", "mark", "n")
+    postings = lambda rows, *more: rows.select("id", "n", "odd0", "odd1", *more, F.posexplode("prefix").alias("pos", "token"))
+    gone = cut(later_of(verified(docs, first_pairs(postings(classes)), told)).distinct())
+    marked = classes.join(gone.withColumn("gone", F.lit(True)), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    gone = cut(gone.union(later_of(verified(docs, open_pairs(postings(marked, "gone")), told))).distinct())
     firsts = classes.select(*[F.col(c).alias(f"_{c}") for c in key], *[F.col(c).alias(f"_{c}") for c in ("doc_id", "line_no", "mark")], F.col("id").alias("_id"))
     firsts = firsts.join(gone.select(F.col("id").alias("_id"), F.lit(True).alias("_gone")), "_id", "left")
     joined = table.join(firsts, (F.col("n") == F.col("_n")) & (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two")), "left")

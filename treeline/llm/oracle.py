@@ -21,6 +21,22 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
             sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    # Lines with a common word among the rarest that a linked pair has to share; these candidates are compared whole.
+    "op9_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no FROM documents),
+        s AS (
+            SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS w FROM l),
+        c AS (SELECT w, min(doc_id * 1000000 + line_no) AS k, len(w) AS n FROM s WHERE len(w) > 0 GROUP BY w),
+        t AS (SELECT k, n, unnest(w) AS word FROM c),
+        f AS (SELECT word, count(*) AS df FROM t GROUP BY word),
+        o AS (SELECT k, n, word, row_number() OVER (PARTITION BY k ORDER BY df, word) AS pos FROM t JOIN f USING (word)),
+        x AS (SELECT k, n, word FROM o WHERE pos <= n - ceil(0.8 * n) + 1),
+        p AS (SELECT DISTINCT a.k AS a, b.k AS b FROM x a JOIN x b ON a.word = b.word AND a.k < b.k AND 10 * a.n >= 8 * b.n AND 10 * b.n >= 8 * a.n),
+        gone AS (
+            SELECT DISTINCT b FROM p JOIN c y ON y.k = a JOIN c z ON z.k = b
+            WHERE 100 * len(list_intersect(y.w, z.w)) >= 80 * (y.n + z.n - len(list_intersect(y.w, z.w))))
+        SELECT doc_id, line_no, CAST(len(s.w) AS INTEGER) AS n_tokens, len(s.w) = 0 OR (c.k = doc_id * 1000000 + line_no AND gone.b IS NULL) AS kept
+        FROM s LEFT JOIN c ON s.w = c.w LEFT JOIN gone ON gone.b = c.k""",
     "op11_fill_in_middle": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
         u AS (

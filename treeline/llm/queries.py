@@ -76,7 +76,7 @@ def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return deduplicated_lines(table(spark, folder, "documents"))
+    return deduplicated_lines(table(spark, folder, "documents")).drop("mark")
 
 
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
