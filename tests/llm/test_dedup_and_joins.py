@@ -6,13 +6,15 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 from treeline.llm.components import connected_components, with_links
 from treeline.llm.line_dedup import deduplicated_lines, without_lines
 from treeline.llm.quotient import block_bits_of, decode_block, encode_block, exact_duplicates, merge_sorted, without_copies
-from treeline.llm.set_join import near_copies, one_of_each, shingle_sets
+from treeline.llm.set_join import near_copies, one_of_each, parity, shingle_sets
 
 SCHEMA = "doc_id bigint, text string, source string, n string, id string, token string, keep_id string, _text string"
 BASE = "The quick brown fox jumps over the lazy dog while nine more animals watch it from the other side of a river"
@@ -189,6 +191,19 @@ def test_a_group_of_near_copies_and_a_common_passage(spark):
     assert all(got[i] == i for i, _ in apart)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=300), st.integers(0, 300), st.integers(0, 60))
+def test_parities_never_hide_a_link(found, left_out, added):
+    x = np.array(sorted(found), dtype=np.uint64)
+    y = np.union1d(x[min(left_out, len(x) - 1) :], np.arange(added, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    odd = [np.array(parity(s), dtype=np.int64).view(np.uint64) for s in (x, y)]
+    apart = int(np.bitwise_count(odd[0] ^ odd[1]).sum())
+    common = len(np.intersect1d(x, y))
+    assert apart <= len(x) + len(y) - 2 * common
+    if 100 * common >= 80 * (len(x) + len(y) - common):
+        assert apart <= len(x) + len(y) - 2 * (((len(x) + len(y)) * 80 + 179) // 180)
+
+
 def test_further_links_join_components(spark):
     """Components after further links are those of all links at once, singles and repeated links included."""
     first, more = [(1, 2), (2, 3), (10, 11), (20, 21)], [(3, 11), (30, 31), (31, 40), (21, 20), (11, 3)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeline.llm.prefix_pairs import LINK, least_overlap, likely, pair_overlap
+from treeline.llm.prefix_pairs import LINK, least_overlap, likely, may_overlap, pair_overlap
 from treeline.session import cut, release
 
 #: Tokens are counted in so many buckets; the counts order tokens from rare to frequent.
@@ -63,8 +63,7 @@ def may_link(x: dict[str, Column], y: dict[str, Column]) -> Column:
     n, m, need = x["n"], y["n"], pair_overlap(x["n"], y["n"])
     length = (n * 100 >= m * LINK) & (m * 100 >= n * LINK)
     place = F.least(x["pos"], y["pos"]) + 1 + F.least(n - x["pos"] - 1, m - y["pos"] - 1) >= need
-    apart = F.bit_count(x["odd0"].bitwiseXOR(y["odd0"])) + F.bit_count(x["odd1"].bitwiseXOR(y["odd1"]))
-    return length & place & (apart <= n + m - 2 * need)
+    return length & place & may_overlap(n, m, [(x[c], y[c]) for c in ("odd0", "odd1")])
 
 
 POSTING = ("id", "n", "pos", "odd0", "odd1")

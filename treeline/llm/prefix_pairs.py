@@ -5,7 +5,8 @@ A posting says that set ``id`` of size ``n`` holds ``token`` at place ``pos`` (f
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,21 +45,32 @@ def star_pairs(postings: DataFrame, leader: str, enough: Callable[[Column], Colu
     return met.where(F.col("c") >= enough(least_overlap(least_overlap(F.col("n"))))).select("a", "b")
 
 
-def drawn_pairs(postings: DataFrame, group: str, draw: int) -> DataFrame:
+def may_overlap(n: Column, m: Column, odd: Sequence[tuple[Column, Column]]) -> Column:
+    """The parity filter: each element turns one bit over, so sets differ by at least as many elements as their parities by bits.
+
+    Sets of ``n`` and ``m`` that link differ by ``n + m`` less twice what they share at most. No link is turned away.
+    """
+    apart = reduce(Column.__add__, [F.bit_count(x.bitwiseXOR(y)) for x, y in odd], F.lit(0))
+    return apart <= n + m - 2 * pair_overlap(n, m)
+
+
+def drawn_pairs(postings: DataFrame, group: str, draw: int, odd: Sequence[str] = ()) -> DataFrame:
     """``(a, b)``: each set with one that ``draw`` picks from each of its lists, if that is of another ``group``.
 
-    As many rows as postings at most, after the length and positional filters.
+    As many rows as postings at most, after the length, positional and parity (columns ``odd``) filters.
     """
-    picked = postings.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", "token", F.lit(draw)).alias("_h"), F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("pos").alias("_pos"), F.col(group).alias("_group"))).alias("_p"))
+    kept = [F.col(c).alias(f"_{c}") for c in ("id", "n", "pos", *odd)]
+    picked = postings.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", "token", F.lit(draw)).alias("_h"), *kept, F.col(group).alias("_group"))).alias("_p"))
     met = postings.join(picked.select("token", "_p.*"), "token").where(F.col(group) != F.col("_group"))
     n, m, i, j = F.col("n"), F.col("_n"), F.col("pos"), F.col("_pos")
     length = (n * 100 >= m * LINK) & (m * 100 >= n * LINK)
     place = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) >= pair_overlap(n, m)
-    return met.where(length & place).select(F.col("id").alias("a"), F.col("_id").alias("b")).distinct()
+    near = may_overlap(n, m, [(F.col(c), F.col(f"_{c}")) for c in odd])
+    return met.where(length & place & near).select(F.col("id").alias("a"), F.col("_id").alias("b")).distinct()
 
 
-def cross_pairs(postings: DataFrame, apart: Callable[[str, str], Column], enough: Callable[[Column], Column]) -> DataFrame:
-    """``(a, b)`` of all pairs that meet in a list, are ``apart``, and pass the length, positional and count filters.
+def cross_pairs(postings: DataFrame, apart: Callable[[str, str], Column], enough: Callable[[Column], Column], odd: Sequence[str] = ()) -> DataFrame:
+    """``(a, b)`` of all pairs that meet in a list, are ``apart``, and pass the length, positional, parity (columns ``odd``) and count filters.
 
     At a common token, sets share at most what both hold before it, the token, and what both hold after it. All that they share up to
     the end of the prefix that ends first is among their common lists; what follows is no more than the rest of that set.
@@ -68,7 +80,8 @@ def cross_pairs(postings: DataFrame, apart: Callable[[str, str], Column], enough
     n, m, i, j = (F.col(c) for c in ("x.n", "y.n", "x.pos", "y.pos"))
     length = (n * 100 >= m * LINK) & (m * 100 >= n * LINK)
     place = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) >= pair_overlap(n, m)
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & apart("x", "y") & length & place)
+    near = may_overlap(n, m, [(F.col(f"x.{c}"), F.col(f"y.{c}")) for c in odd])
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & apart("x", "y") & length & place & near)
     counted = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("c"), F.first(n).alias("n"), F.first(m).alias("m"))
     bound = pair_overlap(F.col("n"), F.col("m")) - F.greatest(rest(F.col("n")), rest(F.col("m")))
     return counted.where((F.col("c") >= enough(least_overlap(F.least("n", "m")))) & (F.col("c") >= bound)).select("a", "b")
@@ -92,9 +105,11 @@ def likely(column: str, wanted: DataFrame) -> Column:
     return F.getbit(F.get(bits, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
-def of_like_size(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` that pass the length filter by ``sizes(id, n)``."""
-    n = sizes.select(F.col("id").alias("a"), F.col("n").alias("_n"))
-    m = sizes.select(F.col("id").alias("b"), F.col("n").alias("_m"))
-    met = pairs.join(n, "a").join(m, "b")
-    return met.where((F.col("_n") * 100 >= F.col("_m") * LINK) & (F.col("_m") * 100 >= F.col("_n") * LINK)).select("a", "b")
+def of_like_size(pairs: DataFrame, sizes: DataFrame, odd: Sequence[str] = ()) -> DataFrame:
+    """The pairs ``(a, b)`` that pass the length and parity filters by ``sizes(id, n, odd...)``."""
+    one = sizes.select(F.col("id").alias("a"), *[F.col(c).alias(f"_x_{c}") for c in ("n", *odd)])
+    two = sizes.select(F.col("id").alias("b"), *[F.col(c).alias(f"_y_{c}") for c in ("n", *odd)])
+    n, m = F.col("_x_n"), F.col("_y_n")
+    near = may_overlap(n, m, [(F.col(f"_x_{c}"), F.col(f"_y_{c}")) for c in odd])
+    met = pairs.join(one, "a").join(two, "b")
+    return met.where((n * 100 >= m * LINK) & (m * 100 >= n * LINK) & near).select("a", "b")

@@ -21,8 +21,8 @@ CHUNK = 1 << 12
 WORDS_AT_ONCE = 1 << 21
 #: One common short list more is asked for per so many shingles that have to be shared.
 SPARE = 16
-#: Rounds that draw a partner from each list, before all pairs between components are taken.
-DRAWS = 2
+#: Rounds that draw a partner from each list before all pairs between components are taken.
+DRAWS = 1
 
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -112,7 +112,16 @@ def fingerprint(found: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)), int(two.view(np.int64))
 
 
-PROFILE = "doc_id string, mark bigint, n int, one bigint, two bigint, lists array<bigint>"
+#: Columns of a set's parity, 64 bits each: every shingle turns one of all bits over.
+ODD = ("odd0", "odd1", "odd2", "odd3")
+
+
+def parity(found: np.ndarray) -> list[int]:
+    turned = np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=64 * len(ODD)) & 1
+    return np.packbits(turned.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+PROFILE = "doc_id string, mark bigint, n int, one bigint, two bigint, odd0 bigint, odd1 bigint, odd2 bigint, odd3 bigint, lists array<bigint>"
 
 
 def profiles(docs: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -123,8 +132,8 @@ def profiles(docs: DataFrame, counts: np.ndarray) -> DataFrame:
         for frame in frames:
             rows = []
             for doc_id, mark, found in zip(frame["doc_id"], frame["mark"], shingle_sets(frame["text"].tolist()), strict=True):
-                rows.append((doc_id, mark, len(found), *fingerprint(found), short_lists(found, shared.value).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "mark", "n", "one", "two", "lists"])
+                rows.append((doc_id, mark, len(found), *fingerprint(found), *parity(found), short_lists(found, shared.value).view(np.int64)))
+            yield pd.DataFrame(rows, columns=["doc_id", "mark", "n", "one", "two", *ODD, "lists"])
 
     rows = docs.select(F.col("doc_id").cast("string"), F.xxhash64("text").alias("mark"), "text")
     return rows.mapInPandas(profile, PROFILE).withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -184,24 +193,26 @@ def joined_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = profile.join(classes.select(F.col("id").alias("row")), "row", "left_semi").withColumnRenamed("row", "id")
     postings = firsts.select("id", "n", F.posexplode("lists").alias("pos", "token"))
     lists = contested(postings)
-    wanted = firsts.drop("lists")
+    wanted = firsts.drop("lists", *ODD)
+    about = cut(firsts.select("id", "n", *ODD))
     stars = star_pairs(lists, "first", spare).unionByName(star_pairs(lists, "last", spare)).distinct()
-    links = verified(docs, of_like_size(stars, classes), wanted)
+    links = verified(docs, of_like_size(stars, about, ODD), wanted)
     components = cut(connected_components(links))
     for draw in range(DRAWS + 1):
-        here = lists.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        placed = about.drop("n").join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        here = lists.join(placed, "id")
         spans = here.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("token")
         here = cut(here.join(spans, "token", "left_semi"))
         if draw < DRAWS:
-            pairs = drawn_pairs(here, "component", draw)
+            pairs = drawn_pairs(here, "component", draw, ODD)
         else:
-            pairs = cross_pairs(here, lambda x, y: F.col(f"{x}.component") != F.col(f"{y}.component"), spare)
+            pairs = cross_pairs(here, lambda x, y: F.col(f"{x}.component") != F.col(f"{y}.component"), spare, ODD)
         links = verified(docs, pairs, wanted)
         release(here)
         if not links.isEmpty():
             before, components = components, with_links(components, links)
             release(before, links)
-    release(lists)
+    release(lists, about)
     joined = classes.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     return profile, joined.join(named, "component").select(*set_key, "component", "component_id")
