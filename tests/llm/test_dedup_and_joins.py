@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
+from treeline.llm import set_join
 from treeline.llm.components import connected_components, with_links
 from treeline.llm.line_dedup import deduplicated_lines, without_lines
 from treeline.llm.quotient import block_bits_of, decode_block, encode_block, exact_duplicates, merge_sorted, without_copies
@@ -157,6 +158,20 @@ def test_changed_words_in_long_and_short_lines(spark, n):
     assert {r.doc_id: r.kept for r in deduplicated_lines(docs).collect()} == want
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", "b", "é", "zz", " ", "  ", "\t", "\n", "\x0b", "\x85", "\u3000", "word"]), max_size=60).map("".join), st.sampled_from([1, 7, 1 << 22]))
+def test_word_hashes_tell_words_apart(text, at_once):
+    data = text.encode()
+    want = data.lower().split()
+    before, set_join.BYTES_AT_ONCE = set_join.BYTES_AT_ONCE, at_once
+    try:
+        starts, hashes = set_join.word_hashes(data.translate(set_join.PLAIN))
+    finally:
+        set_join.BYTES_AT_ONCE = before
+    assert len(hashes) == len(want) and len(set(zip(want, hashes.tolist()))) == len(set(want)) == len(set(hashes.tolist()))
+    assert [data[s:].lower().split()[0] for s in starts] == want
+
+
 def test_lines(spark):
     line = BASE
     near = BASE.replace("river", "pond") + " again"

@@ -17,14 +17,19 @@ WORDS = 5
 #: Shingles are counted in so many buckets; the counts order shingles from rare to frequent.
 BUCKETS = 1 << 18
 CHUNK = 1 << 12
-#: Words that a task hashes at a time.
-WORDS_AT_ONCE = 1 << 21
+#: Bytes of text that a task hashes at a time.
+BYTES_AT_ONCE = 1 << 22
 #: One common short list more is asked for per so many shingles that have to be shared.
 SPARE = 16
 #: Rounds that draw a partner from each list before all pairs between components are taken.
 DRAWS = 1
 
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
+#: A random odd number for each byte, none for a blank; what a place in a word multiplies by; A-Z in lower case and white space as blanks.
+BYTES = np.random.default_rng(5).integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
+BYTES[0x20] = 0
+POWER = np.uint64(0x9FB21C651E98DF25)
+PLAIN = bytes(0x20 if b in b"\t\n\x0b\x0c\r" else b for b in range(256)).lower()
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -39,43 +44,72 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
     Words are what ASCII white space separates, A-Z in lower case; a shingle is five words in a row, or the whole
     sequence of a text with fewer. Null and blank texts have none.
     """
-    lot: list[list[bytes]] = []
+    for shingles in every_shingle(texts):
+        yield np.unique(shingles)
+
+
+def every_shingle(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """The shingles of each text, as often as they occur."""
+    lot: list[bytes] = []
     held = 0
     for text in texts:
-        lot.append(text.encode().lower().split() if text else [])
+        lot.append((text or "").encode().translate(PLAIN))
         held += len(lot[-1])
-        if held >= WORDS_AT_ONCE:
-            yield from _hashed(lot)
+        if held >= BYTES_AT_ONCE:
+            yield from _shingles(lot)
             lot, held = [], 0
-    yield from _hashed(lot)
+    yield from _shingles(lot)
 
 
-def _hashed(lot: list[list[bytes]]) -> Iterator[np.ndarray]:
-    every = [w for words in lot for w in words]
-    column = np.empty(len(every) + WORDS - 1, dtype=object)
-    column[: len(every)], column[len(every) :] = every, b""
-    hashes = pd.util.hash_array(column, categorize=True)
-    windows = np.zeros(len(every), dtype=np.uint64)
+def _shingles(lot: list[bytes]) -> Iterator[np.ndarray]:
+    starts, hashes = word_hashes(b" ".join(lot))
+    windows = np.zeros(len(hashes), dtype=np.uint64)
+    padded = np.concatenate([hashes, np.zeros(WORDS - 1, np.uint64)])
     for k in range(WORDS):
-        windows += hashes[k : k + len(every)] * FACTORS[k]
+        windows += padded[k : k + len(hashes)] * FACTORS[k]
     windows = _mixed(windows)
+    ends = np.searchsorted(starts, np.cumsum([len(text) + 1 for text in lot]))
     at = 0
-    for words in lot:
-        n = len(words)
+    for end in ends.tolist():
+        n = end - at
         if n >= WORDS:
-            yield np.unique(windows[at : at + n - WORDS + 1])
+            yield windows[at : end - WORDS + 1]
         else:
-            yield _mixed((hashes[at : at + n] * FACTORS[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)) if n else np.zeros(0, np.uint64)
-        at += n
+            yield _mixed((hashes[at:end] * FACTORS[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)) if n else np.zeros(0, np.uint64)
+        at = end
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of ``data`` begin, which has no white space but blanks, and their 64-bit hashes.
+
+    A word's hash is a polynomial in a random number per byte; the arrays over bytes are made for one stretch of ``BYTES_AT_ONCE`` at a time.
+    """
+    starts, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    while at < len(data):
+        end = data.find(b" ", at + BYTES_AT_ONCE)
+        end = len(data) if end < 0 else end
+        part = np.frombuffer(data, np.uint8, end - at, at)
+        word = part != 0x20
+        begins = word.copy()
+        begins[1:] &= ~word[:-1]
+        first = np.flatnonzero(begins)
+        if len(first):
+            place = np.arange(len(part)) - first[np.maximum(np.cumsum(begins) - 1, 0)]
+            powers = np.cumprod(np.full(int(place.max()) + 1, POWER))
+            sums = np.add.reduceat(BYTES[part] * powers[np.maximum(place, 0)], first)
+            starts.append(first + at)
+            hashes.append(_mixed(sums))
+        at = end
+    return np.concatenate(starts), np.concatenate(hashes)
 
 
 def shingle_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """How often each bucket's shingles occur in all texts: ``BUCKETS`` numbers, whatever the data."""
+    """How often each bucket's shingles occur in all texts, repeats included: ``BUCKETS`` numbers, whatever the data."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BUCKETS, np.int64)
         for frame in frames:
-            for found in shingle_sets(frame[text].tolist()):
+            for found in every_shingle(frame[text].tolist()):
                 np.add.at(total, (found & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
         yield pd.DataFrame({"chunk": range(BUCKETS // CHUNK), "counts": list(total.reshape(-1, CHUNK))})
 
@@ -101,7 +135,7 @@ def short_lists(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
     Two texts that share ``T`` shingles share ``spare(T)`` of these at least, since all texts order shingles alike.
     """
     least = -(-len(found) * LINK // 100)
-    order = np.lexsort((found, counts[(found & np.uint64(BUCKETS - 1)).astype(np.int64)]))
+    order = np.argsort(counts[(found & np.uint64(BUCKETS - 1)).astype(np.int64)], kind="stable")  # equal counts by hash, as ``found`` is
     return found[order[: len(found) - least + spare(least)]] if len(found) else found
 
 
