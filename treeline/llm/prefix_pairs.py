@@ -54,19 +54,15 @@ def may_overlap(n: Column, m: Column, odd: Sequence[tuple[Column, Column]]) -> C
     return apart <= n + m - 2 * pair_overlap(n, m)
 
 
-def drawn_pairs(postings: DataFrame, group: str, draw: int, odd: Sequence[str] = ()) -> DataFrame:
-    """``(a, b)``: each set with one that ``draw`` picks from each of its lists, if that is of another ``group``.
+def leader_pairs(postings: DataFrame, group: str, weight: str, enough: Callable[[Column], Column]) -> DataFrame:
+    """``(a, b)``: each set with the one of most ``weight`` in each of its lists, if that is of another ``group``.
 
-    As many rows as postings at most, after the length, positional and parity (columns ``odd``) filters.
+    As many rows as postings at most; counted as in :func:`star_pairs`.
     """
-    kept = [F.col(c).alias(f"_{c}") for c in ("id", "n", "pos", *odd)]
-    picked = postings.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", "token", F.lit(draw)).alias("_h"), *kept, F.col(group).alias("_group"))).alias("_p"))
-    met = postings.join(picked.select("token", "_p.*"), "token").where(F.col(group) != F.col("_group"))
-    n, m, i, j = F.col("n"), F.col("_n"), F.col("pos"), F.col("_pos")
-    length = (n * 100 >= m * LINK) & (m * 100 >= n * LINK)
-    place = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) >= pair_overlap(n, m)
-    near = may_overlap(n, m, [(F.col(c), F.col(f"_{c}")) for c in odd])
-    return met.where(length & place & near).select(F.col("id").alias("a"), F.col("_id").alias("b")).distinct()
+    chosen = postings.groupBy("token").agg(F.max_by(F.struct("id", group), F.struct(weight, "id")).alias("_l"))
+    met = postings.join(chosen.select("token", F.col("_l.id").alias("_leader"), F.col(f"_l.{group}").alias("_group")), "token").where(F.col(group) != F.col("_group"))
+    counted = met.groupBy(F.col("id").alias("a"), F.col("_leader").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    return counted.where(F.col("c") >= enough(least_overlap(least_overlap(F.col("n"))))).select("a", "b")
 
 
 def cross_pairs(postings: DataFrame, apart: Callable[[str, str], Column], enough: Callable[[Column], Column], odd: Sequence[str] = ()) -> DataFrame:

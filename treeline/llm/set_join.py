@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.components import connected_components, with_links
-from treeline.llm.prefix_pairs import LINK, contested, cross_pairs, drawn_pairs, likely, of_like_size, star_pairs
+from treeline.llm.prefix_pairs import LINK, contested, cross_pairs, leader_pairs, likely, of_like_size, star_pairs
 from treeline.session import cut, release
 
 WORDS = 5
@@ -21,8 +21,8 @@ CHUNK = 1 << 12
 BYTES_AT_ONCE = 1 << 22
 #: One common short list more is asked for per so many shingles that have to be shared.
 SPARE = 16
-#: Rounds that draw a partner from each list before all pairs between components are taken.
-DRAWS = 1
+#: Rounds that hold each list's members against its most central one, before all pairs between components are taken.
+LEADERS = 1
 
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 #: A random odd number for each byte, none for a blank; what a place in a word multiplies by; A-Z in lower case and white space as blanks.
@@ -228,17 +228,19 @@ def joined_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     postings = firsts.select("id", "n", F.posexplode("lists").alias("pos", "token"))
     lists = contested(postings)
     wanted = firsts.drop("lists", *ODD)
-    about = cut(firsts.select("id", "n", *ODD))
+    # a set with many common rare shingles is near the middle of its group: a changed copy has rare ones of its own instead
+    about = firsts.select("id", "n", *ODD).join(lists.groupBy("id").agg(F.count("*").alias("shared")), "id", "left")
+    about = cut(about)
     stars = star_pairs(lists, "first", spare).unionByName(star_pairs(lists, "last", spare)).distinct()
     links = verified(docs, of_like_size(stars, about, ODD), wanted)
     components = cut(connected_components(links))
-    for draw in range(DRAWS + 1):
+    for turn in range(LEADERS + 1):
         placed = about.drop("n").join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         here = lists.join(placed, "id")
         spans = here.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("token")
         here = cut(here.join(spans, "token", "left_semi"))
-        if draw < DRAWS:
-            pairs = drawn_pairs(here, "component", draw, ODD)
+        if turn < LEADERS:
+            pairs = of_like_size(leader_pairs(here, "component", "shared", spare), about, ODD)
         else:
             pairs = cross_pairs(here, lambda x, y: F.col(f"{x}.component") != F.col(f"{y}.component"), spare, ODD)
         links = verified(docs, pairs, wanted)
@@ -261,7 +263,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     frequent rest, whose long lists would only be probed. Candidates that reach the count are verified on
     their whole sets by binary probing.
 
-    Lists are merged in rounds. The first pairs each class with the first and the last of its lists, the next draw a partner of another component from each list;
+    Lists are merged in rounds. The first pairs each class with the first and the last of its lists, the next with the most central one of each, if that is of another component;
     these are linear and connect groups of near copies of any size. The last takes all pairs that are still in different components, within
     lists that span several: a list of one large group of near copies has none left. No link between components is lost, and none within one is needed.
 
