@@ -12,24 +12,15 @@ SAMPLE_BYTES = 65536
 
 # Extensions that mean binary whatever the content is.
 BINARY_EXTENSIONS = (
-    # images
     ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".ico", ".tiff", ".tif", ".webp", ".svg",
     ".psd", ".ai", ".raw", ".cr2", ".nef", ".orf", ".sr2",
-    # video
     ".mp4", ".avi", ".mkv", ".mov", ".wmv", ".flv", ".webm", ".m4v", ".mpg", ".mpeg",
-    # audio
     ".mp3", ".wav", ".flac", ".aac", ".ogg", ".wma", ".m4a", ".opus",
-    # archives
     ".zip", ".tar", ".gz", ".bz2", ".xz", ".7z", ".rar", ".jar", ".war", ".ear",
-    # programs and libraries
     ".exe", ".dll", ".so", ".dylib", ".bin", ".o", ".a", ".lib", ".pyc", ".pyo", ".pyd",
-    # office documents
     ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".odt", ".ods", ".odp",
-    # fonts
     ".ttf", ".otf", ".woff", ".woff2", ".eot",
-    # databases
     ".db", ".sqlite", ".sqlite3", ".mdb",
-    # other
     ".class", ".dex", ".apk", ".ipa", ".dmg", ".iso", ".img",
     ".pickle", ".pkl", ".npy", ".npz", ".h5", ".hdf5",
     ".parquet", ".avro", ".orc",
