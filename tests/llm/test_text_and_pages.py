@@ -10,7 +10,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 from treeline.llm.graph_index import build_graph, beam_search, nearest_neighbours, robust_prune
 from treeline.llm.language import compressors, held_out, identified, judge, learn
 from treeline.llm.url_rules import filtered
-from treeline.llm.wrapper import blocks, extracted, induced, main_text, parsed
+from treeline.llm.tree_matching import Tree, matched
+from treeline.llm.wrapper import Page, extracted, named_other, parsed
 
 ENGLISH = "the weather was fine and the children went out to play with their friends in the garden of the house"
 GERMAN = "das wetter war gut und die kinder gingen hinaus um mit ihren freunden im garten des hauses zu spielen"
@@ -123,14 +124,76 @@ def test_main_text(spark):
     assert extracted(frame.limit(0)).count() == 0
 
 
-def test_constant_nodes_are_template():
+def test_constant_nodes_are_template(spark):
     body = "<div class=top><p>Welcome to our site</p></div><div class=body><p>Story {n} goes on for a while</p></div>"
-    template, slots = induced([body.format(n=i) for i in range(5)])
-    assert template == ["/div.top/p"] and slots == ["/div.body/p"]
-    assert main_text(body.format(n=9), set(template)) == "Story 9 goes on for a while"
+    assert texts_of(spark, [body.format(n=i) for i in range(5)]) == {i: f"Story {i} goes on for a while" for i in range(5)}
     # copies of one page teach nothing
-    assert induced([body] * 5) == ([], [])
-    assert [b.text for b in blocks(parsed("a<p>b"))] == ["a", "b"]
+    assert set(texts_of(spark, [body] * 5).values()) == {"Welcome to our site\nStory {n} goes on for a while"}
+    assert Page(parsed("a<p>b")).texts == ["a", "b"]
+
+
+def best(a, b, x=0, y=0):
+    """Simple tree matching by its definition."""
+    if a.label[x] != b.label[y]:
+        return 0
+    xs, ys = a.children[x], b.children[y]
+    table = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    for i, p in enumerate(xs):
+        for j, q in enumerate(ys):
+            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + best(a, b, p, q))
+    return 1 + table[-1][-1]
+
+
+def parents(tree):
+    return {c: at for at, below in enumerate(tree.children) for c in below}
+
+
+def test_tree_matching_against_its_definition():
+    rng = np.random.default_rng(4)
+
+    def some_tree():
+        depth = [0]
+        for _ in range(rng.integers(0, 25)):
+            depth.append(int(rng.integers(1, min(depth[-1] + 1, 4) + 1)))
+        return Tree(depth, [0, *rng.integers(0, 3, len(depth) - 1).tolist()])
+
+    for _ in range(300):
+        a, b = some_tree(), some_tree()
+        found = matched(a, b)
+        pairs = [(x, y) for x, y in enumerate(found) if y >= 0]
+        assert len(pairs) == best(a, b)
+        assert all(a.label[x] == b.label[y] for x, y in pairs) and [y for _, y in pairs] == sorted({y for _, y in pairs})
+        assert all(found[parents(a)[x]] == parents(b)[y] for x, y in pairs if x)
+    deep = Tree(list(range(5000)), [0] * 5000), Tree(list(range(4999)), [0] * 4998 + [1])
+    assert sum(y >= 0 for y in matched(*deep)) == 4998
+    wide = Tree([0, *[1] * 3000], [0, *rng.integers(0, 9, 3000).tolist()]), Tree([0, *[1] * 2000], [0, *rng.integers(0, 9, 2000).tolist()])
+    assert 500 < sum(y >= 0 for y in matched(*wide)) <= 2001
+    assert matched(Tree([0], [1]), Tree([0], [2])) == [-1] and matched(Tree([], []), Tree([], [])) == []
+
+
+def test_names_of_other_parts():
+    assert all(map(named_other, ["ad", "ad-slot-3", "x comment-list", "site-header", "cookie-notice", "related-posts", "share_buttons", "banner", "page-footer"]))
+    assert not any(map(named_other, ["", "search-results", "share-prices", "notice-board", "article-header", "post-header", "advance", "shadow", "navy", "headline", "commentary"]))
+
+
+def test_article_text_is_not_dropped_for_its_names(spark):
+    pages = [
+        '<div class="search-results"><p>What the search found.</p></div>', '<div id="share-prices"><p>Shares rose.</p></div>',
+        '<section class="notice-board"><article><h1>News</h1><p>All of it.</p></article></section>', "<div><p>Before</p><p><a href=/x>A paragraph in a link</a></p></div>",
+        '<div class=widget><article><h1>Kept</h1><p>Told.</p></article></div><div class=related><article><p>Teaser</p></article></div>',
+        "<ul><li><a href=/a>A</a><li><a href=/b>B</a></ul><div><a href=/c>C</a> <a href=/d>D</a></div><p>Story</p>",
+    ]
+    wanted = ["What the search found.", "Shares rose.", "News\nAll of it.", "Before\nA paragraph in a link", "Kept\nTold.", "Story"]
+    assert texts_of(spark, pages) == dict(enumerate(wanted))
+
+
+def test_a_host_of_many_layouts_learns_each(spark):
+    """Thirty layouts of five pages; stories of different shapes, optional parts and lists of different lengths."""
+    layouts = [f"<div class=l{k}><p>Standing words of layout {k}</p></div><div class=b{k}>{{x}}</div><div class=e{k}>Thank you, {k}</div>" for k in range(30)]
+    parts = ["<p>Story {n} goes on for quite a while</p>", "<h2>Head {n}</h2><p>Story {n} has a heading and goes on</p>", "<p>A {n}</p><ul><li>one {n}<li>two {n}</ul><p>End of story {n}</p>"]
+    pages = [layouts[i % 30].format(x=parts[(i // 30) % 3].format(n=i)) for i in range(150)]
+    wanted = ["Story {n} goes on for quite a while", "Head {n}\nStory {n} has a heading and goes on", "A {n}\none {n}\ntwo {n}\nEnd of story {n}"]
+    assert texts_of(spark, pages) == {i: wanted[(i // 30) % 3].format(n=i) for i in range(150)}
 
 
 def test_robust_pruning_keeps_diverse_neighbours():

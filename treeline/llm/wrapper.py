@@ -4,24 +4,25 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeline.llm.tree_matching import Tree, matched
 from treeline.llm.url_rules import url_host
+from treeline.operators.skew import bounded, crowded_keys, salted_join
 from treeline.session import cut
 
-#: A text stands at a path when it is on so large a share of the pages that have the path; a path is template when so large a share of its blocks stand.
+#: A text stands in a slot when it is on so large a share of the pages that have the slot; a slot is template when so large a share of its blocks stand.
 SAME_SHARE = 0.9
-#: What stands is on so many different pages at least, and on so large a share of all pages of the host.
+#: What stands is on so many different pages of a layout at least, and on so large a share of the layout's pages.
 LEAST_PAGES, LEAST_SHARE = 3, 0.05
-#: Where more than this share of a layout's text stands, its pages are near copies of one another and teach nothing.
+#: A layout of which more than this share of the blocks and of the text stands consists of near copies of one page; they teach nothing.
 COPY_SHARE = 0.5
-#: Text of which more than this share stands in links is a menu.
+#: Text of which more than this share stands in links may be a menu.
 LINK_SHARE = 0.6
 
 # Names of elements.
@@ -36,42 +37,70 @@ CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "body": {"head"},
 }
-# Words in class, id or role that name what is not the article.
-OTHER_PARTS = re.compile(
-    r"(?:^|[^a-z])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|alert|popup|modal|newsletter|subscribe|menu|nav|navbar|navigation|breadcrumb\w*|header|masthead|"
-    r"footer|sidebar|aside|comment\w*|disqus|replies|related|share|sharing|social|widget|pagination|pager|search|login|toolbar|complementary|contentinfo)(?:[^a-z]|$)"
+#: Elements that lay a page out; the others belong to the text.
+FRAME = {"html", "body", "div", "section", "header", "main", "article", "center", "table", "tbody", "tr", "td"}
+#: A paragraph or heading is no menu, whatever links it holds.
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "dd", "td", "th", "caption", "figcaption"}
+# Words in class, id or role that name what is not the article, and words that say nothing beside them.
+OTHER_WORD = re.compile(
+    r"(?:ad|ads|advert\w*|banners?|sponsor\w*|promos?|promotions?|cookies?|consent|notices?|alerts?|popups?|modals?|newsletters?|subscribe|subscription|menus?|nav|navbar|navigation|breadcrumbs?|header|masthead|"
+    r"footer|sidebar|aside|comments?|disqus|replies|related|share|sharing|social|widgets?|pagination|pager|search|login|toolbar|complementary|contentinfo)"
 )
+PLAIN_WORD = re.compile(
+    r"(?:site|page|global|box|block|wrapper|wrap|container|content|section|area|bar|list|item|items|slot|unit|inner|outer|top|bottom|left|right|form|links?|buttons?|icons?|media|user|users|reader|readers|"
+    r"thread|posts?|articles?|stories|signup|primary|secondary|mobile|desktop|sticky|fixed|group|panel|row|col|column|js|the|main|\d+)"
+)
+
+
+def named_other(names: str) -> bool:
+    """Whether one of the names, taken apart at hyphens and underscores, is made of words for other parts: ``comment-list`` is, ``search-results`` is not."""
+    for name in names.split():
+        words = [w for w in re.split(r"[-_]+", name) if w]
+        other = [bool(OTHER_WORD.fullmatch(w)) for w in words]
+        if any(other) and all(o or PLAIN_WORD.fullmatch(w) for o, w in zip(other, words, strict=True)) and words[0] not in ("article", "post"):
+            return True
+    return False
 
 
 class Node:
-    """An element: its label (tag and first class), its children (nodes and texts), whether it names something else than the article."""
+    """An element: its label (tag and first class), its children (nodes and texts), whether its tag or its names say that it is not the article."""
 
-    __slots__ = ("tag", "label", "children", "other")
+    __slots__ = ("tag", "label", "children", "other", "named", "above")
 
-    def __init__(self, tag: str, label: str, other: bool):
-        self.tag, self.label, self.other, self.children = tag, label, other, []
+    def __init__(self, tag: str, label: str, other: bool, named: bool, above: Node | None):
+        self.tag, self.label, self.other, self.named, self.above, self.children = tag, label, other, named, above, []
 
 
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = Node("", "", False)
+        self.root = Node("", "", False, False, None)
         self.open = [self.root]
 
     def handle_starttag(self, tag, attrs):
-        named = {k: (v or "").lower() for k, v in attrs if k in ("class", "id", "role", "hidden")}
-        first = named.get("class", "").split()[:1]
-        names = " ".join((named.get("class", ""), named.get("id", ""), named.get("role", "")))
+        given = {k: (v or "").lower() for k, v in attrs if k in ("class", "id", "role", "hidden")}
+        first = given.get("class", "").split()[:1]
         in_article = any(n.tag in ("article", "main") for n in self.open)
-        other = tag in NEVER or "hidden" in named or (tag == "header" and not in_article) or (tag not in ("html", "body", "article", "main") and bool(OTHER_PARTS.search(names)))
+        other = tag in NEVER or "hidden" in given or (tag == "header" and not in_article)
+        named = tag not in ("html", "body", "article", "main") and named_other(" ".join((given.get("class", ""), given.get("id", ""), given.get("role", ""))))
         if tag in BLOCKS:
             self._close(lambda n: n.tag == "p")
         if tag in CLOSED_BY:
             self._close(lambda n: n.tag in CLOSED_BY[tag], stop={"ul", "ol", "dl", "table", "select"})
-        node = Node(tag, ".".join([tag, *first]), other)
+        node = Node(tag, ".".join([tag, *first]), other, named, self.open[-1])
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
+        if tag == "h1":
+            self._heading()
+
+    def _heading(self) -> None:
+        """The element that holds the article with the page's heading is not another part, whatever its name."""
+        node, article = self.open[-1], False
+        while node is not None:
+            article = article or node.tag in ("article", "main")
+            node.named = node.named and not article
+            node = node.above
 
     def handle_endtag(self, tag):
         if any(n.tag == tag for n in self.open):
@@ -98,134 +127,105 @@ def parsed(html: str | None) -> Node:
     return builder.root
 
 
-class Block:
-    """A run of text between block borders: the path of labels to it, its text, the share of it in links."""
-
-    __slots__ = ("path", "text", "links", "other")
-
-    def __init__(self, path: str, text: str, links: float, other: bool):
-        self.path, self.text, self.links, self.other = path, text, links, other
-
-
-def blocks(root: Node) -> list[Block]:
-    """All blocks in page order, white space as single spaces."""
-    out: list[Block] = []
-    parts: list[tuple[str, bool]] = []
-
-    def flush(path: str, other: bool) -> None:
-        text = " ".join("".join(p for p, _ in parts).split())
-        if text:
-            linked = sum(len(p.strip()) for p, a in parts if a)
-            out.append(Block(path, text, linked / max(1, sum(len(p.strip()) for p, _ in parts)), other))
-        parts.clear()
-
-    # an explicit stack: pages may be nested deeper than Python calls may
-    stack: list[tuple] = [(root, "", False, False, "", False, iter(root.children))]
-    while stack:
-        node, path, other, link, outer, outer_other, rest = stack[-1]
-        for child in rest:
-            if isinstance(child, str):
-                parts.append((child, link))
-            elif child.tag == "br":
-                parts.append((" ", link))
-            else:
-                apart = child.tag in BLOCKS or child.other
-                if apart:
-                    flush(path, other)
-                below = f"{path}/{child.label}" if apart else path
-                stack.append((child, below, other or child.other, link or child.tag == "a", path, other, iter(child.children)))
-                break
-        else:
-            if path != outer or other != outer_other:
-                flush(path, other)
-            stack.pop()
-    flush("", False)
-    return out
-
-
-INSIDE = re.compile(r"/(article|main)(\.|/|$)")
-
-
 def number(*parts: str) -> int:
     """64 bits of a hash, as a signed number."""
-    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode(), digest_size=8).digest(), "little", signed=True)
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def candidates(html: str | None) -> list[Block]:
-    """A page's blocks but those named as something else than the article."""
-    return [b for b in blocks(parsed(html)) if not b.other]
+#: The label of a run of text in a page's tree.
+TEXT = number("#text")
 
 
-def standing(counts: dict[tuple[str, str], tuple[int, int]], on_path: dict[str, int], pages: int) -> tuple[dict[str, set[str]], set[str]]:
-    """The template paths with their standing texts, and all other paths; ``counts`` are pages and blocks by path and text."""
-    every: Counter[str] = Counter()
-    found: dict[str, set[str]] = {}
-    held: Counter[str] = Counter()
-    for (path, text), (n, occurs) in counts.items():
-        every[path] += occurs
-        if n >= LEAST_PAGES and n >= LEAST_SHARE * pages and n >= SAME_SHARE * on_path[path]:
-            found.setdefault(path, set()).add(text)
-            held[path] += occurs
-    template = {p: texts for p, texts in found.items() if held[p] >= SAME_SHARE * every[p]}
-    return template, set(every) - set(template)
+class Page:
+    """A page without its other parts: blocks (runs of text between block borders) in page order, and the tree of block elements they are the leaves of.
 
+    ``depth`` and ``label`` give the tree in pre-order; the n-th node labelled ``TEXT`` is the n-th block. ``frame`` holds the label paths of
+    the elements that lay the page out, down to ``article`` and ``main``.
+    """
 
-def induced(pages: Sequence[str | None]) -> tuple[list[str], list[str]]:
-    """The wrapper of these pages as one host of one layout: the paths of template blocks, and those of content slots.
+    def __init__(self, root: Node):
+        self.texts: list[str] = []
+        self.paths: list[str] = []
+        self.inside: list[bool] = []
+        self.menu: list[bool] = []
+        self.depth: list[int] = [0]
+        self.label: list[str | None] = [""]
+        self.frame: set[str] = set()
+        self._read(root)
+
+    def _read(self, root: Node) -> None:
+        parts: list[tuple[str, int]] = []
+
+        def flush(path: str, depth: int, tag: str, inside: bool, other: bool) -> None:
+            text = " ".join("".join(p for p, _ in parts).split())
+            if text and not other:
+                linked = sum(len(p.strip()) for p, a in parts if a) / max(1, sum(len(p.strip()) for p, _ in parts))
+                anchors = len({a for _, a in parts if a})
+                self.texts.append(text)
+                self.paths.append(path)
+                self.inside.append(inside)
+                self.menu.append(linked > LINK_SHARE and tag not in PROSE and (tag == "li" or anchors > 1))
+                self.depth.append(depth + 1)
+                self.label.append(None)
+            parts.clear()
+
+        # an explicit stack: pages may be nested deeper than Python calls may; a border is (path, depth, tag, inside, other)
+        stack: list[tuple] = [(("", 0, "", False, False), True, 0, iter(root.children))]
+        links = 0
+        while stack:
+            border, apart, link, rest = stack[-1]
+            path, depth, _, inside, other = border
+            for child in rest:
+                if isinstance(child, str):
+                    parts.append((child, link))
+                elif child.tag == "br":
+                    parts.append((" ", link))
+                else:
+                    gone = child.other or child.named
+                    links += child.tag == "a"
+                    within = links if child.tag == "a" else link
+                    if child.tag in BLOCKS or gone:
+                        flush(*border)
+                        below = f"{path}/{child.label}"
+                        if not (other or gone):
+                            self.depth.append(depth + 1)
+                            self.label.append(child.label)
+                            if child.tag in FRAME and not inside:
+                                self.frame.add(below)
+                        stack.append(((below, depth + 1, child.tag, inside or child.tag in ("article", "main"), other or gone), True, within, iter(child.children)))
+                    else:
+                        stack.append((border, False, within, iter(child.children)))
+                    break
+            else:
+                if apart:
+                    flush(*border)
+                stack.pop()
 
-    What :func:`wrappers` counts for whole tables, for a few pages. Equal pages count once; where nothing varies, nothing is template.
-    """
-    counts: dict[tuple[str, str], tuple[int, int]] = {}
-    on_path: Counter[str] = Counter()
-    different = sorted({p or "" for p in pages})
-    for page in different:
-        found = Counter((b.path, b.text) for b in candidates(page))
-        on_path.update({path for path, _ in found})
-        for key, occurs in found.items():
-            n, before = counts.get(key, (0, 0))
-            counts[key] = n + 1, before + occurs
-    template, slots = standing(counts, on_path, len(different))
-    return (sorted(template), sorted(slots)) if template and slots else ([], [])
-
-
-def main_text(html: str | None, template: set) -> str:
-    """The page's content slots, a line each: all blocks but template, menus, and what is named as something else than the article.
-
-    ``template`` holds pairs of path and text, or paths of which every text is template.
-    Where a page has ``article`` or ``main`` elements with text, only what stands in them counts.
-    """
-    found = [b for b in candidates(html) if b.path not in template and (b.path, b.text) not in template]
-    inside = [b for b in found if INSIDE.search(b.path)]
-    return "\n".join(b.text for b in inside or [b for b in found if b.links <= LINK_SHARE])
+    def __len__(self) -> int:
+        return len(self.texts)
 
 
 TOLD = (
-    "layout bigint, texts array<string>, keys array<bigint>, inside array<boolean>, menu array<boolean>, t_path array<bigint>, t_key array<bigint>, "
-    "t_n array<bigint>, t_first array<bigint>, t_chars array<bigint>, t_inside array<boolean>"
+    "layout bigint, n_nodes bigint, texts array<string>, keys array<bigint>, paths array<bigint>, inside array<boolean>, menu array<boolean>, "
+    "depth array<int>, label array<bigint>"
 )
-TYPES = {"texts": pa.string(), "inside": pa.bool_(), "menu": pa.bool_(), "t_inside": pa.bool_()}
+KINDS = {"string": pa.string(), "boolean": pa.bool_(), "bigint": pa.int64(), "int": pa.int32()}
 
 
-def told(html: str | None) -> dict[str, object]:
-    """A page as columns: its candidates, each with the hash of its path and text, and their counts by that hash.
+def arrow_type(kind: str) -> pa.DataType:
+    return pa.list_(KINDS[kind[6:-1]]) if kind.startswith("array<") else KINDS[kind]
 
-    ``layout`` hashes the set of the candidates' paths outside of ``article`` and ``main``. ``t_first`` is 1 for one text of each path.
-    """
-    found = candidates(html)
-    inside_of = {p: bool(INSIDE.search(p)) for p in {b.path for b in found}}
-    keys = [number(b.path, b.text) for b in found]
-    paths = {p: number(p) for p in inside_of}
-    tally = Counter(keys)
-    row: dict[str, list] = {c: [] for c in ("t_path", "t_key", "t_n", "t_first", "t_chars", "t_inside")}
-    seen_keys, seen_paths = set(), set()
-    for b, key in zip(found, keys, strict=True):
-        if key not in seen_keys:
-            for c, value in zip(row, (paths[b.path], key, tally[key], int(b.path not in seen_paths), tally[key] * len(b.text), inside_of[b.path]), strict=True):
-                row[c].append(value)
-        seen_keys.add(key)
-        seen_paths.add(b.path)
-    layout = number(*sorted(p for p, inside in inside_of.items() if not inside))
-    return {"layout": layout, "texts": [b.text for b in found], "keys": keys, "inside": [inside_of[b.path] for b in found], "menu": [b.links > LINK_SHARE for b in found], **row}
+
+def told(html: str | None) -> dict[str, object]:
+    """A page as columns: its blocks with hashes of their texts and label paths, and its tree in pre-order. ``layout`` hashes ``Page.frame``."""
+    page = Page(parsed(html))
+    hashes = {label: number("label", label) for label in set(page.label) if label is not None}
+    of_path = {path: number("path", path) for path in set(page.paths)}
+    return {
+        "layout": number("frame", *sorted(page.frame)), "n_nodes": len(page.label), "texts": page.texts, "keys": [number("text", t) for t in page.texts],
+        "paths": [of_path[p] for p in page.paths], "inside": page.inside, "menu": page.menu, "depth": page.depth,
+        "label": [TEXT if label is None else hashes[label] for label in page.label],
+    }
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
@@ -233,77 +233,118 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
     named = pages.select("page_id", "url", url_host(F.col("url")).alias("host"), F.xxhash64(F.coalesce("html", F.lit(""))).alias("_page"), "html")
     carried = ("page_id", "url", "host", "_page")
     schema = ", ".join(f"{c} {named.schema[c].dataType.simpleString()}" for c in carried) + ", " + TOLD
+    kinds = dict(x.split() for x in TOLD.split(", "))
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [told(html) for html in batch.column("html").to_pylist()]
-            columns = {c: batch.column(c) for c in carried} | {"layout": pa.array([r["layout"] for r in rows], pa.int64())}
-            for c in [x.split()[0] for x in TOLD.split(", ")[1:]]:
-                columns[c] = pa.array([r[c] for r in rows], pa.list_(TYPES.get(c, pa.int64())))
+            columns = {c: batch.column(c) for c in carried} | {c: pa.array([r[c] for r in rows], arrow_type(kind)) for c, kind in kinds.items()}
             yield pa.RecordBatch.from_pydict(columns)
 
     return named.mapInArrow(tell, schema)
 
 
-def _template(counts: DataFrame, group: list[str], sizes: DataFrame) -> DataFrame:
-    """``(*group, template, n_paths, chars)`` by the rule of :func:`standing`; ``sizes(*group, pages, least)`` are each group's pages and what it asks for.
+ALIGNED = "_row bigint, host string, layout bigint, _page bigint, slots array<bigint>, keys array<bigint>, chars array<int>"
+
+
+def slots(depth: list[int], label: list[int], paths: list[int], inside: list[bool], model: Tree) -> list[int]:
+    """For each block the node of the model tree that its text is aligned with, or where it has none the hash of its label path.
 
-    Only texts on several pages meet their path's sums, at most a page's blocks of them a path.
+    In ``article`` and ``main``, elements of one label side by side, like list items and paragraphs, are instances of one slot: the first of them in the model.
     """
-    path = [*group, "path"]
-    sums = counts.groupBy(*path).agg(F.sum("first").alias("on_path"), F.sum("n").alias("every"))
-    often = counts.groupBy(*path, "key").agg(F.sum("pages").alias("n_pages"), F.sum("n").alias("occurs"), F.sum("chars").alias("chars")).where(F.col("n_pages") >= LEAST_PAGES)
-    met = often.join(sums, path).join(sizes, group).where((F.col("n_pages") >= F.col("least")) & (F.col("n_pages") >= F.col("on_path") * SAME_SHARE))
-    held = met.groupBy(*path).agg(F.collect_list("key").alias("keys"), F.sum("occurs").alias("held"), F.first("every").alias("every"), F.sum("chars").alias("chars")).where(F.col("held") >= F.col("every") * SAME_SHARE)
-    found = held.groupBy(*group).agg(F.flatten(F.collect_list("keys")).alias("template"), F.count("*").alias("n_paths"), F.sum("chars").alias("chars"))
-    whole = sums.groupBy(*group).agg(F.count("*").alias("_paths"))
-    return found.join(whole, group).where("n_paths < _paths").drop("_paths")
+    page = Tree(depth, label)
+    found = matched(page, model)
+    above = page.above()
+    leaves, result = (at for at, name in enumerate(label) if name == TEXT), []
+    for at, path, within in zip(leaves, paths, inside, strict=True):
+        partner = found[at]
+        if within:
+            element = above[at]
+            beside = model.children[found[above[element]]] if found[above[element]] >= 0 else []
+            partner = next((c for c in beside if model.label[c] == label[element]), -1)
+        result.append(path if partner < 0 else partner)
+    return result
+
+
+def aligned(parsed: DataFrame, crowded: DataFrame | None) -> DataFrame:
+    """Every page of ``parsed`` with its blocks' slots, by simple tree matching with the smallest page of its host and layout."""
+    smallest = F.min_by(F.struct("depth", "label"), F.struct("n_nodes", "_page", "_row"))
+    models = parsed.groupBy("host", "layout").agg(smallest.alias("_m")).select("host", "layout", F.col("_m.depth").alias("m_depth"), F.col("_m.label").alias("m_label"))
+    narrow = parsed.select("_row", "host", "layout", "_page", "keys", "paths", "inside", "depth", "label", F.transform("texts", lambda t: F.length(t)).alias("chars"))
+    beside = salted_join(narrow, models, ["host", "layout"], "inner", F.col("_row"), crowded)
+    kept = ("_row", "host", "layout", "_page", "keys", "chars")
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, model = None, None
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("host", "layout", "depth", "label", "paths", "inside", "m_depth", "m_label")]
+            found = []
+            for host, layout, depth, label, paths, inside, m_depth, m_label in zip(*columns, strict=True):
+                if of != (host, layout):
+                    of, model = (host, layout), Tree(m_depth, m_label)
+                found.append(slots(depth, label, paths, inside, model))
+            yield pa.RecordBatch.from_pydict({"slots": pa.array(found, pa.list_(pa.int64())), **{c: batch.column(c) for c in kept}}).select([x.split()[0] for x in ALIGNED.split(", ")])
+
+    return beside.mapInArrow(align, ALIGNED)
 
 
-def wrappers(parsed: DataFrame) -> DataFrame:
-    """``(host, layout, template)``: hashes of the template's paths and texts, from all pages of ``parsed`` (of :func:`parsed_pages`, written).
+def wrappers(pages: DataFrame) -> DataFrame:
+    """``(host, layout, template)`` from all pages of :func:`aligned` (written): the slots and texts that stand.
 
-    Counts by host, layout, path and text are combined map-side. A text is template by its host's counts, or by those of its layout if
-    it stands outside of ``article`` and ``main`` and the layout's pages are not near copies. Equal pages of a host count once.
+    Counts by host, layout, slot and text are combined map-side. Equal pages of a host count once.
     """
-    rows = parsed.select("_row", "host", "_page")
+    group, slot = ["host", "layout"], ["host", "layout", "slot"]
+    rows = pages.select("_row", "host", "_page")
     groups = rows.groupBy("host", "_page").agg(F.min("_row").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     copies = rows.join(groups, ["host", "_page"]).where("_row <> _first").select("_row")
-    different = parsed.join(copies, "_row", "left_anti")
-    zipped = F.arrays_zip("t_path", "t_key", "t_n", "t_first", "t_chars", "t_inside")
-    each = different.select("host", "layout", F.explode(zipped).alias("t")).select("host", "layout", F.col("t.t_path").alias("path"), F.col("t.t_key").alias("key"), "t.t_n", "t.t_first", "t.t_chars", "t.t_inside")
-    counts = each.groupBy("host", "layout", "path", "key").agg(
-        F.count("*").alias("pages"), F.sum("t_n").alias("n"), F.sum("t_first").alias("first"), F.sum("t_chars").alias("chars"), F.first("t_inside").alias("inside")
+    different = pages.join(copies, "_row", "left_anti")
+    told_slots = F.arrays_zip(F.col("slots").alias("slot"), F.col("keys").alias("key"), F.col("chars").alias("chars"))
+    each = different.select("_row", *group, F.size("slots").alias("_n"), F.posexplode(told_slots).alias("_at", "b"), "slots", "keys")
+    # what a slot or text of a page counts for is counted at its first block
+    new_slot = F.array_position("slots", F.col("b.slot")) == F.col("_at") + 1
+    again = F.exists(F.slice(F.arrays_zip("slots", "keys"), F.lit(1), F.col("_at")), lambda o: (o["slots"] == F.col("b.slot")) & (o["keys"] == F.col("b.key")))
+    flat = each.select(*group, "b.slot", "b.key", "b.chars", new_slot.cast("int").alias("_slot"), (~again).cast("int").alias("_text"))
+    counts = cut(
+        flat.groupBy(*slot, "key").agg(
+            F.sum("_text").alias("pages"), F.sum("_slot").alias("on_slot"), F.count("*").alias("n"), F.sum("chars").alias("chars")
+        )
     )
-    counts = cut(counts)
-    layouts = cut(different.groupBy("host", "layout").agg(F.count("*").alias("pages")))
-    hosts = layouts.groupBy("host").agg(F.sum("pages").alias("pages"))
-    least = F.col("pages") * LEAST_SHARE
-    of_host = _template(counts, ["host"], hosts.select("host", least.alias("least")))
-    text = counts.groupBy("host", "layout").agg(F.sum("chars").alias("_chars"))
-    sizes = layouts.select("host", "layout").join(hosts.select("host", least.alias("least")), "host")
-    of_layout = _template(counts.where("not inside"), ["host", "layout"], sizes).join(text, ["host", "layout"]).where(F.col("chars") <= F.col("_chars") * COPY_SHARE)
-    none = F.array().cast("array<bigint>")
-    both = layouts.select("host", "layout").join(of_host.select("host", F.col("template").alias("_one")), "host", "left").join(of_layout.select("host", "layout", F.col("template").alias("_two")), ["host", "layout"], "left")
-    template = F.array_union(F.coalesce("_one", none), F.coalesce("_two", none))
-    return both.select("host", "layout", template.alias("template")).where(F.size("template") > 0)
+    sizes = different.groupBy(*group).agg(F.count("*").alias("n_pages"))
+    of_slot = counts.groupBy(*slot).agg(F.sum("on_slot").alias("on_slot"), F.sum("n").alias("every"))
+    often = counts.where(F.col("pages") >= LEAST_PAGES).drop("on_slot")
+    stand = often.join(of_slot, slot).join(sizes, group).where((F.col("pages") >= F.col("n_pages") * LEAST_SHARE) & (F.col("pages") >= F.col("on_slot") * SAME_SHARE))
+    held = stand.groupBy(*slot).agg(F.collect_list("key").alias("keys"), F.sum("n").alias("n"), F.first("every").alias("every"), F.sum("chars").alias("chars")).where(F.col("n") >= F.col("every") * SAME_SHARE)
+    pairs = F.transform("keys", lambda k: F.struct(F.col("slot").alias("slots"), k.alias("keys")))
+    found = held.groupBy(*group).agg(F.flatten(F.collect_list(pairs)).alias("template"), F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    whole = counts.groupBy(*group).agg(F.sum("n").alias("_n"), F.sum("chars").alias("_chars"))
+    varies = (F.col("n") <= F.col("_n") * COPY_SHARE) | (F.col("chars") <= F.col("_chars") * COPY_SHARE)
+    return found.join(whole, group).where(varies).select(*group, "template")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every row of ``pages(page_id, url, html)``.
 
-    Every page is read whole and parsed once; its blocks meet the template of its host and layout by an equi-join, and a block is dropped as
-    template only where its own text is one of its path's standing texts. Pages without a host share the wrapper of the
-    empty host. Null and empty html give an empty text; repeated rows stay rows of their own; an empty table gives no
-    rows. Other columns are ignored.
+    Every page is read whole and parsed once. Pages of one host whose layout elements are the same are one layout; the tree of each is
+    aligned with that of the layout's smallest page, and counts over all pages tell which slots stay constant (template) and which
+    vary (content). A block is dropped as template only where its own text is a standing one of its slot. Names and tags drop navigation, forms and the like
+    before that. Where a page has ``article`` or ``main`` elements with text, only what stands in them counts; elsewhere lists and
+    runs of links are menus. Pages without a host share the wrappers of the empty host. Null and empty html give an empty text;
+    repeated rows stay rows of their own and count once; of standing texts that tie all are template; an empty table gives no rows.
+    Other columns are ignored.
     """
     parsed = cut(parsed_pages(pages).withColumn("_row", F.monotonically_increasing_id()))
-    found = cut(wrappers(parsed)).select(F.col("host").alias("_host"), F.col("layout").alias("_layout"), "template")
-    joined = parsed.select("page_id", "url", "host", "layout", F.arrays_zip("texts", "keys", "inside", "menu").alias("blocks"))
-    joined = joined.join(found, (F.col("host") == F.col("_host")) & (F.col("layout") == F.col("_layout")), "left")
-    kept = F.when(F.col("template").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains("template", b["keys"])))
-    joined = joined.select("page_id", "url", kept.alias("kept"))
-    inside = F.filter("kept", lambda b: b["inside"])
-    chosen = F.when(F.exists("kept", lambda b: b["inside"]), inside).otherwise(F.filter("kept", lambda b: ~b["menu"]))
+    crowded = bounded(crowded_keys(parsed, ["host", "layout"]))
+    slotted = cut(aligned(parsed, crowded))
+    found = cut(wrappers(slotted))
+    joined = salted_join(slotted.select("_row", "host", "layout", "slots", "keys"), found, ["host", "layout"], "inner", F.col("_row"), crowded)
+    stays = F.transform(F.arrays_zip("slots", "keys"), lambda b: ~F.array_contains("template", b))
+    marked = cut(joined.select("_row", stays.alias("stays")).where(F.exists("stays", lambda s: ~s)))
+    blocks = F.arrays_zip("texts", "inside", "menu", "stays")
+    both = parsed.select("_row", "page_id", "url", "texts", "inside", "menu").join(marked, "_row", "left")
+    kept = F.when(F.col("stays").isNull(), F.arrays_zip("texts", "inside", "menu")).otherwise(
+        F.transform(F.filter(blocks, lambda b: b["stays"]), lambda b: F.struct(b["texts"].alias("texts"), b["inside"].alias("inside"), b["menu"].alias("menu")))
+    )
+    both = both.select("page_id", "url", kept.alias("kept"))
+    chosen = F.when(F.exists("kept", lambda b: b["inside"]), F.filter("kept", lambda b: b["inside"])).otherwise(F.filter("kept", lambda b: ~b["menu"]))
     text = F.array_join(F.transform(chosen, lambda b: b["texts"]), "\n")
-    return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return both.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
