@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 from treeline.llm.graph_index import build_graph, beam_search, nearest_neighbours, robust_prune
-from treeline.llm.language import compressors, held_out, identified, judge, learn
+from treeline.llm.language import compressors, held_out, identified, judge, judged, learn
 from treeline.llm.url_rules import filtered
 from treeline.llm.tree_matching import Tree, matched
 from treeline.llm.wrapper import Page, extracted, named_other, parsed
@@ -54,6 +54,18 @@ def test_short_texts_that_come_out_equal_in_bytes(spark):
     assert [(r.text, r.lang_pred, r.rejected) for r in got if r.lang_pred != r.lang or r.rejected] == [] and len(got) == len(texts)
 
 
+@pytest.mark.parametrize("n", [100, 300, 1500])
+def test_texts_between_two_languages_are_rejected(n):
+    """Where a word is less than the margin, the mixes that turn from one language to the other are rejected, the texts of one language are not."""
+    rng = np.random.default_rng(n)
+    by_language = compressors({lang: f" {' '.join(rng.choice(w.split(), 3000))} ".encode() for lang, w in (("de", GERMAN), ("en", ENGLISH))})
+    en, de = rng.choice(ENGLISH.split(), n), rng.choice(GERMAN.split(), n)
+    told = [judged(" ".join([*en[: n - k], *de[:k]]), by_language) for k in range(0, n + 1, max(1, n // 100))]
+    at = [lang for lang, _, _ in told].index("de")
+    assert told[at - 1][2] or told[at][2]
+    assert told[0][0] == "en" and told[-1][0] == "de" and not told[0][2] and not told[-1][2] and sum(r for _, _, r in told) < len(told) / 4
+
+
 def test_learning_never_sees_what_is_held_out(spark):
     rows = [(i, "kept" if i % 2 else "secret", "en") for i in range(50)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
