@@ -24,6 +24,14 @@ def documents(spark: SparkSession, folder: str, *keep: str) -> DataFrame:
     return files_table(table(spark, folder, "documents"), F.col("source"), _doc_path(), F.col("text"), keep)
 
 
+def nested_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document a file of its source's repository, up to 499 levels down in a chain of folders."""
+    level = (F.col("doc_id") % 500).cast("int")
+    names = F.transform(F.filter(F.sequence(F.lit(0), level), lambda i: i > 0), lambda i: F.concat(F.lit("d"), i.cast("string")))
+    path = F.array_join(F.concat(names, F.array(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")))), "/")
+    return files_table(table(spark, folder, "documents"), F.col("source"), path, F.col("text"))
+
+
 def rare_documents(spark: SparkSession, folder: str) -> DataFrame:
     """The documents by turns emptied, with other line ends, fenced, with an end of CDATA, and with a NUL byte at the end."""
     turn, text = F.col("doc_id") % 5, F.col("text")

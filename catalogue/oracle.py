@@ -170,6 +170,9 @@ HEADER = "'Project Structure:' || chr(10) || '```' || chr(10)"
 ORACLE = {
     "directory_totals": f"""WITH {DOC}, files AS (SELECT repo_id, lang, dir, path, size FROM doc), {DIRS}
         SELECT repo_id, path, count(*) AS n_files, sum(size)::BIGINT AS size FROM dirs GROUP BY ALL""",
+    "deep_directory_totals": f"""WITH {DOC}, l AS (SELECT repo_id, unnest(range(doc_id % 500 + 1))::INT AS level, size FROM doc)
+        SELECT repo_id, level, md5(array_to_string(list_transform(range(1, level + 1), lambda i: 'd' || i), '/')) AS path_md5, count(*) AS n_files, sum(size)::BIGINT AS size
+        FROM l GROUP BY repo_id, level""",
     "order_value_by_place": """
         WITH o AS (SELECT r_name, n_name, c_mktsegment, o_totalprice::DECIMAL(18,2) AS value
           FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from catalogue import corpora
 from treeline.functions.labels import human_size, stats_label
-from treeline.functions.paths import fence_language, node_extension, split_extension, suffix
+from treeline.functions.paths import fence_language, node_depth, node_extension, split_extension, suffix
 from treeline.operators import binary, contents, dates, refresh, report, rollup, sections, tokens, tree, verdicts
 from treeline.operators.rules import is_ignore_file
 from treeline.plans import project
@@ -54,6 +54,13 @@ def directory_totals(spark, folder):
     return rollup.directories(corpora.documents(spark, folder))
 
 
+@query
+def deep_directory_totals(spark, folder):
+    """Totals of chains of some hundred folders, where every folder has files."""
+    totals = rollup.roll_up_deep(rollup.own_totals(corpora.nested_documents(spark, folder)))
+    return totals.select("repo_id", node_depth(F.col("path")).alias("level"), F.md5(F.col("path").cast("binary")).alias("path_md5"), "n_files", "size")
+
+
 @query
 def order_value_by_place(spark, folder):
     totals = rollup.directories(corpora.orders(spark, folder), ["value"])

@@ -258,3 +258,24 @@ def test_lines_of_a_deep_tree(spark):
     nodes = rollup.nodes(spark.createDataFrame([(r, p, 1) for r, p in rows], "repo_id string, path string, size bigint"))
     got = {r.path: r.line_no for r in tree.line_numbers(nodes).collect()}
     assert got["d0"] == 2 and got["/".join(f"d{i}" for i in range(120)) + "/f"] == 122 and got["d0/f"] == max(got.values()) == 125
+
+
+def test_totals_by_doubling_equal_those_by_ancestors(spark):
+    files = frame(spark, {"r": make_files(3), "s": make_files(4)})
+    sums = ["size", "tokens:chars-4"]
+    own = rollup.own_totals(files, sums)
+    plain, deep = rollup.roll_up(own, sums), rollup.roll_up_deep(own, sums)
+    assert plain.columns == deep.columns
+    assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, deep.collect()), key=str)
+    assert rollup.roll_up_deep(own.limit(0), sums).count() == 0
+    flat = rollup.own_totals(files.where("path not like '%/%'"), sums)
+    assert list(map(tuple, rollup.roll_up_deep(flat, sums).collect())) == list(map(tuple, rollup.roll_up(flat, sums).collect()))
+
+
+def test_two_thousand_levels(spark):
+    """A chain of 2,000 folders with a file in every tenth; folders without a file of their own are summed too."""
+    rows = [("r", "/".join([*["d"] * level, "file"]), level) for level in range(0, 2001, 10)]
+    files = spark.createDataFrame(rows, "repo_id string, path string, size bigint")
+    totals = rollup.roll_up_deep(rollup.own_totals(files))
+    got = {(len(r.path) + 1) // 2: (r.n_files, r["size"]) for r in totals.collect()}
+    assert got == {d: (sum(1 for _, _, s in rows if s >= d), sum(s for _, _, s in rows if s >= d)) for d in range(2001)}
