@@ -502,11 +502,12 @@ def bundle_spans(spark, folder):
 
 @query
 def scanned_directory(spark, folder):
-    """Bundles written as files, found again by walking their directory."""
-    place = _scratch(spark, "scanned").removeprefix("file:")
+    """Bundles written as files, found again by walking the directory that a URI names: by paths, sizes and contents."""
+    place = _scratch(spark, "scanned")
+    place = place if "://" in place else f"file://{place.removeprefix('file:')}"
     files = corpora.conversations(spark, folder)
     sections.write_bundles(project.summarize(files, project.Selection(read_ignore_files=False), "markdown"), place)
-    found = read_tree(spark, place, "bundles").where(F.endswith("path", F.lit(".txt")))
+    found = read_tree(spark, place, "bundles", level=1, name="*.txt")
     size, read = F.sum("size").alias("bytes"), F.sum(F.octet_length("content")).alias("read")
     return found.groupBy(F.regexp_extract("path", "^repo_id=([^/]+)/", 1).alias("repo_id")).agg(size, read)
 

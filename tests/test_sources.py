@@ -52,6 +52,28 @@ def test_contents(spark, folder):
     assert len(rows["big"].content) == SAMPLE_BYTES + 10
 
 
+def test_a_tree_named_by_a_uri(spark, folder):
+    """Without a mount the same files, sizes and contents are found; links to directories are not followed either."""
+    uri = f"file://{folder}"
+    assert {r.path for r in directory.list_tree(spark, uri).collect()} == walked(folder) - {"broken"}  # a link to nothing is no file there
+    columns = ["path", "size", "mtime", "content"]
+    mounted, remote = (directory.read_tree(spark, root, "r").select(columns).orderBy("path").collect() for root in (str(folder), uri))
+    mounted = [r for r in mounted if r.path != "broken"]
+    assert [(r.path, r.size, r.content) for r in mounted] == [(r.path, r.size, r.content) for r in remote]
+    assert [r.mtime and r.mtime.replace(microsecond=0) for r in mounted] == [r.mtime and r.mtime.replace(microsecond=0) for r in remote]
+    with pytest.raises(Exception, match="cannot be listed"):
+        directory.list_tree(spark, f"{uri}/none").count()
+
+
+def test_listing_is_narrowed_by_level_and_name(spark, folder):
+    every = walked(folder) - {"broken"}
+    (folder / "broken").unlink()
+    for root in (str(folder), f"file://{folder}"):
+        assert {r.path for r in directory.list_tree(spark, root, level=1).collect()} == {p for p in every if p.count("/") <= 1}
+        assert {r.path for r in directory.list_tree(spark, root, name="*.txt").collect()} == {p for p in every if p.endswith(".txt")}
+    assert {r.path for r in directory.read_tree(spark, str(folder), "r", level=0, name="b*").collect()} == {p for p in every if "/" not in p and p.startswith("b")}
+
+
 def test_content_options(spark, folder):
     heads = {r.path: r for r in directory.read_tree(spark, str(folder), "r", "head").collect()}
     assert len(heads["big"].head) == SAMPLE_BYTES and heads["big"].content is None and heads["big"].size == SAMPLE_BYTES + 10
