@@ -71,3 +71,57 @@ ORACLE: dict[str, str] = {
         SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
         FROM r WHERE score > 0 QUALIFY rank <= 20""",
 }
+
+
+def _host(url: str) -> str:
+    return rf"translate(regexp_extract({url}, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _path(url: str) -> str:
+    return rf"regexp_extract({url}, '://[^/?#]*([^?#]*)', 1)"
+
+
+def _normal(url: str) -> str:
+    parts = rf"list_filter(string_split(regexp_extract({url}, '://[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))"
+    return rf"('https://' || {_host(url)} || {_path(url)} || CASE WHEN len({parts}) > 0 THEN '?' || array_to_string({parts}, '&') ELSE '' END)"
+
+
+def _node(url: str) -> str:
+    return f"md5(regexp_replace({url}, '(?s)#.*$', ''))"
+
+
+# Decisions reach a page from every alias that links lead to, in both directions; the component's name is its smallest node.
+ORACLE["op1_url_filter"] = rf"""
+    WITH RECURSIVE rules(verdict, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+    p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+    tags AS (
+        SELECT url, 'link' AS kind, unnest(regexp_extract_all(html, '(?i)<link\b[^>]*>')) AS tag FROM p WHERE contains(url, '://')
+        UNION ALL SELECT url, 'meta', unnest(regexp_extract_all(html, '(?i)<meta\b[^>]*>')) FROM p WHERE contains(url, '://')),
+    declared AS (
+        SELECT url, replace(regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), '&amp;', '&') AS target FROM tags
+        WHERE kind = 'link' AND regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b')
+        UNION SELECT url, replace(regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1), '&amp;', '&') FROM tags
+        WHERE kind = 'meta' AND regexp_matches(tag, '(?i)http-equiv\s*=\s*["'']?refresh\b')),
+    based AS (SELECT url, target, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS root, regexp_extract(url, '(?s)^(.*?://[^/?#]*[^?#]*/)', 1) AS folder FROM declared WHERE target <> ''),
+    linked AS (
+        SELECT url, CASE WHEN contains(target, '://') THEN target WHEN starts_with(target, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || target
+            WHEN starts_with(target, '/') THEN root || target WHEN folder <> '' THEN folder || target ELSE root || '/' || target END AS target
+        FROM based),
+    named AS (SELECT url FROM p WHERE contains(url, '://') UNION SELECT url FROM linked UNION SELECT target FROM linked),
+    link AS (SELECT * FROM (SELECT url, target FROM linked UNION SELECT url, {_normal("url")} FROM named) WHERE url <> target),
+    ends AS (SELECT {_node("url")} AS a, {_node("target")} AS b FROM link),
+    both_ways AS (SELECT a, b FROM ends WHERE a <> b UNION SELECT b, a FROM ends WHERE a <> b),
+    reach(node, found) AS (SELECT a, a FROM both_ways UNION SELECT e.b, r.found FROM reach r JOIN both_ways e ON e.a = r.node),
+    component AS (SELECT node, min(found) AS component FROM reach GROUP BY node),
+    alias AS (SELECT url FROM link UNION SELECT target FROM link),
+    place AS (SELECT {_host("url")} AS host, {_path("url")} AS path FROM (SELECT url FROM p UNION SELECT url FROM alias)),
+    judged AS (
+        SELECT DISTINCT ON (x.host, x.path) x.host, x.path, r.host || r.path AS rule, r.verdict
+        FROM place x JOIN rules r ON (x.host = r.host OR ends_with(x.host, '.' || r.host)) AND starts_with(x.path, r.path)
+        WHERE x.host <> '' ORDER BY x.host, x.path, length(r.host || r.path) DESC, r.verdict, r.host || r.path DESC),
+    told AS (
+        SELECT component, bool_or(verdict = 'allow') AS allowed FROM alias JOIN component ON node = {_node("url")}
+        JOIN judged ON judged.host = {_host("url")} AND judged.path = {_path("url")} GROUP BY component)
+    SELECT page_id, {_host("p.url")} AS host, {_path("p.url")} AS path, rule, coalesce(verdict, CASE WHEN NOT allowed THEN 'block' END, 'allow') AS verdict, told.component AS alias_of
+    FROM p LEFT JOIN judged ON judged.host = {_host("p.url")} AND judged.path = {_path("p.url")}
+    LEFT JOIN component ON contains(p.url, '://') AND node = {_node("p.url")} LEFT JOIN told USING (component)"""
