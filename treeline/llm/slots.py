@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -106,7 +107,7 @@ def sharded(docs: DataFrame, shards: int = 24, slots: int = SLOTS, place: str |
     per_slot = [0] * slots
     for slot, held in parts.groupBy("virtual_slot").agg(F.sum("bytes")).collect():  # one row a slot
         per_slot[slot] = held
-    place = place or f"{checkpoint_dir(spark).rstrip('/')}/slot-map-{spark.sparkContext.applicationId}-{id(records)}"
+    place = place or f"{checkpoint_dir(spark).rstrip('/')}/slot-map-{uuid.uuid4().hex}"
     before = _newest(spark, place)
     if before is None:
         before = first_map(per_slot, shards)
