@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.sources.tables import files_table, one_per_path
+from treeline.sources.tables import addresses, files_table, one_per_path
 
 EXTENSIONS = (".md", ".log", ".py", ".PY", ".png", "", ".tar.gz", ".ipynb", ".json", ".pyc", ".txt")
 
@@ -83,8 +83,8 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
     raw = table(spark, folder, "pages")
     host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
     path = F.regexp_replace(F.regexp_extract("url", "^[a-z]+://[^/?#]+/?([^?#]*)", 1), "/+$", "")
-    files = files_table(raw, host, F.when(path == "", "index.html").otherwise(path), F.col("html"), ["page_id"])
-    return one_per_path(files, F.col("page_id")).drop("page_id")
+    files = files_table(raw, host, F.when(path == "", "index.html").otherwise(path), F.col("html"), ["page_id", *addresses()])
+    return one_per_path(files, F.col("page_id"), ["_file", "_row"]).drop("page_id", "_file", "_row")
 
 
 def conversations(spark: SparkSession, folder: str) -> DataFrame:

@@ -184,6 +184,23 @@ def test_one_per_path(corpus):
     assert kept.columns == files.columns
 
 
+def test_one_per_path_by_address(spark, corpus, tmp_path):
+    """Rows of several files: copies, ties of the newest, equal rows, nulls; the winners' contents are read by one scan."""
+    rows = [("r", f"p{i % 40}", f"v{i % 7}") for i in range(300)] + [("r", "one", "x"), ("q", "p1", None), ("r", "same", "s"), ("r", "same", "s"), (None, "p1", "n"), (None, "p1", "n")]
+    made = corpus(rows).withColumn("rank", F.when(F.col("path") != "p3", F.xxhash64("content") % 3))
+    made.repartition(4).write.parquet(str(tmp_path / "made"))
+    scan = spark.read.parquet(str(tmp_path / "made"))
+    files = tables.files_table(scan, F.col("repo_id"), F.col("path"), F.col("content"), ["rank", *tables.addresses()])
+    by_address = tables.one_per_path(files, F.col("rank"), ["_file", "_row"])
+    plain = tables.one_per_path(files.drop("_file", "_row"), F.col("rank"))
+    order = lambda df: sorted((repr(tuple(r)) for r in df.select("repo_id", "path", "size", F.hex("content"), "rank").collect()))
+    assert order(by_address) == order(plain) and by_address.columns == files.columns
+    plan = by_address._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("content#") and sum("Relation" in line and "content" in line for line in plan.splitlines()) == 1
+    nothing = tables.one_per_path(files.where("false"), F.col("rank"), ["_file", "_row"])
+    assert nothing.count() == 0
+
+
 def test_conflicts(corpus):
     files = corpus({"a": "1", "a/b": "22", "a/c/d": "3", "a/c": "4", "e": "5"})
     assert {(r.path, r.n_below) for r in tables.conflicts(files).collect()} == {("a", 3), ("a/c", 1)}

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeline.functions import paths
+from treeline.session import cut
 
 KEYS = ["repo_id", "path"]
 
 
 def files_table(
-    df: DataFrame, repo: Column, path: Column, content: Column | None = None, keep: Sequence[str] = (), **times: Column
+    df: DataFrame, repo: Column, path: Column, content: Column | None = None, keep: Sequence[str | Column] = (), **times: Column
 ) -> DataFrame:
     """Any table as a corpus table. Text columns become bytes, ``size`` is their number.
 
@@ -29,15 +30,26 @@ def files_table(
     return df.select(*columns, *keep)
 
 
-def one_per_path(files: DataFrame, newest: Column) -> DataFrame:
+def addresses() -> list[Column]:
+    """What names a row of a Parquet scan, for the ``keep`` of :func:`files_table`: columns ``_file`` and ``_row``."""
+    return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+
+
+def one_per_path(files: DataFrame, newest: Column, address: Sequence[str] = ()) -> DataFrame:
     """One row per ``(repo_id, path)``: the one with the greatest ``newest``, then the greatest content.
 
     Copies are found on narrow rows; only files that do have copies are compared as whole rows, and every
     map task forwards one row per path, so many copies of one file do not meet in one task.
+
+    ``address`` lists columns that together name a row, such as those of :func:`addresses`. Then losers are found by address on
+    narrow rows, and the scan that reads the contents leaves them out; contents are read before only for rows that share the
+    greatest ``newest`` of their path. Rows without repository or path all stay, null is the smallest ``newest``.
     """
-    copies = files.groupBy(*KEYS).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select(*KEYS)
-    others = [c for c in files.columns if c not in KEYS]
+    others = [c for c in files.columns if c not in (*KEYS, *address)]
     digest = F.xxhash64(*[F.col(f"`{c}`") for c in others])
+    if address:
+        return files.join(_losers(files, newest, digest, list(address)), list(address), "left_anti").select(*files.columns)
+    copies = files.groupBy(*KEYS).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select(*KEYS)
     chosen = (
         files.join(copies, KEYS, "left_semi")
         .groupBy(*KEYS)
@@ -47,6 +59,22 @@ def one_per_path(files: DataFrame, newest: Column) -> DataFrame:
     return files.join(copies, KEYS, "left_anti").unionByName(chosen)
 
 
+def _losers(files: DataFrame, newest: Column, digest: Column, address: list[str]) -> DataFrame:
+    """The addresses of the rows that give way to another row of their path; a written table, so a short one is broadcast by its size."""
+    narrow = files.select(*KEYS, newest.alias("_newest"), *address)
+    best = narrow.groupBy(*KEYS).agg(F.max("_newest").alias("_best"), F.count("*").alias("_n")).where(F.col("_n") > 1)
+    rivals = cut(narrow.join(best.drop("_n"), KEYS).select(*KEYS, *address, F.col("_newest").eqNullSafe(F.col("_best")).alias("_top")))
+    top = rivals.where("_top")
+    tied = cut(top.groupBy(*KEYS).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select(*KEYS))
+    losers = rivals.where("not _top").select(*address)
+    if not tied.isEmpty():
+        open_ = top.join(tied, KEYS, "left_semi").select(*KEYS, *address)
+        last = F.max(F.struct("size", digest.alias("_digest"), *address)).alias("_last")
+        won = files.join(open_.select(*address), address, "left_semi").groupBy(*KEYS).agg(last).select("_last.*").select(*address)
+        losers = losers.unionByName(open_.select(*address).join(won, address, "left_anti"))
+    return cut(losers)
+
+
 def conflicts(files: DataFrame) -> DataFrame:
     """Paths that are a file and a directory at once: ``repo_id, path, n_below``.
 
