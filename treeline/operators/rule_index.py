@@ -16,6 +16,9 @@ are nodes once, however many files lie below; their files inherit the result.
 ``head in``    as ``head``, directly in ``dir``       ``a/lit*``
 ``rest``       (the whole path is tested)             everything else, for files below ``dir``
 =============  =====================================  ============================================
+
+``rest`` rules have a key as well: the longest literal at the end of the pattern (``shows, literal``), for nodes below ``dir``. Only files on whose
+path a node shows it are tested.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from treeline.functions import paths
 from treeline.operators import rollup, skew
-from treeline.operators.rules import MATCH_TYPE, holds_row
+from treeline.operators.rules import MATCH_TYPE, holds_row, parsed_lines
 from treeline.session import cut
 
 #: Where a rule stands in the order of all ignore files.
@@ -35,9 +38,14 @@ ORDER = ("depth", "base", "nth")
 
 
 def rule_index(ignore_files: DataFrame) -> DataFrame:
-    """One row per rule of the files of :func:`treeline.operators.rules.ignore_file_rules`."""
-    rules = ignore_files.select("repo_id", paths.node_depth(F.col("base")).alias("depth"), "base", F.posexplode("rules").alias("nth", "rule"))
-    return rules.select("repo_id", *ORDER, "rule.*")
+    """One row per rule of the files of :func:`treeline.operators.rules.ignore_file_rules`; ``nth`` is its line.
+
+    Lines are dealt over all cores before they are read, so that a long file, or many in one partition of the corpus, are not one task's.
+    """
+    lines = ignore_files.select("repo_id", paths.node_depth(F.col("base")).alias("depth"), "base", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
+    cores = ignore_files.sparkSession.sparkContext.defaultParallelism
+    dealt = lines.where(F.trim("line") != "").repartition(cores, "repo_id", "base", "nth")
+    return parsed_lines(dealt)
 
 
 def _wanted_keys(index: DataFrame) -> DataFrame:
@@ -147,9 +155,34 @@ def match_rules(files: DataFrame, ignore_files: DataFrame, rows_per_key: int = s
     return Hits(by_directory, settle(by_file), crowded)
 
 
+def _shown(name: Column) -> Column:
+    """The keys ``shows, literal`` of a name, for the lengths that ``heads`` and ``tails`` ask for."""
+    name = F.rtrim(name, F.lit("\n"))  # an expression also ends before a last line feed
+    key = lambda shows, literal: F.struct(F.lit(shows).alias("shows"), literal.alias("literal"))
+    ends = lambda shows, cut_off: F.transform(F.filter(f"{shows}s", lambda n: n <= F.length(name)), lambda n: key(shows, cut_off(name, n)))
+    return F.concat(F.array(key("name", name)), ends("head", F.left), ends("tail", F.right))
+
+
 def _rest(files: DataFrame, above: DataFrame, index: DataFrame, crowded: DataFrame) -> DataFrame:
-    """Rules without a key, tried on the files below their directory."""
-    rest = index.where("meets = 'rest'").select("repo_id", F.col("dir").alias("path"), *ORDER, "pattern", "include", "kind", "key")
-    scoped = above.join(rest, ["repo_id", "path"]).drop("path").withColumnRenamed("_dir", "_parent")
-    met = skew.salted_join(files.withColumn("_parent", paths.parent(F.col("path"))), scoped, ["repo_id", "_parent"], "inner", F.col("path"), crowded)
-    return met.where(holds_row(F.col("path"), F.struct("kind", "key"))).select("repo_id", "path", *ORDER, "pattern", "include")
+    """Rules whose expression is tried, on the files below their directory that they may hold for.
+
+    The file itself, or a directory on the way to it, has to show the rule's literal: files and directories meet rules by equi-joins.
+    """
+    told = (*ORDER, "pattern", "include", "kind", "key")
+    rest = index.where("meets = 'rest'").select("repo_id", F.col("dir").alias("_scope"), *told, "shows", "literal")
+    lengths = [F.collect_set(F.when(F.col("shows") == shows, F.length("literal"))).alias(f"{shows}s") for shows in ("head", "tail")]
+    asked = rest.groupBy("repo_id", "_scope").agg(*lengths)
+    scoped = above.select("repo_id", F.col("_dir").alias("_parent"), F.col("path").alias("_scope")).join(asked, ["repo_id", "_scope"])
+    on = ["repo_id", "_scope", "shows", "literal"]
+
+    beneath = F.when(F.col("_scope") == "", F.col("_parent")).otherwise(F.substring("_parent", F.length("_scope") + 2, F.length("_parent")))
+    names = F.when(F.col("_parent") == F.col("_scope"), F.array().cast("array<string>")).otherwise(F.split(beneath, "/"))
+    inside = scoped.select("repo_id", "_parent", "_scope", "heads", "tails", F.explode(names).alias("_name"))
+    entered = inside.select("repo_id", "_parent", "_scope", F.inline(_shown(F.col("_name")))).join(rest, on).select("repo_id", "_parent", *told).distinct()
+
+    placed = files.withColumn("_parent", paths.parent(F.col("path")))
+    below = skew.salted_join(placed, entered, ["repo_id", "_parent"], "inner", F.col("path"), crowded)
+    own = skew.salted_join(placed, scoped, ["repo_id", "_parent"], "inner", F.col("path"), crowded)
+    shown = own.select("repo_id", "path", "_scope", F.inline(_shown(paths.base_name(F.col("path"))))).join(rest, on)
+    met = below.select("repo_id", "path", *told).unionByName(shown.select("repo_id", "path", *told))
+    return met.where(holds_row(F.col("path"), F.struct("kind", "key"))).select("repo_id", "path", *ORDER, "pattern", "include").distinct()

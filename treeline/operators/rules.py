@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from typing import NamedTuple
 
 import pandas as pd
@@ -51,11 +51,13 @@ DEFAULT_RULES = (
     "*~",
 )
 
-#: ``meets`` to ``below`` are a rule's place in an index (:mod:`treeline.operators.rule_index`).
-RULES_TYPE = T.ArrayType(
+#: ``meets`` to ``literal`` are a rule's place in an index (:mod:`treeline.operators.rule_index`).
+RULE_TYPE = (
     T.StructType().add("pattern", "string").add("include", "boolean").add("kind", "string").add("key", "string")
     .add("meets", "string").add("dir", "string").add("text", "string").add("inside", "boolean").add("below", "string")
+    .add("shows", "string").add("literal", "string")
 )
+RULES_TYPE = T.ArrayType(RULE_TYPE)
 MATCH_TYPE = "struct<origin: string, pattern: string, include: boolean>"
 
 
@@ -244,25 +246,49 @@ def index_entry(line: str) -> dict:
             return entry("path", text=folder, inside=True)
         if (found := _simple(last)) and found[0] != "name":
             return entry(f"{found[0]} in", folder, found[1])
-    fixed = next((i for i, p in enumerate(plain[:-1]) if not p), len(parts) - 1)
-    return entry("rest", "/".join(parts[:fixed]))
+    return entry("rest", "/".join(parts[: _fixed(parts)]))
+
+
+def _fixed(parts: Sequence[str]) -> int:
+    """How many parts, the last one apart, name a directory before the first wildcard."""
+    return next((i for i, part in enumerate(parts[:-1]) if not part or WILD.search(part)), len(parts) - 1)
+
+
+def rule_end(line: str) -> dict:
+    """``shows, literal``: how the name starts or ends, or what it is, of some node below ``dir`` on the path of each file a ``rest`` rule holds for.
+
+    It is the longest literal of the last part that names a node; what follows a closing ``**`` lies below that node.
+    """
+    parts = rule_parts(line)[1]
+    named = [part for part in parts[_fixed(parts) :] if part != "**"]
+    last = named[-1] if named else ""
+    if last and not WILD.search(last):
+        return {"shows": "name", "literal": last}
+    head, tail = WILD.split(last)[0], re.split(r"[*?\[\]\\]", last)[-1]
+    return {"shows": "tail", "literal": tail} if len(tail) > len(head) else {"shows": "head", "literal": head}
+
+
+NO_END = {"shows": None, "literal": None}
+
+
+def _line_rule(base: str, raw: str) -> dict | None:
+    """The rule of one line of an ignore file, prefixed with the directory the file lies in."""
+    line = raw.strip()
+    if not line or line.startswith("#"):
+        return None
+    mark, body = ("!", line[1:]) if line.startswith("!") else ("", line)
+    try:
+        rule = compile_rule(f"{mark}{base}/{body}" if base else mark + body)
+    except ValueError as error:
+        raise ValueError(f"rule {line!r} in the ignore file of {base or '.'!r}: {error}") from error
+    if rule is None:
+        return None
+    place = index_entry(rule.pattern)
+    return rule._asdict() | place | (rule_end(rule.pattern) if place["meets"] == "rest" else NO_END)
 
 
 def _file_rules(base: str, text: str | None) -> list[dict]:
-    """Rules of one ignore file; each is prefixed with the directory the file lies in."""
-    found = []
-    for raw in (text or "").split("\n"):
-        line = raw.strip()
-        if not line or line.startswith("#"):
-            continue
-        mark, body = ("!", line[1:]) if line.startswith("!") else ("", line)
-        try:
-            rule = compile_rule(f"{mark}{base}/{body}" if base else mark + body)
-        except ValueError as error:
-            raise ValueError(f"rule {line!r} in the ignore file of {base or '.'!r}: {error}") from error
-        if rule is not None:
-            found.append(rule._asdict() | index_entry(rule.pattern))
-    return found
+    return [rule for raw in (text or "").split("\n") if (rule := _line_rule(base, raw)) is not None]
 
 
 @F.pandas_udf(RULES_TYPE)
@@ -270,17 +296,32 @@ def _parse_ignore_files(base: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([_file_rules(b, t) for b, t in zip(base, text)])
 
 
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """``lines``, of which ``base`` and ``line`` are read, with the fields of the rule in place of ``line``; only lines that hold one."""
+    kept = [field for field in lines.schema.fields if field.name != "line"]
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [_line_rule(base, raw) for base, raw in zip(frame["base"], frame["line"])]
+            held = [rule is not None for rule in found]
+            fields = pd.DataFrame([tuple(rule.values()) for rule in found if rule is not None], columns=RULE_TYPE.names)
+            yield pd.concat([frame.loc[held].drop(columns="line").reset_index(drop=True), fields], axis=1)
+
+    return lines.mapInPandas(read, T.StructType([*kept, *RULE_TYPE.fields]))
+
+
 def is_ignore_file(path: Column) -> Column:
     """Written as comparisons a Parquet scan can be given."""
     return (path == ".gitignore") | F.endswith(path, F.lit("/.gitignore"))
 
 
 def ignore_file_rules(files: DataFrame) -> DataFrame:
-    """One row per ignore file of the corpus: ``repo_id, base, rules``; ``base`` is its directory.
+    """One row per ignore file of the corpus: ``repo_id, base, text, rules``; ``base`` is its directory.
 
+    ``rules`` is for displays; an index reads the lines of ``text``, which are dealt over the cluster.
     ``files`` holds ``content``, or ``ignore_text`` when it comes from :func:`treeline.operators.contents.measure`.
     """
     path = F.col("path")
     text = F.col("ignore_text") if "ignore_text" in files.columns else decode_text(F.col("content"))
     found = files.where(is_ignore_file(path)).select("repo_id", paths.parent(path).alias("base"), text.alias("text"))
-    return found.select("repo_id", "base", _parse_ignore_files("base", "text").alias("rules"))
+    return found.select("repo_id", "base", "text", _parse_ignore_files("base", "text").alias("rules"))
