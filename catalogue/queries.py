@@ -16,7 +16,7 @@ from treeline.functions.paths import fence_language, node_depth, node_extension,
 from treeline.operators import binary, contents, dates, refresh, report, rollup, sections, tokens, tree, verdicts
 from treeline.operators.rules import is_ignore_file
 from treeline.plans import project
-from treeline.session import checkpoint_dir, cut
+from treeline.session import checkpoint_dir, cut, folders_listed_together
 from treeline.sources import history, tables
 from treeline.sources.directory import read_tree
 from treeline.streaming import ingest
@@ -469,7 +469,8 @@ def written_bundles(spark, folder):
     place = _scratch(spark, "bundles")
     files = corpora.conversations(spark, folder)
     sections.write_bundles(project.summarize(files, project.Selection(read_ignore_files=False), "markdown"), place)
-    lines = spark.read.schema("value string, repo_id string").text(place)
+    with folders_listed_together(spark):
+        lines = spark.read.schema("value string, repo_id string").text(place)
     return lines.groupBy("repo_id").agg(F.count("*").alias("lines"), F.sum(F.length("value")).alias("chars"))
 
 
@@ -486,7 +487,8 @@ def bundle_spans(spark, folder):
     place = _scratch(spark, "spans")
     rows = project.summarize(corpora.conversations(spark, folder), project.Selection(["*_system.md"]))
     sections.write_bundles(rows, place)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(place)
+    with folders_listed_together(spark):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(place)
     spans = sections.located(sections.positions(rows), sections.written_parts(files.select("path", F.col("length").alias("size"))))
     # as many spans as pieces of one file
     per_file = spans.groupBy("part", "repo_id").agg(F.collect_list(F.struct(_place(), "path", "offset_in_part", "bytes")).alias("spans"))

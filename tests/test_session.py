@@ -44,3 +44,19 @@ def test_a_cluster_must_name_its_folder():
 
     with pytest.raises(RuntimeError):
         session.checkpoint_dir(Fake())
+
+
+def test_many_small_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for i in range(100):
+        (tmp_path / f"repo_id={i:03}").mkdir()
+        (tmp_path / f"repo_id={i:03}" / "part-0.txt").write_text("x\ny\n")
+    before, context = spark.conf.get(session.LISTING), spark.sparkContext
+    context.setJobGroup("listing", "folders")
+    with session.folders_listed_together(spark):
+        lines = spark.read.schema("value string, repo_id string").text(str(tmp_path))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    status = context.statusTracker()
+    stages = [s for job in status.getJobIdsForGroup("listing") for s in status.getJobInfo(job).stageIds]
+    assert stages and max(status.getStageInfo(s).numTasks for s in stages) <= 4 * context.defaultParallelism < 100
+    assert spark.conf.get(session.LISTING) == before
+    assert lines.groupBy("repo_id").count().where("count = 2").count() == 100

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,6 +81,21 @@ def cut(df: DataFrame) -> DataFrame:
     return written
 
 
+#: Spark's own setting for the most tasks that list folders; by default a folder is a task, up to 10,000.
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+@contextlib.contextmanager
+def folders_listed_together(spark: SparkSession) -> Iterator[None]:
+    """Inside, readers list the folders below a path in four tasks a core: listing a small folder takes less than starting a task for it."""
+    before = spark.conf.get(LISTING, None)
+    spark.conf.set(LISTING, 4 * spark.sparkContext.defaultParallelism)
+    try:
+        yield
+    finally:
+        spark.conf.set(LISTING, before) if before is not None else spark.conf.unset(LISTING)
+
+
 def _delete(spark: SparkSession, place: str) -> bool:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
     return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
