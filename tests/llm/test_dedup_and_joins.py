@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
@@ -248,3 +249,16 @@ def test_blocks_follow_the_number_of_rows(docs):
             assert len(run_ends) << bits <= max(1 << 22, 1 << bits) and (decode_block(5, run_ends, remainders, bits) == r).all()
     rows = lambda df: sorted(map(tuple, df.collect()), key=str)
     assert rows(exact_duplicates(docs, block_bits=20)) == rows(exact_duplicates(docs))
+
+
+def test_sets_with_many_common_lists_meet_once(spark):
+    """Twelve sets share forty tokens in a row and have ten of their own in front: 66 pairs, which had 40 rows each."""
+    from treeline.llm.prefix_pairs import beside, cross_pairs, meetings
+
+    rows = [(i, 50, p, i * 1000 + p if p < 10 and p % 5 else 10**6 + p) for i in range(12) for p in range(50)]
+    postings = beside(spark.createDataFrame(rows, "id bigint, n int, pos int, token bigint"))
+    anyway = lambda x, y: F.lit(True)
+    met = meetings(postings, anyway).collect()
+    assert {(r.a, r.b) for r in met} == set(itertools.combinations(range(12), 2)) and len(met) <= 3 * 66
+    counted = lambda least: cross_pairs(postings, anyway, lambda overlap: F.lit(least)).count()
+    assert (counted(37), counted(38)) == (66, 0)  # 45 to share, 3 and 2 of them in no common list

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.session import cut
@@ -65,20 +65,43 @@ def leader_pairs(postings: DataFrame, group: str, weight: str, enough: Callable[
     return counted.where(F.col("c") >= enough(least_overlap(least_overlap(F.col("n"))))).select("a", "b")
 
 
-def cross_pairs(postings: DataFrame, apart: Callable[[str, str], Column], enough: Callable[[Column], Column], odd: Sequence[str] = ()) -> DataFrame:
-    """``(a, b)`` of all pairs that meet in a list, are ``apart``, and pass the length, positional, parity (columns ``odd``) and count filters.
+#: Tokens ahead of a posting's that tell whether two sets have met already.
+BEFORE = 4
 
-    At a common token, sets share at most what both hold before it, the token, and what both hold after it. All that they share up to
-    the end of the prefix that ends first is among their common lists; what follows is no more than the rest of that set.
+
+def beside(postings: DataFrame) -> DataFrame:
+    """Adds ``before``: the ``BEFORE`` tokens that a posting's set has ahead of it among these postings."""
+    ahead = Window.partitionBy("id").orderBy("pos").rowsBetween(-BEFORE, -1)
+    return postings.withColumn("before", F.collect_list("token").over(ahead))
+
+
+def meetings(postings: DataFrame, apart: Callable[[str, str], Column], odd: Sequence[str] = ()) -> DataFrame:
+    """``(a, b, n, m)`` of all pairs that meet in a list of :func:`beside`, are ``apart``, and pass the length, positional and parity filters.
+
+    Sets that share many tokens share them in a row: a pair that has a common token just before has met there, and makes no row here. So
+    its rows are few, whatever the number of its common lists, and the first common token always makes one.
     """
-    rest = lambda size: least_overlap(size) - enough(least_overlap(size))
     x, y = postings.alias("x"), postings.alias("y")
     n, m, i, j = (F.col(c) for c in ("x.n", "y.n", "x.pos", "y.pos"))
     length = (n * 100 >= m * LINK) & (m * 100 >= n * LINK)
     place = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) >= pair_overlap(n, m)
     near = may_overlap(n, m, [(F.col(f"x.{c}"), F.col(f"y.{c}")) for c in odd])
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & apart("x", "y") & length & place & near)
-    counted = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("c"), F.first(n).alias("n"), F.first(m).alias("m"))
+    unmet = ~F.arrays_overlap("x.before", "y.before")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & apart("x", "y") & length & place & near & unmet)
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), n.alias("n"), m.alias("m"))
+
+
+def cross_pairs(postings: DataFrame, apart: Callable[[str, str], Column], enough: Callable[[Column], Column], odd: Sequence[str] = ()) -> DataFrame:
+    """``(a, b)`` of the :func:`meetings` that pass the count filter too; common lists are counted once a pair, on the tokens of both.
+
+    At a common token, sets share at most what both hold before it, the token, and what both hold after it. All that they share up to
+    the end of the prefix that ends first is among their common lists; what follows is no more than the rest of that set.
+    """
+    rest = lambda size: least_overlap(size) - enough(least_overlap(size))
+    held = postings.groupBy("id").agg(F.collect_list("token").alias("tokens"))  # a set's part of its own short lists
+    side = lambda end: held.select(F.col("id").alias(end), F.col("tokens").alias(f"_{end}"))
+    pairs = cut(meetings(postings, apart, odd).distinct())
+    counted = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("c", F.size(F.array_intersect("_a", "_b")))
     bound = pair_overlap(F.col("n"), F.col("m")) - F.greatest(rest(F.col("n")), rest(F.col("m")))
     return counted.where((F.col("c") >= enough(least_overlap(F.least("n", "m")))) & (F.col("c") >= bound)).select("a", "b")
 

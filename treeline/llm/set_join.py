@@ -6,19 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.components import connected_components, with_links
-from treeline.llm.prefix_pairs import LINK, contested, cross_pairs, leader_pairs, likely, of_like_size, star_pairs
+from treeline.llm.prefix_pairs import LINK, beside, contested, cross_pairs, leader_pairs, likely, of_like_size, star_pairs
 from treeline.session import cut, release
 
 WORDS = 5
 #: Shingles are counted in so many buckets; the counts order shingles from rare to frequent.
 BUCKETS = 1 << 18
 CHUNK = 1 << 12
-#: Bytes of text that a task hashes at a time.
-BYTES_AT_ONCE = 1 << 22
+#: Bytes of text that a task hashes at a time; numpy holds some 40 bytes for each.
+BYTES_AT_ONCE = 1 << 19
 #: One common short list more is asked for per so many shingles that have to be shared.
 SPARE = 16
 #: Rounds that hold each list's members against its most central one, before all pairs between components are taken.
@@ -191,18 +192,18 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` whose sets link: the smaller set's shingles are probed in the larger by binary search."""
 
-    def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             keep = []
-            for x, y in zip(frame["x"], frame["y"], strict=True):
-                small, large = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):  # read where they lie, not copied
+                small, large = sorted((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)), key=len)
                 at = np.searchsorted(large, small)
                 common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
                 keep.append(100 * common >= LINK * (len(small) + len(large) - common))
-            yield frame.loc[np.asarray(keep, dtype=bool), ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     with_x = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-    return with_x.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y").mapInPandas(probe, "a bigint, b bigint")
+    return with_x.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(probe, "a bigint, b bigint")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -238,7 +239,8 @@ def joined_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         placed = about.drop("n").join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         here = lists.join(placed, "id")
         spans = here.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("token")
-        here = cut(here.join(spans, "token", "left_semi"))
+        here = here.join(spans, "token", "left_semi").drop("first", "last")
+        here = cut(here if turn < LEADERS else beside(here))
         if turn < LEADERS:
             pairs = of_like_size(leader_pairs(here, "component", "shared", spare), about, ODD)
         else:
@@ -265,7 +267,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     Lists are merged in rounds. The first pairs each class with the first and the last of its lists, the next with the most central one of each, if that is of another component;
     these are linear and connect groups of near copies of any size. The last takes all pairs that are still in different components, within
-    lists that span several: a list of one large group of near copies has none left. No link between components is lost, and none within one is needed.
+    lists that span several: a list of one large group of near copies has none left. A pair makes a row where it
+    first meets, not one for each common list. No link between components is lost, and none within one is needed.
 
     Null and blank texts have no shingles and link with nothing. Rows that repeat a ``doc_id`` are rows of their own, linked by their
     texts only; a null ``doc_id`` never names a component that has another. An empty table gives no rows. Other columns are ignored.
