@@ -262,3 +262,20 @@ def test_sets_with_many_common_lists_meet_once(spark):
     assert {(r.a, r.b) for r in met} == set(itertools.combinations(range(12), 2)) and len(met) <= 3 * 66
     counted = lambda least: cross_pairs(postings, anyway, lambda overlap: F.lit(least)).count()
     assert (counted(37), counted(38)) == (66, 0)  # 45 to share, 3 and 2 of them in no common list
+
+
+def test_lines_that_went_meet_no_others(spark, monkeypatch):
+    """Forty near copies behind a line that links with none of them: a few pairs a line, where all pairs of the group were read."""
+    from treeline.llm import line_dedup
+
+    def line(i, *out):
+        return " ".join(f"x{i}y{k}" if k in out else f"w{k}" for k in range(40))
+
+    lines = [line(0, 0, 1, 2, 3, 4)] + [line(i, i % 10, (i * 7 + 3) % 10) for i in range(1, 41)]
+    sets = [words(x) for x in lines]
+    want = {i: not any(5 * len(s & t) >= 4 * len(s | t) for t in sets[:i]) for i, s in enumerate(sets)}
+    real, taken = line_dedup.verified, []
+    monkeypatch.setattr(line_dedup, "verified", lambda docs, pairs, told: taken.append(pairs.count()) or real(docs, pairs, told))
+    docs = spark.createDataFrame(list(enumerate(lines))[::-1], "doc_id bigint, text string")
+    assert {r.doc_id: r.kept for r in deduplicated_lines(docs).collect()} == want
+    assert sum(taken) <= 4 * len(lines)

@@ -70,18 +70,24 @@ POSTING = ("id", "n", "pos", "odd0", "odd1")
 
 
 def first_pairs(postings: DataFrame) -> DataFrame:
-    """``(a, b)``: each class with the first of its lists; at most as many rows as postings."""
-    along = Window.partitionBy("token").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = postings.withColumn("_first", F.first(F.struct(*POSTING)).over(along)).where(F.col("id") != F.col("_first.id"))
-    here, there = {c: F.col(c) for c in POSTING}, {c: F.col(f"_first.{c}") for c in POSTING}
-    return met.where(may_link(here, there)).select(F.col("_first.id").alias("a"), F.col("id").alias("b")).distinct()
+    """``(a, b)``: each class with the first of its lists and with the one before it; at most two rows a posting."""
+    along = Window.partitionBy("token").orderBy("id")
+    earlier = F.array_distinct(F.array(F.first(F.struct(*POSTING)).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lag(F.struct(*POSTING)).over(along)))
+    met = postings.withColumn("_earlier", earlier).withColumn("_at", F.explode("_earlier")).where(F.col("id") > F.col("_at.id"))
+    here, there = {c: F.col(c) for c in POSTING}, {c: F.col(f"_at.{c}") for c in POSTING}
+    return met.where(may_link(here, there)).select(F.col("_at.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def open_pairs(postings: DataFrame) -> DataFrame:
-    """``(a, b)`` of all classes that meet in a list, one of which at least is not ``gone`` yet."""
+    """``(a, b)`` of all classes that meet in a list, the later of which is not gone yet.
+
+    ``until`` is the class's ``id``, or -1 where it is gone. Sets that share tokens one after the other meet at the first of them (``before`` is the
+    token ahead of a posting's): a pair that links passes the filters at each.
+    """
     x, y = postings.alias("x"), postings.alias("y")
     near = may_link({c: F.col(f"x.{c}") for c in POSTING}, {c: F.col(f"y.{c}") for c in POSTING})
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & ~(F.col("x.gone") & F.col("y.gone")) & near)
+    began = ~F.coalesce(F.col("x.before") == F.col("y.before"), F.lit(False))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.until")) & began & near)
     return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
@@ -92,7 +98,8 @@ def deduplicated_lines(docs: DataFrame) -> DataFrame:
     place, has token sets of Jaccard similarity 0.8 or more with it, whether that one stays or not. Lines with equal sets, by two hashes of their
     whole tokens, are one class, whose first line stands for it. Tokens are ordered by rarity (the count of their bucket in all lines, then their hash);
     classes meet in the lists of their prefix tokens under the length, positional and parity filters; candidates are verified on the tokens of
-    their texts. First each class is held against the first of its lists, which is linear; then all members of a list with those that still stay.
+    their texts. First each class is held against the first of its lists and the one before it, which is linear; then those that still stay against all earlier
+    members of their lists. Classes are numbered in the order of their first lines, so that only the later one of a pair may have to go.
 
     Blank lines have no tokens and stay. Null text is one blank line. A null ``doc_id`` comes first. Rows that repeat a ``doc_id`` count as
     one document where they agree in a line and its place, and as different lines elsewhere. An empty table gives no rows. Other columns are ignored.
@@ -113,13 +120,16 @@ def deduplicated_lines(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "line_no", "mark", "id")
     # what follows from the set is the same for all of a class; combined map-side, it moves once
     alike = [F.first(c).alias(c) for c in ("prefix", "odd0", "odd1")]
-    classes = cut(ranked.where("n > 0").groupBy(*key).agg(F.min(place).alias("at"), *alike).select(*key, "at.*", "prefix", "odd0", "odd1"))
+    classes = ranked.where("n > 0").groupBy(*key).agg(F.min(place).alias("at"), *alike).orderBy("at")
+    classes = classes.select(*key, "at.doc_id", "at.line_no", "at.mark", "prefix", "odd0", "odd1", F.monotonically_increasing_id().alias("id"))  # in order of the place
+    classes = cut(classes)
     table = ranked.select("doc_id", "line_no", "mark", *key)  # reads no prefix
     told = classes.select("id", "doc_id", "line_no", "mark", "n")
     postings = lambda rows, *more: rows.select("id", "n", "odd0", "odd1", *more, F.posexplode("prefix").alias("pos", "token"))
-    gone = cut(later_of(verified(docs, first_pairs(postings(classes)), told)).distinct())
-    marked = classes.join(gone.withColumn("gone", F.lit(True)), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
-    gone = cut(gone.union(later_of(verified(docs, open_pairs(postings(marked, "gone")), told))).distinct())
+    gone = cut(verified(docs, first_pairs(postings(classes)), told).select(F.col("b").alias("id")).distinct())
+    marked = classes.join(gone.withColumn("until", F.lit(-1).cast("bigint")), "id", "left").withColumn("until", F.coalesce("until", "id"))
+    opened = postings(marked, "until", "prefix").select("id", "n", "odd0", "odd1", "until", "pos", "token", F.get("prefix", F.col("pos") - 1).alias("before"))
+    gone = cut(gone.union(verified(docs, open_pairs(opened), told).select(F.col("b").alias("id"))).distinct())
     firsts = classes.select(*[F.col(c).alias(f"_{c}") for c in key], *[F.col(c).alias(f"_{c}") for c in ("doc_id", "line_no", "mark")], F.col("id").alias("_id"))
     firsts = firsts.join(gone.select(F.col("id").alias("_id"), F.lit(True).alias("_gone")), "_id", "left")
     joined = table.join(firsts, (F.col("n") == F.col("_n")) & (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two")), "left")
@@ -129,7 +139,7 @@ def deduplicated_lines(docs: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The linked pairs ``(a, b)`` with their places, on the tokens of the lines themselves."""
+    """The linked pairs ``(a, b)``, on the tokens of the lines themselves."""
     pairs = cut(pairs)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = classes.join(needed, "id", "left_semi").select("id", F.col("doc_id").alias("_doc"), "line_no", "mark")
@@ -140,16 +150,12 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame
     split = F.split(F.coalesce("text", F.lit("")), "\n")
     found = texts.select("doc_id", F.explode("_lines").alias("l"), split.alias("s")).select("doc_id", "l.*", F.get("s", F.col("l.line_no")).alias("line"))
     found = found.where(F.xxhash64("line") == F.col("mark")).dropDuplicates(["id"])
-    sets = cut(with_tokens(found).select("id", F.struct("doc_id", "line_no", "mark").alias("at"), "tokens"))
-    one = sets.select(F.col("id").alias("a"), F.col("at").alias("at_a"), F.col("tokens").alias("x"))
-    two = sets.select(F.col("id").alias("b"), F.col("at").alias("at_b"), F.col("tokens").alias("y"))
+    sets = cut(with_tokens(found).select("id", "tokens"))
+    one = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
+    two = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     link = common * 100 >= (F.size("x") + F.size("y") - common) * LINK
-    return pairs.join(one, "a").join(two, "b").where(link).select("a", "b", "at_a", "at_b")
-
-
-def later_of(links: DataFrame) -> DataFrame:
-    return links.select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("id"))
+    return pairs.join(one, "a").join(two, "b").where(link).select("a", "b")
 
 
 def without_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
