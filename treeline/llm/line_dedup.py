@@ -72,23 +72,26 @@ POSTING = ("id", "n", "pos", "odd0", "odd1")
 def first_pairs(postings: DataFrame) -> DataFrame:
     """``(a, b)``: each class with the first of its lists and with the one before it; at most two rows a posting."""
     along = Window.partitionBy("token").orderBy("id")
-    earlier = F.array_distinct(F.array(F.first(F.struct(*POSTING)).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lag(F.struct(*POSTING)).over(along)))
-    met = postings.withColumn("_earlier", earlier).withColumn("_at", F.explode("_earlier")).where(F.col("id") > F.col("_at.id"))
-    here, there = {c: F.col(c) for c in POSTING}, {c: F.col(f"_at.{c}") for c in POSTING}
-    return met.where(may_link(here, there)).select(F.col("_at.id").alias("a"), F.col("id").alias("b")).distinct()
+    posting = F.struct(*POSTING)
+    met = postings.withColumn("_first", F.first(posting).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_last", F.lag(posting).over(along))
+    here = {c: F.col(c) for c in POSTING}
+    near = lambda at: F.when((F.col("id") > F.col(f"{at}.id")) & may_link(here, {c: F.col(f"{at}.{c}") for c in POSTING}), F.col(f"{at}.id"))
+    return met.select(F.explode(F.array_compact(F.array(near("_first"), near("_last")))).alias("a"), F.col("id").alias("b")).distinct()
 
 
 def open_pairs(postings: DataFrame) -> DataFrame:
     """``(a, b)`` of all classes that meet in a list, the later of which is not gone yet.
 
-    ``until`` is the class's ``id``, or -1 where it is gone. Sets that share tokens one after the other meet at the first of them (``before`` is the
-    token ahead of a posting's): a pair that links passes the filters at each.
+    ``key`` is the class's ``id``, or ``-1 - id`` where it is gone; both sides of the join read the same columns and share one shuffle. Sets that share
+    tokens one after the other meet at the first of them (``before`` is the token ahead of a posting's): a pair that links passes the filters at each.
     """
     x, y = postings.alias("x"), postings.alias("y")
-    near = may_link({c: F.col(f"x.{c}") for c in POSTING}, {c: F.col(f"y.{c}") for c in POSTING})
+    facts = ("n", "pos", "odd0", "odd1")
+    near = may_link({c: F.col(f"x.{c}") for c in facts}, {c: F.col(f"y.{c}") for c in facts})
     began = ~F.coalesce(F.col("x.before") == F.col("y.before"), F.lit(False))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.until")) & began & near)
-    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    one = F.greatest(F.col("x.key"), -1 - F.col("x.key"))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (one < F.col("y.key")) & began & near)
+    return met.select(one.alias("a"), F.col("y.key").alias("b")).distinct()
 
 
 def deduplicated_lines(docs: DataFrame) -> DataFrame:
@@ -127,8 +130,8 @@ def deduplicated_lines(docs: DataFrame) -> DataFrame:
     told = classes.select("id", "doc_id", "line_no", "mark", "n")
     postings = lambda rows, *more: rows.select("id", "n", "odd0", "odd1", *more, F.posexplode("prefix").alias("pos", "token"))
     gone = cut(verified(docs, first_pairs(postings(classes)), told).select(F.col("b").alias("id")).distinct())
-    marked = classes.join(gone.withColumn("until", F.lit(-1).cast("bigint")), "id", "left").withColumn("until", F.coalesce("until", "id"))
-    opened = postings(marked, "until", "prefix").select("id", "n", "odd0", "odd1", "until", "pos", "token", F.get("prefix", F.col("pos") - 1).alias("before"))
+    marked = classes.join(gone.withColumn("_gone", F.lit(True)), "id", "left").withColumn("key", F.when(F.col("_gone"), -1 - F.col("id")).otherwise(F.col("id")))
+    opened = postings(marked, "key", "prefix").select("key", "n", "odd0", "odd1", "pos", "token", F.get("prefix", F.col("pos") - 1).alias("before"))
     gone = cut(gone.union(verified(docs, open_pairs(opened), told).select(F.col("b").alias("id"))).distinct())
     firsts = classes.select(*[F.col(c).alias(f"_{c}") for c in key], *[F.col(c).alias(f"_{c}") for c in ("doc_id", "line_no", "mark")], F.col("id").alias("_id"))
     firsts = firsts.join(gone.select(F.col("id").alias("_id"), F.lit(True).alias("_gone")), "_id", "left")
