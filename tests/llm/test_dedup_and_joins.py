@@ -279,3 +279,36 @@ def test_lines_that_went_meet_no_others(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(lines))[::-1], "doc_id bigint, text string")
     assert {r.doc_id: r.kept for r in deduplicated_lines(docs).collect()} == want
     assert sum(taken) <= 4 * len(lines)
+
+
+def test_postings_of_the_line_join_move_once(spark, monkeypatch):
+    """Both sides of the open join read one shuffle of four narrow numbers besides the tokens; before any pair is looked for, a class has two rows, not a prefix."""
+    from treeline.llm import line_dedup
+
+    spread, first = [], []
+    real_open, real_first = line_dedup.open_pairs, line_dedup.first_pairs
+
+    def watched(posted):
+        pairs = real_open(posted)
+        spread.append((posted.columns, pairs._jdf.queryExecution().executedPlan().toString()))
+        return pairs
+
+    monkeypatch.setattr(line_dedup, "open_pairs", watched)
+    monkeypatch.setattr(line_dedup, "first_pairs", lambda classes: first.append(real_first(classes)) or first[0])
+    lines = [" ".join(f"w{(i * 7 + k) % 90}" for k in range(20 + i % 100)) for i in range(60)]  # some above LONG
+    lines += [x.replace("w1 ", "v1 ") for x in lines]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    sets = [words(x) for x in lines]
+    want = {i: not any(5 * len(s & t) >= 4 * len(s | t) for t in sets[:i]) for i, s in enumerate(sets)}
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.doc_id: r.kept for r in deduplicated_lines(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == want and not all(want.values())
+    columns, plan = spread[0]
+    assert columns == ["token", "before", "id", "size", "odd0", "odd1"] and "ReusedExchange" in plan
+    assert first[0].count() <= 4 * len(lines)
