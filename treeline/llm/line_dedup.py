@@ -127,7 +127,8 @@ def open_pairs(posted: DataFrame) -> DataFrame:
     shared = (i <= n - need) & (j <= m - need) & (F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) >= need)
     began = (F.least(i, j) == 0) | (F.col("x.before") != F.col("y.before"))
     odd = lambda end, size: {"n": size, "odd0": F.col(f"{end}.odd0"), "odd1": F.col(f"{end}.odd1")}
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & later & began & shared & may_link(odd("x", n), odd("y", m)))
+    fits = (n * 100 >= m * LINK) & (m * 100 >= n * LINK)  # first: it turns most away, and costs least
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & fits & later & began & shared & may_link(odd("x", n), odd("y", m)))
     return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
