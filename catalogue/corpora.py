@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from treeline.sources.tables import addresses, files_table, one_per_path
 
+#: So many parts have their rules put together in one task, in :func:`documents_with_many_rules`.
+PARTS_IN_SLICE = 10_000
 EXTENSIONS = (".md", ".log", ".py", ".PY", ".png", "", ".tar.gz", ".ipynb", ".json", ".pyc", ".txt")
 
 
@@ -71,10 +73,17 @@ def documents_with_many_rules(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("doc_"), key, F.lit("*")),
         F.concat(F.lit("!/de/*/doc_"), key, F.lit(".txt")),
     ]
-    lines = table(spark, folder, "part").select("p_partkey", F.posexplode(F.array(*rules)).alias("nth", "line"))
+    parts = table(spark, folder, "part").select("p_partkey")
+    slices = parts.count() // PARTS_IN_SLICE + 1  # of the one file, in the order of the parts; one task holds a slice, and then the text
+    dealt = parts.repartitionByRange(slices, "p_partkey").withColumn("slice", F.spark_partition_id())
+    lines = dealt.select("slice", "p_partkey", F.posexplode(F.array(*rules)).alias("nth", "line"))
     text = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "nth", "line"))), lambda r: r["line"])
-    file = lines.agg(F.array_join(text, "\n").alias("text"))  # the one file's own text
-    extra = files_table(docs.select("repo_id").distinct().crossJoin(file), F.col("repo_id"), F.lit(".gitignore"), F.col("text"))
+    sliced = lines.groupBy("slice").agg(F.nullif(F.array_join(text, "\n"), F.lit("")).alias("text"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("slice", "text"))), lambda s: s["text"])
+    file = sliced.agg(F.array_join(whole, "\n").cast("binary").alias("text"))  # the one file's own text
+    # Rows as long as the file: the task that puts it together does not hold theirs, and they are not all in one.
+    repos = docs.select("repo_id").distinct().repartition(spark.sparkContext.defaultParallelism, "repo_id")
+    extra = files_table(repos.crossJoin(F.broadcast(file)), F.col("repo_id"), F.lit(".gitignore"), F.col("text"))
     return docs.unionByName(extra)
 
 

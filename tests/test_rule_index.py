@@ -133,3 +133,52 @@ def test_rules_with_inner_wildcards_are_tried_where_their_literal_is_shown(spark
 )
 def test_ends(line, end):
     assert tuple(rules.rule_end(line).values()) == end
+
+
+def test_texts_come_in_pieces_of_whole_lines(spark, corpus, monkeypatch):
+    monkeypatch.setattr(rules, "PIECE_BYTES", 8)
+    monkeypatch.setattr(rules, "STRETCH_BYTES", 40)
+    monkeypatch.setattr(rules, "_LOOK_BYTES", 4)
+    rng = random.Random(5)
+    texts = {"empty": "", "ends": "\n" * 50, "one": "x" * 300, "long": "a\n" + "y" * 170 + "\nb\n" * 9}
+    texts |= {f"t{i}": "".join(rng.choice(["a", "é", "日", "\n", "*"]) for _ in range(rng.randint(1, 200))) for i in range(60)}
+    df = spark.createDataFrame([*texts.items(), ("none", None)], "name string, text string")
+    for whole in (False, True):
+        rows = rules.text_in_pieces(df, "text", "at", whole).collect()
+        got = {n: sorted((r.at, r.text) for r in rows if r.name == n and r.at is not None and (r.text or not texts[n])) for n in texts}
+        for name, text in texts.items():
+            assert "".join(t for _, t in got[name]) == text
+            assert all(t.endswith("\n") for _, t in got[name][:-1])
+            assert [a for a, _ in got[name]] == [len("".join(t for _, t in got[name][:i]).encode()) for i in range(len(got[name]))]
+        assert max(len(t) for _, t in got["ends"]) <= 8 and len(got["ends"]) >= 6
+        assert sorted(r.name for r in rows if r.at is None) == sorted([*texts, "none"] if whole else [])
+
+
+def test_no_written_cell_is_as_long_as_an_ignore_file(corpus, monkeypatch):
+    """A file of 200 KB of rules: neither its text nor an array of its lines is ever one cell."""
+    lines = "\n".join(f"name_{i}.txt" for i in range(15000))
+    df = corpus({".gitignore": lines, "name_7.txt": "x", "name_x.txt": "x", "d/.gitignore": "!name_9.txt", "d/name_9.txt": "x"})
+    written = []
+    cut = project.cut
+    monkeypatch.setattr(project, "cut", lambda table: written.append(cut(table)) or written[-1])
+    monkeypatch.setattr(rule_index, "cut", project.cut)
+    told = project.ignore_report(df, project.Selection(use_defaults=False))
+    assert {(r.pattern, r.hits) for r in told["patterns"].collect()} == {("name_7.txt", 1), ("!d/name_9.txt", 1)}
+    longest = [table.agg(*[F.max(F.length(c)) for c, kind in table.dtypes if kind == "string"]).first() for table in written]
+    assert len(written) > 3 and max(n or 0 for row in longest for n in row) < 8192
+
+
+def test_ends_of_lines_are_those_of_the_rules(spark):
+    rng = random.Random(23)
+    signs = ["a", "b", "*", "**", "/", "!", " ", "\t", "?", "[", "]", "\\", "#", "é", "\u2028", ".", "-"]
+    lines = sorted({"".join(rng.choice(signs) for _ in range(rng.randint(1, 6))) for _ in range(6000)})
+    told = {r.line: r.end for r in spark.createDataFrame([(x,) for x in lines], "line string").withColumn("end", rules.line_end(F.col("line"))).collect()}
+    found = 0
+    for line, end in told.items():
+        for base in ("", "x/y", "*", "#q") if end else ():
+            rule = rules._line_rule(base, line)  # all of them can be read
+            found += rule is not None
+            assert rule is None or rule_parts(rule["pattern"])[1][-1] == end
+            assert end.count("*") == 0 or (end.count("*") == 1 and len(end) > 1 and "*" in (end[0], end[-1]))
+    assert found > 2000
+    assert [told.get(x) or spark.range(1).select(rules.line_end(F.lit(x))).first()[0] for x in ("!/de/*/doc_1.txt", "*1.py", "doc_1*", "a/b/", " x\t")] == ["doc_1.txt", "*1.py", "doc_1*", "b", "x"]

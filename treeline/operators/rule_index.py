@@ -30,22 +30,84 @@ from pyspark.sql import functions as F
 
 from treeline.functions import paths
 from treeline.operators import rollup, skew
-from treeline.operators.rules import MATCH_TYPE, holds_row, parsed_lines
+from treeline.operators.rules import MATCH_TYPE, holds_row, line_end, parsed_lines, text_in_pieces
 from treeline.session import cut
 
 #: Where a rule stands in the order of all ignore files.
 ORDER = ("depth", "base", "nth")
 
 
-def rule_index(ignore_files: DataFrame) -> DataFrame:
-    """One row per rule of the files of :func:`treeline.operators.rules.ignore_file_rules`; ``nth`` is its line.
+#: From this many pieces of ignore files on (16 MB, about a million lines), only lines that a node may show are read as rules.
+MANY_PIECES = 1 << 12
+#: Most bits of the bitmap that tells so, 8 MB; where it fills up it merely lets more lines through.
+MOST_BITS = 1 << 26
 
-    Lines are dealt over all cores before they are read, so that a long file, or many in one partition of the corpus, are not one task's.
+
+def _pieces(ignore_files: DataFrame) -> DataFrame:
+    """``repo_id, base, text, at`` of the files of :func:`treeline.operators.rules.ignore_file_rules`, which may come in pieces already."""
+    texts = ignore_files if "at" in ignore_files.columns else text_in_pieces(ignore_files.select("repo_id", "base", "text"), "text", "at")
+    return texts.select("repo_id", "base", "text", "at")
+
+
+def _lines(pieces: DataFrame) -> DataFrame:
+    """``repo_id, depth, base, nth, line, end`` of lines that are not empty; ``nth`` grows with the lines of a file, and is their number in the first piece."""
+    of = lambda line, i: F.struct((F.col("at") + i).alias("nth"), line.alias("line"), line_end(line).alias("end"))
+    split = pieces.select("repo_id", paths.node_depth(F.col("base")).alias("depth"), "base", F.inline(F.transform(F.split("text", "\n"), of)))
+    return split.where(F.trim("line") != "")
+
+
+def rule_index(ignore_files: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """One row per rule of the files of :func:`treeline.operators.rules.ignore_file_rules`; ``nth`` is its place in the order of its file.
+
+    Pieces of the files are dealt over all cores before they are read, so that a long file, or many in one partition of the corpus, are not one
+    task's. With ``files(repo_id, path)``, and ``MANY_PIECES``, rules that hold for none of them are left out as far as :func:`_may_hold` tells.
     """
-    lines = ignore_files.select("repo_id", paths.node_depth(F.col("base")).alias("depth"), "base", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
+    pieces = _pieces(ignore_files)
+    if files is not None and "at" not in ignore_files.columns:
+        pieces = cut(pieces)  # used several times, and may be made of contents
     cores = ignore_files.sparkSession.sparkContext.defaultParallelism
-    dealt = lines.where(F.trim("line") != "").repartition(cores, "repo_id", "base", "nth")
-    return parsed_lines(dealt)
+    lines = _lines(pieces.repartition(cores, "repo_id", "base", "at"))
+    if files is not None and pieces.select("at").count() >= MANY_PIECES:
+        lines = lines.where(_may_hold(pieces, files))
+    return parsed_lines(lines.drop("end"))
+
+
+def _may_hold(pieces: DataFrame, files: DataFrame) -> Column:
+    """For the :func:`_lines` of ``pieces``: false only if no file, or directory above one, of its repository shows what a rule asks a node for.
+
+    The keys that nodes show, of the lengths that the lines ask for, are hashed to two bits each of a bitmap with 16 bits a key or more, up to
+    ``MOST_BITS``. Lines of which :func:`treeline.operators.rules.line_end` does not tell are all true, and so are those that cannot be read.
+    """
+    spark, end = files.sparkSession, F.col("end")
+    starred = F.filter(F.split("text", "\n"), lambda line: F.contains(line, F.lit("*")))
+    ends = pieces.select("repo_id", F.explode(F.transform(starred, line_end)).alias("end"))
+    found = ends.groupBy("repo_id", F.startswith(end, F.lit("*")).alias("tail"), F.endswith(end, F.lit("*")).alias("head"), (F.length(end) - F.lit(1)).alias("n")).count()
+    asked = cut(found.groupBy("repo_id").agg(*[F.collect_set(F.when(F.col(kind), F.col("n"))).alias(f"{kind}s") for kind in ("head", "tail")]))
+    owners = files.join(pieces.select("repo_id").distinct(), "repo_id", "left_semi")
+    folders = owners.select("repo_id", paths.parent(F.col("path")).alias("path")).distinct()
+    names = owners.select("repo_id", paths.base_name(F.col("path")).alias("name")).unionByName(folders.select("repo_id", F.explode(F.split("path", "/")).alias("name")))
+    both = F.explode(F.array_distinct(F.array("name", F.rtrim("name", F.lit("\n"))))).alias("name")  # as rules with a key, and expressions, see it
+    shown = names.select("repo_id", both).distinct().join(asked, "repo_id", "left").withColumns({c: F.coalesce(c, F.array().cast("array<int>")) for c in ("heads", "tails")})
+    star = lambda kind: F.when(F.col("shows") == kind, F.lit("*")).otherwise(F.lit(""))
+    keyed = shown.select("repo_id", F.inline(_keys(F.col("name")))).select("repo_id", F.concat(star("tail"), "literal", star("head")).alias("end"))
+    keys = cut(keyed.select(F.xxhash64("repo_id", "end").alias("key")).distinct())
+    bits = 1 << 16
+    while bits < min(16 * keys.count(), MOST_BITS):
+        bits *= 2
+
+    def places(key: Column) -> list[Column]:
+        return [key.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(key, 32).bitwiseAND(F.lit(bits - 1))]
+
+    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    words = keys.select(F.explode(F.array(*places(F.col("key")))).alias("place")).groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(bit).alias("word"))
+    every = spark.range(bits // 64).select(F.col("id").alias("at")).join(words, "at", "left").select("at", F.coalesce("word", F.lit(0)).alias("word"))
+    bitmap = cut(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda w: w["word"]).alias("words"))).scalar()
+
+    def held(place: Column) -> Column:
+        return F.getbit(F.get(bitmap, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    one, two = places(F.xxhash64("repo_id", "end"))
+    return F.contains("base", F.lit("\\")) | (end == "") | (held(one) & held(two))
 
 
 def _wanted_keys(index: DataFrame) -> DataFrame:
@@ -140,7 +202,7 @@ def match_rules(files: DataFrame, ignore_files: DataFrame, rows_per_key: int = s
     Rules and directories, narrow, are written down on the way, and so are the hits unless they are used but ``once``.
     """
     settle = (lambda df: df) if once else cut
-    index = cut(rule_index(ignore_files))
+    index = cut(rule_index(ignore_files, files))
     ruled = files.join(index.select("repo_id").distinct(), "repo_id", "left_semi")
     own = cut(rollup.own_totals(ruled, ()))
     folders = rollup.roll_up(own, ())
@@ -156,8 +218,11 @@ def match_rules(files: DataFrame, ignore_files: DataFrame, rows_per_key: int = s
 
 
 def _shown(name: Column) -> Column:
+    return _keys(F.rtrim(name, F.lit("\n")))  # an expression also ends before a last line feed
+
+
+def _keys(name: Column) -> Column:
     """The keys ``shows, literal`` of a name, for the lengths that ``heads`` and ``tails`` ask for."""
-    name = F.rtrim(name, F.lit("\n"))  # an expression also ends before a last line feed
     key = lambda shows, literal: F.struct(F.lit(shows).alias("shows"), literal.alias("literal"))
     ends = lambda shows, cut_off: F.transform(F.filter(f"{shows}s", lambda n: n <= F.length(name)), lambda n: key(shows, cut_off(name, n)))
     return F.concat(F.array(key("name", name)), ends("head", F.left), ends("tail", F.right))

@@ -310,6 +310,66 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
     return lines.mapInPandas(read, T.StructType([*kept, *RULE_TYPE.fields]))
 
 
+#: Texts of ignore files go about in pieces of about this many bytes, so that a file of millions of rules is never one cell, or one array of lines.
+PIECE_BYTES = 1 << 12
+#: Two steps lead to the pieces: a row may be copied for each part that is taken out of it.
+STRETCH_BYTES = 1 << 19
+#: How far the end of a line is looked for before the rest of the text is searched.
+_LOOK_BYTES = 1 << 10
+
+
+def _line_begin(text: Column, place: Column) -> Column:
+    """How many bytes of the binary ``text`` stand before the first line that begins ``place`` bytes in or later; all, without such a line."""
+
+    def to_line_end(stretch: Column) -> Column:
+        return F.octet_length(F.substring_index(stretch.cast("string"), "\n", 1))
+
+    near = F.substring(text, place, F.lit(_LOOK_BYTES))
+    end = F.when(to_line_end(near) < F.octet_length(near), to_line_end(near)).otherwise(to_line_end(F.substring(text, place, F.octet_length(text))))
+    return F.when(place <= 0, F.lit(0)).when(place >= F.octet_length(text), F.octet_length(text)).otherwise(F.least(place + end, F.octet_length(text)))
+
+
+def _taken_apart(rows: DataFrame, size: int, most: int, whole: bool = False) -> DataFrame:
+    """``rows``, a row for each stretch of about ``size`` bytes of the binary ``_text``, which begins ``_at`` bytes in and ends with a line.
+
+    A text of more than ``most`` bytes stays as it is. ``whole`` keeps every row as well, without text and place; without a text a row is
+    kept either way.
+    """
+    text, length, k = F.col("_text"), F.octet_length("_text"), F.col("_k")
+    # a text of no bytes is one stretch
+    stretches = F.when(length > most, F.lit(1)).otherwise(F.greatest(F.ceil(length / F.lit(size)), F.lit(1)))
+    last = F.coalesce(stretches, F.lit(0 if whole else 1)).cast("int") - F.lit(1)
+    numbered = rows.withColumn("_last", last).withColumn("_k", F.explode(F.sequence(F.lit(-1 if whole else 0), F.col("_last"))))
+    end = F.when(k == F.col("_last"), length).otherwise(_line_begin(text, (k + F.lit(1)) * F.lit(size)))
+    placed = numbered.withColumns({"_begin": _line_begin(text, k * F.lit(size)), "_end": end})
+    cut_out = F.when(k >= 0, F.substring(text, F.col("_begin") + F.lit(1), F.col("_end") - F.col("_begin")))  # empty where a line is longer
+    return placed.withColumns({"_text": cut_out, "_at": F.when(k >= 0, F.col("_at") + F.col("_begin"))}).drop("_k", "_last", "_begin", "_end")
+
+
+def text_in_pieces(files: DataFrame, text: str, at: str, whole: bool = False) -> DataFrame:
+    """``files``, a row for each piece of the column ``text``; ``at`` tells how many bytes stand before the piece, whose lines are all whole.
+
+    With ``whole`` every file also has a row of its own, without ``text`` and ``at``, so that one pass writes down both.
+    """
+    rows = files.withColumns({"_text": F.col(text).cast("binary"), "_at": F.lit(0)}).drop(text)
+    # a stretch of more than two holds a line longer than one, which would be looked through for each piece
+    pieces = _taken_apart(_taken_apart(rows, STRETCH_BYTES, 1 << 31, whole), PIECE_BYTES, 2 * STRETCH_BYTES)
+    return pieces.withColumns({text: F.col("_text").cast("string"), at: F.col("_at")}).drop("_text", "_at")
+
+
+#: Lines whose last part is a name, or one with a single ``*`` in front or behind. None of them is unreadable, and at its ends stands nothing that
+#: has to be stripped but blanks and tabs.
+LINE_END = r"^[ \t]*(?=[!-~])!?+(?:[^\\\[?]*/)?(\*?[^\\\[?*/]+|[^\\\[?*/]+\*)/?(?<=[!-~])[ \t]*\z"
+
+
+def line_end(line: Column) -> Column:
+    """The last part of a line, ``name``, ``*tail`` or ``head*``, as :func:`rule_end` would tell it, but without reading the rule; ``''`` if this does not tell.
+
+    Of a rule of any kind: a node on the path of each file it holds for has such a name. The directory of the ignore file must be without a backslash.
+    """
+    return F.regexp_extract(line, LINE_END, 1)
+
+
 def is_ignore_file(path: Column) -> Column:
     """Written as comparisons a Parquet scan can be given."""
     return (path == ".gitignore") | F.endswith(path, F.lit("/.gitignore"))
@@ -319,9 +379,11 @@ def ignore_file_rules(files: DataFrame) -> DataFrame:
     """One row per ignore file of the corpus: ``repo_id, base, text, rules``; ``base`` is its directory.
 
     ``rules`` is for displays; an index reads the lines of ``text``, which are dealt over the cluster.
-    ``files`` holds ``content``, or ``ignore_text`` when it comes from :func:`treeline.operators.contents.measure`.
+    ``files`` holds ``content``, or ``ignore_text`` when it comes from :func:`treeline.operators.contents.measure`. With ``ignore_at`` next to
+    it (:func:`text_in_pieces`) there is one row per piece, and its place as ``at``.
     """
     path = F.col("path")
     text = F.col("ignore_text") if "ignore_text" in files.columns else decode_text(F.col("content"))
-    found = files.where(is_ignore_file(path)).select("repo_id", paths.parent(path).alias("base"), text.alias("text"))
-    return found.select("repo_id", "base", "text", _parse_ignore_files("base", "text").alias("rules"))
+    at = [F.col("ignore_at").alias("at")] if "ignore_at" in files.columns else []
+    found = files.where(is_ignore_file(path)).select("repo_id", paths.parent(path).alias("base"), text.alias("text"), *at)
+    return found.select("*", _parse_ignore_files("base", "text").alias("rules"))
