@@ -39,8 +39,8 @@ ORDER = ("depth", "base", "nth")
 
 #: From this many pieces of ignore files on (16 MB, about a million lines), only lines that a node may show are read as rules.
 MANY_PIECES = 1 << 12
-#: Most bits of the bitmap that tells so, 8 MB; where it fills up it merely lets more lines through.
-MOST_BITS = 1 << 26
+#: Most words of the bitmap that tells so, 8 MB; where it fills up it merely lets more lines through.
+MOST_WORDS = 1 << 20
 
 
 def _pieces(ignore_files: DataFrame) -> DataFrame:
@@ -75,39 +75,32 @@ def rule_index(ignore_files: DataFrame, files: DataFrame | None = None) -> DataF
 def _may_hold(pieces: DataFrame, files: DataFrame) -> Column:
     """For the :func:`_lines` of ``pieces``: false only if no file, or directory above one, of its repository shows what a rule asks a node for.
 
-    The keys that nodes show, of the lengths that the lines ask for, are hashed to two bits each of a bitmap with 16 bits a key or more, up to
-    ``MOST_BITS``. Lines of which :func:`treeline.operators.rules.line_end` does not tell are all true, and so are those that cannot be read.
+    The keys that nodes show, of the lengths that the lines ask for, are hashed to two bits of a word each, in a bitmap with 16 bits a key or
+    more, up to ``MOST_WORDS`` words. Lines of which :func:`treeline.operators.rules.line_end` does not tell are all true, and so are those that cannot be read.
     """
     spark, end = files.sparkSession, F.col("end")
     starred = F.filter(F.split("text", "\n"), lambda line: F.contains(line, F.lit("*")))
-    ends = pieces.select("repo_id", F.explode(F.transform(starred, line_end)).alias("end"))
+    ends = pieces.select("repo_id", F.explode_outer(F.transform(starred, line_end)).alias("end"))  # every repository with a piece
     found = ends.groupBy("repo_id", F.startswith(end, F.lit("*")).alias("tail"), F.endswith(end, F.lit("*")).alias("head"), (F.length(end) - F.lit(1)).alias("n")).count()
     asked = cut(found.groupBy("repo_id").agg(*[F.collect_set(F.when(F.col(kind), F.col("n"))).alias(f"{kind}s") for kind in ("head", "tail")]))
-    owners = files.join(pieces.select("repo_id").distinct(), "repo_id", "left_semi")
-    folders = owners.select("repo_id", paths.parent(F.col("path")).alias("path")).distinct()
-    names = owners.select("repo_id", paths.base_name(F.col("path")).alias("name")).unionByName(folders.select("repo_id", F.explode(F.split("path", "/")).alias("name")))
+    folders = files.select("repo_id", paths.parent(F.col("path")).alias("path")).distinct()
+    names = files.select("repo_id", paths.base_name(F.col("path")).alias("name")).unionByName(folders.select("repo_id", F.explode(F.split("path", "/")).alias("name")))
     both = F.explode(F.array_distinct(F.array("name", F.rtrim("name", F.lit("\n"))))).alias("name")  # as rules with a key, and expressions, see it
-    shown = names.select("repo_id", both).distinct().join(asked, "repo_id", "left").withColumns({c: F.coalesce(c, F.array().cast("array<int>")) for c in ("heads", "tails")})
+    shown = names.select("repo_id", both).distinct().join(asked, "repo_id")
     star = lambda kind: F.when(F.col("shows") == kind, F.lit("*")).otherwise(F.lit(""))
     keyed = shown.select("repo_id", F.inline(_keys(F.col("name")))).select("repo_id", F.concat(star("tail"), "literal", star("head")).alias("end"))
     keys = cut(keyed.select(F.xxhash64("repo_id", "end").alias("key")).distinct())
-    bits = 1 << 16
-    while bits < min(16 * keys.count(), MOST_BITS):
-        bits *= 2
-
-    def places(key: Column) -> list[Column]:
-        return [key.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(key, 32).bitwiseAND(F.lit(bits - 1))]
-
-    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
-    words = keys.select(F.explode(F.array(*places(F.col("key")))).alias("place")).groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(bit).alias("word"))
-    every = spark.range(bits // 64).select(F.col("id").alias("at")).join(words, "at", "left").select("at", F.coalesce("word", F.lit(0)).alias("word"))
+    words = 1 << 10
+    while words < min(keys.count() // 4, MOST_WORDS):
+        words *= 2
+    place = lambda key: F.shiftrightunsigned(key, 12).bitwiseAND(F.lit(words - 1)).cast("int")
+    mask = "shiftleft(1L, cast({0} & 63 as int)) | shiftleft(1L, cast(shiftright({0}, 6) & 63 as int))"
+    filled = keys.groupBy(place(F.col("key")).alias("at")).agg(F.bit_or(F.expr(mask.format("key"))).alias("word"))
+    every = spark.range(words).select(F.col("id").alias("at")).join(filled, "at", "left").select("at", F.coalesce("word", F.lit(0)).alias("word"))
     bitmap = cut(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda w: w["word"]).alias("words"))).scalar()
-
-    def held(place: Column) -> Column:
-        return F.getbit(F.get(bitmap, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
-
-    one, two = places(F.xxhash64("repo_id", "end"))
-    return F.contains("base", F.lit("\\")) | (end == "") | (held(one) & held(two))
+    asked_for = F.expr(mask.format("xxhash64(repo_id, end)"))
+    held = F.get(bitmap, place(F.xxhash64("repo_id", "end"))).bitwiseAND(asked_for) == asked_for
+    return F.contains("base", F.lit("\\")) | (end == "") | held
 
 
 def _wanted_keys(index: DataFrame) -> DataFrame:
